@@ -12,6 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# Phrases appended to derived headlines by doc_id % 16, so that every matcher meets real hits.
+PHRASES = (
+    "", "earnings beats estimates", "guidance cut", "", "merger probe widens", "fda approval", "유상증자 급락",
+    "missile strike", "", "fed holds emergency meeting", "oil prices surge", "new tariffs", "market crash",
+    "q3 outlook, price target", "", "ceo resign",
+)
 LINE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
@@ -153,16 +159,36 @@ class Views:
     def news(self) -> DataFrame:
         d = self.table("documents").select("doc_id", "text")
         words = F.slice(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), 1, 12)
+        phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("doc_id") % 16 + 1).cast("int"))
         lab = self.table("labels").select("doc_id", (F.col("quality") - F.col("toxic")).cast("double").alias("sentiment"))
         return d.join(lab, "doc_id", "left").select(
             "doc_id",
             (F.col("doc_id") % self.n_tickers).alias("ticker"),
-            F.array_join(words, " ").alias("headline"),
+            F.trim(F.concat_ws(" ", F.array_join(words, " "), phrase)).alias("headline"),
             F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("date"),
             F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("doc_id").cast("string")).alias("url"),
             "sentiment",
         )
 
+    @cached_property
+    def calendar_events(self) -> DataFrame:
+        k = F.col("o_orderkey")
+        pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (k % len(xs) + 1).cast("int"))
+        return (
+            self.table("orders")
+            .select(
+                k.alias("event_id"),
+                (F.col("o_custkey") % self.n_tickers).alias("ticker"),
+                F.when(F.col("o_orderpriority") == "1-URGENT", "macro").otherwise("earnings").alias("kind"),
+                pick(["US CPI", "Fed Interest Rate Decision", "Retail Sales", "Nonfarm Payrolls"]).alias("name"),
+                F.when(k % 3 == 0, "UK").otherwise("US").alias("country"),
+                F.when(k % 7 == 0, "Low").otherwise("High").alias("impact"),
+                pick(["bmo", "After-Market", "", "dmh"]).alias("time"),
+                F.to_date("o_orderdate").alias("event_date"),
+            )
+            .withColumn("market", F.when(F.col("ticker") % 2 == 0, "US").otherwise("KR"))
+        )
+
     @cached_property
     def ticks(self) -> DataFrame:
         return self.table("events").select(
@@ -275,11 +301,18 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM lines JOIN orders ON l_orderkey = o_orderkey"""),
     "news": ((), r"""
         SELECT d.doc_id, d.doc_id % (SELECT count(*) FROM supplier) AS ticker,
-          array_to_string(list_slice(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), 1, 12), ' ') AS headline,
+          trim(array_to_string(list_slice(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), 1, 12), ' ') || ' ' || (@PHRASES@)[d.doc_id % 16 + 1]) AS headline,
           DATE '2024-01-01' + CAST(d.doc_id % 30 AS INTEGER) AS date,
           CASE WHEN d.doc_id % 7 = 0 THEN '' ELSE CAST(d.doc_id AS VARCHAR) END AS url,
           CAST(quality - toxic AS DOUBLE) AS sentiment
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""),
+    "calendar_events": ((), """
+        SELECT o_orderkey AS event_id, o_custkey % (SELECT count(*) FROM supplier) AS ticker,
+          CASE WHEN o_custkey % (SELECT count(*) FROM supplier) % 2 = 0 THEN 'US' ELSE 'KR' END AS market,
+          CASE WHEN o_orderpriority = '1-URGENT' THEN 'macro' ELSE 'earnings' END AS kind,
+          (['US CPI','Fed Interest Rate Decision','Retail Sales','Nonfarm Payrolls'])[o_orderkey % 4 + 1] AS name,
+          CASE WHEN o_orderkey % 3 = 0 THEN 'UK' ELSE 'US' END AS country, CASE WHEN o_orderkey % 7 = 0 THEN 'Low' ELSE 'High' END AS impact,
+          (['bmo','After-Market','','dmh'])[o_orderkey % 4 + 1] AS time, CAST(o_orderdate AS DATE) AS event_date FROM orders"""),
     "ticks": ((), "SELECT event_id, user_id AS ticker, ts, value AS price, event_type AS feed FROM events"),
     "etf": (("lines",), """
         SELECT p_partkey AS code, p_name AS name, p_type AS "group", p_size / 100.0::DOUBLE AS fee, aum,
@@ -296,6 +329,11 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+SQL_VIEWS["news"] = (
+    (), SQL_VIEWS["news"][1].replace("@PHRASES@", "[" + ", ".join(f"'{p}'" for p in PHRASES) + "]"),
+)
+
+
 def with_views(views: tuple[str, ...], body: str) -> str:
     """Prefix `body` with the WITH clause for the views it names, dependencies first."""
     order: list[str] = []

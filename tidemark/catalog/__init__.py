@@ -4,7 +4,7 @@ import importlib
 
 from tidemark.catalog.registry import ORACLE, QUERIES
 
-MODULES = ("series", "accuracy")
+MODULES = ("series", "accuracy", "text")
 
 
 def _load() -> None:

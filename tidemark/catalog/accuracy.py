@@ -263,9 +263,9 @@ def stat_recalibrate(v):
     return acc.recalibrate(v.predictions, v.predictions).select("id", *r6("recalibrated"))
 
 
-H = "CAST('0x' || substr(md5(CAST({k} AS VARCHAR)), {s}, 7) AS BIGINT)"
+H = "CAST('0x' || substr(md5(CAST({k} AS VARCHAR)), {s}, 8) AS BIGINT)"
 REPS = f"""
-b AS (SELECT id, CASE WHEN status='HIT' THEN 1 ELSE 0 END AS y, confidence AS c, {H.format(k='id', s=1)} AS a, {H.format(k='id', s=8)} AS b
+b AS (SELECT id, CASE WHEN status='HIT' THEN 1 ELSE 0 END AS y, confidence AS c, {H.format(k='id', s=1)} AS a, {H.format(k='id', s=9)} AS b
       FROM predictions WHERE {CLOSED}),
 x AS (SELECT *, (a * rep + b) % 2147483647 AS u FROM b, unnest(range(1, {{reps}} + 1)) t(rep))"""
 

@@ -112,10 +112,10 @@ def interpolate(c: Column, pts: Column) -> Column:
 
 
 def hash_pair(key: Column) -> tuple[Column, Column]:
-    """Two independent 28-bit integers of a key, identical in any engine with md5."""
+    """Two independent 32-bit integers of a key, identical in any engine with md5."""
     h = F.md5(key.cast("string"))
-    part = lambda s: F.conv(F.substring(h, s, 7), 16, 10).cast("bigint")
-    return part(1), part(8)
+    part = lambda s: F.conv(F.substring(h, s, 8), 16, 10).cast("bigint")
+    return part(1), part(9)
 
 
 def rep_uniform(a: Column, b: Column, rep: Column) -> Column:

@@ -371,7 +371,11 @@ def permutation_test(rows: DataFrame, permutations: int = 1000, cells: int = 256
         F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_hit"), F.sum("c").alias("sum_c"),
         F.sum(F.col("c") * F.col("y")).alias("hit_c"),
     ).select(
-        "*", (F.col("hit_c") / F.col("n_hit") - (F.col("sum_c") - F.col("hit_c")) / (F.col("n") - F.col("n_hit"))).alias("obs")
+        "*",
+        (
+            F.try_divide("hit_c", "n_hit")
+            - F.try_divide(F.col("sum_c") - F.col("hit_c"), F.col("n") - F.col("n_hit"))
+        ).alias("obs"),
     )
     u = stats.rep_uniform(F.col("a"), F.col("b"), F.col("rep"))
     rep = base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("u", u)
@@ -394,7 +398,7 @@ def permutation_test(rows: DataFrame, permutations: int = 1000, cells: int = 256
     )
     t = tot.withColumn("_j", F.lit(1))
     ph = F.col("perm_hit")
-    stat = ph / F.col("n_hit") - (F.col("sum_c") - ph) / (F.col("n") - F.col("n_hit"))
+    stat = F.try_divide(ph, F.col("n_hit")) - F.try_divide(F.col("sum_c") - ph, F.col("n") - F.col("n_hit"))
     joined = t.join(part, "_j", "left")
     out = joined.groupBy("n", "n_hit", "obs").agg(
         F.count_if(F.abs(stat) >= F.abs(F.col("obs")) - 1e-12).alias("extreme")
