@@ -4,7 +4,7 @@ import importlib
 
 from tidemark.catalog.registry import ORACLE, QUERIES
 
-MODULES = ("series", "accuracy", "text")
+MODULES = ("series", "accuracy", "text", "screen")
 
 
 def _load() -> None:

@@ -18,6 +18,9 @@ def f_(n, start=None, end=0):
 
 
 def avg_sql(col, n, end=0):
+    if col == "close":  # whole cents, so that equal means compare equal
+        return (f"CASE WHEN count(close) OVER {f_(n, end=end)} >= {n} THEN"
+                f" avg(CAST(round(close * 100) AS BIGINT)) OVER {f_(n, end=end)} / 100.0::DOUBLE END")
     return f"CASE WHEN count({col}) OVER {f_(n, end=end)} >= {n} THEN avg({col}) OVER {f_(n, end=end)} END"
 
 
