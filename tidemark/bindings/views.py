@@ -132,6 +132,10 @@ class Views:
                 raw.alias("raw_confidence"),
                 conf.alias("confidence"),
                 F.lit(100.0).alias("entry_price"),
+                F.when((k % 5 == 4) | (k % 4 == 0), None).when(k % 4 == 1, 0.0)
+                .when(k % 5 == 3, 95.0 - k % 20).otherwise(105.0 + k % 20).alias("target_price"),
+                F.when((k % 5 == 4) | (k % 3 == 0), None)
+                .when(k % 5 == 3, 110.0 + k % 15).otherwise(80.0 + k % 15).alias("stop_price"),
                 F.when(status != "OPEN", F.date_add(created, (1 + k % 45).cast("int")))
                 .cast("timestamp").alias("outcome_date"),
                 F.when(status != "OPEN", (cents("o_totalprice") % 4000 - 2000) / F.lit(100.0)).alias("outcome_return"),
@@ -281,6 +285,10 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
           (500 + (o_orderkey * 7919) % 500) / 1000.0::DOUBLE AS raw_confidence,
           (450 + (o_orderkey * 7919) % 500) / 1000.0::DOUBLE AS confidence,
           100.0::DOUBLE AS entry_price,
+          CAST(CASE WHEN o_orderkey % 5 = 4 OR o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 4 = 1 THEN 0
+            WHEN o_orderkey % 5 = 3 THEN 95 - o_orderkey % 20 ELSE 105 + o_orderkey % 20 END AS DOUBLE) AS target_price,
+          CAST(CASE WHEN o_orderkey % 5 = 4 OR o_orderkey % 3 = 0 THEN NULL
+            WHEN o_orderkey % 5 = 3 THEN 110 + o_orderkey % 15 ELSE 80 + o_orderkey % 15 END AS DOUBLE) AS stop_price,
           CASE WHEN s <> 'OPEN' THEN CAST(CAST(o_orderdate AS DATE) + CAST(1 + o_orderkey % 45 AS INTEGER) AS TIMESTAMP) END AS outcome_date,
           CASE WHEN s <> 'OPEN' THEN (CAST(round(o_totalprice*100) AS BIGINT) % 4000 - 2000) / 100.0::DOUBLE END AS outcome_return,
           list_filter([{_SIG}], lambda x: x IS NOT NULL) AS signals,
