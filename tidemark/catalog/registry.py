@@ -36,9 +36,9 @@ def text(*cols: str) -> list[Column]:
 
 
 def rd(*cols: str, n: int = 6) -> list[Column]:
-    """Round through a 12-digit decimal, so that last-bit noise cannot flip an exact tie."""
-    return [F.round(F.col(c).cast("decimal(30,12)"), n).cast("double").alias(c) for c in cols]
+    """Round through a 9-digit decimal, so that last-bit noise cannot flip an exact tie."""
+    return [F.round(F.col(c).cast("decimal(30,9)"), n).cast("double").alias(c) for c in cols]
 
 
 def rd_sql(expr: str, n: int = 6) -> str:
-    return f"CAST(round(CAST({expr} AS DECIMAL(30,12)), {n}) AS DOUBLE)"
+    return f"CAST(round(CAST({expr} AS DECIMAL(30,9)), {n}) AS DOUBLE)"
