@@ -4,7 +4,7 @@ import importlib
 
 from tidemark.catalog.registry import ORACLE, QUERIES
 
-MODULES = ("series", "accuracy", "text", "screen", "portfolio", "book", "sources")
+MODULES = ("series", "accuracy", "text", "screen", "portfolio", "book", "sources", "streams", "models")
 
 
 def _load() -> None:

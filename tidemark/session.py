@@ -24,21 +24,31 @@ def local_session(app: str = "tidemark", cpus: str | int = 8, shuffle: int = 8)
     )
 
 
+def checkpoint_root(spark: SparkSession) -> str:
+    """The folder all executors share: the session's `spark.checkpoint.dir`.
+
+    Only a local session may fall back to a fresh folder under /tmp.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        current = spark.sparkContext.getCheckpointDir()
+        if current is not None:
+            return current
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder, so later plans read the same rows.
 
-    Used where a result must not change between two reads (range blocks, iterative joins). The
-    folder is the cluster's `spark.checkpoint.dir`; only a local session may fall back to /tmp.
+    Used where a result must not change between two reads (range blocks, iterative joins).
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(checkpoint_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
