@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog.book import EDGE, saved
 from tidemark.catalog import book
 from tidemark.catalog.registry import query
+from tidemark.session import stable
 from tidemark.streaming import jobs
 
 
@@ -20,7 +21,8 @@ SELECT key, unnest(list_transform(k, lambda x: x.e)) AS event_id FROM fo"""
 
 @query("st_monitor", FIRED)
 def st_monitor(v):
-    out = jobs.edge_alerts(ticks(v), saved(v).withColumn("source", F.lit("saved")))
+    # the watchlist is a table to the stream, as in production
+    out = jobs.edge_alerts(ticks(v), stable(saved(v).withColumn("source", F.lit("saved"))))
     return jobs.run_once(out).select("key", "event_id")
 
 
@@ -37,7 +39,7 @@ SELECT id, s AS status FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER
 @query("st_outcome", CLOSE.replace(" AND p.id % 2 = 0", ""), ("predictions",))
 def st_outcome(v):
     # the ticks are years after the last prediction, so every horizon has run out
-    p = v.predictions.where("status = 'OPEN'").drop("status")
+    p = stable(v.predictions.where("status = 'OPEN'").drop("status"))
     return jobs.run_once(jobs.close_outcomes(ticks(v), p)).select("id", "status")
 
 

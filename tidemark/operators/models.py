@@ -77,7 +77,8 @@ def isotonic_baseline(train: DataFrame, buckets: int = 5) -> DataFrame:
     span = F.coalesce(F.nullif(hi - lo, F.lit(0.0)), F.lit(1.0))
     k = F.least(F.floor((F.col("raw_conf") - lo) / span * buckets), F.lit(buckets - 1))
     g = train.groupBy(k.alias("k")).agg(F.avg("y").alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
-    pts = F.array_sort(F.collect_list(F.struct((lo + (F.col("k") + 0.5) * span / buckets).alias("x"), "y", "w")))
+    g = g.select((lo + (F.col("k") + 0.5) * span / buckets).alias("x"), "y", "w")
+    pts = F.array_sort(F.collect_list(F.struct("x", "y", "w")))
     return g.agg(pts.alias("p")).select(stats.isotonic_fit(F.col("p")).alias("anchors"))
 
 

@@ -37,12 +37,17 @@ def tick_stream(raw: DataFrame, delay: str = "1 day") -> DataFrame:
     return t.withWatermark("ts", delay)
 
 
-def edge_alerts(ticks: DataFrame, watch: DataFrame, cooldown_hours: int = 6) -> DataFrame:
-    """Alert rows (key, ts, event_id, price); key plus ts identifies an alert for at-least-once sinks."""
+def edge_alerts(ticks: DataFrame, watch: DataFrame, cooldown_hours: int = 6, ttl_days: int | None = None) -> DataFrame:
+    """Alert rows (key, ts, event_id, price); key plus ts identifies an alert for at-least-once sinks.
+
+    `ttl_days` lets the state of unwatched keys expire. Expiry needs processing time, which keeps a
+    query asking for another batch, so it belongs to continuously running jobs, not to run_once.
+    """
     stateful_session(ticks.sparkSession)
     obs = wl.observations(ticks, watch).select("key", "ts", "event_id", "price", "satisfied")
     return obs.groupBy("key").transformWithStateInPandas(
-        EdgeTrigger(cooldown_hours), "key string, ts timestamp, event_id bigint, price double", "Append", "ProcessingTime"
+        EdgeTrigger(cooldown_hours, ttl_days), "key string, ts timestamp, event_id bigint, price double", "Append",
+        "None" if ttl_days is None else "ProcessingTime",
     )
 
 

@@ -16,9 +16,9 @@ def _in_order(batches: Iterator[pd.DataFrame], cols: list[str]) -> pd.DataFrame:
 class EdgeTrigger(StatefulProcessor):
     """Fire on false -> true, at most once per cooldown; a suppressed edge still uses up the edge."""
 
-    def __init__(self, cooldown_hours: int = 6, ttl_days: int = 90):
+    def __init__(self, cooldown_hours: int = 6, ttl_days: int | None = None):
         self.cooldown_us = cooldown_hours * 3_600_000_000
-        self.ttl_ms = ttl_days * 86_400_000
+        self.ttl_ms = None if ttl_days is None else ttl_days * 86_400_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         # the TTL drops keys nobody watches any more
