@@ -162,7 +162,8 @@ class Views:
     @cached_property
     def news(self) -> DataFrame:
         d = self.table("documents").select("doc_id", "text")
-        words = F.slice(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), 1, 12)
+        first = F.regexp_extract("text", r"^\s*(\S+(?:\s+\S+){0,11})", 1)
+        words = F.split(F.regexp_replace(first, r"\s+", " "), " ")
         phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("doc_id") % 16 + 1).cast("int"))
         lab = self.table("labels").select("doc_id", (F.col("quality") - F.col("toxic")).cast("double").alias("sentiment"))
         return d.join(lab, "doc_id", "left").select(

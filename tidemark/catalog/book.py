@@ -81,7 +81,7 @@ lm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY
 SELECT id, coalesce(json_extract_string(components, '$.overextension'), overextension_level) AS overextension, json_extract_string(components, '$.algo') AS algo,
   round(lm.return_1m, 6) AS return_1m FROM predictions LEFT JOIN lm USING (ticker)""", PB)
 def fill_components(v):
-    m = series.last_rows(series.rolling_metrics(v.bars))
+    m = series.horizon_metrics(v.bars)
     out = oc.fill_components(v.predictions, m)
     g = lambda p: F.get_json_object("components", p)
     return out.select("id", g("$.overextension").alias("overextension"), g("$.algo").alias("algo"), F.round(g("$.return_1m").cast("double"), 6).alias("return_1m"))

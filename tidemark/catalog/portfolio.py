@@ -106,7 +106,7 @@ lm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY
 SELECT portfolio, pos.ticker, round((price - avg_price) / avg_price * 100, 2) AS pnl_pct, CAST((price - avg_price) / avg_price * 100 <= -10 AS INTEGER) AS stop_loss,
   CAST(price > ma50 AS INTEGER) AS above_ma50, CAST(price > ma200 AS INTEGER) AS above_ma200 FROM pos JOIN px USING (ticker) LEFT JOIN lm ON lm.ticker = pos.ticker""", TB)
 def rule_advice(v):
-    m = series.last_rows(series.rolling_metrics(v.bars))
+    m = series.horizon_metrics(v.bars)
     a = pf.advice(positions(v), prices(v), m)
     return a.select(*KEYS, "pnl_pct", *[F.col(c).cast("int").alias(c) for c in ("stop_loss", "above_ma50", "above_ma200")])
 
@@ -143,7 +143,7 @@ a AS (SELECT *, CASE WHEN price IS NULL THEN 'WATCH'
 SELECT portfolio, ticker, action, round(pnl, 2) AS pnl_pct, round(tstop, 4) AS trailing_stop, round((price - st) / nullif(tg - st, 0), 3) AS rr_progress FROM a""", (*TB, "predictions"))
 def rule_exit_ladder(v):
     b = v.bars
-    m = series.last_rows(series.rolling_metrics(b)).select("ticker", "ma20", "ma50", "ma200", "rsi14", "overextension_level")
+    m = series.horizon_metrics(b).select("ticker", "ma20", "ma50", "ma200", "rsi14", "overextension_level")
     from tidemark.functions.windows import series_window
 
     s = series.atr(b).withColumn("swing_high", F.max("high").over(series_window().rowsBetween(-21, 0)))

@@ -23,7 +23,7 @@ def last_cte(src, name, keys="ticker"):
 
 
 def last(v, bars, keys=("ticker",), extra=True):
-    return series.last_rows(series.rolling_metrics(bars, keys, extra), keys)
+    return series.horizon_metrics(bars, keys, extra=extra)
 
 
 POINTS = {

@@ -389,7 +389,8 @@ def permutation_test(rows: DataFrame, permutations: int = 1000, cells: int = 256
     edge = hist.where((F.col("before") < n_hit) & (F.col("before") + F.col("k") >= n_hit)).select(
         F.col("rep").alias("e_rep"), F.col("cell").alias("e_cell"), (n_hit - F.col("before")).alias("need"), "s_before"
     )
-    inner = rep.join(edge, (F.col("rep") == F.col("e_rep")) & (F.col("cell") == F.col("e_cell")))
+    # `edge` has exactly one row per replicate, a bound the caller sets, so it may be broadcast
+    inner = rep.join(F.broadcast(edge), (F.col("rep") == F.col("e_rep")) & (F.col("cell") == F.col("e_cell")))
     rank = F.row_number().over(Window.partitionBy("rep").orderBy("u", key))
     part = (
         inner.withColumn("r", rank).where(F.col("r") <= F.col("need"))

@@ -105,7 +105,7 @@ def rank_sectors(verdicts: DataFrame) -> DataFrame:
 
 def sector_rotation(bars: DataFrame, sector_bars: DataFrame, bench_bars: DataFrame, members: DataFrame, asof=None) -> DataFrame:
     """The whole chain: bars to ranked sector verdicts."""
-    last = lambda b, keys: series.last_rows(series.rolling_metrics(_upto(b, asof), keys), keys)
+    last = lambda b, keys: series.horizon_metrics(b, keys, asof)
     bench = last(bench_bars, ("market",))
     etf = last(sector_bars, ("market", "sector"))
     cons = last(bars, ("ticker",)).select("ticker", "market", "close", "ma20", "return_1m")
@@ -113,10 +113,6 @@ def sector_rotation(bars: DataFrame, sector_bars: DataFrame, bench_bars: DataFra
     return rank_sectors(sector_verdicts(etf, br, bench, etf.select("market", "sector")))
 
 
-def _upto(bars: DataFrame, asof) -> DataFrame:
-    return bars if asof is None else bars.where(F.col("date") <= F.lit(asof).cast("date"))
-
-
 def sector_lookup(verdicts: DataFrame, members: DataFrame, etfs: DataFrame) -> DataFrame:
     """Ticker to its sector's verdict; constituents and proxy funds; a later sector overwrites."""
     both = members.select("ticker", "market", "sector").unionByName(etfs.select("ticker", "market", "sector"))

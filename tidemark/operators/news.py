@@ -70,7 +70,8 @@ def dedup_headlines(
     pos = F.struct(*order)
     payload = [c for c in news.columns if c not in keys]
     first = n.groupBy(*keys, "_norm").agg(F.min(F.struct(pos.alias("_pos"), F.struct(*payload).alias("_row"))).alias("_f"))
-    first = first.select(*keys, "_norm", F.col("_f._pos").alias("_pos"), F.col("_f._row").alias("_row"))
+    # read several times below, so the distinct headlines are written once instead of recomputed
+    first = stable(first.select(*keys, "_norm", F.col("_f._pos").alias("_pos"), F.col("_f._row").alias("_row")))
     items = first.select(*keys, "_norm", "_pos", F.split("_norm", " ").alias("_w"))
     dropped = _greedy_dropped(_prefix_edges(items, keys, min_words), keys)
     return first.join(dropped, [*keys, "_norm"], "left_anti").select(*keys, "_row.*")

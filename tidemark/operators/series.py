@@ -116,11 +116,93 @@ def last_rows(df: DataFrame, keys=("ticker",), order: str = "date") -> DataFrame
 
 
 def horizon_metrics(bars: DataFrame, keys=("ticker",), asof=None, extra: bool = False) -> DataFrame:
-    """One row per key at its last bar on or before `asof`, with the 252-bar drawdown."""
+    """One row per key at its last bar on or before `asof`, with the 252-bar drawdown.
+
+    Only the last bar is wanted, so no frame slides: each bar gets its distance from the end, and
+    every metric is a conditional aggregate over that distance. The aggregate reuses the window's
+    partitioning and sort, so there is one exchange.
+    """
     if asof is not None:
         bars = bars.where(F.col("date") <= F.lit(asof).cast("date"))
-    m = last_rows(rolling_metrics(bars, keys, extra), keys)
-    return m.join(drawdown_last(bars, keys), list(keys), "left")
+    w = fw.series_window(keys)
+    c, v = F.col("close"), F.col("volume")
+    b = bars.withColumns({"_p": F.lag("close", 1).over(w), "_i": F.row_number().over(w), "_n": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
+    b = b.withColumn("_k", F.col("_n") - F.col("_i"))  # 0 at the last bar
+    k, d = F.col("_k"), F.col("close") - F.col("_p")
+    last = lambda x: F.max(F.when(k == 0, x))
+    at = lambda n: F.max(F.when(k == n, c))
+    mean = lambda x, n: F.when(F.count(F.when(k < n, x)) >= n, F.avg(F.when(k < n, x)))
+    ret = lambda n: F.when(at(n) > 0, (at(0) - at(n)) / at(n))
+    # weight of change i among n: q^(n - max(i, 14)) / 14; the scale cancels in gain over loss
+    q = 13.0 / 14.0
+    n_chg, i_chg = F.col("_n") - 1, F.col("_i") - 1
+    weight = F.pow(F.lit(q), n_chg - F.greatest(i_chg, F.lit(14)))
+    up = F.sum(F.when(i_chg > 0, F.greatest(d, F.lit(0.0)) * weight))
+    down = F.sum(F.when(i_chg > 0, F.greatest(-d, F.lit(0.0)) * weight))
+    enough = F.max(n_chg) >= 14
+    hi, lo = F.max(F.when(k < 252, c)), F.min(F.when(k < 252, c))
+    path = F.transform(F.array_sort(F.collect_list(F.when(k < 252, F.struct((-k).alias("o"), c.alias("c"))))), lambda x: x["c"])
+    aggs = {
+        "market": F.first("market") if "market" in bars.columns and "market" not in keys else None,
+        "ticker": F.first("ticker") if "ticker" in bars.columns and "ticker" not in keys else None,
+        "date": last(F.col("date")), "close": at(0), "n_bars": F.max("_n"),
+        "_g": F.when(enough, up), "_l": F.when(enough, down),
+        "ma20": mean(c, 20), "ma50": mean(c, 50), "ma200": mean(c, 200),
+        "return_1w": ret(5), "return_1m": ret(21), "return_3m": ret(63), "return_6m": ret(126), "return_1y": ret(252),
+        "vol_5d_avg": mean(v, 5), "vol_50d_avg": mean(v, 50),
+        "pct_from_52w_high": F.when(hi > 0, (at(0) - hi) / hi), "pct_from_52w_low": F.when(lo > 0, (at(0) - lo) / lo),
+        "_path": path,
+    }
+    if extra:
+        r = F.when(F.col("_p") > 0, c / F.col("_p") - 1)
+        lr = F.when((F.col("_p") > 0) & (c > 0), F.log(c / F.col("_p")))
+
+        def spread(x, a, z):
+            part = F.when((k >= a) & (k < z), x)
+            return F.when(F.count(part) >= z - a, F.stddev_samp(part))
+
+        def avg_between(x, a, z):
+            part = F.when((k >= a) & (k < z), x)
+            return F.when(F.count(part) >= z - a, F.avg(part))
+
+        aggs |= {
+            "_s1": spread(r, 0, 10), "_s2": spread(r, 10, 30), "realized_vol": spread(lr, 0, 20) * F.sqrt(F.lit(252.0)),
+            "ret5_pct": F.when(at(5) == 0, 0.0).otherwise((at(0) / F.nullif(at(5), F.lit(0.0)) - 1) * 100),
+            "_b20": avg_between(v, 5, 25), "_v15": avg_between(v, 5, 20), "_v30": avg_between(v, 20, 50),
+        }
+    m = b.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items() if a is not None])
+    fall = F.aggregate(
+        "_path", F.struct(F.lit(None).cast("double").alias("p"), F.lit(0.0).alias("d")),
+        lambda s, x: F.struct(
+            F.greatest(s["p"], x).alias("p"),
+            F.least(s["d"], F.when(F.greatest(s["p"], x) > 0, (x - F.greatest(s["p"], x)) / F.greatest(s["p"], x))).alias("d"),
+        ),
+        lambda s: s["d"],
+    )
+    m = m.withColumns(
+        {
+            "rsi14": fw.rsi_from_averages(F.col("_g"), F.col("_l")),
+            "vol_ratio": F.when(F.col("vol_50d_avg") != 0, F.col("vol_5d_avg") / F.col("vol_50d_avg")),
+            "max_drawdown_1y": F.when(F.size("_path") >= 2, fall),
+        }
+    )
+    if extra:
+        dry = F.coalesce((F.col("_v30") > 0) & (F.col("_v15") < F.col("_v30")), F.lit(False))
+        pickup = F.coalesce(F.col("vol_ratio").between(0.9, 2.0), F.lit(False))
+        m = m.withColumns(
+            {
+                "contraction": F.when(F.col("_s2") != 0, F.col("_s1") / F.col("_s2")),
+                "vol_ratio_prior": F.coalesce(F.when(F.col("_b20") > 0, F.col("vol_5d_avg") / F.col("_b20")), F.lit(1.0)),
+                "volume_pattern": F.when(dry & pickup, 1.0).when(dry | pickup, 0.5).otherwise(0.0),
+            }
+        )
+    m = m.withColumns(
+        {
+            "overextension_level": rules.overextension(F.col("rsi14"), c, F.col("ma20")),
+            "cycle_risk_flag": rules.cycle_risk(F.col("return_1y"), F.col("pct_from_52w_high")),
+        }
+    )
+    return m.drop(*[x for x in m.columns if x.startswith("_")])
 
 
 def nav_returns(nav: DataFrame, keys=("account",), value: str = "nav") -> DataFrame:
