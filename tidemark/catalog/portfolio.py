@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.registry import query, r6, rd, rd_sql, text
+from tidemark.catalog.registry import query, r6, rd, rd_sql, round_printed_sql, text
 from tidemark.catalog.series import metrics_cte
 from tidemark.functions import dates as fd
 from tidemark.operators import outcomes as oc
@@ -265,10 +265,10 @@ def val_isa_target(v):
 ETF = f"""
 bd AS (SELECT *, min(fee) OVER w AS f0, max(fee) OVER w AS f1, min(aum) OVER w AS a0, max(aum) OVER w AS a1, min(traded_value) OVER w AS v0, max(traded_value) OVER w AS v1,
   min(abs(deviation)) OVER w AS d0, max(abs(deviation)) OVER w AS d1 FROM etf WINDOW w AS (PARTITION BY "group")),
-sc AS (SELECT *, CASE WHEN f1 = f0 THEN 100.0 ELSE round(100 - (fee - f0) / (f1 - f0) * 100, 4) END AS cost_score,
-  round((aum - a0) / (a1 - a0)::DOUBLE * 100, 4) AS sa, round((traded_value - v0) / (v1 - v0) * 100, 4) AS sv, round(100 - (abs(deviation) - d0) / (d1 - d0) * 100, 4) AS sd FROM bd),
-sl AS (SELECT *, round(CASE WHEN sd IS NULL THEN (0.5::DOUBLE * sa + 0.3::DOUBLE * sv) / 0.8::DOUBLE ELSE 0.5::DOUBLE * sa + 0.3::DOUBLE * sv + 0.2::DOUBLE * sd END, 4) AS liquidity_score FROM sc),
-es AS (SELECT *, round(0.5::DOUBLE * cost_score + 0.5::DOUBLE * liquidity_score, 4) AS composite FROM sl)"""
+sc AS (SELECT *, CASE WHEN f1 = f0 THEN 100.0 ELSE {round_printed_sql("100 - (fee - f0) / (f1 - f0) * 100", 4)} END AS cost_score,
+  {round_printed_sql("(aum - a0) / (a1 - a0)::DOUBLE * 100", 4)} AS sa, {round_printed_sql("(traded_value - v0) / (v1 - v0) * 100", 4)} AS sv, {round_printed_sql("100 - (abs(deviation) - d0) / (d1 - d0) * 100", 4)} AS sd FROM bd),
+sl AS (SELECT *, {round_printed_sql("CASE WHEN sd IS NULL THEN (0.5::DOUBLE * sa + 0.3::DOUBLE * sv) / 0.8::DOUBLE ELSE 0.5::DOUBLE * sa + 0.3::DOUBLE * sv + 0.2::DOUBLE * sd END", 4)} AS liquidity_score FROM sc),
+es AS (SELECT *, {round_printed_sql("0.5::DOUBLE * cost_score + 0.5::DOUBLE * liquidity_score", 4)} AS composite FROM sl)"""
 
 
 @query("rule_etf_score", ETF + " SELECT code, cost_score, liquidity_score FROM es", ("etf",))

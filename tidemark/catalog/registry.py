@@ -42,3 +42,8 @@ def rd(*cols: str, n: int = 6) -> list[Column]:
 
 def rd_sql(expr: str, n: int = 6) -> str:
     return f"CAST(round(CAST({expr} AS DECIMAL(30,9)), {n}) AS DOUBLE)"
+
+
+def round_printed_sql(expr: str, n: int) -> str:
+    """Half-up on the shortest printed digits of a double, which is what F.round does."""
+    return f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(36,17)), {n}) AS DOUBLE)"

@@ -381,3 +381,21 @@ mx AS (SELECT *, lead(date) OVER (PARTITION BY ticker ORDER BY date) AS nd FROM
 SELECT ticker, CAST(as_of AS VARCHAR) AS as_of, CAST(date AS VARCHAR) AS date, close FROM mx JOIN ad ON as_of >= date AND (nd IS NULL OR as_of < nd)""", B)
 def join_asof_backward(v):
     return bt.with_asof(v.bars, ["ticker"], START, END, STEP).select("ticker", F.col("asof").cast("string").alias("as_of"), *text("date"), "close")
+
+
+@query("fn_sector_notes", SECTOR + """
+SELECT market, sector, 'RS_1m ' || format('{:+.1f}%', rs_1m * 100) || '|RS_3m ' || format('{:+.1f}%', rs_3m * 100) || '|breadth ' || format('{:.0f}%', breadth_pct * 100 + 1e-9) AS notes FROM sv""", BS)
+def fn_sector_notes(v):
+    s = mk.sector_rotation(v.bars, v.sector_bars, v.benchmark_bars, v.sector_map)
+    return s.select("market", "sector", F.array_join("notes", "|").alias("notes"))
+
+
+@query("fn_labels", """
+c AS (SELECT o_orderkey, o_totalprice * pow(10.0::DOUBLE, o_orderkey % 9) + 0.123::DOUBLE AS c FROM orders)
+SELECT o_orderkey, CASE WHEN c >= 1e12 THEN format('{:,.1f}조', c / 1e12) WHEN c >= 1e8 THEN format('{:,.0f}억', c / 1e8) ELSE format('{:,.0f}원', c) END AS krw,
+  CASE WHEN c >= 1e12 THEN format('${:,.2f}T', c / 1e12) WHEN c >= 1e9 THEN format('${:,.1f}B', c / 1e9) WHEN c >= 1e6 THEN format('${:,.0f}M', c / 1e6) ELSE format('${:,.0f}', c) END AS usd FROM c""")
+def fn_labels(v):
+    from tidemark.functions import text as ft
+
+    c = F.col("o_totalprice") * F.pow(F.lit(10.0), F.col("o_orderkey") % 9) + 0.123
+    return v.table("orders").select("o_orderkey", ft.krw_cap(c).alias("krw"), ft.usd_cap(c).alias("usd"))

@@ -383,3 +383,17 @@ def sink_nav_daily(v):
 @query("sink_append_log", "SELECT id, status FROM predictions ORDER BY id DESC LIMIT 25", ("predictions",))
 def sink_append_log(v):
     return sk.newest(v.predictions, 25).select("id", "status")
+
+
+@query("sink_snapshot", "SELECT market, CAST(date AS VARCHAR) AS date, CASE WHEN market = 'US' THEN nav + 1 ELSE nav END AS nav FROM nav WHERE market = 'KR' OR year(date) = 2000", ("nav",))
+def sink_snapshot(v):
+    """Publish both markets, then republish one: the other's files stay."""
+    import uuid
+
+    from tidemark.session import checkpoint_root
+
+    path = f"{checkpoint_root(v.spark)}/snapshot-{uuid.uuid4().hex}"
+    n = v.nav.select("market", "date", "nav")
+    sk.write_snapshot(n, path)
+    sk.write_snapshot(n.where("market = 'US' AND year(date) = 2000").withColumn("nav", F.col("nav") + 1), path)
+    return v.spark.read.parquet(path).select("market", *text("date"), "nav")

@@ -151,3 +151,18 @@ def watch_ticker(raw: Column) -> Column:
     """Upper-case unless the code starts with a digit."""
     t = F.trim(raw)
     return F.when(t.rlike("^[0-9]"), t).otherwise(F.upper(t))
+
+
+def krw_cap(cap: Column) -> Column:
+    """Market cap in Korean units: trillion (jo), hundred million (eok), won."""
+    return (
+        F.when(cap >= 1e12, F.format_string("%,.1f조", cap / 1e12)).when(cap >= 1e8, F.format_string("%,.0f억", cap / 1e8))
+        .otherwise(F.format_string("%,.0f원", cap))
+    )
+
+
+def usd_cap(cap: Column) -> Column:
+    return (
+        F.when(cap >= 1e12, F.format_string("$%,.2fT", cap / 1e12)).when(cap >= 1e9, F.format_string("$%,.1fB", cap / 1e9))
+        .when(cap >= 1e6, F.format_string("$%,.0fM", cap / 1e6)).otherwise(F.format_string("$%,.0f", cap))
+    )
