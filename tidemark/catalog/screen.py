@@ -230,7 +230,7 @@ def rule_presurge_all(v):
 @query("topk_best_setup", SETUP_LAST + " SELECT ticker, setup, score FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY score DESC, prio DESC) AS rn FROM hit) WHERE rn = 1", CE)
 def topk_best_setup(v):
     m, b, e = setup_metrics(v)
-    return sc.presurge_candidates(m, b, e, min_score=0.0, top=1_000_000).select("ticker", "setup", "score")
+    return sc.presurge_candidates(m, b, e, min_score=0.0, top=None).select("ticker", "setup", "score")
 
 
 PRE = SETUP_LAST + """,

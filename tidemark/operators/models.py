@@ -101,7 +101,9 @@ def evaluate(preds: DataFrame, min_rows: int = 100, folds: int = 3, min_train: i
         if have.n < min_train or have.c < 2:
             continue  # a fold without both classes cannot be fitted
         part = score(logistic().fit(train), test)
-        anchors = isotonic_baseline(train).select("anchors").scalar()
+        # a handful of anchors per fold: one per confidence bucket
+        fitted = isotonic_baseline(train).first().anchors
+        anchors = F.array(*[F.struct(F.lit(a.x).alias("x"), F.lit(a.y).alias("y")) for a in fitted])
         part = part.withColumn("p_isotonic", stats.interpolate(F.col("raw_conf"), anchors)).select("y", "p_blend", "p_isotonic", F.col("raw_conf").alias("p_raw"))
         scored = part if scored is None else scored.unionByName(part)
     if scored is None:

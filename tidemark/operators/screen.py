@@ -80,9 +80,10 @@ def setup_scores(metrics: DataFrame) -> DataFrame:
 
 
 def presurge_candidates(
-    metrics: DataFrame, bench: DataFrame, earnings: DataFrame | None = None, min_score: float = 0.5, top: int = 20
+    metrics: DataFrame, bench: DataFrame, earnings: DataFrame | None = None, min_score: float = 0.5,
+    top: int | None = 20,
 ) -> DataFrame:
-    """Best setup per ticker, ranked per market."""
+    """Best setup per ticker, ranked per market; `top` None keeps every ticker with a setup."""
     b = bench.select("market", F.col("return_1m").alias("bench_1m"), F.col("return_6m").alias("bench_6m"))
     m = metrics.join(b, "market", "left")
     if earnings is not None:
@@ -93,7 +94,10 @@ def presurge_candidates(
         m = m.withColumn("earnings_in_days", F.lit(None).cast("int"))
     s = setup_scores(m).where(F.col("best.score") >= min_score)
     w = Window.partitionBy("market").orderBy(F.desc("best.score"), "ticker")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select(
+    s = s.withColumn("rank", F.row_number().over(w))
+    if top is not None:
+        s = s.where(F.col("rank") <= top)
+    return s.select(
         "market", "ticker", F.col("best.setup").alias("setup"), F.col("best.score").alias("score"),
         (F.coalesce("return_1w", F.lit(0.0)) * 100).alias("ret5_pct"),
         F.coalesce("vol_ratio", F.lit(1.0)).alias("vol_ratio"), "rank",
