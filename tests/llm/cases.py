@@ -16,7 +16,10 @@ def documents(spark, sf=None, more=()):
     ]
     full = [(i, t, la, so, None if t is None else len(t), -1, -2, -0.5, 0, 7) for i, t, la, so in rows]
     df = spark.createDataFrame(full, SCHEMA)
-    return df if sf is None else df.unionByName(spark.read.parquet(f"{sf}/documents.parquet"), allowMissingColumns=True)
+    if sf is None:
+        return df
+    given = spark.read.parquet(f"{sf}/documents.parquet")
+    return df.unionByName(given.withColumn("doc_id", given.doc_id + 1000), allowMissingColumns=True)
 
 
 def rows_of(df, *cols):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import licenses, rules
+from tidemark.llm import licenses, mixing, rules
 from tidemark.llm.common import table
 
 
@@ -14,12 +14,17 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.op1_query(table(spark, sf_dir, "documents"))
 
 
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op3_query(table(spark, sf_dir, "documents"))
+
+
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op8_query(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": _op1,
+    "op3_source_mix": _op3,
     "op8_license_scan": _op8,
 }
 
