@@ -93,6 +93,10 @@ def quality_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         n(F.filter("_l", lambda x: x.rlike(rf"(\.\.\.|…){space}*$"))).alias("n_ellipsis_lines"),
         n(F.filter("_w", lambda w: w.rlike(r"[A-Za-z\x{80}-\x{10FFFF}]"))).alias("n_letter_words"),
         n(F.filter("_w", lambda w: w.rlike(r"^[^a-z]*[A-Z][^a-z]*[A-Z][^a-z]*$"))).alias("n_shout_words"),
+        n(F.array_distinct("_w")).alias("n_distinct_words"),
+        n(F.filter("_w", lambda w: w.rlike(r"[.!?]$"))).alias("n_ends"),
+        F.length(F.regexp_replace("_t", "[^0-9]+", "")).cast("long").alias("n_digits"),
+        F.length(F.regexp_replace("_t", "[^A-Z]+", "")).cast("long").alias("n_capitals"),
     )
 
 
