@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import classifier, licenses, mixing, rules
+from tidemark.llm import classifier, licenses, mixing, rules, secrets
 from tidemark.llm.common import table
 
 
@@ -26,11 +26,16 @@ def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op8_query(table(spark, sf_dir, "documents"))
 
 
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op9_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": _op1,
     "op3_source_mix": _op3,
     "op5_quality_classifier": _op5,
     "op8_license_scan": _op8,
+    "op9_secret_scan": _op9,
 }
 
 ORACLE: dict[str, str] = {
