@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import classifier, licenses, mixing, rules, secrets
+from tidemark.llm import classifier, decontaminate, licenses, mixing, rules, secrets
 from tidemark.llm.common import table
 
 
@@ -22,6 +22,10 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.op5_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op6_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op8_query(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": _op1,
     "op3_source_mix": _op3,
     "op5_quality_classifier": _op5,
+    "op6_decontaminate": _op6,
     "op8_license_scan": _op8,
     "op9_secret_scan": _op9,
 }
