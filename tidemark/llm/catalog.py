@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import classifier, decontaminate, licenses, mixing, rules, secrets
+from tidemark.llm import classifier, decontaminate, jaccard, licenses, mixing, rules, secrets
 from tidemark.llm.common import table
 
 
@@ -18,6 +18,10 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op3_query(table(spark, sf_dir, "documents"))
 
 
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.op4_query(table(spark, sf_dir, "documents"))
+
+
 def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.op5_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,6 +41,7 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": _op1,
     "op3_source_mix": _op3,
+    "op4_ngram_jaccard": _op4,
     "op5_quality_classifier": _op5,
     "op6_decontaminate": _op6,
     "op8_license_scan": _op8,
