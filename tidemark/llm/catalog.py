@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import classifier, decontaminate, jaccard, licenses, mixing, rules, secrets
+from tidemark.llm import classifier, decontaminate, jaccard, licenses, mixing, rules, secrets, warc
 from tidemark.llm.common import table
 
 
@@ -14,6 +14,10 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.op1_query(table(spark, sf_dir, "documents"))
 
 
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op2_query(table(spark, sf_dir, "pages"))
+
+
 def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op3_query(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": _op1,
+    "op2_warc": _op2,
     "op3_source_mix": _op3,
     "op4_ngram_jaccard": _op4,
     "op5_quality_classifier": _op5,
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op1_quality_rules": rules.ORACLE,
+    "op2_warc": warc.ORACLE,
 }
 
 
