@@ -22,7 +22,7 @@ def pages(spark):
 def test_round_trip_and_contract(spark, tmp_path):
     root = f"file://{tmp_path}/w"
     both = pages(spark).select("page_id", "url", "html").union(spark.read.parquet(f"{SF}/pages.parquet").select(F.col("page_id") + 100, "url", "html"))
-    m = warc.write_warc(both, root, shard_bytes=100_000, file_bytes=9_000)
+    m = warc.write_warc(both, root, shard_bytes=20_000, file_bytes=9_000)
     got = warc.read_warc(m, root).collect()
     data = [(r.page_id, (r.html or "").encode()) for r in both.collect()]
     first = {}
@@ -40,7 +40,7 @@ def test_round_trip_and_contract(spark, tmp_path):
     assert len({r.shard for r in listed}) > 3 and sum(r.seq > 0 for r in listed) > 3
     assert all(os.path.getsize(tmp_path / "w" / r.name) == r.bytes for r in listed) and not [f for f in os.listdir(tmp_path / "w") if f.endswith(".tmp")]
     other = f"file://{tmp_path}/v"
-    again = warc.write_warc(both.repartition(5), other, shard_bytes=100_000, file_bytes=9_000).orderBy("shard", "seq").collect()
+    again = warc.write_warc(both.repartition(5), other, shard_bytes=20_000, file_bytes=9_000).orderBy("shard", "seq").collect()
     assert [(r.name, r.sha256) for r in again] == [(r.name, r.sha256) for r in listed]
     ids = [r.page_id for r in warc.read_warc(m.filter("shard = 1"), root).collect() if r.page_id is not None]
     assert ids == sorted(ids)
