@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import classifier, decontaminate, jaccard, licenses, mixing, rules, secrets, warc
+from tidemark.llm import classifier, decontaminate, jaccard, licenses, lm, mixing, rules, secrets, warc
 from tidemark.llm.common import table
 
 
@@ -42,6 +42,10 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op9_query(table(spark, sf_dir, "documents"))
 
 
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.op10_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": _op1,
     "op2_warc": _op2,
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": _op6,
     "op8_license_scan": _op8,
     "op9_secret_scan": _op9,
+    "op10_lm_scores": _op10,
 }
 
 ORACLE: dict[str, str] = {
