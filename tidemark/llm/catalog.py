@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import classifier, decontaminate, jaccard, licenses, lm, mixing, rules, secrets, warc
+from tidemark.llm import classifier, decontaminate, jaccard, licenses, lm, mixing, rules, secrets, substrings, warc
 from tidemark.llm.common import table
 
 
@@ -34,6 +34,10 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op6_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.op7_query(table(spark, sf_dir, "documents"))
+
+
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op8_query(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard": _op4,
     "op5_quality_classifier": _op5,
     "op6_decontaminate": _op6,
+    "op7_substring_dedup": _op7,
     "op8_license_scan": _op8,
     "op9_secret_scan": _op9,
     "op10_lm_scores": _op10,
