@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tidemark.llm import classifier, decontaminate, jaccard, licenses, lm, mixing, rules, secrets, substrings, warc
 from tidemark.llm.common import table
 
@@ -61,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": _op8,
     "op9_secret_scan": _op9,
     "op10_lm_scores": _op10,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {
@@ -74,4 +76,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return ORACLE | whole

@@ -10,6 +10,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,9 +49,10 @@ class Model(NamedTuple):
         return np.interp(self.raw(x), self.at, self.value)
 
 
-def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The statistics of every document as doubles, in one pass without a shuffle."""
-    return quality_stats(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), *[F.expr(c).cast("double").alias(k) for k, c in STATS.items()])
+def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The statistics of every document as doubles, in one pass without a shuffle, and the columns in `keep`."""
+    stats = quality_stats(docs, id_col, text_col, keep=keep)
+    return stats.select(F.col(id_col).alias("doc_id"), *keep, *[F.expr(c).cast("double").alias(k) for k, c in STATS.items()])
 
 
 def _sums(train: DataFrame, model: Model, label: str) -> tuple[np.ndarray, np.ndarray]:
@@ -87,15 +89,16 @@ def isotonic(at: np.ndarray, weight: np.ndarray, total: np.ndarray) -> tuple[np.
 
 
 def _with_score(df: DataFrame, model: Model, column: str, raw: bool) -> DataFrame:
+    """`df` without its statistics and with the model's value."""
     names, other = list(STATS), [c for c in df.columns if c not in STATS]
 
     def part(batches):
         for b in batches:
-            x = b[names].to_numpy()
-            yield b[other].assign(**{column: model.raw(x) if raw else model.score(x)})
+            x = np.column_stack([b[c].to_numpy(zero_copy_only=False) for c in names])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in other), pa.array(model.raw(x) if raw else model.score(x))], [*other, column])
 
     kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in other), f"{column} double"])
-    return df.mapInPandas(part, kind)
+    return df.mapInArrow(part, kind)
 
 
 def fit(train: DataFrame, label: str = "label", features: int = 256, width: float = 1.0, ridge: float = 1e-3, bins: int = 2000, seed: int = 7) -> Model:
@@ -123,21 +126,22 @@ def fit(train: DataFrame, label: str = "label", features: int = 256, width: floa
 
 def score_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    folds: int = 4, held_out: int = 2, cut: float = 0.7, **how,
+    folds: int = 4, held_out: int = 2, cut: float = 0.7, keep: tuple[str, ...] = (), **how,
 ) -> DataFrame:
     """Score every document; learn from labels whose id's crc32 modulo `folds` is not `held_out`.
 
-    Statistics are computed once and written to the shared folder. A null or empty text has statistics of zero
+    Returns doc_id, held_out, score, predicted and the columns in `keep` (names other than those of the result and
+    of the statistics). Statistics are computed once and written, with these columns, to the shared folder. A null or empty text has statistics of zero
     and gets a score like any other; a null id is never held out nor labelled; repeated rows are scored each and
     count each in training. Labels without a value are ignored, several labels of one id are averaged.
     """
-    stats = saved(document_stats(docs, id_col, text_col), "stats")
+    stats = saved(document_stats(docs, id_col, text_col, keep), "stats")
     given = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.avg(label_col).alias("label"))
-    train = stats.join(given, "doc_id").filter(remainder(F.col("doc_id"), folds) != held_out).drop("doc_id")
+    train = stats.select("doc_id", *STATS).join(given, "doc_id").filter(remainder(F.col("doc_id"), folds) != held_out).drop("doc_id")
     model = fit(saved(train, "train"), **how)
     out = _with_score(stats, model, "score", False)
     return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score",
-                      (F.col("score") >= cut).cast("int").alias("predicted"))
+                      (F.col("score") >= cut).cast("int").alias("predicted"), *keep)
 
 
 def op5_query(docs: DataFrame, labels: DataFrame) -> DataFrame:

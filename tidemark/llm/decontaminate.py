@@ -8,7 +8,6 @@ every hit are compared along its diagonal.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -155,15 +154,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     def verify(batches):
         for b in batches:
             out = []
-            for r in b.itertuples():
-                found = overlaps(np.asarray(r.words), np.asarray(r.w), r.shift)
+            for r in b.to_pylist():
+                found = overlaps(np.asarray(r["words"], np.int64), np.asarray(r["w"], np.int64), r["shift"])
                 if found:
-                    out.append((r.doc_id, r.item_id, r.start + found[0][0], r.start + found[-1][1] - 1, len(found), max(f[2] for f in found)))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "first_word", "last_word", "n_windows", "n_same"])
+                    out.append({"doc_id": r["doc_id"], "item_id": r["item_id"], "first_word": r["start"] + found[0][0], "last_word": r["start"] + found[-1][1] - 1,
+                                "n_windows": len(found), "n_same": max(f[2] for f in found)})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([b.schema.field("doc_id"), b.schema.field("item_id"), *[(c, pa.int64()) for c in ("first_word", "last_word", "n_windows", "n_same")]]))
 
     types = {c: full.schema[c].dataType.simpleString() for c in ("doc_id", "item_id")}
     kind = f"doc_id {types['doc_id']}, item_id {types['item_id']}, first_word long, last_word long, n_windows long, n_same long"
-    return full.mapInPandas(verify, kind).groupBy("doc_id", "item_id").agg(
+    return full.mapInArrow(verify, kind).groupBy("doc_id", "item_id").agg(
         F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.sum("n_windows").alias("n_windows"), F.max("n_same").alias("n_same"))
 
 

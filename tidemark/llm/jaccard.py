@@ -276,8 +276,9 @@ def _hot_pairs(live: DataFrame, sizes: DataFrame, info: DataFrame) -> DataFrame:
     return dealt.groupBy("token", "i", "j").applyInPandas(part, "a long, b long")
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """Per row: row, doc_id, n_shingles and component_id (the smallest doc_id of its component).
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, row_col: str | None = None) -> DataFrame:
+    """Per row: row (`row_col`, else made here), doc_id, n_shingles, component_id (the smallest doc_id of its component)
+    and root (equal within a component and nowhere else).
 
     A text without words has an empty set, links with nothing and is its own component; a null id never is the
     smallest unless all are null. Repeated rows and copies are one class. Empty tables give no rows; other columns
@@ -285,7 +286,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words, shingles and texts.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
+    rows = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), F.col(id_col).alias("doc_id"),
                        F.transform(words(lower_ascii(F.col(text_col))), lambda w: F.xxhash64(w)).alias("w"))
     first = saved(_members(rows, width, kind), "members")
     members = first.filter("chunk is null").select("row", "doc_id", "c", "n", "parts")
@@ -316,8 +317,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     top = members.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "c")).otherwise(F.col("row")))
     least = top.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return top.join(least, "root", "left").select(
-        "row", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        "row", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.struct(F.col("n") > 0, "root").alias("root"))
 
 
 def op4_query(docs: DataFrame) -> DataFrame:
-    return link_components(docs).drop("row")
+    return link_components(docs).drop("row", "root")

@@ -116,10 +116,10 @@ def draw(targets: DataFrame, block: int = 64, slots_per_shard: int = 4096, seed:
         F.xxhash64("shard", "rank", "k", F.lit(seed)).alias("turn"))
 
 
-def document_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """row (unique), doc_id, source and size in words of every document, written once to the shared folder."""
+def document_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """row (`row_col`, which must be unique, or made here), doc_id, source and size in words of every document, written once to the shared folder."""
     return saved(docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+        (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
         F.size(words(F.col(text_col))).cast("long").alias("size")), "sizes")
 
 

@@ -67,21 +67,21 @@ def _repeat_words(ws: Column, width: int) -> Column:
     return F.when(F.size(ws) <= width, 0).when(~some, 0).otherwise(exact).cast("long")
 
 
-def quality_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 8) -> DataFrame:
-    """Counts per document behind the rules, one row in for one row out.
+def quality_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 8, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Counts per document behind the rules, one row in for one row out, with the columns in `keep`.
 
     A null text has no words and no lines; an empty table gives an empty result. A null id stays null,
     a repeated row gives a repeated result. Other columns are not read, so their names cannot clash.
     Memory per row follows its text; a long text is not cut.
     """
     space = SPACE.rstrip("+")
-    base = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    split = base.select(id_col, "_t", words(F.col("_t")).alias("_w"),
+    base = docs.select(F.col(id_col), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    split = base.select(id_col, *keep, "_t", words(F.col("_t")).alias("_w"),
                         F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l"))
     stop = sorted({*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)})
     n = lambda c: F.size(c).cast("long")
     return split.select(
-        id_col,
+        id_col, *keep,
         n(F.col("_w")).alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("_t", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),

@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -211,13 +212,13 @@ def find_secrets(
     def part(batches):
         words, forest = model.value
         for b in batches:
-            texts, spans, found = b["_text"].to_list(), [], []
-            for i, (t, p, look) in enumerate(zip(texts, b["_path"], b["_look"], strict=True)):
+            texts, spans, found = b["_text"].to_pylist(), [], []
+            for i, (t, p, look) in enumerate(zip(texts, b["_path"].to_pylist(), b["_look"].to_pylist(), strict=True)):
                 for a, z, k in candidates(t) if look else ():
                     spans.append((i, a, z))
                     found.append(features(t[a:z], t[max(0, a - CONTEXT):a], t[z:z + 16], p, k, words))
             score = forest.score(np.array(found)) if found else np.zeros(0)
-            n, hit, best, at, out = np.zeros(len(b), int), np.zeros(len(b), int), np.zeros(len(b)), [[] for _ in texts], list(texts)
+            n, hit, best, at, out = np.zeros(len(texts), int), np.zeros(len(texts), int), np.zeros(len(texts)), [[] for _ in texts], list(texts)
             for (i, a, z), s in zip(spans, score, strict=True):
                 n[i], best[i] = n[i] + 1, max(best[i], s)
                 if s >= cut:
@@ -227,11 +228,13 @@ def find_secrets(
                     t, cuts = texts[i], [0, *(x for s in own for x in s), len(texts[i])]
                     out[i] = REDACTED.join(t[cuts[j]:cuts[j + 1]] for j in range(0, len(cuts), 2))
                     hit[i] = len(own)
-            yield b.drop(columns=["_text", "_path", "_look"]).assign(
-                n_candidates=n, n_secrets=hit, spans=[",".join(f"{a}-{z}" for a, z in own) for own in at], score=best, redacted=out)
+            where = pa.array([",".join(f"{a}-{z}" for a, z in own) for own in at], pa.string())
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in given), pa.array(n), pa.array(hit), where, pa.array(best), pa.array(out, pa.string())],
+                                             [*given, "n_candidates", "n_secrets", "spans", "score", "redacted"])
 
-    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name[0] != "_")
-    return rows.mapInPandas(part, f"{given}, n_candidates long, n_secrets long, spans string, score double, redacted string")
+    given = [f.name for f in rows.schema if f.name[0] != "_"]
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in given)
+    return rows.mapInArrow(part, f"{kind}, n_candidates long, n_secrets long, spans string, score double, redacted string")
 
 
 REDACTED = "<secret>"
