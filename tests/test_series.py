@@ -33,22 +33,22 @@ def wilder(xs, period=14):
     return v
 
 
-@pytest.mark.parametrize("block", [400, 4000])
-def test_rsi_and_atr_match_the_recursion_for_any_block(spark, block):
-    rows = walk(1, 1000)
+@pytest.mark.parametrize("period", [2, 5, 14, 100, 500])
+def test_rsi_and_atr_match_the_recursion_for_any_period(spark, period):
+    rows = walk(1, 10_000)
     df = bars_df(spark, rows)
     closes = [r[2] for r in rows]
-    got = [r.rsi14 for r in series.rsi(df, block=block).orderBy("date").collect()]
-    atr = [r.atr14 for r in series.atr(df, block=block).orderBy("date").collect()]
-    for i in [*range(20), 398, 399, 400, 401, 799, 800, 801, 999]:
+    got = [r.rsi14 for r in series.rsi(df, period=period).orderBy("date").collect()]
+    atr = [r.atr14 for r in series.atr(df, period=period).orderBy("date").collect()]
+    for i in [*range(20), 398, 501, 829, 830, 831, 1660, 2579, 2581, 5160, 8700, 9999]:
         ch = [closes[j] - closes[j - 1] for j in range(1, i + 1)]
-        g, l = wilder([max(c, 0) for c in ch]), wilder([max(-c, 0) for c in ch])
-        tr = wilder([max(rows[j][3] - rows[j][4], abs(rows[j][3] - closes[j - 1]), abs(rows[j][4] - closes[j - 1])) for j in range(1, i + 1)])
-        tol = 1e-9  # q^400 is about 1e-13
+        g, l = wilder([max(c, 0) for c in ch], period), wilder([max(-c, 0) for c in ch], period)
+        tr = wilder([max(rows[j][3] - rows[j][4], abs(rows[j][3] - closes[j - 1]), abs(rows[j][4] - closes[j - 1])) for j in range(1, i + 1)], period)
+        tol = 1e-7
         if g is None:
             assert got[i] is None and atr[i] is None
         else:
-            assert got[i] == pytest.approx(100 - 100 / (1 + g / l), abs=tol)
+            assert got[i] == pytest.approx(100 - 100 / (1 + g / l) if l else (100.0 if g else 50.0), abs=tol)
             assert atr[i] == pytest.approx(tr, abs=tol)
 
 

@@ -276,7 +276,7 @@ def _cuts():
     return " + ".join(f"CAST(u >= {c} AS INTEGER)" for c in POISSON1_CUTS)
 
 
-@query("stat_bootstrap_ci", REPS.format(reps=200) + f""",
+@query("stat_bootstrap_ci", REPS.format(reps=1000) + f""",
 w AS (SELECT rep, {_cuts()} AS w, y, pow(c - y, 2) AS e FROM x),
 r AS (SELECT rep, sum(w * y) / sum(w)::DOUBLE AS wr, sum(w * e) / sum(w) AS br FROM w GROUP BY rep),
 k AS (SELECT *, row_number() OVER (ORDER BY wr) AS rw, row_number() OVER (ORDER BY br) AS rb, count(*) OVER () AS m FROM r)
@@ -285,18 +285,18 @@ SELECT (SELECT count(*) FROM b) AS n, (SELECT round(avg(y), 4) FROM b) AS win_ra
   round(max(br) FILTER (rb = ceil(0.025 * m)), 4) AS brier_lo, round(max(br) FILTER (rb = ceil(0.975 * m)), 4) AS brier_hi,
   round(avg(CASE WHEN wr > 0.5 THEN 1.0::DOUBLE ELSE 0 END), 4) AS prob_better_than_coin FROM k""", P)
 def stat_bootstrap_ci(v):
-    return acc.bootstrap_ci(acc.closed(v.predictions), resamples=200)
+    return acc.bootstrap_ci(acc.closed(v.predictions), resamples=1000)
 
 
-@query("stat_permutation", REPS.format(reps=200) + """,
+@query("stat_permutation", REPS.format(reps=1000) + """,
 t AS (SELECT count(*) AS n, sum(y) AS nh, sum(c) AS sc, sum(c * y) AS hc FROM b),
 rk AS (SELECT rep, c, row_number() OVER (PARTITION BY rep ORDER BY u, id) AS r FROM x),
 ph AS (SELECT rep, sum(c) AS s FROM rk, t WHERE r <= nh GROUP BY rep),
 o AS (SELECT n, nh, sc, hc / nh - (sc - hc) / (n - nh) AS obs FROM t)
-SELECT n, round(any_value(obs), 4) AS observed_diff, round((count(*) FILTER (abs(s / nh - (sc - s) / (n - nh)) >= abs(obs) - 1e-12) + 1) / 201.0::DOUBLE, 4) AS p_value
+SELECT n, round(any_value(obs), 4) AS observed_diff, round((count(*) FILTER (abs(s / nh - (sc - s) / (n - nh)) >= abs(obs) - 1e-12) + 1) / 1001.0::DOUBLE, 4) AS p_value
 FROM o, ph GROUP BY n""", P)
 def stat_permutation(v):
-    return acc.permutation_test(acc.closed(v.predictions), permutations=200)
+    return acc.permutation_test(acc.closed(v.predictions), permutations=1000)
 
 
 @query("agg_brier_auc", f"""

@@ -353,7 +353,7 @@ def flt_bull_window(v):
 SELECT id, CAST((SELECT min(date) FROM cal c WHERE c.market = p.market AND c.date >= p.d) AS VARCHAR) AS session FROM p""", PB)
 def join_asof_forward(v):
     p = v.predictions.withColumn("day", fd.local_date(F.col("created_at"), F.col("market")))
-    return p.join(pp.session_map(v.benchmark_bars, "1990-01-01"), ["market", "day"], "left").select("id", *text("session"))
+    return pp.next_session(p, v.benchmark_bars, "day").select("id", *text("session"))
 
 
 @query("join_calendar", f"{CAL} SELECT b.market, CAST(b.date AS VARCHAR) AS date, count(*) AS n FROM bars b SEMI JOIN cal USING (market, date) WHERE b.date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' GROUP BY ALL", ("bars", "benchmark_bars"))
@@ -409,13 +409,13 @@ def fn_risk_sizing(v):
 
 
 @query("rule_exit_signals", f"""
-l AS (SELECT id, ticker, stop_price, target_price, created_date + 30 AS he FROM predictions WHERE direction = 'BULL' AND status = 'OPEN'),
-j AS (SELECT l.*, b.date, b.high, b.low, b.close FROM l JOIN bars b ON b.ticker = l.ticker AND b.date >= DATE '2001-06-01'),
+l AS (SELECT id, ticker, stop_price, target_price, created_date AS en, created_date + 30 AS he FROM predictions WHERE direction = 'BULL' AND status = 'OPEN'),
+j AS (SELECT l.*, b.date, b.high, b.low, b.close FROM l JOIN bars b ON b.ticker = l.ticker AND b.date > l.en),
 r AS (SELECT *, CASE WHEN low <= stop_price THEN 'stop_hit' WHEN high >= target_price THEN 'target_hit' WHEN date >= he THEN 'horizon_exit' END AS reason FROM j)
-SELECT id, CAST(date AS VARCHAR) AS date, reason, CASE reason WHEN 'stop_hit' THEN stop_price WHEN 'target_hit' THEN target_price ELSE close END AS exit_price FROM r WHERE reason IS NOT NULL""", ("predictions", "bars"))
+SELECT id, CAST(date AS VARCHAR) AS date, reason, CASE reason WHEN 'stop_hit' THEN stop_price WHEN 'target_hit' THEN target_price ELSE close END AS exit_price FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY date) AS rn FROM r WHERE reason IS NOT NULL) WHERE rn = 1""", ("predictions", "bars"))
 def rule_exit_signals(v):
-    lots = v.predictions.where("direction = 'BULL' AND status = 'OPEN'").select("id", "ticker", "stop_price", "target_price", F.date_add("created_date", 30).alias("horizon_end"))
-    return pp.exit_signals(lots, v.bars.where("date >= DATE '2001-06-01'")).select("id", *text("date"), "reason", "exit_price")
+    lots = v.predictions.where("direction = 'BULL' AND status = 'OPEN'").select("id", "ticker", "stop_price", "target_price", F.col("created_date").alias("entry_date"), F.date_add("created_date", 30).alias("horizon_end"))
+    return pp.exit_signals(lots, v.bars).select("id", *text("date"), "reason", "exit_price")
 
 
 TRADES = """
@@ -431,10 +431,13 @@ re AS (SELECT *, proceeds - buy_cost AS pnl, (proceeds - buy_cost) / buy_cost AS
 def trades(v):
     """Entry at the first bar on or after creation, exit five bars later, except every fourth id."""
     w = series_w()
-    b = v.bars.withColumns({"c5": F.lead("close", 5).over(w), "pd": F.coalesce(F.lag("date", 1).over(w), F.date_sub("date", 3650))})
-    days = b.withColumn("created_date", F.explode(F.sequence(F.date_add("pd", 1), F.col("date"))))
+    b = v.bars.withColumns({"c5": F.lead("close", 5).over(w), "pd": F.coalesce(F.lag("date", 1).over(w), F.date_sub("date", 1))})
+    days = b.withColumn("day", F.explode(F.sequence(F.date_add("pd", 1), F.col("date"))))
     p = v.predictions.where("direction = 'BULL'").select("id", "ticker", "created_date", "confidence")
-    e = p.join(days.select("ticker", "created_date", "market", "close", "c5"), ["ticker", "created_date"])
+    # calls before a ticker's first bar enter at that bar
+    first = v.bars.groupBy("ticker").agg(F.min("date").alias("first"))
+    p = p.join(first, "ticker").withColumn("day", F.greatest("created_date", "first"))
+    e = p.join(days.select("ticker", "day", "market", "close", "c5"), ["ticker", "day"])
     k = F.col("id")
     why = F.element_at(F.array(*[F.lit(x) for x in ("target_hit", "stop_hit", "horizon_exit")]), (k % 3 + 1).cast("int"))
     legs = F.array_compact(

@@ -333,9 +333,14 @@ def bt_run(v):
     return results(v).select("market", F.col("asof").cast("string").alias("as_of"), "source", "ticker", "setup", "status", *r6("ret", "trail_ret"))
 
 
-@query("join_forward_window", BT + " SELECT source, count(*) FILTER (status IS NOT NULL) AS evaluated, count(*) FILTER (status IS NULL) AS censored FROM res GROUP BY source", BB)
+@query("join_forward_window", BT + " SELECT market, source, count(*) FILTER (status IS NOT NULL) AS evaluated, count(*) FILTER (status IS NULL) AS censored FROM res GROUP BY market, source", BB)
 def join_forward_window(v):
-    return results(v).groupBy("source").agg(F.count("status").alias("evaluated"), F.count_if(F.col("status").isNull()).alias("censored"))
+    return results(v).groupBy("market", "source").agg(F.count("status").alias("evaluated"), F.count_if(F.col("status").isNull()).alias("censored"))
+
+
+@query("bt_skipped", BT + " SELECT market, count(*) FILTER (status IS NOT NULL) AS total_simulated, count(*) FILTER (status IS NULL) AS skipped_insufficient_forward FROM res GROUP BY market", BB)
+def bt_skipped(v):
+    return bt.skipped_count(results(v))
 
 
 STATS = """count(*) AS n, count(*) FILTER (status='HIT') AS hit, count(*) FILTER (status='MISS') AS miss, count(*) FILTER (status='EXPIRED') AS expired,
@@ -347,10 +352,10 @@ STATS = """count(*) AS n, count(*) FILTER (status='HIT') AS hit, count(*) FILTER
 @query("bt_cohort_stats", BT + f""",
 bk AS (SELECT *, CASE WHEN trail_ret < 0 THEN '<0%' WHEN trail_ret < 0.1 THEN '0-10%' WHEN trail_ret < 0.2 THEN '10-20%' WHEN trail_ret < 0.4 THEN '20-40%' WHEN trail_ret IS NOT NULL THEN '>40%' END AS bucket
   FROM res WHERE status IS NOT NULL)
-SELECT source, 'ALL' AS bucket, {STATS} FROM bk GROUP BY source UNION ALL SELECT source, bucket, {STATS} FROM bk WHERE bucket IS NOT NULL GROUP BY source, bucket""", BB)
+SELECT market, source, 'ALL' AS bucket, {STATS} FROM bk GROUP BY market, source UNION ALL SELECT market, source, bucket, {STATS} FROM bk WHERE bucket IS NOT NULL GROUP BY market, source, bucket""", BB)
 def bt_cohort_stats(v):
     return bt.cohort_stats(results(v)).select(
-        "source", "bucket", "n", "hit", "miss", "expired", *r6("hit_rate", "hit_rate_all", "avg_return", "avg_win", "avg_loss", "payoff_ratio")
+        "market", "source", "bucket", "n", "hit", "miss", "expired", *r6("hit_rate", "hit_rate_all", "avg_return", "avg_win", "avg_loss", "payoff_ratio")
     )
 
 
@@ -360,19 +365,20 @@ def _delta_sql():
     w = " + ".join(f"CAST(u >= {c} AS INTEGER)" for c in POISSON1_CUTS)
     h = "CAST('0x' || substr(md5(CAST(as_of AS VARCHAR)), {}, 8) AS BIGINT)"
     return BT + f""",
-dy AS (SELECT as_of, count(*) FILTER (source='presurge' AND status='HIT') AS ph, count(*) FILTER (source='presurge') AS pn, count(*) FILTER (source='momentum' AND status='HIT') AS mh,
-  count(*) FILTER (source='momentum') AS mn FROM res WHERE status IS NOT NULL GROUP BY as_of),
+dy AS (SELECT market, as_of, count(*) FILTER (source='presurge' AND status='HIT') AS ph, count(*) FILTER (source='presurge') AS pn, count(*) FILTER (source='momentum' AND status='HIT') AS mh,
+  count(*) FILTER (source='momentum') AS mn FROM res WHERE status IS NOT NULL GROUP BY market, as_of),
 rp AS (SELECT *, ({h.format(1)} * rep + {h.format(9)}) % 2147483647 AS u FROM dy, unnest(range(1, 2001)) t(rep)),
-rw AS (SELECT rep, sum(w * ph) AS ph, sum(w * pn) AS pn, sum(w * mh) AS mh, sum(w * mn) AS mn FROM (SELECT *, {w} AS w FROM rp) GROUP BY rep),
-dl AS (SELECT ph / pn::DOUBLE - mh / mn::DOUBLE AS d FROM rw WHERE pn > 0 AND mn > 0),
-rk AS (SELECT d, row_number() OVER (ORDER BY d) AS r, count(*) OVER () AS m FROM dl)
-SELECT round((SELECT sum(ph) / sum(pn)::DOUBLE - sum(mh) / sum(mn)::DOUBLE FROM dy), 6) AS delta, round(max(d) FILTER (r = ceil(0.025 * m)), 6) AS ci_low,
-  round(max(d) FILTER (r = ceil(0.975 * m)), 6) AS ci_high, CAST(coalesce(max(d) FILTER (r = ceil(0.025 * m)) > 0, false) AS INTEGER) AS passed FROM rk"""
+rw AS (SELECT market, rep, sum(w * ph) AS ph, sum(w * pn) AS pn, sum(w * mh) AS mh, sum(w * mn) AS mn FROM (SELECT *, {w} AS w FROM rp) GROUP BY market, rep),
+dl AS (SELECT market, ph / pn::DOUBLE - mh / mn::DOUBLE AS d FROM rw WHERE pn > 0 AND mn > 0),
+rk AS (SELECT market, d, row_number() OVER (PARTITION BY market ORDER BY d) AS r, count(*) OVER (PARTITION BY market) AS m FROM dl),
+pt AS (SELECT market, round(sum(ph) / sum(pn)::DOUBLE - sum(mh) / sum(mn)::DOUBLE, 6) AS delta FROM dy GROUP BY market)
+SELECT market, any_value(delta) AS delta, round(max(d) FILTER (r = ceil(0.025 * m)), 6) AS ci_low,
+  round(max(d) FILTER (r = ceil(0.975 * m)), 6) AS ci_high, CAST(coalesce(max(d) FILTER (r = ceil(0.025 * m)) > 0, false) AS INTEGER) AS passed FROM pt LEFT JOIN rk USING (market) GROUP BY market"""
 
 
 @query("bt_delta_ci", _delta_sql(), BB)
 def bt_delta_ci(v):
-    return bt.delta_ci(results(v)).select(*r6("delta", "ci_low", "ci_high"), F.col("passed").cast("int").alias("passed"))
+    return bt.delta_ci(results(v)).select("market", *r6("delta", "ci_low", "ci_high"), F.col("passed").cast("int").alias("passed"))
 
 
 @query("join_asof_backward", metrics_cte("bars") + f""",

@@ -123,12 +123,18 @@ def rep_uniform(a: Column, b: Column, rep: Column) -> Column:
     return (a * rep + b) % HASH_PRIME
 
 
-# Cumulative Poisson(1) probabilities P(X <= i), i = 0..8.
-POISSON1_CDF = (
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-    0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402,
-)
-POISSON1_CUTS = tuple(int(p * HASH_PRIME) for p in POISSON1_CDF)
+def _poisson1_cuts() -> tuple[int, ...]:
+    """P(X <= i) of Poisson(1) in units of the uniform, as far as the uniform can tell from 1."""
+    cuts, p, total, i = [], math.exp(-1), math.exp(-1), 0
+    while int(total * HASH_PRIME) < HASH_PRIME - 1:
+        cuts.append(int(total * HASH_PRIME))
+        i += 1
+        p /= i
+        total += p
+    return tuple(cuts)
+
+
+POISSON1_CUTS = _poisson1_cuts()
 
 
 def poisson1(u: Column) -> Column:

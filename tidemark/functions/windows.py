@@ -5,6 +5,8 @@ Every result is NULL until the frame holds enough rows; Spark alone would averag
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -88,16 +90,17 @@ def volume_pattern(volume: Column, w: WindowSpec, vol_ratio: Column) -> Column:
 
 def wilder_averages(
     df: DataFrame, values: dict[str, Column], keys=("ticker",), order="date", index: str = "obs",
-    period: int = 14, block: int = 4000,
+    period: int = 14,
 ) -> DataFrame:
     """Wilder-smoothed averages at every row, without a recursive fold.
 
     `index` is the 1-based number of the observation. The smoothed value is a weighted sum with
     weight q^(n - max(i, period)) / period, q = 1 - 1/period, so a running sum of x * q^-i gives it.
-    The sum restarts every `block` rows to stay within double range, carrying the previous block's
-    end value; what lies two blocks back weighs q^block, below double precision.
+    The sum restarts every `block` rows, q^-block being 1e250 whatever the period, to stay within double
+    range, and carries the previous block's end value; what lies two blocks back weighs 1e-250.
     """
     q = 1.0 - 1.0 / period
+    block = max(int(250 / math.log10(1.0 / q)), period + 1)
     i = F.col(index)
     blk = F.floor(i / block)
     age = i - blk * block

@@ -44,14 +44,16 @@ def asof_picks(
     bars: DataFrame, bench_bars: DataFrame, start: str, end: str, step: int, horizon: int, top: int = 20,
     min_score: float = 0.5, min_return: float = 15.0, min_volume: float = 2.0,
 ) -> DataFrame:
-    """Both cohorts at every as-of date with their forward closes.
+    """Both cohorts at every as-of date with their forward outcome `sim`.
 
-    Metrics and forward closes come from one exchange by ticker; ranking per (as-of date, cohort)
+    Metrics and outcomes come from one exchange by ticker; ranking per (as-of date, cohort)
     limits map-side before its shuffle.
     """
     m = series.rolling_metrics(bars, ("ticker",), extra=True)
     ahead = F.collect_list("close").over(fw.series_window().rowsBetween(1, horizon))
-    m = with_asof(m.withColumn("path", ahead), ["ticker"], start, end, step)
+    m = with_asof(m.withColumn("_path", ahead), ["ticker"], start, end, step)
+    # a bar is its own entry, so the outcome is known here and the path never reaches a shuffle
+    m = m.withColumn("sim", first_touch(F.col("close"), F.col("_path"), horizon)).drop("_path")
     b = with_asof(series.rolling_metrics(bench_bars, ("market",)), ["market"], start, end, step)
     b = b.select("market", "asof", F.col("return_1m").alias("bench_1m"), F.col("return_6m").alias("bench_6m"))
     m = m.join(b, ["market", "asof"], "left").withColumn("earnings_in_days", F.lit(None).cast("int"))
@@ -67,7 +69,7 @@ def asof_picks(
         )
     )
     picks = s.select(
-        "market", "asof", "ticker", F.col("close").alias("entry"), F.col("return_1m").alias("trail_ret"), "path",
+        "market", "asof", "ticker", F.col("close").alias("entry"), F.col("return_1m").alias("trail_ret"), "sim",
         F.explode(cohorts).alias("c"),
     ).select("*", "c.*").drop("c")
     w = Window.partitionBy("market", "asof", "source").orderBy(F.desc("score"), "ticker")
@@ -77,10 +79,9 @@ def asof_picks(
 def run_backtest(bars: DataFrame, bench_bars: DataFrame, start: str, end: str, step: int, horizon: int, **kw) -> DataFrame:
     """Picks with status and return; `status` NULL marks a pick censored for lack of forward bars."""
     p = asof_picks(bars, bench_bars, start, end, step, horizon, **kw)
-    sim = first_touch(F.col("entry"), F.col("path"), horizon)
-    return p.withColumn("_s", sim).select(
+    return p.select(
         "market", "asof", "source", "setup", "ticker", "rank", "score", "entry", "trail_ret",
-        F.col("_s.status").alias("status"), F.col("_s.ret").alias("ret"),
+        F.col("sim.status").alias("status"), F.col("sim.ret").alias("ret"),
     )
 
 
@@ -92,11 +93,11 @@ def trailing_bucket(r: Column) -> Column:
 
 
 def cohort_stats(results: DataFrame) -> DataFrame:
-    """Per cohort and per (cohort, trailing bucket): counts, hit rates, payoff. bucket ALL = cohort."""
+    """Per market and cohort, and per trailing bucket of these: counts, hit rates, payoff. bucket ALL = cohort."""
     r = results.where("status IS NOT NULL").withColumn("bucket", trailing_bucket(F.col("trail_ret")))
     is_ = lambda s: F.col("status") == s
     n, h, m = F.count(F.lit(1)), F.count_if(is_("HIT")), F.count_if(is_("MISS"))
-    g = r.groupingSets([["source"], ["source", "bucket"]], "source", "bucket").agg(
+    g = r.groupingSets([["market", "source"], ["market", "source", "bucket"]], "market", "source", "bucket").agg(
         n.alias("n"), h.alias("hit"), m.alias("miss"), F.count_if(is_("EXPIRED")).alias("expired"),
         F.try_divide(h, h + m).alias("hit_rate"), (h / n).alias("hit_rate_all"), F.avg("ret").alias("avg_return"),
         F.coalesce(F.avg(F.when(is_("HIT"), F.col("ret"))), F.lit(0.0)).alias("avg_win"),
@@ -108,20 +109,21 @@ def cohort_stats(results: DataFrame) -> DataFrame:
 
 
 def skipped_count(results: DataFrame) -> DataFrame:
-    return results.agg(
+    """Per market: simulated picks and those censored for lack of forward bars."""
+    return results.groupBy("market").agg(
         F.count_if(F.col("status").isNotNull()).alias("total_simulated"),
         F.count_if(F.col("status").isNull()).alias("skipped_insufficient_forward"),
     )
 
 
 def delta_ci(results: DataFrame, resamples: int = 2000, alpha: float = 0.05) -> DataFrame:
-    """Block bootstrap by as-of date of the cohorts' hit-rate difference; EXPIRED is a non-hit.
+    """Per market, block bootstrap by as-of date of the cohorts' hit-rate difference; EXPIRED is a non-hit.
 
     Results are reduced to one row per date first; the replicates multiply only those.
     """
     hit = (F.col("status") == "HIT").cast("int")
     side = lambda s: F.col("source") == s
-    day = results.where("status IS NOT NULL").groupBy("asof").agg(
+    day = results.where("status IS NOT NULL").groupBy("market", "asof").agg(
         F.sum(F.when(side("presurge"), hit).otherwise(0)).alias("ph"), F.count_if(side("presurge")).alias("pn"),
         F.sum(F.when(side("momentum"), hit).otherwise(0)).alias("mh"), F.count_if(side("momentum")).alias("mn"),
     )
@@ -130,15 +132,14 @@ def delta_ci(results: DataFrame, resamples: int = 2000, alpha: float = 0.05) ->
     w = stats.poisson1(stats.rep_uniform(F.col("a"), F.col("b"), F.col("rep")))
     s = lambda c: F.sum(F.col("w") * F.col(c))
     per = (
-        rep.withColumn("w", w).groupBy("rep").agg(s("ph").alias("ph"), s("pn").alias("pn"), s("mh").alias("mh"), s("mn").alias("mn"))
+        rep.withColumn("w", w).groupBy("market", "rep").agg(s("ph").alias("ph"), s("pn").alias("pn"), s("mh").alias("mh"), s("mn").alias("mn"))
         .where("pn > 0 AND mn > 0")
-        .select((F.try_divide("ph", "pn") - F.try_divide("mh", "mn")).alias("d"))
+        .select("market", (F.try_divide("ph", "pn") - F.try_divide("mh", "mn")).alias("d"))
     )
-    m = F.count(F.lit(1)).over(Window.partitionBy())
-    ranked = per.select("d", m.alias("m"), F.row_number().over(Window.partitionBy().orderBy("d")).alias("r"))
+    own = Window.partitionBy("market")
+    ranked = per.select("market", "d", F.count(F.lit(1)).over(own).alias("m"), F.row_number().over(own.orderBy("d")).alias("r"))
     at = lambda p: F.max(F.when(F.col("r") == stats.nearest_rank(p, F.col("m")), F.col("d")))
-    ci = ranked.agg(at(alpha / 2).alias("ci_low"), at(1 - alpha / 2).alias("ci_high"))
-    point = day.agg((F.try_divide(F.sum("ph"), F.sum("pn")) - F.try_divide(F.sum("mh"), F.sum("mn"))).alias("delta"))
-    one = F.lit(1).alias("_j")
-    out = point.select("*", one).join(ci.select("*", one), "_j").drop("_j")
+    ci = ranked.groupBy("market").agg(at(alpha / 2).alias("ci_low"), at(1 - alpha / 2).alias("ci_high"))
+    point = day.groupBy("market").agg((F.try_divide(F.sum("ph"), F.sum("pn")) - F.try_divide(F.sum("mh"), F.sum("mn"))).alias("delta"))
+    out = point.join(ci, "market", "left")
     return out.withColumn("passed", F.coalesce(F.col("ci_low") > 0, F.lit(False)))

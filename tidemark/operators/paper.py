@@ -42,8 +42,13 @@ def fresh_target(target: Column, price: Column) -> Column:
 
 
 def exit_signals(lots: DataFrame, day_bars: DataFrame) -> DataFrame:
-    """Closing reason and fill per open lot and day: stop, then target, then horizon; no bar carries."""
-    j = lots.join(day_bars.select("ticker", "date", "high", "low", "close"), ["ticker"])
+    """First closing day, reason and fill per open lot after its entry: stop, then target, then horizon.
+
+    `lots` has a unique id and entry_date; a lot that no bar closes has no row. Only the first exit of a lot leaves
+    the join's stage, as a map-side minimum by date.
+    """
+    bars = day_bars.select("ticker", "date", "high", "low", "close")
+    j = lots.join(bars, "ticker").where("date > entry_date")
     c = F.col
     reason = (
         F.when(c("low") <= c("stop_price"), "stop_hit").when(c("high") >= c("target_price"), "target_hit")
@@ -51,7 +56,8 @@ def exit_signals(lots: DataFrame, day_bars: DataFrame) -> DataFrame:
     )
     j = j.withColumn("reason", reason).where("reason IS NOT NULL")
     fill = F.when(c("reason") == "stop_hit", c("stop_price")).when(c("reason") == "target_hit", c("target_price")).otherwise(c("close"))
-    return j.withColumn("exit_price", fill)
+    first = j.withColumn("exit_price", fill).groupBy("id").agg(F.min_by(F.struct("date", "reason", "exit_price"), "date").alias("x"))
+    return first.select("id", "x.*")
 
 
 def day_candidates(rows: DataFrame) -> DataFrame:
@@ -73,30 +79,44 @@ def low_edge_filter(rows: DataFrame) -> DataFrame:
     return rows.where(~F.coalesce(tag, F.lit(False)))
 
 
-def session_map(calendar: DataFrame, start: str) -> DataFrame:
-    """Every calendar day from `start` to the last session, with the first session on or after it.
+def session_map(calendar: DataFrame) -> DataFrame:
+    """Every calendar day from the first to the last session, with the first session on or after it.
 
     Sessions expand over the gap before them, so the forward as-of join becomes an equi-join.
     """
     prev = F.lag("date", 1).over(Window.partitionBy("market").orderBy("date"))
     c = calendar.select("market", "date").distinct().withColumn("_p", prev)
-    first = F.coalesce(F.date_add("_p", 1), F.lit(start).cast("date"))
-    days = F.when(first <= F.col("date"), F.sequence(first, F.col("date")))
-    return c.select("market", F.explode(days).alias("day"), F.col("date").alias("session"))
+    first = F.coalesce(F.date_add("_p", 1), F.col("date"))
+    return c.select("market", F.explode(F.sequence(first, F.col("date"))).alias("day"), F.col("date").alias("session"))
+
+
+def next_session(rows: DataFrame, calendar: DataFrame, day: str) -> DataFrame:
+    """Rows with `session`, the market's first session on or after `day`; NULL after the last one.
+
+    Days before the first session take the first, so no start date is needed.
+    """
+    first = calendar.groupBy("market").agg(F.min("date").alias("_first"))
+    r = rows.join(first, "market", "left").withColumn("_day", F.greatest(F.col(day), F.col("_first")))
+    m = session_map(calendar).withColumnRenamed("day", "_day")
+    return r.join(m, ["market", "_day"], "left").drop("_day", "_first")
 
 
 def bull_window(preds: DataFrame, calendar: DataFrame, start: str, end: str) -> DataFrame:
     """LIVE BULL calls not cancelled whose effective session lies in [start, end].
 
-    The UTC prefilter is padded and reaches the scan; the local date decides.
+    The upper end of the UTC prefilter reaches the scan. Its lower end is the window's start less the calendar's
+    longest gap, unless the window holds a market's first session, which takes every earlier call.
     """
-    lo, hi = F.date_sub(F.lit(start).cast("date"), 7), F.date_add(F.lit(end).cast("date"), 1)
+    start_, hi = F.lit(start).cast("date"), F.date_add(F.lit(end).cast("date"), 1)
+    gap = F.datediff("date", F.lag("date", 1).over(Window.partitionBy("market").orderBy("date")))
+    longest = calendar.select("market", "date").distinct().select(gap.alias("g")).agg(F.max("g")).scalar()
+    first = calendar.groupBy("market").agg(F.min("date").alias("f")).agg(F.max("f")).scalar()
+    lo = F.date_sub(start_, F.coalesce(longest, F.lit(0)) + 1)
     p = preds.where(
         (F.col("source") == "LIVE") & (F.col("direction") == "BULL") & (F.col("status") != "CANCELLED")
-        & (F.col("created_at") >= lo.cast("timestamp")) & (F.col("created_at") < F.date_add(hi, 1).cast("timestamp"))
+        & (F.col("created_at") < F.date_add(hi, 1).cast("timestamp")) & ((first >= start_) | (F.col("created_at") >= lo.cast("timestamp")))
     ).withColumn("local_date", fd.local_date(F.col("created_at"), F.col("market")))
-    m = session_map(calendar, "1990-01-01").withColumnRenamed("day", "local_date")
-    out = p.join(m, ["market", "local_date"]).withColumnRenamed("session", "entry_date")
+    out = next_session(p, calendar, "local_date").withColumnRenamed("session", "entry_date")
     return out.where(F.col("entry_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 

@@ -10,7 +10,7 @@ from tidemark.functions import rules
 from tidemark.functions import windows as fw
 
 
-def rsi(bars: DataFrame, keys=("ticker",), period: int = 14, block: int = 4000) -> DataFrame:
+def rsi(bars: DataFrame, keys=("ticker",), period: int = 14) -> DataFrame:
     """Wilder RSI at every bar."""
     w = fw.series_window(keys)
     d = F.col("close") - F.lag("close", 1).over(w)
@@ -21,7 +21,7 @@ def rsi(bars: DataFrame, keys=("ticker",), period: int = 14, block: int = 4000)
             "_gain": F.when(F.col("obs") > 0, F.greatest(F.col("_d"), F.lit(0.0))),
             "_loss": F.when(F.col("obs") > 0, F.greatest(-F.col("_d"), F.lit(0.0))),
         },
-        keys, period=period, block=block,
+        keys, period=period,
     )
     return b.withColumn("rsi14", fw.rsi_from_averages(F.col("_gain"), F.col("_loss"))).drop(
         "_d", "_gain", "_loss", "obs"
@@ -45,12 +45,12 @@ def rsi_simple(bars: DataFrame, keys=("ticker",), n: int = 14) -> DataFrame:
     return b.withColumn("rsi", value).drop("_d", "_g", "_l", "_ok")
 
 
-def atr(bars: DataFrame, keys=("ticker",), period: int = 14, block: int = 4000) -> DataFrame:
+def atr(bars: DataFrame, keys=("ticker",), period: int = 14) -> DataFrame:
     w = fw.series_window(keys)
     prev = F.lag("close", 1).over(w)
     tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))
     b = bars.withColumns({"_tr": F.when(prev.isNotNull(), tr), "obs": F.row_number().over(w) - 1})
-    return fw.wilder_averages(b, {"atr14": F.col("_tr")}, keys, period=period, block=block).drop("_tr", "obs")
+    return fw.wilder_averages(b, {"atr14": F.col("_tr")}, keys, period=period).drop("_tr", "obs")
 
 
 def drawdown_last(bars: DataFrame, keys=("ticker",), n: int = 252) -> DataFrame:
