@@ -18,6 +18,7 @@ PHRASES = (
     "missile strike", "", "fed holds emergency meeting", "oil prices surge", "new tariffs", "market crash",
     "q3 outlook, price target", "", "ceo resign",
 )
+HEADLINES = 10_000_000  # numbers per document
 LINE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
@@ -163,15 +164,14 @@ class Views:
 
     @cached_property
     def news(self) -> DataFrame:
-        d = self.table("documents").select("doc_id", "text")
-        first = F.regexp_extract("text", r"^\s*(\S+(?:\s+\S+){0,11})", 1)
-        words = F.split(F.regexp_replace(first, r"\s+", " "), " ")
-        phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("doc_id") % 16 + 1).cast("int"))
+        """One headline per line of every whole text; `doc_id` numbers headlines: document * 10^7 + line."""
+        d = self.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+        phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), ((F.col("doc_id") + F.col("line")) % 16 + 1).cast("int"))
         lab = self.table("labels").select("doc_id", (F.col("quality") - F.col("toxic")).cast("double").alias("sentiment"))
         return d.join(lab, "doc_id", "left").select(
-            "doc_id",
+            (F.col("doc_id") * HEADLINES + F.col("line")).alias("doc_id"),
             (F.col("doc_id") % self.n_tickers).alias("ticker"),
-            F.trim(F.concat_ws(" ", F.array_join(words, " "), phrase)).alias("headline"),
+            F.trim(F.concat_ws(" ", F.trim(F.regexp_replace("raw", r"\s+", " ")), phrase)).alias("headline"),
             F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("date"),
             F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("doc_id").cast("string")).alias("url"),
             "sentiment",
@@ -311,12 +311,12 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
           CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side, l_quantity AS quantity, px AS price
         FROM lines JOIN orders ON l_orderkey = o_orderkey"""),
     "news": ((), r"""
-        SELECT d.doc_id, d.doc_id % (SELECT count(*) FROM supplier) AS ticker,
-          trim(array_to_string(list_slice(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), 1, 12), ' ') || ' ' || (@PHRASES@)[d.doc_id % 16 + 1]) AS headline,
+        SELECT d.doc_id * 10000000 + line AS doc_id, d.doc_id % (SELECT count(*) FROM supplier) AS ticker,
+          trim(trim(regexp_replace(raw, '\s+', ' ', 'g')) || ' ' || (@PHRASES@)[(d.doc_id + line) % 16 + 1]) AS headline,
           DATE '2024-01-01' + CAST(d.doc_id % 30 AS INTEGER) AS date,
           CASE WHEN d.doc_id % 7 = 0 THEN '' ELSE CAST(d.doc_id AS VARCHAR) END AS url,
           CAST(quality - toxic AS DOUBLE) AS sentiment
-        FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""),
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents) d LEFT JOIN labels l ON d.doc_id = l.doc_id"""),
     "calendar_events": ((), """
         SELECT o_orderkey AS event_id, o_custkey % (SELECT count(*) FROM supplier) AS ticker,
           CASE WHEN o_custkey % (SELECT count(*) FROM supplier) % 2 = 0 THEN 'US' ELSE 'KR' END AS market,

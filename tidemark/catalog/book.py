@@ -227,11 +227,11 @@ def st_edge_alert(v):
 
 # --- edge tables and memory ----------------------------------------------------------------
 
-LINKS = "links AS (SELECT DISTINCT l_suppkey AS ticker, p_brand AS theme FROM lines JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_linenumber = 1)"
+LINKS = "links AS (SELECT DISTINCT l_suppkey AS ticker, p_brand AS theme FROM lines JOIN part ON l_partkey = p_partkey)"
 
 
 def links(v):
-    li = v.lines.where("l_returnflag = 'R' AND l_linenumber = 1").select("l_suppkey", "l_partkey")
+    li = v.lines.select("l_suppkey", "l_partkey")
     return li.join(v.table("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_suppkey").alias("ticker"), F.col("p_brand").alias("theme")
     ).distinct()
@@ -265,12 +265,12 @@ def join_negative_news(v):
 
 
 @query("graph_upsert", """
-e AS (SELECT id, status, confidence, CASE WHEN id % 2 = 0 THEN 'old' END AS note FROM predictions WHERE id % 3 <> 0),
+e AS (SELECT id, status, confidence, CASE WHEN id % 2 = 0 THEN 'old' END AS note FROM predictions WHERE id % 3 <> 0 OR id % 5 <> 0),
 i AS (SELECT id, 'HIT' AS status, 0.9::DOUBLE AS confidence, CASE WHEN id % 4 = 1 THEN 'new' END AS note FROM predictions WHERE id % 5 = 0)
 SELECT coalesce(e.id, i.id) AS id, coalesce(i.status, e.status) AS status, coalesce(i.confidence, e.confidence) AS confidence, coalesce(i.note, e.note) AS note FROM e FULL JOIN i ON e.id = i.id""", P)
 def graph_upsert(v):
     p = v.predictions
-    old = p.where("id % 3 <> 0").select("id", "status", "confidence", F.when(F.col("id") % 2 == 0, "old").alias("note"))
+    old = p.where("id % 3 <> 0 OR id % 5 <> 0").select("id", "status", "confidence", F.when(F.col("id") % 2 == 0, "old").alias("note"))
     new = p.where("id % 5 = 0").select(
         "id", F.lit("HIT").alias("status"), F.lit(0.9).alias("confidence"), F.when(F.col("id") % 4 == 1, "new").alias("note"), F.col("created_at").alias("_seq")
     )

@@ -159,10 +159,10 @@ def src_news_html(v):
 
 
 @query("src_finnhub", """SELECT ticker, headline, date FROM (SELECT user_id AS ticker, 'h' || event_id AS headline, CASE WHEN event_id % 6 = 0 THEN '2024-02-01' ELSE CAST(CAST(ts AS DATE) AS VARCHAR) END AS date,
-  row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_id % 6 = 0 THEN DATE '2024-02-01' ELSE CAST(ts AS DATE) END DESC, event_id) AS rn FROM events WHERE event_id % 3 = 0) WHERE rn <= 5""")
+  row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_id % 6 = 0 THEN DATE '2024-02-01' ELSE CAST(ts AS DATE) END DESC, event_id) AS rn FROM events) WHERE rn <= 5""")
 def src_finnhub(v):
     k = F.col("event_id")
-    e = v.table("events").where("event_id % 3 = 0")
+    e = v.table("events")
     item = F.struct(
         F.concat(F.lit("h"), k).alias("headline"), F.lit("s").alias("source"),
         F.when(k % 6 != 0, F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("datetime"), F.lit("u").alias("url"), k.alias("k"),
@@ -248,7 +248,7 @@ def src_predictions_text(v):
     return out.select("response_id", "ticker", "confidence")
 
 
-@query("src_deep_dive_text", """SELECT conv_id * 1000 + turn AS response_id, CASE WHEN turn % 2 = 0 THEN 3.0::DOUBLE ELSE -1.5::DOUBLE END AS context_score, CASE WHEN turn % 2 = 0 THEN 'HIGH' ELSE 'LOW' END AS conviction, 5 AS n_risks
+@query("src_deep_dive_text", """SELECT conv_id * 1000 + turn AS response_id, CASE WHEN turn % 2 = 0 THEN 3.0::DOUBLE ELSE -1.5::DOUBLE END AS context_score, CASE WHEN turn % 2 = 0 THEN 'HIGH' ELSE 'LOW' END AS conviction, 6 AS n_risks
 FROM conversations WHERE role = 'assistant' AND conv_id % 5 <> 0""")
 def src_deep_dive_text(v):
     c = F.col("conv_id").cast("string")
@@ -330,10 +330,10 @@ def join_lookup(v):
     return v.predictions.join(names, "ticker", "left").join(v.sector_map, "ticker", "left").select("id", "name", "sector")
 
 
-@query("set_ticker_union", "SELECT DISTINCT ticker::VARCHAR AS ticker FROM predictions UNION SELECT DISTINCT ticker::VARCHAR FROM bars WHERE ticker % 2 = 0 UNION SELECT 'IDX_' || market FROM bars", ("predictions", "bars"))
+@query("set_ticker_union", "SELECT DISTINCT ticker::VARCHAR AS ticker FROM predictions UNION SELECT DISTINCT ticker::VARCHAR FROM bars UNION SELECT 'IDX_' || market FROM bars", ("predictions", "bars"))
 def set_ticker_union(v):
     t = lambda df, c="ticker": df.select(F.col(c).cast("string").alias("ticker"))
-    return t(v.predictions).union(t(v.bars.where("ticker % 2 = 0"))).union(t(v.benchmark_bars)).distinct()
+    return t(v.predictions).union(t(v.bars)).union(t(v.benchmark_bars)).distinct()
 
 
 @query("val_debate", """
@@ -372,11 +372,11 @@ def sink_rolling_history(v):
     return sk.rolling_history(n, new, ["market"]).select("market", *text("report_date"), "nav")
 
 
-@query("sink_nav_daily", """SELECT market, CAST(date AS VARCHAR) AS date, CASE WHEN year(date) = 2001 THEN nav + 1 ELSE nav END AS nav, CASE WHEN year(date) = 2001 AND month(date) < 6 THEN 'replaced same-day snapshot' END AS note FROM nav WHERE year(date) < 2001 OR month(date) < 9""", ("nav",))
+@query("sink_nav_daily", """SELECT market, CAST(date AS VARCHAR) AS date, CASE WHEN year(date) >= 2001 THEN nav + 1 ELSE nav END AS nav, CASE WHEN year(date) = 2001 AND month(date) < 6 THEN 'replaced same-day snapshot' END AS note FROM nav""", ("nav",))
 def sink_nav_daily(v):
     n = v.nav.select("market", "date", "nav")
     old = n.where("year(date) < 2001 OR month(date) < 6")
-    today = n.where("year(date) = 2001 AND month(date) < 9").withColumn("nav", F.col("nav") + 1)
+    today = n.where("year(date) >= 2001").withColumn("nav", F.col("nav") + 1)
     return sk.nav_daily(old, today, ["market", "date"]).select("market", *text("date"), "nav", "note")
 
 
@@ -385,7 +385,7 @@ def sink_append_log(v):
     return sk.newest(v.predictions, 25).select("id", "status")
 
 
-@query("sink_snapshot", "SELECT market, CAST(date AS VARCHAR) AS date, CASE WHEN market = 'US' THEN nav + 1 ELSE nav END AS nav FROM nav WHERE market = 'KR' OR year(date) = 2000", ("nav",))
+@query("sink_snapshot", "SELECT market, CAST(date AS VARCHAR) AS date, CASE WHEN market = 'US' THEN nav + 1 ELSE nav END AS nav FROM nav", ("nav",))
 def sink_snapshot(v):
     """Publish both markets, then republish one: the other's files stay."""
     import uuid
@@ -395,5 +395,5 @@ def sink_snapshot(v):
     path = f"{checkpoint_root(v.spark)}/snapshot-{uuid.uuid4().hex}"
     n = v.nav.select("market", "date", "nav")
     sk.write_snapshot(n, path)
-    sk.write_snapshot(n.where("market = 'US' AND year(date) = 2000").withColumn("nav", F.col("nav") + 1), path)
+    sk.write_snapshot(n.where("market = 'US'").withColumn("nav", F.col("nav") + 1), path)
     return v.spark.read.parquet(path).select("market", *text("date"), "nav")

@@ -82,9 +82,9 @@ ded AS (SELECT n.* FROM (SELECT *, {key} AS grp, row_number() OVER (PARTITION BY
    JOIN ku USING (grp, norm) WHERE rn = 1)"""
 
 
-@query("fn_dedup_prefix", dedup_cte("doc_id % 4") + " SELECT grp, doc_id, headline FROM ded", N)
+@query("fn_dedup_prefix", dedup_cte("doc_id % 64") + " SELECT grp, doc_id, headline FROM ded", N)
 def fn_dedup_prefix(v):
-    n = v.news.withColumn("grp", F.col("doc_id") % 4)
+    n = v.news.withColumn("grp", F.col("doc_id") % 64)
     return nw.dedup_headlines(n, ["grp"], ["date", "doc_id"]).select("grp", "doc_id", "headline")
 
 
@@ -214,7 +214,7 @@ def agg_themes(v):
 
 @query("fn_clean_html", r"""
 s AS (SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS t FROM pages)
-SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', chr(160)), '&amp;', '&'),
+SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', chr(160)), '&amp;', '&'),
   '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g') AS txt FROM s""")
 def fn_clean_html(v):
     return v.table("pages").select("page_id", ft.clean_html(F.col("html")).alias("txt"))

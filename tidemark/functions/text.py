@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,20 +92,26 @@ def ngrams(toks: Column, n: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+_ENTITY = r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
+
+
+def _entity(e: Column) -> Column:
+    """The text of one character reference; unknown names stay, code points that are none become U+FFFD."""
+    names = F.create_map(*[F.lit(x) for k, v in sorted(html5.items()) if k.endswith(";") for x in (f"&{k}", v)])
+    digits = F.regexp_extract(e, "^&#([0-9]+);$", 1)
+    hexa = F.regexp_extract(e, "^&#[xX]([0-9A-Fa-f]+);$", 1)
+    code = F.when(digits != "", digits.try_cast("bigint")).when(F.length(hexa) < 9, F.conv(hexa, 16, 10).try_cast("bigint"))
+    good = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(F.when(good, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+    return F.when(F.startswith(e, F.lit("&#")), char).otherwise(F.coalesce(F.try_element_at(names, e), e))
+
+
 def clean_html(raw: Column) -> Column:
-    """Strip tags, then unescape numeric and the common named entities in one conceptual pass."""
+    """Strip tags, then unescape every character reference once, so that no result is unescaped again."""
     s = F.regexp_replace(raw, "<[^>]+>", "")
-    codes = F.array_distinct(F.regexp_extract_all(s, F.lit("&#([0-9]{1,7});"), F.lit(1)))
-    s = F.aggregate(
-        codes, s,
-        lambda acc, n: F.replace(
-            acc, F.concat(F.lit("&#"), n, F.lit(";")),
-            F.decode(F.unhex(F.lpad(F.hex(n.cast("bigint")), 8, "0")), "UTF-32"),
-        ),
-    )
-    for name, ch in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("amp", "&")):
-        s = F.replace(s, F.lit(f"&{name};"), F.lit(ch))
-    return F.regexp_replace(s, r"^[\s ]+|[\s ]+$", "")
+    found = F.regexp_extract_all(s, F.lit(_ENTITY), F.lit(0))
+    parts = F.transform(F.split(s, _ENTITY, -1), lambda p, i: F.concat(p, F.coalesce(_entity(F.get(found, i)), F.lit(""))))
+    return F.regexp_replace(F.array_join(parts, ""), r"^[\s ]+|[\s ]+$", "")
 
 
 def domain(url: Column) -> Column:
@@ -125,15 +133,19 @@ def kv_map(raw: Column) -> Column:
     """'a=1,b=2' to a map; blank parts are skipped. See `kv_bad_parts` for the error check."""
     parts = F.filter(F.transform(F.split(raw, ","), lambda p: F.trim(p)), lambda p: p != "")
     good = F.filter(parts, lambda p: F.instr(p, "=") > 0)
-    return F.map_from_entries(
-        F.transform(
-            good,
-            lambda p: F.struct(
-                F.trim(F.substring_index(p, "=", 1)).alias("key"),
-                F.trim(F.regexp_replace(p, "^[^=]*=", "")).alias("value"),
-            ),
-        )
+    pairs = F.transform(
+        good,
+        lambda p: F.struct(
+            F.trim(F.substring_index(p, "=", 1)).alias("key"),
+            F.trim(F.regexp_replace(p, "^[^=]*=", "")).alias("value"),
+        ),
+    )
+    # of a repeated key the last entry counts; `let` by a one-element array, so that pairs are built once
+    last = F.transform(
+        F.array(pairs),
+        lambda ps: F.filter(ps, lambda x, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda y: y["key"] == x["key"])),
     )
+    return F.map_from_entries(F.element_at(last, 1))
 
 
 def kv_bad_parts(raw: Column) -> Column:

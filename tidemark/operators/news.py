@@ -17,20 +17,20 @@ def _prefix_edges(items: DataFrame, keys: list[str], min_words: int) -> DataFram
     """Pairs (early, late) of distinct headlines where one is a word-prefix of the other.
 
     Candidates share their first `min_words` words, and pairs come from an equi-join of each
-    headline's own prefixes with the headlines: linear in the words, never all pairs of a group.
+    headline's own prefixes with the headlines: linear in the words, never all pairs of a group. A prefix
+    is known by a running hash of its words and their places, so a long headline costs no more per word.
     """
     head = F.array_join(F.slice("_w", 1, min_words), " ")
     long = items.where(F.size("_w") >= min_words).withColumn("_h", head)
     shared = long.groupBy(*keys, "_h").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
     long = long.join(shared, [*keys, "_h"], "left_semi")
-    cut = F.sequence(F.lit(min_words), F.size("_w") - 1)
-    prefixes = (
-        long.where(F.size("_w") > min_words)
-        .withColumn("_k", F.explode(cut))
-        .select(*keys, F.array_join(F.slice("_w", 1, F.col("_k")), " ").alias("_norm"),
-                F.col("_norm").alias("_n2"), F.col("_pos").alias("_p2"))
-    )
-    pairs = prefixes.join(long.select(*keys, "_norm", "_pos"), [*keys, "_norm"])
+    running = F.bit_xor("_x").over(Window.partitionBy(*keys, "_n2").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0))
+    each = long.where(F.size("_w") > min_words).select(
+        *keys, F.col("_norm").alias("_n2"), F.col("_pos").alias("_p2"), F.size("_w").alias("_n"), F.posexplode("_w").alias("_k", "_one"))
+    prefixes = each.withColumn("_x", F.xxhash64("_one", "_k")).withColumn("_hash", running).withColumn("_k", F.col("_k") + 1)
+    prefixes = prefixes.where((F.col("_k") >= min_words) & (F.col("_k") < F.col("_n"))).select(*keys, "_k", "_hash", "_n2", "_p2")
+    whole = F.aggregate(F.transform("_w", lambda x, i: F.xxhash64(x, i)), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
+    pairs = prefixes.join(long.select(*keys, "_norm", "_pos", F.size("_w").alias("_k"), whole.alias("_hash")), [*keys, "_k", "_hash"])
     first = F.col("_pos") < F.col("_p2")
     return pairs.select(
         *keys,

@@ -47,8 +47,9 @@ def track_outcomes(preds: DataFrame, prices: DataFrame, asof) -> DataFrame:
 
 
 def apply_outcomes(preds: DataFrame, updates: DataFrame) -> DataFrame:
-    """Merge (id, new_status, new_return, new_date): only OPEN rows change."""
-    u = updates.select("id", "new_status", "new_return", "new_date")
+    """Merge (id, new_status, new_return, new_date): only OPEN rows change; of several updates of an id the first by date."""
+    first = F.min(F.struct("new_date", "new_status", "new_return")).alias("u")
+    u = updates.where("new_status IS NOT NULL").groupBy("id").agg(first).select("id", "u.*")
     j = preds.join(u, "id", "left")
     hit = (F.col("status") == "OPEN") & F.col("new_status").isNotNull()
     return j.withColumns(
@@ -61,7 +62,7 @@ def apply_outcomes(preds: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def cancel(preds: DataFrame, ids: DataFrame) -> DataFrame:
-    hit = ids.select("id", F.lit(True).alias("_x"))
+    hit = ids.select("id", F.lit(True).alias("_x")).distinct()
     out = preds.join(hit, "id", "left")
     gone = (F.col("status") == "OPEN") & F.coalesce("_x", F.lit(False))
     return out.withColumn("status", F.when(gone, "CANCELLED").otherwise(F.col("status"))).drop("_x")
@@ -119,7 +120,7 @@ def insert_reasons(batch: DataFrame, existing: DataFrame) -> DataFrame:
     b = batch.withColumns({"_g": guard, "_day": F.to_date("created_at")})
     have = existing.where("status = 'OPEN'").select(*DUP_KEY, F.to_date("created_at").alias("_day")).distinct().withColumn("_x", F.lit(True))
     b = b.join(have, [*DUP_KEY, "_day"], "left")
-    first = b.where("_g IS NULL AND _x IS NULL").groupBy(*DUP_KEY, "_day").agg(F.min("id").alias("_first"))
+    first = b.where("_g IS NULL AND _x IS NULL").groupBy(*DUP_KEY, "_day").agg(F.min_by("id", F.struct("created_at", "id")).alias("_first"))
     b = b.join(first, [*DUP_KEY, "_day"], "left")
     reason = F.when(F.col("_g").isNotNull(), F.col("_g")).when(F.col("_x"), "duplicate_open").when(F.col("id") != F.col("_first"), "duplicate_batch")
     return b.withColumn("reject_reason", reason).drop("_g", "_day", "_x", "_first")
@@ -160,7 +161,7 @@ def dedup_keep_first(preds: DataFrame) -> DataFrame:
         F.col("status") == "OPEN", F.to_json(F.struct(*DUP_KEY, day.alias("d")))
     ).otherwise(F.to_json(F.struct(*DUP_KEY, day.alias("d"), "entry_price", "status", "outcome_return")))
     k = preds.withColumn("_k", key)
-    first = k.groupBy("_k").agg(F.min("id").alias("id"))
+    first = k.groupBy("_k").agg(F.min_by("id", F.struct("created_at", "id")).alias("id"))
     return preds.join(first.select("id"), "id", "left_semi")
 
 

@@ -69,7 +69,7 @@ def base_index_mismatch(details: DataFrame) -> DataFrame:
     return g.withColumn("mismatch", F.col("n_indexes") > 1)
 
 
-def rss(feeds: DataFrame, asof, since_days: int = 2, limit: int | None = 20) -> DataFrame:
+def rss(feeds: DataFrame, asof, since_days: int = 2, limit: int | None = None) -> DataFrame:
     """Items of RSS documents: dated, recent, one per link (or headline), newest first."""
     doc = F.from_xml("body", F.lit("channel struct<item array<struct<title string, link string, pubDate string>>>"))
     d = feeds.select("publisher", "feed_id", F.posexplode(doc["channel"]["item"]).alias("pos", "i"))
@@ -191,8 +191,12 @@ def predictions_text(responses: DataFrame) -> DataFrame:
     return d.select("response_id", "block", "pos", g("ticker"), g("market"), g("direction"), g("confidence", "double"), g("timeframe"), g("entry_price", "double"))
 
 
-def deep_dive_text(responses: DataFrame, score_range=(-5.0, 3.0), max_items: int = 5, max_text: int = 400) -> DataFrame:
-    """The last valid block of each dive about its own ticker, sanitised; no row without one."""
+def deep_dive_text(responses: DataFrame, score_range=(-5.0, 3.0), max_items: int | None = None, max_text: int | None = None) -> DataFrame:
+    """The last valid block of each dive about its own ticker, sanitised; no row without one.
+
+    `max_items` and `max_text` (characters) limit lists and texts where a caller wants that.
+    """
+    cut = lambda c: c if max_text is None else F.substring(c, 1, max_text)
     fenced = F.regexp_extract_all("text", F.lit(r"(?s)```json\s*(\{.*?\})\s*```"), F.lit(1))
     outer = F.regexp_extract("text", r"(?s)(\{.*\})", 1)
     cands = F.when(F.size(fenced) > 0, fenced).when(outer != "", F.array(outer)).otherwise(F.array().cast("array<string>"))
@@ -210,13 +214,14 @@ def deep_dive_text(responses: DataFrame, score_range=(-5.0, 3.0), max_items: int
 
     def strings(k):
         items = F.filter(F.try_variant_get("_v", f"$.{k}", "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING")
-        texts = F.transform(items, lambda x: F.substring(F.try_variant_get(x, "$", "string"), 1, max_text))
-        return F.slice(F.coalesce(texts, F.array().cast("array<string>")), 1, max_items).alias(k)
+        texts = F.transform(items, lambda x: cut(F.try_variant_get(x, "$", "string")))
+        texts = F.coalesce(texts, F.array().cast("array<string>"))
+        return (texts if max_items is None else F.slice(texts, 1, max_items)).alias(k)
 
     return d.select(
         "response_id", "ticker", F.greatest(F.lit(score_range[0]), F.least(F.lit(score_range[1]), s)).alias("context_score"),
         F.when(conv.isin("HIGH", "MEDIUM", "LOW"), conv).otherwise("LOW").alias("conviction"), strings("risks"), strings("catalysts"),
-        F.substring(F.coalesce(F.try_variant_get("_v", "$.summary", "string"), F.lit("")), 1, max_text).alias("summary"),
+        cut(F.coalesce(F.try_variant_get("_v", "$.summary", "string"), F.lit(""))).alias("summary"),
     )
 
 

@@ -54,7 +54,8 @@ def edge_alerts(ticks: DataFrame, watch: DataFrame, cooldown_hours: int = 6, ttl
 def close_outcomes(ticks: DataFrame, open_preds: DataFrame) -> DataFrame:
     """Each OPEN prediction closed once by the first tick that decides it (expiry included)."""
     stateful_session(ticks.sparkSession)
-    j = ticks.join(open_preds, "ticker")
+    # a tick before the call says nothing about it
+    j = ticks.join(open_preds, "ticker").where("ts >= created_at")
     decided = oc.outcome(j, F.to_date("ts")).where("new_status IS NOT NULL").select("id", "ts", "event_id", "new_status", "new_return")
     return decided.groupBy("id").transformWithStateInPandas(
         FirstDecision(), "id bigint, status string, ret double, ts timestamp", "Append", "None"
@@ -83,8 +84,8 @@ def split_late(batch: DataFrame, high_water: DataFrame, delay_seconds: int) -> t
 
 
 def new_rows_only(batch: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of a batch whose key is not in the table yet, one per key: a rerun appends nothing."""
-    b = batch.groupBy(*keys).agg(F.max(F.struct(*[c for c in batch.columns if c not in keys])).alias("r")).select(*keys, "r.*")
+    """Rows of a batch whose key is not in the table yet, the least one per key: a rerun appends nothing."""
+    b = batch.groupBy(*keys).agg(F.min(F.struct(*[c for c in batch.columns if c not in keys])).alias("r")).select(*keys, "r.*")
     return b.join(table.select(*keys), keys, "left_anti")
 
 
