@@ -1,11 +1,13 @@
 """Streaming queries, each run to the end of the available files."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.catalog.book import EDGE, saved
 from tidemark.catalog import book
 from tidemark.catalog.registry import query
-from tidemark.session import stable
+from tidemark.session import checkpoint_root, stable
 from tidemark.streaming import jobs
 
 
@@ -13,6 +15,16 @@ def ticks(v, delay="1 day"):
     return jobs.tick_stream(jobs.file_stream(v.spark, v.dir, "events.parquet"), delay)
 
 
+def folder(v):
+    return f"{checkpoint_root(v.spark)}/arriving-{uuid.uuid4().hex}"
+
+
+def arriving(v, root):
+    """A stream over a folder to which a query adds files between its runs; it exists from the start."""
+    v.table("events").limit(0).write.parquet(f"{root}/in")
+    return v.spark.readStream.schema(v.table("events").schema).parquet(f"{root}/in")
+
+
 FIRED = EDGE + """,
 ls AS (SELECT key, list({'t': epoch_us(ts), 'e': event_id} ORDER BY ts, event_id) AS l FROM ed GROUP BY key),
 fo AS (SELECT key, list_reduce(list_transform(l, lambda x: [x]), lambda a, x: CASE WHEN x[1].t - a[len(a)].t >= 21600000000 THEN list_concat(a, x) ELSE a END) AS k FROM ls)
@@ -54,9 +66,13 @@ def st_news_window(v):
 
 @query("st_ingest", "SELECT event_id, user_id AS ticker, event_type AS feed FROM events")
 def st_ingest(v):
-    t = ticks(v).select("event_id", "ticker", "feed")
-    first = jobs.run_once(t)
-    return first
+    """Two runs over a folder that grows between them: the second reads the new files only."""
+    root = folder(v)
+    t = jobs.tick_stream(arriving(v, root)).select("event_id", "ticker", "feed")
+    for part in ("event_id % 2 = 0", "event_id % 2 = 1"):
+        v.table("events").where(part).write.mode("append").parquet(f"{root}/in")
+        out = jobs.run_once(t, f"{root}/ckpt", f"{root}/out")
+    return out
 
 
 @query("st_notify_once", "SELECT user_id::VARCHAR AS key, 70 AS threshold FROM events GROUP BY user_id HAVING count(*) >= 70")
@@ -66,15 +82,27 @@ def st_notify_once(v):
 
 @query("st_late_data", """SELECT CASE WHEN epoch(ts)::BIGINT < (SELECT epoch(max(ts))::BIGINT FROM events WHERE event_id % 2 = 0) - 86400 THEN 'late' ELSE 'on_time' END AS side, count(*) AS n FROM (SELECT * REPLACE (date_trunc('second', ts) AS ts) FROM events) events WHERE event_id % 2 = 1 GROUP BY side""")
 def st_late_data(v):
-    ok, late = jobs.split_late(v.ticks.where("event_id % 2 = 1"), v.ticks.where("event_id % 2 = 0"), 86400)
-    return ok.select(F.lit("on_time").alias("side")).unionByName(late.select(F.lit("late").alias("side"))).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+    """Even events arrive first and set the mark; the odd ones are split against it."""
+    root = folder(v)
+    t = jobs.tick_stream(arriving(v, root))
+    for part in ("event_id % 2 = 0", "event_id % 2 = 1"):
+        v.table("events").where(part).write.mode("append").parquet(f"{root}/in")
+        jobs.split_late_stream(t, f"{root}/out", f"{root}/ckpt", 86400).awaitTermination()
+    sides = [v.spark.read.schema(t.schema).parquet(f"{root}/out/{k}").where("event_id % 2 = 1").select(F.lit(k).alias("side")) for k in ("on_time", "late")]
+    return sides[0].unionByName(sides[1]).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("st_idempotent_day", "SELECT market, CAST(date AS VARCHAR) AS date, nav FROM nav WHERE day(date) <> 1", ("nav",))
+@query("st_idempotent_day", "SELECT market, CAST(date AS VARCHAR) AS date, nav FROM nav", ("nav",))
 def st_idempotent_day(v):
-    n = v.nav.select("market", "date", "nav")
-    fresh = jobs.new_rows_only(n.unionByName(n), n.where("day(date) = 1"), ["market", "date"])
-    return fresh.select("market", F.col("date").cast("string").alias("date"), "nav")
+    """The sink itself: half of the rows, then all of them by a sink that has lost its checkpoint."""
+    root = folder(v)
+    n = v.nav.select("market", "date", "nav", F.date_format("date", "yyyy-MM").alias("month"))
+    n.limit(0).write.parquet(f"{root}/in")
+    t = v.spark.readStream.schema(n.schema).parquet(f"{root}/in")
+    for k, part in enumerate(("day(date) <= 15", "day(date) > 15")):
+        n.where(part).write.mode("append").parquet(f"{root}/in")
+        jobs.idempotent_day(t, f"{root}/out", f"{root}/ckpt{k}", ["market", "date"], "month").awaitTermination()
+    return v.spark.read.schema(n.schema).parquet(f"{root}/out").select("market", F.col("date").cast("string").alias("date"), "nav")
 
 
 @query("st_prune", EDGE + " SELECT key, CAST(bool_or(s) AS INTEGER) AS ever FROM ob WHERE CAST(split_part(key, ':', 2) AS BIGINT) % 2 = 0 GROUP BY key")

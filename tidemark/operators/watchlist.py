@@ -74,7 +74,8 @@ def satisfied(price: Column) -> Column:
 
 def observations(ticks: DataFrame, watch: DataFrame) -> DataFrame:
     """One row per tick, watched level set and trigger, satisfied or not (leaving must be seen)."""
-    j = ticks.join(watch, ["ticker"])
+    on = ["ticker", "market"] if "market" in ticks.columns and "market" in watch.columns else ["ticker"]
+    j = ticks.join(watch, on)
     conds = trigger_conditions(F.col("price"))
     obs = F.array(*[F.struct(F.lit(k).alias("trigger"), v.alias("satisfied")) for k, v in conds.items()])
     return j.select(

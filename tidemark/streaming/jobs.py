@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,15 +103,43 @@ def run_once(stream: DataFrame, checkpoint: str | None = None, out: str | None =
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def idempotent_day(stream: DataFrame, path: str, checkpoint: str, keys: list[str]):
-    """foreachBatch sink writing each key once; a replayed batch is a no-op."""
+def _table(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The Parquet table at `path`; empty before its first write. Any other read error is raised."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def idempotent_day(stream: DataFrame, path: str, checkpoint: str, keys: list[str], day: str = "date"):
+    """foreachBatch sink writing each key once; a replayed batch is a no-op.
+
+    The table is partitioned by `day`, a column that the keys determine (a day, or a month where days are small),
+    and a batch is compared with the partitions it touches only.
+    """
     spark = stream.sparkSession
 
     def write(batch: DataFrame, _: int) -> None:
-        try:
-            have = spark.read.schema(batch.schema).parquet(path)
-        except Exception:  # the table does not exist before the first batch
-            have = spark.createDataFrame([], batch.schema)
-        new_rows_only(batch, have, keys).write.mode("append").parquet(path)
+        have = _table(spark, path, batch.schema).join(batch.select(day).distinct(), day, "left_semi")
+        new_rows_only(batch, have, keys).write.mode("append").partitionBy(day).parquet(path)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def split_late_stream(stream: DataFrame, path: str, checkpoint: str, delay_seconds: int):
+    """foreachBatch sink with a side table: rows behind the high-water mark of earlier batches go to `path`/late.
+
+    Every batch writes its rows and its mark under its own number and replaces them if it runs again.
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        marks = _table(spark, f"{path}/marks", "ts timestamp, batch bigint").where(F.col("batch") < number)
+        sides = split_late(batch, marks, delay_seconds)
+        for name, rows in zip(("on_time", "late"), sides, strict=True):
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        batch.agg(F.max("ts").alias("ts")).write.mode("overwrite").parquet(f"{path}/marks/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
