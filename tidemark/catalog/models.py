@@ -1,4 +1,4 @@
-"""Queries of the learned blend. Iterative fits have no SQL form and are checked for rows only."""
+"""Queries of the learned blend. An iterative fit has no SQL form; its first-order conditions have."""
 
 from pyspark.sql import functions as F
 
@@ -29,15 +29,34 @@ def ml_evaluate(v):
     return ml.evaluate(v.predictions, folds=3, min_train=500).select("method", "n_pos", "n_neg", *r6("brier", "auc"))
 
 
-@query("ml_train_persist")
+VARYING = {
+    "algo": "CAST(json_extract(components, '$.algo') AS DOUBLE)", "news": "CAST(json_extract(components, '$.news') AS DOUBLE)",
+    "overext_elevated": "CAST(json_extract_string(components, '$.overextension') = 'ELEVATED' AS DOUBLE)",
+    "overext_extreme": "CAST(json_extract_string(components, '$.overextension') = 'EXTREME' AS DOUBLE)",
+    "market_kr": "CAST(market = 'KR' AS DOUBLE)", "tf_1m": "CAST(timeframe = '1M' AS DOUBLE)", "tf_6m": "CAST(timeframe = '6M' AS DOUBLE)",
+}
+
+
+@query("ml_first_order", f"t AS (SELECT CAST(status = 'HIT' AS DOUBLE) AS y, {', '.join(f'{x} AS {f}' for f, x in VARYING.items())} FROM predictions WHERE {CL}) "
+       + " UNION ALL ".join(["SELECT 'bias' AS feature, round(avg(y), 4) AS moment FROM t"] + [
+           f"SELECT '{f}', round((avg(y * {f}) - avg(y) * avg({f})) / stddev_samp({f}), 4) FROM t" for f in VARYING]), P)
+def ml_first_order(v):
+    """At the optimum of the penalised likelihood, the labels' moments are the scores' moments plus the penalty."""
+    return ml.first_order(ml.training_rows(v.predictions)).where(F.col("feature").isin("bias", *VARYING)).select("feature", F.round("moment", 4).alias("moment"))
+
+
+@query("ml_train_persist", f"SELECT id, 1 AS same FROM predictions WHERE {CL}", P)
 def ml_train_persist(v):
     import uuid
 
     from tidemark.session import checkpoint_root
 
     path = f"{checkpoint_root(v.spark)}/model-{uuid.uuid4().hex}"
-    ml.save_model(ml.train_full(v.predictions), v.spark, path)
-    return ml.score(ml.load_model(v.spark, path), ml.training_rows(v.predictions)).select("id", *r6("p_blend"))
+    model, rows = ml.train_full(v.predictions), ml.training_rows(v.predictions)
+    ml.save_model(model, v.spark, path)
+    kept = ml.score(model, rows).select("id", F.col("p_blend").alias("p"))
+    again = ml.score(ml.load_model(v.spark, path), rows).join(kept, "id")
+    return again.select("id", (F.abs(F.col("p_blend") - F.col("p")) < 1e-12).cast("int").alias("same"))
 
 
 @query("ml_isotonic_baseline", f"""

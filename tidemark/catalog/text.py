@@ -111,13 +111,14 @@ def agg_news_signal(v):
 
 
 @query("fn_signal_json", SIG + """
-SELECT ticker, coalesce(unique_count, 0) AS unique_count, CAST(ms IS NULL AS INTEGER) AS sentiment_null, CAST(p AS VARCHAR) AS pos FROM ev LEFT JOIN sv USING (ticker)""", N)
+SELECT ticker, coalesce(unique_count, 0) AS unique_count, CAST(ms IS NULL AS INTEGER) AS sentiment_null, round(ms, 6) AS mean_sentiment, round(rs, 6) AS weighted, CAST(p AS VARCHAR) AS pos FROM ev LEFT JOIN sv USING (ticker)""", N)
 def fn_signal_json(v):
     s = nw.signal_json(nw.news_signal(v.news, ["ticker"], ["date", "doc_id"], F.lit(ASOF).cast("date")))
     g = lambda p: F.get_json_object("news_signal", p)
     return s.select(
         "ticker", g("$.unique_count").cast("bigint").alias("unique_count"),
-        g("$.mean_sentiment").isNull().cast("int").alias("sentiment_null"), g("$.has_positive_catalyst").alias("pos"),
+        g("$.mean_sentiment").isNull().cast("int").alias("sentiment_null"), F.round(g("$.mean_sentiment").cast("double"), 6).alias("mean_sentiment"),
+        F.round(g("$.recency_weighted_sentiment").cast("double"), 6).alias("weighted"), g("$.has_positive_catalyst").alias("pos"),
     )
 
 

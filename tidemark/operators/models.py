@@ -71,6 +71,19 @@ def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("p_blend", vector_to_array("_prob")[1]).drop("_x", "_z", "_raw", "_prob", "_pred")
 
 
+def first_order(train: DataFrame, l2: float = 0.05) -> DataFrame:
+    """Per feature (and 'bias') of a fit on `train`: mean of score times standardised feature, plus the penalty's pull.
+
+    At the optimum these equal the same means of the labels.
+    """
+    model = logistic(l2).fit(train)
+    weight = model.stages[-1].coefficients.toArray()
+    rows = model.transform(train).select(vector_to_array("_prob")[1].alias("p"), vector_to_array("_z").alias("z"))
+    parts = [F.struct(F.lit("bias").alias("feature"), F.avg("p").alias("moment"))]
+    parts += [F.struct(F.lit(f).alias("feature"), (F.avg(F.col("p") * F.col("z")[i]) + l2 * float(weight[i])).alias("moment")) for i, f in enumerate(FEATURES)]
+    return rows.agg(F.array(*parts).alias("a")).select(F.inline("a"))
+
+
 def isotonic_baseline(train: DataFrame, buckets: int = 5) -> DataFrame:
     """One-row anchors: equal-width buckets of training confidence, centres as x, monotone hit rate."""
     lo, hi = train.agg(F.min("raw_conf")).scalar(), train.agg(F.max("raw_conf")).scalar()
