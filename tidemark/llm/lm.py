@@ -14,6 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 WINDOW, CONTEXT = 32, 8
 STEP = WINDOW - CONTEXT
-WIDTH, HEAD, CLASSES = 16, 8, 64
+WIDTH, HEAD, CLASSES = 16, 8, 32
 #: Word counts of at least N / FREQUENT are looked up in the scan: at most FREQUENT words, whatever the corpus.
 FREQUENT = 1_000_000
 
@@ -61,6 +62,9 @@ class Model(NamedTuple):
 
 
 MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+PAST = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+#: Scores and logits are held within these bounds, so that exponentials need no shift.
+LEAST, MOST = np.float32(-60), np.float32(60)
 
 
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,6 +84,9 @@ def log_probs(m: Model, ids: np.ndarray, lengths: np.ndarray, chunk: int = 512)
     given[base] = begin
     out = np.zeros(len(lengths))
     at = np.arange(WINDOW)
+    # A last value of one sums the weights in the same product.
+    v, pos_v = np.pad(m.v, ((0, 0), (0, 1)), constant_values=1), np.pad(m.pos_v, ((0, 0), (0, 1)))
+    ones = np.ones(CLASSES, np.float32)
     for a in range(0, len(doc), chunk):
         d = doc[a:a + chunk]
         pos = start[a:a + chunk, None] + at
@@ -87,19 +94,20 @@ def log_probs(m: Model, ids: np.ndarray, lengths: np.ndarray, chunk: int = 512)
         flat = base[d][:, None] + np.minimum(pos, lengths[d][:, None] - 1)
         x = given[flat]
         s = np.matmul(m.q[x] + m.pos_q, (m.k[x] + m.pos_k).transpose(0, 2, 1))
-        s += MASK
-        s -= s.max(-1, keepdims=True)
+        np.clip(s, LEAST, MOST, out=s)
         np.exp(s, out=s)
-        s /= s.sum(-1, keepdims=True)
-        h = np.matmul(s, m.v[x] + m.pos_v)
+        s *= PAST
+        h = np.matmul(s, v[x] + pos_v)
         own, p = np.nonzero(inside & (at >= skip[a:a + chunk, None]))
-        logit = h[own, p] @ m.out
+        h = h[own, p]
+        logit = (h[:, :-1] / h[:, -1:]) @ m.out
         logit += m.direct[x[own, p]]
         logit += m.pos_direct[p]
-        logit -= logit.max(-1, keepdims=True)
+        np.clip(logit, LEAST, MOST, out=logit)
         y = ids[flat[own, p]]
         c = m.of[y]
-        lp = logit[np.arange(len(c)), c] - np.log(np.exp(logit).sum(-1)) + m.within[y]
+        lp = logit[np.arange(len(c)), c] + m.within[y]
+        lp -= np.log(np.exp(logit, out=logit) @ ones)
         out += np.bincount(d[own], lp, minlength=len(out))
     return out
 
@@ -176,23 +184,45 @@ def train(ids: np.ndarray, lengths: np.ndarray, counts: np.ndarray, max_windows:
     return Model(q, k, v, u + p["b"], pq, pk, pv, pu, p["O"] @ p["U"], np.append(of, 0), np.append(within, 0.0).astype(np.float32))
 
 
-def _counts(rows: DataFrame, path: str) -> DataFrame:
-    """kind ('word' or 'sub'), key (hash of a word, or subword id) and count in the training rows."""
-    schema = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
+def _slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int = 300_000):
+    """The batch in slices of about `most` by the rows' sizes, so that memory does not follow its row count."""
+    turn = np.cumsum(sizes) // most
+    first = np.flatnonzero(np.diff(turn, prepend=-1))
+    for a, z in zip(first, np.append(first[1:], len(sizes)), strict=True):
+        yield batch.slice(a, z - a)
+
+
+def _encoded(rows: DataFrame, path: str, kind: str) -> DataFrame:
+    """row, doc_id, held_out and subword ids of every text; and kind, key and n: counts of the training rows' words
+    ('word', by hash) and subwords ('sub', by id), per task."""
+    schema = pa.schema([("row", pa.int64()), ("doc_id", ARROW.get(kind, pa.string())), ("held_out", pa.bool_()), ("ids", pa.binary()),
+                        ("kind", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
+
+    def counted(name: str, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(key))
+        return pa.RecordBatch.from_arrays([*(none.cast(schema.field(k).type) for k in range(4)), pa.array([name] * len(key), pa.string()), pa.array(key, pa.int64()), pa.array(n, pa.int64())], schema=schema)
 
     def part(batches):
-        size = tokenizer(path).n_vocab + 1
-        subs = np.zeros(size, np.int64)
+        subs = np.zeros(tokenizer(path).n_vocab + 1, np.int64)
         for b in batches:
-            ids, _ = encode(b["text"].to_pylist(), path)
-            subs += np.bincount(ids, minlength=size)
-            h = b["w"].flatten().to_numpy(zero_copy_only=False)
-            key, n = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_pydict({"kind": ["word"] * len(key), "key": key, "n": n}, schema)
+            flags = b["held_out"].to_numpy(zero_copy_only=False)
+            size = b["w"].value_lengths().to_numpy(zero_copy_only=False)
+            yield counted("word", *np.unique(b["w"].flatten().to_numpy(zero_copy_only=False)[~np.repeat(flags, size)], return_counts=True))
+            for t in _slices(b.select(["row", "doc_id", "held_out", "text"]), size):
+                ids, lengths = encode(t["text"].to_pylist(), path)
+                subs += np.bincount(ids[~np.repeat(t["held_out"].to_numpy(zero_copy_only=False), lengths)], minlength=len(subs))
+                ends, ids = np.cumsum(lengths), ids.astype(IDS)
+                packed = pa.array([ids[e - n:e].tobytes() for e, n in zip(ends, lengths, strict=True)], pa.binary())
+                none = pa.nulls(len(lengths))
+                yield pa.RecordBatch.from_arrays([t["row"], t["doc_id"], t["held_out"], packed, none.cast(pa.string()), none.cast(pa.int64()), none.cast(pa.int64())], schema=schema)
         key = np.flatnonzero(subs)
-        yield pa.RecordBatch.from_pydict({"kind": ["sub"] * len(key), "key": key, "n": subs[key]}, schema)
+        yield counted("sub", key, subs[key])
+
+    return rows.mapInArrow(part, f"row long, doc_id {kind}, held_out boolean, ids binary, kind string, key long, n long")
+
 
-    return rows.mapInArrow(part, "kind string, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+ARROW = {"bigint": pa.int64(), "int": pa.int32()}
+IDS = np.uint32
 
 
 def score_texts(
@@ -206,54 +236,63 @@ def score_texts(
     is one). The network itself is trained on `sample` of them, those first by a hash of their id, and at most
     `max_windows` windows. Words of at least 1 / `frequent` of all tokens are counted within the scan; the others join
     their counts by hash. A null or empty text has one token, its end. Repeated rows count and are scored each; an
-    empty table gives no rows, one without training texts a model of no knowledge. Texts are scored whole.
+    empty table gives no rows, one without training texts a model of no knowledge. Texts are scored whole. Subword
+    ids are made once and written to the shared folder.
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
     ws = F.transform(F.concat(words(lower_ascii(text)), F.array(F.lit(""))), lambda w: F.xxhash64(w))  # no word is empty: the end
     held = F.coalesce(remainder(F.col(id_col), folds) == held_out, F.lit(False))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), held.alias("held_out"), text.alias("text"), ws.alias("w"))
-    counts = saved(_counts(rows.filter(~F.col("held_out")).select("text", "w"), vocabulary), "counts")
+    encoded = saved(_encoded(rows, vocabulary, kind), "encoded")
+    counts = saved(encoded.filter("kind is not null").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     known = counts.filter("kind = 'word'").select("key", "n")
     total, distinct = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     often = known.filter(F.col("n") * frequent >= total).toPandas().sort_values("key")
-    size = tokenizer(vocabulary).n_vocab + 1
-    subs = np.zeros(size)
+    subs = np.zeros(tokenizer(vocabulary).n_vocab + 1)
     got = counts.filter("kind = 'sub'").toPandas()
     subs[got["key"].to_numpy(dtype=np.int64)] = got["n"]
-    first = docs.filter(~held).select(text.alias("text"), F.xxhash64(F.col(id_col)).alias("h")).orderBy("h", "text").limit(sample).toPandas()
-    model = train(*encode(first["text"].to_list(), vocabulary), subs, **how)
-    shared = spark.sparkContext.broadcast((model, often["key"].to_numpy(dtype=np.int64), often["n"].to_numpy(dtype=np.int64)))
+    texts = encoded.filter("kind is null")
+    first = texts.filter("not held_out").select("ids", F.xxhash64("doc_id").alias("h")).orderBy("h", "ids").limit(sample).collect()
+    ids = [np.frombuffer(r.ids, IDS).astype(np.int64) for r in first]
+    model = train(np.concatenate(ids) if ids else np.zeros(0, np.int64), np.array([len(i) for i in ids], np.int64), subs, **how)
+    network = spark.sparkContext.broadcast(model)
+    table = spark.sparkContext.broadcast((often["key"].to_numpy(dtype=np.int64), often["n"].to_numpy(dtype=np.int64)))
     lowest = float(np.log10(total + distinct + 1))
-    fields = [("row", pa.int64()), ("doc_id", pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()), ("held_out", pa.bool_()),
-              ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("key", pa.int64())]
-    schema = pa.schema(fields)
 
-    def part(batches):
-        m, keys, ns = shared.value
+    def score(batches):
+        for b in batches:
+            size = pc.binary_length(b["ids"]).to_numpy(zero_copy_only=False) // np.dtype(IDS).itemsize
+            for t in _slices(b, size):
+                lengths = pc.binary_length(t["ids"]).to_numpy(zero_copy_only=False).astype(np.int64) // np.dtype(IDS).itemsize
+                flat = np.frombuffer(b"".join(t["ids"].to_pylist()), IDS).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([t["row"], t["doc_id"], t["held_out"], pa.array(log_probs(network.value, flat, lengths) / np.log(10))], ["row", "doc_id", "held_out", "score"])
+
+    scored = texts.select("row", "doc_id", "held_out", "ids").mapInArrow(score, f"row long, doc_id {kind}, held_out boolean, score double")
+    schema = pa.schema([("row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("key", pa.int64())])
+
+    def look_up(batches):
+        keys, ns = table.value
         logs = np.log10(ns + 1.0)
         for b in batches:
-            ids, lengths = encode(b["text"].to_pylist(), vocabulary)
-            score = log_probs(m, ids, lengths) / np.log(10)
-            n = b["w"].value_lengths().to_numpy(zero_copy_only=False)
-            h = b["w"].flatten().to_numpy(zero_copy_only=False)
-            doc = np.repeat(np.arange(len(n)), n)
-            at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-            hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-            base = np.bincount(doc[hit], logs[at[hit]], minlength=len(n)) if hit.any() else np.zeros(len(n))
-            none = [None] * len(n)
-            yield pa.RecordBatch.from_pydict({"row": b["row"], "doc_id": b["doc_id"], "held_out": b["held_out"], "n_tokens": n,
-                                              "n_known": np.bincount(doc[hit], minlength=len(n)), "base": base, "score": score, "key": none}, schema)
-            if frequent < total:  # else all words are in the table
-                left = np.flatnonzero(~hit)
-                none = pa.nulls(len(left))
-                yield pa.RecordBatch.from_arrays([b["row"].take(pa.array(doc[left])), *[none.cast(f[1]) for f in fields[1:7]], pa.array(h[left])], schema=schema)
-
-    scored = saved(rows.mapInArrow(part, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, key long"), "scored")
-    rare = scored.filter("key is not null").join(known.filter(F.col("n") * frequent < total), "key").groupBy("row").agg(
+            for t in _slices(b, b["w"].value_lengths().to_numpy(zero_copy_only=False)):
+                n = t["w"].value_lengths().to_numpy(zero_copy_only=False)
+                h = t["w"].flatten().to_numpy(zero_copy_only=False)
+                doc = np.repeat(np.arange(len(n)), n)
+                at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+                hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
+                base = np.bincount(doc[hit], logs[at[hit]], minlength=len(n)) if hit.any() else np.zeros(len(n))
+                yield pa.RecordBatch.from_pydict({"row": t["row"], "n_tokens": n, "n_known": np.bincount(doc[hit], minlength=len(n)), "base": base, "key": [None] * len(n)}, schema)
+                if frequent < total:  # else all words are in the table
+                    left = np.flatnonzero(~hit)
+                    none = pa.nulls(len(left))
+                    yield pa.RecordBatch.from_arrays([t["row"].take(pa.array(doc[left])), *(none.cast(schema.field(k).type) for k in (1, 2, 3)), pa.array(h[left])], schema=schema)
+
+    looked = saved(rows.select("row", "w").mapInArrow(look_up, "row long, n_tokens long, n_known long, base double, key long"), "looked")
+    rare = looked.filter("key is not null").join(known.filter(F.col("n") * frequent < total), "key").groupBy("row").agg(
         F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("extra"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return scored.filter("key is null").drop("key").join(rare, "row", "left").select(
+    return scored.join(looked.filter("key is null").drop("key"), "row").join(rare, "row", "left").select(
         "row", "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("more")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + zero("extra") - F.col("n_tokens") * lowest).alias("base_score"), "score")
 
