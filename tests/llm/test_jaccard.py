@@ -14,13 +14,13 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shingle_set(text):
+def shingle_set(text, width=4):
     w = WORD.findall((text or "").translate(LOW))
-    return {tuple(w[i:i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
+    return {tuple(w[i:i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
 
 
-def brute(rows):
-    sets = [shingle_set(r.text) for r in rows]
+def brute(rows, width=4, percent=85):
+    sets = [shingle_set(r.text, width) for r in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -30,9 +30,9 @@ def brute(rows):
 
     for a, b in combinations(range(len(rows)), 2):
         x, y = sets[a], sets[b]
-        if x and y and 100 * min(len(x), len(y)) >= 85 * max(len(x), len(y)):
+        if x and y and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
             both = len(x & y)
-            if 100 * both >= 85 * (len(x) + len(y) - both):
+            if 100 * both >= percent * (len(x) + len(y) - both):
                 root[find(a)] = find(b)
     least = {}
     for k, r in enumerate(rows):

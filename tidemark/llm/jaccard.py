@@ -11,6 +11,7 @@ classes is split into blocks, compared block by block in numpy, and a pair is ma
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +23,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import lower_ascii, saved, words
 
-CELLS = 1 << 20  # of the rarity count: 1 MB when broadcast
-CHUNK = 1 << 14
+CELLS = 1 << 23  # of the rarity count: 8 MB when broadcast
+CHUNK = 1 << 16
 PARTS = 64  # of the hash range, for the suffix filter
 FILTER_BITS = 1 << 23
-HOT, BLOCK = 64, 1024
+HOT, BLOCK = 20, 1024
 MIX = np.uint64(0x9E3779B97F4A7C15)
-LINK, OF = 85, 100
+OF = 100
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -73,25 +74,26 @@ def _classes(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def _members(rows: DataFrame, width: int, kind: str) -> DataFrame:
-    """Per row: class, set size and shingles per part of the hash range; per task: counts of the rarity cells."""
+    """Per row: class, set size and shingles per part of the hash range; per task: counts of the rarity cells up to 255."""
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()),
                         ("c", pa.int64()), ("n", pa.int64()), ("parts", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def part(batches):
-        cells = np.zeros(CELLS, np.uint32)
+        cells = np.zeros(CELLS, np.uint8)
         for b, flat, lengths in _batches(batches, width):
             h, doc = _sets(*shingles(flat, lengths, width))
-            cells += np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+            cell, k = np.unique((h & np.uint64(CELLS - 1)).astype(np.uint32), return_counts=True)
+            cells[cell] = np.minimum(cells[cell] + k, 255)
             n = np.bincount(doc, minlength=len(lengths))
             parts = np.bincount(doc * PARTS + (h >> np.uint64(58)).astype(np.int64), minlength=len(lengths) * PARTS)
             parts = np.minimum(parts, 65535).astype(np.uint16).reshape(-1, PARTS)
             yield pa.RecordBatch.from_pydict({"row": b["row"], "doc_id": b["doc_id"], "c": _classes(flat, lengths), "n": n,
                                               "parts": [p.tobytes() for p in parts], "chunk": [None] * len(n), "counts": [None] * len(n)}, schema)
         if cells.any():
-            low = np.minimum(cells, 65535).astype(np.uint16).reshape(-1, CHUNK)
+            low = cells.reshape(-1, CHUNK)
             k, none = len(low), [None] * len(low)
             yield pa.RecordBatch.from_pydict({"row": none, "doc_id": none, "c": none, "n": none, "parts": none,
-                                              "chunk": np.arange(k, dtype=np.int32), "counts": [x.tobytes() for x in low]}, schema)
+                                              "chunk": np.arange(k, dtype=np.int32), "counts": [zlib.compress(x.tobytes(), 1) for x in low]}, schema)
 
     return rows.mapInArrow(part, f"row long, doc_id {kind}, c long, n long, parts binary, chunk int, counts binary")
 
@@ -100,7 +102,7 @@ def _levels(counts: DataFrame) -> np.ndarray:
     """Rarity of every cell as a byte: quarter powers of two of its count."""
 
     def add(b: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.uint16).astype(np.uint64) for x in b["counts"])
+        total = sum(np.frombuffer(zlib.decompress(x), np.uint8).astype(np.uint64) for x in b["counts"])
         return pd.DataFrame({"chunk": b["chunk"].iloc[:1], "level": [np.minimum(4 * np.log2(total + 1.0), 255).astype(np.uint8).tobytes()]})
 
     out = np.zeros(CELLS, np.uint8)
@@ -109,7 +111,7 @@ def _levels(counts: DataFrame) -> np.ndarray:
     return out
 
 
-def _prefixes(rows: DataFrame, levels, width: int) -> DataFrame:
+def _prefixes(rows: DataFrame, levels, width: int, percent: int) -> DataFrame:
     """token, c, n, pos: the shingles of every class's prefix."""
 
     def part(batches):
@@ -118,7 +120,7 @@ def _prefixes(rows: DataFrame, levels, width: int) -> DataFrame:
             n = np.bincount(doc, minlength=len(lengths))
             first = np.cumsum(n) - n
             pos = np.arange(len(h)) - first[doc]
-            inside = pos < (n - -(-LINK * n // OF) + 1)[doc]
+            inside = pos < (n - -(-percent * n // OF) + 1)[doc]
             yield pa.RecordBatch.from_pydict({"token": h[inside].view(np.int64), "c": _classes(flat, lengths)[doc[inside]], "n": n[doc[inside]], "pos": pos[inside]})
 
     return rows.mapInArrow(part, "token long, c long, n long, pos long")
@@ -161,7 +163,7 @@ def _bitmap(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def _verify(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+def _verify(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, on whole sets."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     # One set per class; copies of a class carry equal sets.
@@ -174,7 +176,7 @@ def _verify(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
             for x, y in zip(t["sa"], t["sb"], strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 same = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(OF * same >= LINK * (len(x) + len(y) - same))
+                ok.append(OF * same >= percent * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_pydict({"a": t["a"], "b": t["b"]}).filter(pa.array(ok, pa.bool_()))
 
     return both.mapInArrow(part, "a long, b long")
@@ -201,9 +203,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _alpha(n: str, m: str) -> str:
+def _alpha(n: str, m: str, percent: int) -> str:
     """Shared shingles that sets of these sizes need."""
-    return f"ceil({LINK} * ({n} + {m}) / {LINK + OF}D)"
+    return f"ceil({percent} * ({n} + {m}) / {percent + OF}D)"
 
 
 def _bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -211,7 +213,7 @@ def _bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.minimum(x, y).sum(axis=1, dtype=np.int64)
 
 
-def _suffix(pairs: DataFrame, info: DataFrame) -> DataFrame:
+def _suffix(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that the suffix filter leaves."""
     side = lambda k: info.select(F.col("c").alias(k), F.col("n").alias(f"n{k}"), F.col("parts").alias(f"p{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -221,13 +223,13 @@ def _suffix(pairs: DataFrame, info: DataFrame) -> DataFrame:
             if not t.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(t[k].to_pylist()), np.uint16).reshape(-1, PARTS) for k in ("pa", "pb"))
-            need = np.ceil(LINK * (t["na"].to_numpy() + t["nb"].to_numpy()) / (LINK + OF))
+            need = np.ceil(percent * (t["na"].to_numpy() + t["nb"].to_numpy()) / (percent + OF))
             yield pa.RecordBatch.from_pydict({"a": t["a"], "b": t["b"]}).filter(pa.array(_bound(x, y) >= need))
 
     return both.mapInArrow(part, "a long, b long")
 
 
-def _block_pairs(b: pd.DataFrame) -> Iterator[tuple[int, int]]:
+def _block_pairs(b: pd.DataFrame, percent: int) -> Iterator[tuple[int, int]]:
     """Pairs of one hot shingle and two of its blocks (or one) that the filters leave."""
     token, i, j = b["token"].iloc[0], b["i"].iloc[0], b["j"].iloc[0]
     x, y = b[b["block"] == i], b[b["block"] == j]
@@ -249,8 +251,8 @@ def _block_pairs(b: pd.DataFrame) -> Iterator[tuple[int, int]]:
     col = lambda t, k: t[k].to_numpy()
     for k in range(len(x)):
         n, m, p, q = x["n"].iloc[k], col(y, "n"), x["pos"].iloc[k], col(y, "pos")
-        need = np.ceil(LINK * (n + m) / (LINK + OF))
-        ok = (col(y, "root") != x["root"].iloc[k]) & (OF * np.minimum(n, m) >= LINK * np.maximum(n, m))
+        need = np.ceil(percent * (n + m) / (percent + OF))
+        ok = (col(y, "root") != x["root"].iloc[k]) & (OF * np.minimum(n, m) >= percent * np.maximum(n, m))
         ok &= np.minimum(p, q) + 1 + np.minimum(n - p - 1, m - q - 1) >= need
         if i == j:
             ok[:k + 1] = False
@@ -261,7 +263,7 @@ def _block_pairs(b: pd.DataFrame) -> Iterator[tuple[int, int]]:
             yield x["c"].iloc[k], y["c"].iloc[o]
 
 
-def _hot_pairs(live: DataFrame, sizes: DataFrame, info: DataFrame) -> DataFrame:
+def _hot_pairs(live: DataFrame, sizes: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     """Pairs from shingles of more than HOT classes, block by block."""
     hot = live.join(sizes.filter(f"g > {HOT}"), "token")
     own = hot.groupBy("c").agg(F.collect_list("token").alias("hot"))  # within one text's prefix
@@ -271,15 +273,17 @@ def _hot_pairs(live: DataFrame, sizes: DataFrame, info: DataFrame) -> DataFrame:
         {"i": F.least("block", "k"), "j": F.greatest("block", "k")})
 
     def part(b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(_block_pairs(b)), columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(list(_block_pairs(b, percent)), columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("token", "i", "j").applyInPandas(part, "a long, b long")
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, row_col: str | None = None) -> DataFrame:
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, row_col: str | None = None) -> DataFrame:
     """Per row: row (`row_col`, else made here), doc_id, n_shingles, component_id (the smallest doc_id of its component)
     and root (equal within a component and nowhere else).
 
+    Texts link when their sets of `width`-word shingles share `percent` of their union or more.
+
     A text without words has an empty set, links with nothing and is its own component; a null id never is the
     smallest unless all are null. Repeated rows and copies are one class. Empty tables give no rows; other columns
     are not read. Texts are used whole: a long text's prefix grows with it. Equal 64-bit hashes stand for equal
@@ -292,30 +296,31 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = first.filter("chunk is null").select("row", "doc_id", "c", "n", "parts")
     info = saved(members.filter("n > 0").select("c", "n", "parts").dropDuplicates(["c"]), "classes")
     levels = docs.sparkSession.sparkContext.broadcast(_levels(first.filter("chunk is not null").select("chunk", "counts")))
-    prefix = saved(_prefixes(rows, levels, width), "prefixes")
+    prefix = saved(_prefixes(rows, levels, width, percent), "prefixes")
     # Copies repeat the rows of their class; a token of one class alone makes no pair.
-    sizes = prefix.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("token")
+    sizes = saved(prefix.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("token"), "tokens")
     live = saved(prefix.join(sizes, "token", "left_semi").dropDuplicates(["token", "c"]), "live")
     hubs = live.groupBy("token").agg(F.count("*").alias("g"), F.min(F.struct("n", "c", "pos")).alias("h"))
     hubs = saved(hubs.select("token", "g", F.col("h.n").alias("hn"), F.col("h.c").alias("hub"), F.col("h.pos").alias("hpos")), "hubs")
     star = live.join(hubs, "token").filter(
-        f"c <> hub and {OF} * hn >= {LINK} * n and least(pos, hpos) + 1 + least(n - pos - 1, hn - hpos - 1) >= {_alpha('n', 'hn')}")
+        f"c <> hub and {OF} * hn >= {percent} * n and least(pos, hpos) + 1 + least(n - pos - 1, hn - hpos - 1) >= {_alpha('n', 'hn', percent)}")
     star = star.select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct()
-    near = saved(_verify(saved(_suffix(star, info), "pairs"), rows, width), "links")
+    near = saved(_verify(saved(_suffix(star, info, percent), "pairs"), rows, width, percent), "links")
     roots = components(near)
     live = saved(live.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")), "rooted")
     few = live.join(hubs.filter(f"g <= {HOT}").select("token"), "token")
     other = few.select("token", *[F.col(k).alias(f"{k}2") for k in ("c", "n", "pos", "root")])
     pairs = few.join(other, "token").filter(
-        f"c < c2 and root <> root2 and {OF} * least(n, n2) >= {LINK} * greatest(n, n2) "
-        f"and least(pos, pos2) + 1 + least(n - pos - 1, n2 - pos2 - 1) >= {_alpha('n', 'n2')}")
-    pairs = _suffix(pairs.select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct(), info)
-    hot = _hot_pairs(live, hubs.select("token", "g"), info).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        f"c < c2 and root <> root2 and {OF} * least(n, n2) >= {percent} * greatest(n, n2) "
+        f"and least(pos, pos2) + 1 + least(n - pos - 1, n2 - pos2 - 1) >= {_alpha('n', 'n2', percent)}")
+    pairs = _suffix(pairs.select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct(), info, percent)
+    hot = _hot_pairs(live, hubs.select("token", "g"), info, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = saved(pairs.union(hot).distinct().join(star, ["a", "b"], "left_anti"), "pairs")
-    far = saved(_verify(rest, rows, width), "links")
+    far = saved(_verify(rest, rows, width, percent), "links")
     roots = components(near.union(far))
     top = members.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "c")).otherwise(F.col("row")))
-    least = top.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # Written first, so that the join can be split where a component is very large.
+    least = saved(top.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     return top.join(least, "root", "left").select(
         "row", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.struct(F.col("n") > 0, "root").alias("root"))
 

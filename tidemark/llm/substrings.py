@@ -202,7 +202,8 @@ def repeated_windows(rows: DataFrame, window: int = 35, hot: int | None = None)
     if not ANCHOR < window <= ANCHOR + 62:
         raise ValueError("a run of windows must fit the bits of a mask")
     runs = saved(_runs(rows, window), "runs")
-    again = runs.groupBy("anchor").agg(F.count("*").alias("t")).filter("t > 1").select("anchor")
+    # Written first: a join right above an aggregate could not be split where an anchor is very common.
+    again = saved(runs.groupBy("anchor").agg(F.count("*").alias("t")).filter("t > 1").select("anchor"), "again")
     live = saved(runs.join(again, "anchor", "left_semi"), "live")
     contents = live.groupBy("anchor", "content", "n").agg(F.count("*").alias("times"), F.min(F.struct("row", "first")).alias("x"))
     several = contents.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1")
