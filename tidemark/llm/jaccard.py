@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import lower_ascii, saved, words
 
-CELLS = 1 << 23  # of the rarity count: 8 MB when broadcast
+CELLS = 1 << 24  # of the rarity count: 16 MB when broadcast
 CHUNK = 1 << 16
-PARTS = 64  # of the hash range, for the suffix filter
+PARTS = 128  # of the hash range, for the suffix filter
 FILTER_BITS = 1 << 23
 HOT, BLOCK = 20, 1024
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -62,10 +62,14 @@ def _sets(h: np.ndarray, doc: np.ndarray, level: np.ndarray | None = None) -> tu
     return h[new], doc[new]
 
 
-def _batches(batches, width: int):
+def _batches(batches, most: int = 500_000):
+    """Slices of about `most` words, the hashes of their words and their lengths: memory follows the longest text."""
     for b in batches:
         lengths = b["w"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        yield b, b["w"].flatten().to_numpy(zero_copy_only=False), lengths
+        first = np.flatnonzero(np.diff(np.cumsum(lengths) // most, prepend=-1))
+        for a, z in zip(first, np.append(first[1:], len(lengths)), strict=True):
+            t = b.slice(a, z - a)
+            yield t, t["w"].flatten().to_numpy(zero_copy_only=False), lengths[a:z]
 
 
 def _classes(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -80,12 +84,12 @@ def _members(rows: DataFrame, width: int, kind: str) -> DataFrame:
 
     def part(batches):
         cells = np.zeros(CELLS, np.uint8)
-        for b, flat, lengths in _batches(batches, width):
+        for b, flat, lengths in _batches(batches):
             h, doc = _sets(*shingles(flat, lengths, width))
             cell, k = np.unique((h & np.uint64(CELLS - 1)).astype(np.uint32), return_counts=True)
             cells[cell] = np.minimum(cells[cell] + k, 255)
             n = np.bincount(doc, minlength=len(lengths))
-            parts = np.bincount(doc * PARTS + (h >> np.uint64(58)).astype(np.int64), minlength=len(lengths) * PARTS)
+            parts = np.bincount(doc * PARTS + (h >> np.uint64(57)).astype(np.int64), minlength=len(lengths) * PARTS)
             parts = np.minimum(parts, 65535).astype(np.uint16).reshape(-1, PARTS)
             yield pa.RecordBatch.from_pydict({"row": b["row"], "doc_id": b["doc_id"], "c": _classes(flat, lengths), "n": n,
                                               "parts": [p.tobytes() for p in parts], "chunk": [None] * len(n), "counts": [None] * len(n)}, schema)
@@ -115,7 +119,7 @@ def _prefixes(rows: DataFrame, levels, width: int, percent: int) -> DataFrame:
     """token, c, n, pos: the shingles of every class's prefix."""
 
     def part(batches):
-        for _, flat, lengths in _batches(batches, width):
+        for _, flat, lengths in _batches(batches):
             h, doc = _sets(*shingles(flat, lengths, width), levels.value)
             n = np.bincount(doc, minlength=len(lengths))
             first = np.cumsum(n) - n
@@ -131,7 +135,7 @@ def _whole_sets(rows: DataFrame, wanted: np.ndarray, width: int) -> DataFrame:
     bits = rows.sparkSession.sparkContext.broadcast(wanted)
 
     def part(batches):
-        for _, flat, lengths in _batches(batches, width):
+        for _, flat, lengths in _batches(batches):
             c = _classes(flat, lengths)
             at = _mixed(c.view(np.uint64)) % np.uint64(FILTER_BITS)
             keep = ((bits.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
@@ -210,7 +214,9 @@ def _alpha(n: str, m: str, percent: int) -> str:
 
 def _bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Suffix filter: two sets share at most the smaller count in every part of the hash range."""
-    return np.minimum(x, y).sum(axis=1, dtype=np.int64)
+    m = np.minimum(x, y)
+    # A count at the type's end stands for any larger one, and then bounds nothing.
+    return m.sum(axis=1, dtype=np.int64) + (m == 65535).any(axis=1) * (1 << 40)
 
 
 def _suffix(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
