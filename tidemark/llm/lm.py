@@ -184,7 +184,7 @@ def train(ids: np.ndarray, lengths: np.ndarray, counts: np.ndarray, max_windows:
     return Model(q, k, v, u + p["b"], pq, pk, pv, pu, p["O"] @ p["U"], np.append(of, 0), np.append(within, 0.0).astype(np.float32))
 
 
-def _slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int = 300_000):
+def _slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int = 150_000):
     """The batch in slices of about `most` by the rows' sizes, so that memory does not follow its row count."""
     turn = np.cumsum(sizes) // most
     first = np.flatnonzero(np.diff(turn, prepend=-1))
@@ -205,16 +205,22 @@ def _encoded(rows: DataFrame, path: str, kind: str) -> DataFrame:
     def part(batches):
         subs = np.zeros(tokenizer(path).n_vocab + 1, np.int64)
         for b in batches:
-            flags = b["held_out"].to_numpy(zero_copy_only=False)
             size = b["w"].value_lengths().to_numpy(zero_copy_only=False)
-            yield counted("word", *np.unique(b["w"].flatten().to_numpy(zero_copy_only=False)[~np.repeat(flags, size)], return_counts=True))
-            for t in _slices(b.select(["row", "doc_id", "held_out", "text"]), size):
+            keys, ns = [], []
+            for t in _slices(b, size):
                 ids, lengths = encode(t["text"].to_pylist(), path)
-                subs += np.bincount(ids[~np.repeat(t["held_out"].to_numpy(zero_copy_only=False), lengths)], minlength=len(subs))
+                learn = ~t["held_out"].to_numpy(zero_copy_only=False)
+                subs += np.bincount(ids[np.repeat(learn, lengths)], minlength=len(subs))
+                key, n = np.unique(t["w"].flatten().to_numpy(zero_copy_only=False)[np.repeat(learn, t["w"].value_lengths().to_numpy(zero_copy_only=False))], return_counts=True)
+                keys.append(key)
+                ns.append(n)
                 ends, ids = np.cumsum(lengths), ids.astype(IDS)
                 packed = pa.array([ids[e - n:e].tobytes() for e, n in zip(ends, lengths, strict=True)], pa.binary())
                 none = pa.nulls(len(lengths))
                 yield pa.RecordBatch.from_arrays([t["row"], t["doc_id"], t["held_out"], packed, none.cast(pa.string()), none.cast(pa.int64()), none.cast(pa.int64())], schema=schema)
+            key, own = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]), return_inverse=True)
+            yield counted("word", key, np.bincount(own, np.concatenate([*ns, np.zeros(0, np.int64)]), minlength=len(key)).astype(np.int64))
+            pa.default_memory_pool().release_unused()
         key = np.flatnonzero(subs)
         yield counted("sub", key, subs[key])
 
@@ -267,6 +273,7 @@ def score_texts(
                 lengths = pc.binary_length(t["ids"]).to_numpy(zero_copy_only=False).astype(np.int64) // np.dtype(IDS).itemsize
                 flat = np.frombuffer(b"".join(t["ids"].to_pylist()), IDS).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([t["row"], t["doc_id"], t["held_out"], pa.array(log_probs(network.value, flat, lengths) / np.log(10))], ["row", "doc_id", "held_out", "score"])
+            pa.default_memory_pool().release_unused()
 
     scored = texts.select("row", "doc_id", "held_out", "ids").mapInArrow(score, f"row long, doc_id {kind}, held_out boolean, score double")
     schema = pa.schema([("row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("key", pa.int64())])
