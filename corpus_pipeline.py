@@ -29,8 +29,9 @@ def _held(docs: DataFrame) -> tuple[DataFrame, list]:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """The documents with a number per row, written once so that the numbers stay."""
-    return saved(docs.withColumn(ROW, F.monotonically_increasing_id()), "documents")
+    """The documents with a number per row. A stage's input is Parquet as written: every scan of it makes the same
+    partitions in the same order, and so the same numbers, and the texts need not be copied for them."""
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +42,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of linked ones, that with the smallest doc_id; documents without words all stay."""
+    """One document of every group of near duplicates (shingles of five words, similarity of 0.8 or more), that with
+    the smallest doc_id; documents without words all stay."""
     rows = _numbered(docs)
-    linked = link_components(rows, row_col=ROW)
+    linked = link_components(rows, width=5, percent=80, row_col=ROW)
     first = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("m")).select(F.col("m.row").alias(ROW))
     return rows.join(first, ROW, "left_semi").select(*docs.columns)
 

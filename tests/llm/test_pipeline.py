@@ -43,7 +43,7 @@ def test_quality_stage_keeps_what_the_classifier_accepts(spark, stages):
 
 def test_one_of_each_group_stays(stages):
     given = stages[1].collect()
-    comp = test_jaccard.brute(given)
+    comp = test_jaccard.brute(given, 5, 80)
     want = {c for _, n, c in comp if n} | set()
     kept = [r.doc_id for r in stages[2].collect()]
     full = [i for i in kept if i in want]

@@ -131,15 +131,16 @@ def score_quality(
     """Score every document; learn from labels whose id's crc32 modulo `folds` is not `held_out`.
 
     Returns doc_id, held_out, score, predicted and the columns in `keep` (names other than those of the result and
-    of the statistics). Statistics are computed once and written, with these columns, to the shared folder. A null or empty text has statistics of zero
+    of the statistics). The statistics that training reads are written to the shared folder. A null or empty text has statistics of zero
     and gets a score like any other; a null id is never held out nor labelled; repeated rows are scored each and
     count each in training. Labels without a value are ignored, several labels of one id are averaged.
     """
-    stats = saved(document_stats(docs, id_col, text_col, keep), "stats")
+    stats = saved(document_stats(docs, id_col, text_col), "stats")
     given = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.avg(label_col).alias("label"))
     train = stats.select("doc_id", *STATS).join(given, "doc_id").filter(remainder(F.col("doc_id"), folds) != held_out).drop("doc_id")
     model = fit(saved(train, "train"), **how)
-    out = _with_score(stats, model, "score", False)
+    # With columns to keep, the statistics are computed again beside them: the texts are neither copied nor shuffled.
+    out = _with_score(document_stats(docs, id_col, text_col, keep) if keep else stats, model, "score", False)
     return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score",
                       (F.col("score") >= cut).cast("int").alias("predicted"), *keep)
 
