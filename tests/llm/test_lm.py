@@ -71,6 +71,18 @@ def test_batches_do_not_change_scores_and_held_out_texts_beat_unigrams(model):
     assert all_at_once.sum() > 0.95 * unigram
 
 
+def test_context_tells_two_subwords_of_a_class_apart():
+    counts = np.zeros(lm.tokenizer(lm.VOCABULARY).n_vocab + 1)
+    a, b, x, y = 1000, 1001, 1002, 1003
+    ids = np.array([(a, x) if k % 2 else (b, y) for k in np.random.default_rng(1).integers(0, 2, 8000)]).reshape(-1)
+    counts[[a, b, x, y]] = 400
+    counts[5000:5400] = 500  # so that x and y share a class
+    m = lm.train(ids, np.full(500, 32), counts, max_windows=None, epochs=20, batch=16)
+    assert lm.CLASSES >= 64 and m.of[x] == m.of[y]
+    given = lambda *t: float(lm.log_probs(m, np.array(t), np.array([len(t)]))[0])
+    assert given(a, x) - given(a, y) > 1 and given(b, y) - given(b, x) > 1
+
+
 def test_empty_tables(spark):
     docs = documents(spark)
     assert lm.op10_query(docs.limit(0)).count() == 0

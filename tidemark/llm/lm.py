@@ -1,14 +1,15 @@
 """LM scoring: a causal self-attention model in numpy on subword ids, and a word unigram base score.
 
-The model has one attention layer. Its softmax is factored: the layer predicts a class of subwords, and a subword
-within its class follows the corpus's counts. As there is one layer, queries, keys, values and the direct part of the
-logits are tables by subword id, made once after training. A text is cut into overlapping windows; every token is
+The model has one attention layer. Its softmax is factored: the layer predicts a class of subwords, and then, by a
+binary tree with weights of its own at every node, the subword within the class. As there is one layer, queries, keys
+and values are tables by subword id, made once after training. A text is cut into overlapping windows; every token is
 scored in one window, after the first one with `CONTEXT` tokens before it at least.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -25,7 +26,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 WINDOW, CONTEXT = 32, 8
 STEP = WINDOW - CONTEXT
-WIDTH, HEAD, CLASSES = 16, 8, 32
+WIDTH, HEAD, CLASSES = 16, 8, 64
 #: Word counts of at least N / FREQUENT are looked up in the scan: at most FREQUENT words, whatever the corpus.
 FREQUENT = 1_000_000
 
@@ -45,6 +46,17 @@ def encode(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), np.array([len(a) + 1 for a in parts[::2]], np.int64)
 
 
+class Tree(NamedTuple):
+    """A binary tree of the ids of every class: the nodes above an id are those from `first` on, `steps` of them."""
+
+    of: np.ndarray  # class of each id
+    first: np.ndarray
+    steps: np.ndarray
+    node: np.ndarray
+    side: np.ndarray  # 1 where the id is on the right, else -1
+    odds: np.ndarray  # per node: log odds of its right side by the counts
+
+
 class Model(NamedTuple):
     """Tables by subword id; the last id but one ends a text, the last one begins it (never predicted)."""
 
@@ -56,12 +68,14 @@ class Model(NamedTuple):
     pos_k: np.ndarray
     pos_v: np.ndarray
     pos_direct: np.ndarray
+    mix: np.ndarray
     out: np.ndarray
+    bias: np.ndarray
+    nodes: np.ndarray  # weights and bias of every node
     of: np.ndarray  # class of each id
-    within: np.ndarray  # log probability of each id within its class
+    tree: Tree
 
 
-MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 PAST = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 #: Scores and logits are held within these bounds, so that exponentials need no shift.
 LEAST, MOST = np.float32(-60), np.float32(60)
@@ -100,88 +114,178 @@ def log_probs(m: Model, ids: np.ndarray, lengths: np.ndarray, chunk: int = 512)
         h = np.matmul(s, v[x] + pos_v)
         own, p = np.nonzero(inside & (at >= skip[a:a + chunk, None]))
         h = h[own, p]
-        logit = (h[:, :-1] / h[:, -1:]) @ m.out
-        logit += m.direct[x[own, p]]
-        logit += m.pos_direct[p]
+        h = (h[:, :-1] / h[:, -1:]) @ m.mix
+        h += m.direct[x[own, p]]
+        h += m.pos_direct[p]
+        logit = h @ m.out + m.bias
         np.clip(logit, LEAST, MOST, out=logit)
         y = ids[flat[own, p]]
         c = m.of[y]
-        lp = logit[np.arange(len(c)), c] + m.within[y]
+        lp = logit[np.arange(len(c)), c].astype(np.float64)
+        own_of, node, side = steps(m.tree, y)
+        lp -= np.bincount(own_of, np.log1p(np.exp(-side * node_logits(m.nodes, node, h[own_of]))), minlength=len(c))
         lp -= np.log(np.exp(logit, out=logit) @ ones)
         out += np.bincount(d[own], lp, minlength=len(out))
     return out
 
 
-def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of about equal mass along falling counts, and log probabilities within them, smoothed by one."""
+def classes(counts: np.ndarray) -> np.ndarray:
+    """Classes of about equal mass along falling counts."""
     c = counts + 1.0
     order = np.argsort(-c, kind="stable")
     mass = np.cumsum(c[order]) - c[order] / 2
     of = np.empty(len(c), np.int64)
     of[order] = np.minimum(mass / c.sum() * CLASSES, CLASSES - 1).astype(np.int64)
-    return of, np.log(c / np.bincount(of, c, minlength=CLASSES)[of])
-
-
-def train(ids: np.ndarray, lengths: np.ndarray, counts: np.ndarray, max_windows: int = 12_000, epochs: int = 2, batch: int = 128, rate: float = 0.01, seed: int = 5) -> Model:
-    """Adam on the cross-entropy of classes over windows of the sample; `counts` are those of the whole corpus."""
-    g = np.random.default_rng(seed)
-    size = len(counts)
-    of, within = classes(counts)
+    return of
+
+
+def grown(counts: np.ndarray) -> Tree:
+    """Huffman trees of the classes; by their odds alone, ids follow their counts, smoothed by one."""
+    of, c, size = classes(counts), counts + 1.0, len(counts)
+    up, right, odds = np.full(2 * size, -1), np.zeros(2 * size, bool), []
+    for k in range(CLASSES):
+        heap = [(c[i], i) for i in np.flatnonzero(of == k).tolist()]
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            (a, i), (b, j), n = heapq.heappop(heap), heapq.heappop(heap), size + len(odds)
+            up[i], up[j], right[j] = n, n, True
+            odds.append(np.log(b / a))
+            heapq.heappush(heap, (a + b, n))
+    ids, at, parts = np.arange(size), np.arange(size), []
+    while len(ids := ids[more := up[at] >= 0]):
+        at = at[more]
+        parts.append((ids, up[at] - size, np.where(right[at], 1, -1)))
+        at = up[at]
+    own, node, side = (np.concatenate([p[k] for p in parts] or [np.zeros(0, int)]) for k in range(3))
+    order, n = np.argsort(own, kind="stable"), np.bincount(own, minlength=size)
+    return Tree(of, np.cumsum(n) - n, n, node[order].astype(np.int32), side[order].astype(np.float32), np.array(odds))
+
+
+def steps(tree: Tree, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every step from an id of `y` up its tree: the position in `y`, the node and the side."""
+    n = tree.steps[y]
+    own = np.repeat(np.arange(len(y)), n)
+    at = np.repeat(tree.first[y] - (np.cumsum(n) - n), n) + np.arange(len(own))
+    return own, tree.node[at], tree.side[at]
+
+
+def node_logits(nodes: np.ndarray, node: np.ndarray, h: np.ndarray) -> np.ndarray:
+    w = nodes[node]
+    return np.clip(np.einsum("ij,ij->i", h, w[:, :-1]) + w[:, -1], LEAST, MOST)
+
+
+def start(counts: np.ndarray, tree: Tree, seed: int = 5) -> dict[str, np.ndarray]:
+    """Parameters before training; ids that no training text holds have no embedding."""
+    g, size = np.random.default_rng(seed), len(counts)
     p = {"E": g.normal(0, 0.3, (size + 1, WIDTH)), "P": g.normal(0, 0.1, (WINDOW, WIDTH)), "Q": g.normal(0, 0.3, (WIDTH, HEAD)), "K": g.normal(0, 0.3, (WIDTH, HEAD)),
          "V": g.normal(0, 0.3, (WIDTH, HEAD)), "O": g.normal(0, 0.1, (HEAD, WIDTH)), "U": g.normal(0, 0.1, (WIDTH, CLASSES))}
-    p = {k: v.astype(np.float32) for k, v in p.items()}
-    p["b"] = np.log(np.maximum(np.bincount(of, counts + 1.0, minlength=CLASSES) / (counts + 1.0).sum(), 1e-9)).astype(np.float32)
-    mean, var = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
-    base = np.cumsum(lengths) - lengths
-    doc, start, _ = windows(lengths) if len(lengths) else (np.zeros(0, int),) * 3
-    pick = np.sort(g.permutation(len(doc))[:max_windows])
-    given = np.concatenate([[size], ids[:-1]]) if len(ids) else ids
-    given[base] = size
-    at, t, scale = np.arange(WINDOW), 0, np.float32(HEAD ** -0.5)
-    for _ in range(epochs):
-        g.shuffle(pick)
-        for a in range(0, len(pick), batch):
-            w = pick[a:a + batch]
-            d = doc[w]
-            pos = start[w, None] + at
-            inside = (pos < lengths[d][:, None]).astype(np.float32)
-            flat = base[d][:, None] + np.minimum(pos, lengths[d][:, None] - 1)
-            x, y = given[flat], of[ids[flat]]
-            e = p["E"][x] + p["P"]
-            q, k, v = e @ p["Q"], e @ p["K"], e @ p["V"]
-            s = np.matmul(q, k.transpose(0, 2, 1)) * scale + MASK
-            s = np.exp(s - s.max(-1, keepdims=True))
-            s /= s.sum(-1, keepdims=True)
-            o = np.matmul(s, v)
-            h = e + o @ p["O"]
-            z = h @ p["U"] + p["b"]
-            z = np.exp(z - z.max(-1, keepdims=True))
-            z /= z.sum(-1, keepdims=True)
-            np.put_along_axis(z, y[..., None], np.take_along_axis(z, y[..., None], -1) - 1, -1)
-            z *= (inside / inside.sum())[..., None]
-            rows = lambda m: m.reshape(-1, m.shape[-1])
-            grad = {"U": rows(h).T @ rows(z), "b": rows(z).sum(0)}
-            dh = z @ p["U"].T
-            grad["O"] = rows(o).T @ rows(dh)
-            do = dh @ p["O"].T
-            ds = np.matmul(do, v.transpose(0, 2, 1))
-            ds = s * (ds - (ds * s).sum(-1, keepdims=True)) * scale
-            dq, dk, dv = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(s.transpose(0, 2, 1), do)
-            grad |= {"Q": rows(e).T @ rows(dq), "K": rows(e).T @ rows(dk), "V": rows(e).T @ rows(dv)}
-            de = dh + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
-            grad["P"] = de.sum(0)
-            own, back = np.unique(x, return_inverse=True)
-            some = np.zeros((len(own), WIDTH), np.float32)
-            np.add.at(some, back.reshape(-1), rows(de))
-            t += 1
-            for n, v_ in {**grad, "E": some}.items():
-                i = own if n == "E" else slice(None)
-                mean[n][i] = 0.9 * mean[n][i] + 0.1 * v_
-                var[n][i] = 0.99 * var[n][i] + 0.01 * v_ * v_
-                p[n][i] -= rate * (mean[n][i] / (1 - 0.9 ** t)) / (np.sqrt(var[n][i] / (1 - 0.99 ** t)) + 1e-6)
-    tables = lambda w, f=1.0: (p["E"] @ w * f, p["P"] @ w * f)
-    (q, pq), (k, pk), (v, pv), (u, pu) = tables(p["Q"], scale), tables(p["K"]), tables(p["V"]), tables(p["U"])
-    return Model(q, k, v, u + p["b"], pq, pk, pv, pu, p["O"] @ p["U"], np.append(of, 0), np.append(within, 0.0).astype(np.float32))
+    p["E"][:-1][counts == 0] = 0
+    p["b"] = np.log(np.maximum(np.bincount(tree.of, counts + 1.0, minlength=CLASSES) / (counts + 1.0).sum(), 1e-9))
+    p["T"] = np.hstack([np.zeros((len(tree.odds), WIDTH)), tree.odds[:, None]])
+    return {k: v.astype(np.float32) for k, v in p.items()}
+
+
+SPARSE = ("E", "T")
+
+
+def _sums(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, how often each occurs, and the sums of their rows."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first], np.diff(np.append(first, len(key))), np.add.reduceat(rows[order], first) if len(first) else rows[:0]
+
+
+class Learner:
+    """Adam on the cross-entropy of subwords over windows; `used` counts the uses of every row of a table."""
+
+    def __init__(self, p: dict[str, np.ndarray], tree: Tree, batch: int = 128, rate: float = 0.01, seed: int = 5):
+        self.p, self.tree, self.batch, self.rate, self.t = {k: v.copy() for k, v in p.items()}, tree, batch, rate, 0
+        self.mean, self.var = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+        self.used = {k: np.zeros(len(p[k]) if k in SPARSE else 1) for k in p}
+        self.g = np.random.default_rng(seed)
+
+    def learn(self, ids: np.ndarray, lengths: np.ndarray, epochs: int = 1, most: int | None = None) -> None:
+        """Every token of the texts is predicted once an epoch, unless there are more than `most` windows."""
+        if not len(ids):
+            return
+        begin = len(self.p["E"]) - 1
+        base, n = np.cumsum(lengths) - lengths, -(-lengths // WINDOW)
+        doc = np.repeat(np.arange(len(lengths)), n)
+        first = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * WINDOW
+        given = np.concatenate([[begin], ids[:-1]])
+        given[base] = begin
+        pick = np.sort(self.g.permutation(len(doc))[:most])
+        for _ in range(epochs):
+            self.g.shuffle(pick)
+            for a in range(0, len(pick), self.batch):
+                w = pick[a:a + self.batch]
+                pos, long = first[w, None] + np.arange(WINDOW), lengths[doc[w]][:, None]
+                flat = base[doc[w]][:, None] + np.minimum(pos, long - 1)
+                self._step(given[flat], ids[flat], pos < long)
+
+    def _step(self, x: np.ndarray, y: np.ndarray, inside: np.ndarray) -> None:
+        p, scale, rows = self.p, np.float32(HEAD ** -0.5), lambda m: m.reshape(-1, m.shape[-1])
+        e = p["E"][x] + p["P"]
+        q, k, v = e @ p["Q"], e @ p["K"], e @ p["V"]
+        s = np.matmul(q * scale, k.transpose(0, 2, 1))
+        np.clip(s, LEAST, MOST, out=s)
+        np.exp(s, out=s)
+        s *= PAST
+        s /= (s @ np.ones(WINDOW, np.float32))[..., None]
+        o = np.matmul(s, v)
+        own = np.flatnonzero(inside.reshape(-1))
+        h, y, share = rows(e + o @ p["O"])[own], y.reshape(-1)[own], np.float32(1 / len(own))
+        z = h @ p["U"] + p["b"]
+        np.clip(z, LEAST, MOST, out=z)
+        np.exp(z, out=z)
+        z /= (z @ np.ones(CLASSES, np.float32))[:, None]
+        z[np.arange(len(y)), self.tree.of[y]] -= 1
+        z *= share
+        of, node, side = steps(self.tree, y)
+        above = h[of]
+        d = (-side * share / (1 + np.exp(side * node_logits(p["T"], node, above)))).astype(np.float32)
+        back = z @ p["U"].T
+        if len(of):
+            some = np.flatnonzero(np.diff(of, prepend=-1))
+            back[of[some]] += np.add.reduceat(d[:, None] * p["T"][node, :-1], some)
+        dh = np.zeros((x.size, WIDTH), np.float32)
+        dh[own] = back
+        dh = dh.reshape(*x.shape, WIDTH)
+        do = dh @ p["O"].T
+        ds = np.matmul(do, v.transpose(0, 2, 1))
+        ds -= np.einsum("bij,bij->bi", ds, s)[..., None]
+        ds *= s
+        ds *= scale
+        dq, dk, dv = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(s.transpose(0, 2, 1), do)
+        de = dh + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
+        grad = {"U": h.T @ z, "b": z.sum(0), "O": rows(o).T @ rows(dh), "Q": rows(e).T @ rows(dq), "K": rows(e).T @ rows(dk), "V": rows(e).T @ rows(dv), "P": de.sum(0)}
+        at = {}
+        for name, key, g in (("E", x.reshape(-1), rows(de)), ("T", node, np.hstack([d[:, None] * above, d[:, None]]))):
+            at[name], n, grad[name] = _sums(key, g)
+            self.used[name][at[name]] += n
+        self.t += 1
+        for name, g in grad.items():
+            i = at.get(name, slice(None))
+            if name not in SPARSE:
+                self.used[name] += len(x)
+            mean = self.mean[name][i] = 0.9 * self.mean[name][i] + 0.1 * g
+            var = self.var[name][i] = 0.99 * self.var[name][i] + 0.01 * g * g
+            p[name][i] -= self.rate * (mean / (1 - 0.9 ** self.t)) / (np.sqrt(var / (1 - 0.99 ** self.t)) + 1e-6)
+
+
+def model_of(p: dict[str, np.ndarray], tree: Tree) -> Model:
+    tables = lambda w, f=1.0: (p["E"] @ w * np.float32(f), p["P"] @ w * np.float32(f))
+    (q, pq), (k, pk), (v, pv) = tables(p["Q"], HEAD ** -0.5), tables(p["K"]), tables(p["V"])
+    return Model(q, k, v, p["E"], pq, pk, pv, p["P"], p["O"], p["U"], p["b"], p["T"], np.append(tree.of, 0), tree)
+
+
+def train(ids: np.ndarray, lengths: np.ndarray, counts: np.ndarray, max_windows: int | None = 12_000, epochs: int = 2, batch: int = 128, rate: float = 0.01, seed: int = 5) -> Model:
+    """A model of the texts given here, learned in this process; `counts` are those of the whole corpus."""
+    tree = grown(counts)
+    net = Learner(start(counts, tree, seed), tree, batch, rate, seed)
+    net.learn(ids, lengths, epochs, max_windows)
+    return model_of(net.p, tree)
 
 
 def _slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int = 150_000):
