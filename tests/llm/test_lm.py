@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tests.llm.cases import documents
@@ -71,6 +72,20 @@ def test_batches_do_not_change_scores_and_held_out_texts_beat_unigrams(model):
     assert all_at_once.sum() > 0.95 * unigram
 
 
+def test_all_training_texts_are_learned_from(spark):
+    g = np.random.default_rng(1)
+    docs = spark.createDataFrame([(k, " ".join(f"{'abcdefgh'[i]}{k % 2}" for i in g.integers(0, 8, 30)) + (" zebra quilt" if k == 1900 else "")) for k in range(2000)], "doc_id long, text string")
+    rows = lm._encoded(docs.select(F.col("doc_id").alias("row"), "doc_id", F.lit(False).alias("held_out"), "text", F.array(F.lit(0).cast("long")).alias("w")), lm.VOCABULARY, "bigint").repartition(3)
+    got = rows.filter("kind is not null").groupBy("kind", "key").agg(F.sum("n").alias("n")).filter("kind = 'sub'").collect()
+    counts = np.zeros(lm.tokenizer(lm.VOCABULARY).n_vocab + 1)
+    counts[[r["key"] for r in got]] = [r["n"] for r in got]
+    tree = lm.grown(counts)
+    p = lm.start(counts, tree)
+    out = lm.learned(rows.filter("kind is null"), p, tree)
+    moved = (out["E"][:-1] != p["E"][:-1]).any(1)
+    assert (moved == ((counts > 0) & (np.arange(len(counts)) < len(counts) - 1))).all()  # the end is predicted, never read
+
+
 def test_context_tells_two_subwords_of_a_class_apart():
     counts = np.zeros(lm.tokenizer(lm.VOCABULARY).n_vocab + 1)
     a, b, x, y = 1000, 1001, 1002, 1003

@@ -4,6 +4,9 @@ The model has one attention layer. Its softmax is factored: the layer predicts a
 binary tree with weights of its own at every node, the subword within the class. As there is one layer, queries, keys
 and values are tables by subword id, made once after training. A text is cut into overlapping windows; every token is
 scored in one window, after the first one with `CONTEXT` tokens before it at least.
+
+All training texts are learned from: every task takes its part of them from a common start, and the tasks' tables are
+averaged by how often each of their rows was used.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+
 WINDOW, CONTEXT = 32, 8
 STEP = WINDOW - CONTEXT
 WIDTH, HEAD, CLASSES = 16, 8, 64
+#: Training goes over the texts again until it has seen so many subwords, but at most `PASSES` times.
+LEAST_SEEN, PASSES = 2_000_000, 4
 #: Word counts of at least N / FREQUENT are looked up in the scan: at most FREQUENT words, whatever the corpus.
 FREQUENT = 1_000_000
 
@@ -288,6 +293,70 @@ def train(ids: np.ndarray, lengths: np.ndarray, counts: np.ndarray, max_windows:
     return model_of(net.p, tree)
 
 
+def _unpacked(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    lengths = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // np.dtype(IDS).itemsize
+    return np.frombuffer(b"".join(ids.to_pylist()), IDS).astype(np.int64), lengths
+
+
+#: Rows of a table that are averaged together.
+BUCKET = 512
+
+
+def learned(texts: DataFrame, p: dict[str, np.ndarray], tree: Tree) -> dict[str, np.ndarray]:
+    """One round: every task learns from its texts (ids) and all of them, from `p` on; the rows of the tables are averaged
+    by their uses. Rows that no task used stay as they are."""
+    given = texts.sparkSession.sparkContext.broadcast((p, tree))
+
+    def part(batches):
+        net = None
+        for b in batches:
+            for t in _slices(b, pc.binary_length(b["ids"]).to_numpy(zero_copy_only=False) // np.dtype(IDS).itemsize):
+                net = net or Learner(*given.value)
+                net.learn(*_unpacked(t["ids"]))
+            pa.default_memory_pool().release_unused()
+        for name, used in net.used.items() if net else ():
+            rows = net.p[name] if name in SPARSE else net.p[name].reshape(1, -1)
+            key = np.flatnonzero(used)
+            for own in np.split(key, np.flatnonzero(np.diff(key // BUCKET)) + 1) if len(key) else ():
+                sums = rows[own] * used[own, None]
+                yield pa.RecordBatch.from_pydict({"name": [name], "bucket": pa.array([own[0] // BUCKET], pa.int64()), "keys": [own.astype(np.int64).tobytes()],
+                                                  "used": [used[own].tobytes()], "sums": [sums.astype(np.float64).tobytes()]})
+
+    def add(b):
+        key, at = np.unique(np.concatenate([np.frombuffer(k, np.int64) for k in b["keys"]]), return_inverse=True)
+        used = np.bincount(at, np.concatenate([np.frombuffer(u, np.float64) for u in b["used"]]))
+        rows = np.concatenate([np.frombuffer(x, np.float64).reshape(len(k) // 8, -1) for x, k in zip(b["sums"], b["keys"], strict=True)])
+        sums = np.zeros((len(key), rows.shape[1]))
+        np.add.at(sums, at, rows)
+        out = b.iloc[:1].copy()
+        out["keys"], out["used"], out["sums"] = [key.tobytes()], [used.tobytes()], [sums.tobytes()]
+        return out
+
+    schema, out = "name string, bucket long, keys binary, used binary, sums binary", {k: v.copy() for k, v in p.items()}
+    for r in texts.select("ids").mapInArrow(part, schema).groupBy("name", "bucket").applyInPandas(add, schema).collect():
+        used = np.frombuffer(r.used, np.float64)
+        rows = np.frombuffer(r.sums, np.float64).reshape(len(used), -1) / used[:, None]
+        if r.name in SPARSE:
+            out[r.name][np.frombuffer(r["keys"], np.int64)] = rows
+        else:
+            out[r.name] = rows.reshape(p[r.name].shape).astype(np.float32)
+    given.destroy()
+    return out
+
+
+def learn_all(texts: DataFrame, counts: np.ndarray) -> Model:
+    """A model of all texts (row, ids): first of an eighth of them for a common start, then of the others; small tables
+    are gone over again."""
+    tree = grown(counts)
+    p = start(counts, tree)
+    early = F.pmod(F.xxhash64("row"), F.lit(8)) == 0
+    for own in (early, ~early):
+        p = learned(texts.filter(own), p, tree)
+    for _ in range(1, min(PASSES, int(-(-LEAST_SEEN // max(counts.sum(), 1))))):
+        p = learned(texts, p, tree)
+    return model_of(p, tree)
+
+
 def _slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int = 150_000):
     """The batch in slices of about `most` by the rows' sizes, so that memory does not follow its row count."""
     turn = np.cumsum(sizes) // most
@@ -337,14 +406,14 @@ IDS = np.uint32
 
 def score_texts(
     docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2,
-    sample: int = 800, frequent: int = FREQUENT, **how,
+    sample: int | None = None, frequent: int = FREQUENT, **how,
 ) -> DataFrame:
     """Per row: row, doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of the model's
     probability of the text and its end).
 
     Word and subword counts cover all training texts (ids whose crc32 modulo `folds` is not `held_out`; a null id
-    is one). The network itself is trained on `sample` of them, those first by a hash of their id, and at most
-    `max_windows` windows. Words of at least 1 / `frequent` of all tokens are counted within the scan; the others join
+    is one), and the network learns from all of them. With `sample`, it learns from so many only, those first by a hash
+    of their id, in this process and with the other options of `train`. Words of at least 1 / `frequent` of all tokens are counted within the scan; the others join
     their counts by hash. A null or empty text has one token, its end. Repeated rows count and are scored each; an
     empty table gives no rows, one without training texts a model of no knowledge. Texts are scored whole. Subword
     ids are made once and written to the shared folder.
@@ -363,9 +432,13 @@ def score_texts(
     got = counts.filter("kind = 'sub'").toPandas()
     subs[got["key"].to_numpy(dtype=np.int64)] = got["n"]
     texts = encoded.filter("kind is null")
-    first = texts.filter("not held_out").select("ids", F.xxhash64("doc_id").alias("h")).orderBy("h", "ids").limit(sample).collect()
-    ids = [np.frombuffer(r.ids, IDS).astype(np.int64) for r in first]
-    model = train(np.concatenate(ids) if ids else np.zeros(0, np.int64), np.array([len(i) for i in ids], np.int64), subs, **how)
+    learn = texts.filter("not held_out")
+    if sample is None:
+        model = learn_all(learn.select("row", "ids"), subs)
+    else:
+        first = learn.select("ids", F.xxhash64("doc_id").alias("h")).orderBy("h", "ids").limit(sample).collect()
+        ids = [np.frombuffer(r.ids, IDS).astype(np.int64) for r in first]
+        model = train(np.concatenate(ids) if ids else np.zeros(0, np.int64), np.array([len(i) for i in ids], np.int64), subs, **how)
     network = spark.sparkContext.broadcast(model)
     table = spark.sparkContext.broadcast((often["key"].to_numpy(dtype=np.int64), often["n"].to_numpy(dtype=np.int64)))
     lowest = float(np.log10(total + distinct + 1))
