@@ -2,7 +2,8 @@
 
 Every stage takes the documents that its predecessor kept and returns a DataFrame, which `run` writes as Parquet and
 reads again. Rows are told apart by a number of their own, not by doc_id, so that documents without an id or with the
-id of another pass through like any other.
+id of another pass through like any other. `run` writes the number with a stage's output, so that all scans of it agree;
+a stage that gets documents without it writes them with it first.
 """
 
 from __future__ import annotations
@@ -29,9 +30,8 @@ def _held(docs: DataFrame) -> tuple[DataFrame, list]:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """The documents with a number per row. A stage's input is Parquet as written: every scan of it makes the same
-    partitions in the same order, and so the same numbers, and the texts need not be copied for them."""
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
+    """The documents with a number per row that was written with them: one made in a scan changes with the scan."""
+    return docs if ROW in docs.columns else saved(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their size, their source's size and target, and the words that the mix takes from each."""
     rows = _numbered(docs)
     taken = taken_words(document_sizes(rows, row_col=ROW)).select(F.col("row").alias(ROW), "size", "source_size", "target", "taken")
-    extra = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    extra = [c for c in docs.columns if c not in (ROW, "size", "source_size", "target", "taken")]
     return rows.select(ROW, *extra).join(taken, ROW).drop(ROW)
 
 
@@ -90,6 +90,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        docs = saved(out if k else out.withColumn(ROW, F.monotonically_increasing_id()), name)  # the last stage drops the number
     return docs

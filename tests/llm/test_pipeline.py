@@ -78,6 +78,34 @@ def test_mixture_covers_all_rows(stages):
         assert abs(r.w - want[r.source]) < 1e-6 and abs(r.t - r.w) <= 64
 
 
+def test_rows_keep_their_numbers_when_the_files_are_packed_anew(spark, monkeypatch, tmp_path):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    docs = spark.createDataFrame([(k, text(k % 40), "en", "a", 9) for k in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(6).write.parquet(f"{tmp_path}/docs")
+    real, names = p.link_components, ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+
+    def repacked(*a, **k):
+        out = p.saved(real(*a, **k))
+        for n in names:
+            spark.conf.set(n, "2k")
+        return out
+
+    monkeypatch.setattr(p, "link_components", repacked)
+    try:
+        kept = [r.doc_id for r in p.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/docs"), SF).collect()]
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert sorted(kept) == list(range(40))
+
+
+def test_run_numbers_rows_once_and_drops_the_number(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(p, "STAGES", [(n, lambda *a, f=f: seen.append(p.ROW in a[1].columns) or f(*a)) for n, f in p.STAGES])
+    assert p.ROW not in p.run(spark, SF).columns and seen == [False, True, True, True, True]
+
+
 def test_empty_documents(spark):
     docs = documents(spark).limit(0)
     for _, f in p.STAGES:
