@@ -98,6 +98,28 @@ def test_context_tells_two_subwords_of_a_class_apart():
     assert given(a, x) - given(a, y) > 1 and given(b, y) - given(b, x) > 1
 
 
+def test_rows_keep_their_scores_when_the_files_are_packed_anew(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}" for _ in range(k % 9 + 1))) for k in range(60)], "doc_id long, text string")
+    docs.repartition(6).write.parquet(f"{tmp_path}/docs")
+    real, n = lm.saved, spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def repacked(df, kind="table"):
+        out = real(df, kind)
+        if kind == "encoded":
+            spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        return out
+
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    monkeypatch.setattr(lm, "saved", repacked)
+    try:
+        got = lm.score_texts(spark.read.parquet(f"{tmp_path}/docs"), sample=5).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", n)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == [(k, k % 9 + 2) for k in range(60)]
+
+
 def test_empty_tables(spark):
     docs = documents(spark)
     assert lm.op10_query(docs.limit(0)).count() == 0

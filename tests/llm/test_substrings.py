@@ -49,6 +49,30 @@ def test_removed_words_match_counts_of_all_windows(spark, hot):
         assert r.n_removed == sum(int(z) - int(a) + 1 for a, z in (x.split("-") for x in r.spans.split(",") if x))
 
 
+def test_rows_keep_their_numbers_when_the_files_are_packed_anew(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame([(k, " ".join(f"w{k % 40}x{i}" for i in range(35 + k)) + f" end{k}") for k in range(60)], "doc_id long, text string")
+    docs.repartition(6).write.parquet(f"{tmp_path}/docs")
+    real, names = s.saved, ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+
+    def repacked(df, kind="table"):
+        out = real(df, kind)
+        if kind == "runs":
+            for n in names:
+                spark.conf.set(n, "2k")
+        return out
+
+    monkeypatch.setattr(s, "saved", repacked)
+    rows = docs.collect()
+    try:
+        out = s.drop_repeats(spark.read.parquet(f"{tmp_path}/docs")).collect()
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    want = sorted((r.doc_id, *x) for r, x in zip(rows, brute([r.text for r in rows]), strict=True))
+    assert sorted((r.doc_id, r.n_words, r.n_removed, s.digest(r.kept)) for r in out) == want
+
+
 def test_query_columns_and_empty_table(spark):
     docs = documents(spark)
     assert s.op7_query(docs).columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]

@@ -416,13 +416,13 @@ def score_texts(
     of their id, in this process and with the other options of `train`. Words of at least 1 / `frequent` of all tokens are counted within the scan; the others join
     their counts by hash. A null or empty text has one token, its end. Repeated rows count and are scored each; an
     empty table gives no rows, one without training texts a model of no knowledge. Texts are scored whole. Subword
-    ids are made once and written to the shared folder.
+    ids are made once and written to the shared folder with the row numbers; whatever is said of a row comes from them.
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    ws = F.transform(F.concat(words(lower_ascii(text)), F.array(F.lit(""))), lambda w: F.xxhash64(w))  # no word is empty: the end
+    hashed = lambda c: F.transform(F.concat(words(lower_ascii(c)), F.array(F.lit(""))), lambda w: F.xxhash64(w))  # noqa: E731  no word is empty: the end
     held = F.coalesce(remainder(F.col(id_col), folds) == held_out, F.lit(False))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), held.alias("held_out"), text.alias("text"), ws.alias("w"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), held.alias("held_out"), text.alias("text"), hashed(text).alias("w"))
     encoded = saved(_encoded(rows, vocabulary, kind), "encoded")
     counts = saved(encoded.filter("kind is not null").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     known = counts.filter("kind = 'word'").select("key", "n")
@@ -444,16 +444,21 @@ def score_texts(
     lowest = float(np.log10(total + distinct + 1))
 
     def score(batches):
+        enc = tokenizer(vocabulary)
         for b in batches:
             size = pc.binary_length(b["ids"]).to_numpy(zero_copy_only=False) // np.dtype(IDS).itemsize
             for t in _slices(b, size):
-                lengths = pc.binary_length(t["ids"]).to_numpy(zero_copy_only=False).astype(np.int64) // np.dtype(IDS).itemsize
-                flat = np.frombuffer(b"".join(t["ids"].to_pylist()), IDS).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([t["row"], t["doc_id"], t["held_out"], pa.array(log_probs(network.value, flat, lengths) / np.log(10))], ["row", "doc_id", "held_out", "score"])
+                flat, lengths = _unpacked(t["ids"])
+                ends = np.cumsum(lengths)
+                said = [enc.decode_bytes(flat[e - n:e - 1].tolist()) for e, n in zip(ends, lengths, strict=True)]  # without the end
+                yield pa.RecordBatch.from_arrays([t["row"], t["doc_id"], t["held_out"], pa.array(log_probs(network.value, flat, lengths) / np.log(10)), pa.array(said, pa.binary()).cast(pa.string())],
+                                                 ["row", "doc_id", "held_out", "score", "text"])
             pa.default_memory_pool().release_unused()
 
-    scored = texts.select("row", "doc_id", "held_out", "ids").mapInArrow(score, f"row long, doc_id {kind}, held_out boolean, score double")
-    schema = pa.schema([("row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("key", pa.int64())])
+    scored = texts.select("row", "doc_id", "held_out", "ids").mapInArrow(score, f"row long, doc_id {kind}, held_out boolean, score double, text string")
+    known_as = ARROW.get(kind, pa.string())
+    schema = pa.schema([("row", pa.int64()), ("doc_id", known_as), ("held_out", pa.bool_()), ("score", pa.float64()), ("n_tokens", pa.int64()),
+                        ("n_known", pa.int64()), ("base", pa.float64()), ("key", pa.int64())])
 
     def look_up(batches):
         keys, ns = table.value
@@ -466,17 +471,18 @@ def score_texts(
                 at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
                 hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
                 base = np.bincount(doc[hit], logs[at[hit]], minlength=len(n)) if hit.any() else np.zeros(len(n))
-                yield pa.RecordBatch.from_pydict({"row": t["row"], "n_tokens": n, "n_known": np.bincount(doc[hit], minlength=len(n)), "base": base, "key": [None] * len(n)}, schema)
+                known = [pa.array(x) for x in (n.astype(np.int64), np.bincount(doc[hit], minlength=len(n)), base)]
+                yield pa.RecordBatch.from_arrays([*(t[c] for c in ("row", "doc_id", "held_out", "score")), *known, pa.nulls(len(n), pa.int64())], schema=schema)
                 if frequent < total:  # else all words are in the table
                     left = np.flatnonzero(~hit)
-                    none = pa.nulls(len(left))
-                    yield pa.RecordBatch.from_arrays([t["row"].take(pa.array(doc[left])), *(none.cast(schema.field(k).type) for k in (1, 2, 3)), pa.array(h[left])], schema=schema)
+                    yield pa.RecordBatch.from_arrays([t["row"].take(pa.array(doc[left])), *(pa.nulls(len(left), schema.field(k).type) for k in range(1, 7)), pa.array(h[left])], schema=schema)
 
-    looked = saved(rows.select("row", "w").mapInArrow(look_up, "row long, n_tokens long, n_known long, base double, key long"), "looked")
+    looked = saved(scored.select("row", "doc_id", "held_out", "score", hashed(F.col("text")).alias("w")).mapInArrow(
+        look_up, f"row long, doc_id {kind}, held_out boolean, score double, n_tokens long, n_known long, base double, key long"), "looked")
     rare = looked.filter("key is not null").join(known.filter(F.col("n") * frequent < total), "key").groupBy("row").agg(
         F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("extra"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return scored.join(looked.filter("key is null").drop("key"), "row").join(rare, "row", "left").select(
+    return looked.filter("key is null").join(rare, "row", "left").select(
         "row", "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("more")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + zero("extra") - F.col("n_tokens") * lowest).alias("base_score"), "score")
 

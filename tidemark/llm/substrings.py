@@ -224,8 +224,9 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table gives no rows. Nulls in the id and other columns do not matter. Texts are used whole. Runs meet by 64-bit
     hashes of anchor and content, windows of one automaton by their words.
     """
-    ws = F.transform(words(F.col(text_col)), lambda w: F.xxhash64(w))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), ws.alias("w"))
+    # Written once: a number made in a scan changes with the scan. Hashes are made again from the text of that table.
+    numbered = saved(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "numbered")
+    rows = numbered.withColumn("w", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))
     found = repeated_windows(rows.select("row", "text", "w"), window, hot).groupBy("row").agg(F.collect_list(F.struct("first", "mask")).alias("runs"))
     kind, word = docs.schema[id_col].dataType.simpleString(), re.compile(WORD)
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()), ("n_words", pa.int64()),
