@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter
+from re import _parser
 
 from tests.conftest import SF
 from tests.llm.cases import documents, rows_of
@@ -90,3 +91,36 @@ def test_the_gate_lets_every_signature_through(spark):
     # Keywords that are only a part of their signature; the rest of the regex carries another gated word.
     assert all(any(w in s.regex for w in ("licen", "nasa", "mit no", "commons")) for t in short
                for s in licenses.signatures() if f"x {s.keyword} y" == t)
+
+
+def said_by(parsed):
+    """Texts of every alternative of a signature's regex; optional parts with and without, repeats at their least."""
+    out = [""]
+    for op, a in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            some = [chr(a)]
+        elif kind == "IN":
+            some = ["z"] if str(a[0][0]) == "NEGATE" else [chr(v if str(o) == "LITERAL" else v[0]) for o, v in a]
+        elif kind == "MAX_REPEAT":
+            some = ([""] if a[0] == 0 else []) + [x * max(a[0], 1) for x in said_by(a[2])]
+        elif kind == "NOT_LITERAL":
+            some = ["z"]
+        else:
+            some = said_by(a[3]) if kind == "SUBPATTERN" else [x for b in a[1] for x in said_by(b)]
+        out = [o + x for o in out for x in some]
+    return out
+
+
+def test_matches_of_every_rule_hold_its_keyword_and_pass_the_gate():
+    gate = re.compile(licenses.GATE)
+    for s in licenses.signatures():
+        for m in said_by(_parser.parse(s.regex)):
+            assert re.fullmatch(s.regex, m) and f" {s.keyword}" in f" {m} " and gate.search(f" {m} "), (s.label, s.keyword, m)
+
+
+def test_names_of_two_words_get_their_own_labels(spark):
+    texts = ["Creative Commons Attribution Share Alike 4.0", "Creative Commons Attribution Non-Commercial", "the FreeBSD license", "0BSD", "copied without prior written permission"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r.labels for r in licenses.op8_query(df).collect()}
+    assert got == {0: "cc-by-sa-4.0", 1: "cc-by-nc", 2: "bsd-2-clause", 3: "0bsd", 4: "proprietary"}

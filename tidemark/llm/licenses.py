@@ -71,8 +71,8 @@ FAMILIES = (
     ("cc-by-sa", "by sa", "(?:cc|creative commons) by sa", "cc by sa", {"4.0": "4(?: 0)?", "3.0": "3(?: 0)?", "2.0": "2 0"}),
     ("cc-by", "cc by", "cc by", "cc by", {"4.0": "4(?: 0)?", "3.0": "3(?: 0)?", "2.5": "2 5", "2.0": "2 0"}),
     ("cc-by", "creative commons", rf"creative commons attribution(?: {LIC})?", "cc by", {"4.0": "4(?: 0)?", "3.0": "3(?: 0)?"}),
-    ("cc-by-sa", "sharealike", rf"creative commons attribution share ?alike(?: {LIC})?", "cc by sa", {"4.0": "4(?: 0)?", "3.0": "3(?: 0)?"}),
-    ("cc-by-nc", "noncommercial", rf"creative commons attribution non ?commercial(?: {LIC})?", "cc by nc", {"4.0": "4(?: 0)?", "3.0": "3(?: 0)?"}),
+    ("cc-by-sa", "creative commons attribution share", rf"creative commons attribution share ?alike(?: {LIC})?", "cc by sa", {"4.0": "4(?: 0)?", "3.0": "3(?: 0)?"}),
+    ("cc-by-nc", "creative commons attribution non", rf"creative commons attribution non ?commercial(?: {LIC})?", "cc by nc", {"4.0": "4(?: 0)?", "3.0": "3(?: 0)?"}),
     ("cc0", "cc0", "(?:creative commons )?cc0", "cc0", {"1.0": "1(?: 0)?"}),
     ("zpl", "zope public", rf"zope public {LIC}", "zpl", {"2.1": "2 1", "2.0": "2 0"}),
     ("psf", "python software", rf"python software foundation {LIC}", "psf", {"2.0": "2(?: 0)?"}),
@@ -83,10 +83,12 @@ FAMILIES = (
     ("mit-0", "mit no attribution", "mit no attribution", "mit 0", {"": ""}),
     ("x11", "x11", rf"x11 {LIC}", "x11", {"": ""}),
     ("zlib", "zlib", rf"zlib(?: libpng)? {LIC}", "zlib", {"": ""}),
-    ("bsd-2-clause", "bsd", rf"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: {LIC})?", "bsd 2 clause", {"": ""}),
+    ("bsd-2-clause", "bsd", rf"(?:bsd 2 clause|2 clause bsd|simplified bsd)(?: {LIC})?", "bsd 2 clause", {"": ""}),
+    ("bsd-2-clause", "freebsd", rf"freebsd(?: {LIC})?", "bsd 2 clause", {"": ""}),
     ("bsd-3-clause", "bsd", rf"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)(?: {LIC})?", "bsd 3 clause", {"": ""}),
     ("bsd-4-clause", "bsd", rf"(?:bsd 4 clause|4 clause bsd|original bsd)(?: {LIC})?", "bsd 4 clause", {"": ""}),
-    ("0bsd", "bsd", rf"(?:zero clause bsd|0bsd)(?: {LIC})?", "0bsd", {"": ""}),
+    ("0bsd", "bsd", rf"zero clause bsd(?: {LIC})?", "0bsd", {"": ""}),
+    ("0bsd", "0bsd", rf"0bsd(?: {LIC})?", "0bsd", {"": ""}),
     ("bsd", "bsd", rf"bsd(?: style)? {LIC}", "bsd", {"": ""}),
     ("unlicense", "unlicense", "the unlicense", "unlicense", {"": ""}),
     ("wtfpl", "want to public", rf"do what the fuck you want to public {LIC}", "wtfpl", {"": "", "2": "2"}),
@@ -122,11 +124,11 @@ TEXTS = (
     ("warranty-disclaimer", "without warranties", "without warranties or conditions of any kind", 6),
     ("proprietary", "proprietary", "(?:confidential and proprietary|proprietary and confidential)", 5),
     ("proprietary", "unauthorized", "unauthorized (?:copying|use|reproduction|distribution)(?: of this [^ ]+)? is (?:strictly )?prohibited", 5),
-    ("proprietary", "without permission", "(?:reproduced|copied|distributed) without(?: prior)?(?: written)? permission", 5),
+    ("proprietary", "permission", "(?:reproduced|copied|distributed) without(?: prior)?(?: written)? permission", 5),
     ("free-software", "free software", "this (?:program|library|file) is free software", 5),
     ("gpl-or-later", "any later version", "either version [23](?: 0)? of the license or at your option any later version", 4),
     ("copyright", "copyright", "copyright(?: c)? (?:19|20)[0-9][0-9]", 7),
-    ("license-mention", "license", rf"(?:licensed|released|distributed|available) under(?: the)?(?: terms of)?(?: the)?(?: [^ ]+){{1,4}} {LIC}", 8),
+    ("license-mention", "licen", rf"(?:licensed|released|distributed|available) under(?: the)?(?: terms of)?(?: the)?(?: [^ ]+){{1,4}} {LIC}", 8),
 )
 
 
