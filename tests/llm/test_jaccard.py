@@ -4,6 +4,7 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from tests.conftest import SF
@@ -64,6 +65,13 @@ def test_components_match_all_pairs(spark, monkeypatch, hot, block):
     assert got == brute(docs.collect())
 
 
+@pytest.mark.parametrize("width", [4, 5])
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 6])
+def test_shingles_of_a_slice_of_few_words(n, width):
+    h, doc = jaccard.shingles(np.arange(n, dtype=np.int64), np.array([n]), width)
+    assert len(h) == len(doc) == min(n, max(n - width + 1, 1))
+
+
 def test_empty_tables_and_texts(spark):
     assert jaccard.op4_query(documents(spark).limit(0)).count() == 0
     got = jaccard.op4_query(documents(spark).filter("doc_id in (1, 2, 3)")).collect()

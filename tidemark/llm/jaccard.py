@@ -47,7 +47,7 @@ def shingles(flat: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndar
     size = np.repeat(np.minimum(lengths, width), lengths)
     for k in range(width):
         more = np.zeros(len(h), np.uint64)
-        more[:len(h) - k] = h[k:] if k else h
+        more[:max(len(h) - k, 0)] = h[k:]
         out = np.where(k < size, _mixed(out + more + np.uint64(k + 1)), out)
     start = left >= size
     return out[start], doc[start]
