@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidemark.llm import classifier, decontaminate, jaccard, licenses, lm, mixing, rules, secrets, substrings, warc
+from tidemark.llm import classifier, codes, decontaminate, jaccard, licenses, lm, mixing, nearest, rules, runs, secrets, substrings, warc
 from tidemark.llm.common import table
 
 
@@ -51,6 +51,18 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.op10_query(table(spark, sf_dir, "documents"))
 
 
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.op11_query(table(spark, sf_dir, "embeddings"))
+
+
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.op12_query(table(spark, sf_dir, "embeddings"))
+
+
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.op13_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": _op1,
     "op2_warc": _op2,
@@ -62,12 +74,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": _op8,
     "op9_secret_scan": _op9,
     "op10_lm_scores": _op10,
+    "op11_vector_codes": _op11,
+    "op12_nearest": _op12,
+    "op13_periodic_runs": _op13,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {
     "op1_quality_rules": rules.ORACLE,
     "op2_warc": warc.ORACLE,
+    "op11_vector_codes": codes.ORACLE,
 }
 
 
