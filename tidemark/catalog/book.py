@@ -10,7 +10,7 @@ from tidemark.functions import dates as fd
 from tidemark.operators import gold as gd
 from tidemark.operators import graph as gr
 from tidemark.operators import outcomes as oc
-from tidemark.operators import series
+from tidemark.operators import series, similar
 from tidemark.operators import watchlist as wl
 
 P = ("predictions",)
@@ -283,12 +283,12 @@ COS = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]
 
 @query("topk_semantic", f"""
 e AS (SELECT vec_id, label % 5 AS category, embedding AS v FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, e.vec_id, e.category, {COS.format(a='e.v', b='q.v')} / (sqrt({COS.format(a='e.v', b='e.v')}) * sqrt({COS.format(a='q.v', b='q.v')})) AS similarity FROM e JOIN e q ON q.category = e.category AND q.vec_id < 5 AND q.vec_id <> e.vec_id)
+s AS (SELECT q.vec_id AS query_id, e.vec_id, e.category, {COS.format(a='e.v', b='q.v')} / (sqrt({COS.format(a='e.v', b='e.v')}) * sqrt({COS.format(a='q.v', b='q.v')})) AS similarity FROM e JOIN e q ON q.category = e.category AND q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id)
 SELECT query_id, vec_id, category, rank, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
 def topk_semantic(v):
     m = v.table("embeddings").select("vec_id", (F.col("label") % 5).alias("category"), "embedding")
-    q = m.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "category", "embedding")
-    return gr.semantic_topk(m, q).select("query_id", "vec_id", "category", "rank", *r6("similarity"))
+    q = m.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "category", "embedding")
+    return similar.semantic_topk(m, q).select("query_id", "vec_id", "category", "rank", *r6("similarity"))
 
 
 @query("agg_memory_stats", "SELECT c AS category, count(vec_id) AS n FROM unnest(range(0, 6)) t(c) LEFT JOIN embeddings ON label % 5 = c GROUP BY c")

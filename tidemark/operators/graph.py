@@ -1,4 +1,4 @@
-"""Edge tables as joins: themes, winners, negative news, upserts, and semantic search."""
+"""Edge tables as joins: themes, winners, negative news and upserts."""
 
 from __future__ import annotations
 
@@ -69,27 +69,6 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: list[str], always: lis
     )
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
-def semantic_topk(memory: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Most similar records of the query's category, by cosine.
-
-    The few queries of a category travel as one array, so each record row is read once; the top-k
-    limit is applied before the shuffle.
-    """
-    q = queries.groupBy("category").agg(F.collect_list(F.struct("query_id", "embedding")).alias("_q"))
-    j = memory.join(q, "category")
-    s = j.select(
-        "vec_id", "category",
-        F.inline(F.transform("_q", lambda x: F.struct(x["query_id"].alias("query_id"), cosine(F.col("embedding"), x["embedding"]).alias("similarity")))),
-    ).where(F.col("vec_id") != F.col("query_id"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def memory_stats(memory: DataFrame, categories: DataFrame) -> DataFrame:
     n = memory.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
     return categories.join(n, "category", "left").fillna(0, ["n"])
