@@ -19,6 +19,12 @@ def business_days(start: Column, end: Column) -> Column:
     return F.when(end <= start, 0).otherwise(_weekdays_before(end) - _weekdays_before(start)).cast("int")
 
 
+def business_day_after(start: Column, days: Column) -> Column:
+    """The first date with `days` (at least one) business days since `start`, in closed form."""
+    m = _weekdays_before(start) + days - 1
+    return F.date_add(F.lit("1970-01-05").cast("date"), (7 * F.floor(m / 5) + F.pmod(m, F.lit(5))).cast("int"))
+
+
 def weekday_dates(start: Column, end: Column, step: int = 1) -> Column:
     """Dates from start to end every `step` calendar days, weekends dropped after stepping."""
     days = F.sequence(start, end, F.expr(f"INTERVAL {int(step)} DAYS"))

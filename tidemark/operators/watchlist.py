@@ -72,6 +72,14 @@ def satisfied(price: Column) -> Column:
     return F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in trigger_conditions(price).items()]))
 
 
+def trigger_bits(ticks: DataFrame, watch: DataFrame) -> DataFrame:
+    """One row per tick and watched target, with the satisfied triggers as bits in the order of TRIGGERS."""
+    on = ["ticker", "market"] if "market" in ticks.columns and "market" in watch.columns else ["ticker"]
+    conds = trigger_conditions(F.col("price"))
+    bits = sum((conds[t].cast("int") * (1 << i) for i, t in enumerate(TRIGGERS)), F.lit(0))
+    return ticks.join(watch, on).select(F.concat_ws(":", "source", F.col("ticker").cast("string"), "market").alias("target_key"), "ts", "event_id", "price", bits.alias("bits"))
+
+
 def observations(ticks: DataFrame, watch: DataFrame) -> DataFrame:
     """One row per tick, watched level set and trigger, satisfied or not (leaving must be seen)."""
     on = ["ticker", "market"] if "market" in ticks.columns and "market" in watch.columns else ["ticker"]

@@ -8,10 +8,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import dates as fd
 from tidemark.operators import outcomes as oc
 from tidemark.operators import watchlist as wl
 from tidemark.session import checkpoint_root
-from tidemark.streaming.processors import EdgeTrigger, FirstDecision, ThresholdOnce
+from tidemark.streaming.processors import ACK, CHANGE, PREDICTION, TICK, OutcomeCloser, ThresholdOnce, WatchEdges
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -38,29 +39,63 @@ def tick_stream(raw: DataFrame, delay: str = "1 day") -> DataFrame:
     return t.withWatermark("ts", delay)
 
 
-def edge_alerts(ticks: DataFrame, watch: DataFrame, cooldown_hours: int = 6, ttl_days: int | None = None) -> DataFrame:
+def edge_alerts(
+    ticks: DataFrame, watch: DataFrame, cooldown_hours: int = 6, ttl_days: int | None = None,
+    acks: DataFrame | None = None, changes: DataFrame | None = None,
+) -> DataFrame:
     """Alert rows (key, ts, event_id, price); key plus ts identifies an alert for at-least-once sinks.
 
-    `ttl_days` lets the state of unwatched keys expire. Expiry needs processing time, which keeps a
+    `acks` streams (key, event_id, delivered) of alerts; an alert that is not acknowledged when the next ticks of its
+    target come is armed again. `changes` streams (target_key, watched) of the watch table; `watched` false removes the
+    target's state. `ttl_days` lets the state of unwatched targets expire. Expiry needs processing time, which keeps a
     query asking for another batch, so it belongs to continuously running jobs, not to run_once.
     """
     stateful_session(ticks.sparkSession)
-    obs = wl.observations(ticks, watch).select("key", "ts", "event_id", "price", "satisfied")
-    return obs.groupBy("key").transformWithStateInPandas(
-        EdgeTrigger(cooldown_hours, ttl_days), "key string, ts timestamp, event_id bigint, price double", "Append",
+    none = lambda kind: F.lit(None).cast(kind)
+    trigger = F.array_position(F.lit(list(wl.TRIGGERS)), F.element_at(F.split("key", ":"), -1)) - 1
+    rows = wl.trigger_bits(ticks, watch).select("target_key", F.lit(TICK).alias("kind"), "ts", "event_id", "price", "bits", none("boolean").alias("ok"))
+    side = lambda df, kind, key, event, bits, ok: df.select(key.alias("target_key"), F.lit(kind).alias("kind"), none("timestamp").alias("ts"), event.alias("event_id"), none("double").alias("price"), bits.cast("int").alias("bits"), ok.alias("ok"))
+    if acks is not None:
+        rows = rows.unionByName(side(acks, ACK, F.regexp_replace("key", ":[A-Z]+$", ""), F.col("event_id"), trigger, F.col("delivered")))
+    if changes is not None:
+        rows = rows.unionByName(side(changes, CHANGE, F.col("target_key"), none("bigint"), none("int"), F.col("watched")))
+    return rows.groupBy("target_key").transformWithStateInPandas(
+        WatchEdges(wl.TRIGGERS, cooldown_hours, ttl_days, acks is not None), "key string, ts timestamp, event_id bigint, price double", "Append",
         "None" if ttl_days is None else "ProcessingTime",
     )
 
 
-def close_outcomes(ticks: DataFrame, open_preds: DataFrame) -> DataFrame:
-    """Each OPEN prediction closed once by the first tick that decides it (expiry included)."""
+def open_levels(preds: DataFrame, hit: float = 0.03, miss: float = 0.05) -> DataFrame:
+    """id, ticker, created_at, due_at and the prices at or beyond which a prediction is decided before it is due."""
+    c = F.col
+    level = lambda name, pct: F.when(F.coalesce(c(name), F.lit(0.0)) != 0, c(name)).otherwise(c("entry_price") * (1 + pct))
+    d, e = c("direction"), c("entry_price")
+    low = F.when(d == "BULL", level("stop_price", -miss)).when(d == "BEAR", level("target_price", -hit)).otherwise(e * (1 - hit * (1 + 1e-12)))
+    high = F.when(d == "BULL", level("target_price", hit)).when(d == "BEAR", level("stop_price", miss)).otherwise(e * (1 + hit * (1 + 1e-12)))
+    due = fd.business_day_after(fd.local_date(c("created_at"), c("market")), fd.timeframe_days(c("timeframe")))
+    return preds.where(e > 0).select("id", "ticker", "created_at", due.cast("timestamp").alias("due_at"), low.alias("low"), high.alias("high"))
+
+
+def deciding_ticks(ticks: DataFrame, preds: DataFrame, salts: int = 4) -> DataFrame:
+    """id, ts, price: what decides each prediction of a stream of open predictions, once.
+
+    Predictions of a ticker are dealt to `salts` keys, which all see its ticks, so one ticker is no single task.
+    """
     stateful_session(ticks.sparkSession)
-    # a tick before the call says nothing about it
-    j = ticks.join(open_preds, "ticker").where("ts >= created_at")
-    decided = oc.outcome(j, F.to_date("ts")).where("new_status IS NOT NULL").select("id", "ts", "event_id", "new_status", "new_return")
-    return decided.groupBy("id").transformWithStateInPandas(
-        FirstDecision(), "id bigint, status string, ret double, ts timestamp", "Append", "None"
-    )
+    none = lambda *kinds: [F.lit(None).cast(k).alias(n) for n, k in kinds]
+    t = ticks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(
+        "ticker", "salt", F.lit(TICK).alias("kind"), "ts", "event_id", "price", *none(("id", "bigint"), ("created_at", "timestamp"), ("due_at", "timestamp"), ("low", "double"), ("high", "double")))
+    p = open_levels(preds).select(
+        "ticker", F.pmod(F.hash("id"), F.lit(salts)).cast("int").alias("salt"), F.lit(PREDICTION).alias("kind"),
+        *none(("ts", "timestamp"), ("event_id", "bigint"), ("price", "double")), "id", "created_at", "due_at", "low", "high")
+    return t.unionByName(p).groupBy("ticker", "salt").transformWithStateInPandas(
+        OutcomeCloser(), "id bigint, ts timestamp, price double", "Append", "EventTime")
+
+
+def close_outcomes(decided: DataFrame, preds: DataFrame) -> DataFrame:
+    """Status and return of decided predictions by the outcome rule at the deciding price and day."""
+    j = decided.select("id", "ts", "price").join(preds, "id")
+    return oc.outcome(j, F.to_date("ts")).select("id", F.col("new_status").alias("status"), F.col("new_return").alias("ret"), "ts", "price")
 
 
 def notify_once(rows: DataFrame, key: str, threshold: int) -> DataFrame:

@@ -1,58 +1,203 @@
-"""Keyed state machines for transformWithStateInPandas. State per key is a few scalars."""
+"""Keyed state machines for transformWithStateInPandas."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+ACK, CHANGE, TICK = 0, 1, 2
+PREDICTION = 3
+FAR = 1 << 62
+
+
+def _micros(ts: pd.Series) -> np.ndarray:
+    return ts.to_numpy().astype("datetime64[us]").astype(np.int64)
 
-def _in_order(batches: Iterator[pd.DataFrame], cols: list[str]) -> pd.DataFrame:
-    """A key's rows of one micro-batch by time (their size is bounded by the trigger's file limit)."""
-    return pd.concat(list(batches)).sort_values(cols, kind="stable")
 
+class WatchEdges(StatefulProcessor):
+    """Alerts of one watched target: each trigger fires on false -> true, at most once per cooldown.
 
-class EdgeTrigger(StatefulProcessor):
-    """Fire on false -> true, at most once per cooldown; a suppressed edge still uses up the edge."""
+    A suppressed edge still uses up the edge. A row of ticks has the four triggers as bits. With `confirmed` an alert is
+    pending until an acknowledgement says that it was delivered: one that says otherwise, or ticks that arrive before
+    any, put the trigger back to where it was, so the next satisfied tick fires again. In a batch, acknowledgements go
+    before changes of the watch table and these before ticks; a removed target forgets everything.
+    """
 
-    def __init__(self, cooldown_hours: int = 6, ttl_days: int | None = None):
+    FIELDS = "last int, alert array<bigint>, fired array<bigint>, trigger array<int>, event array<bigint>, at array<bigint>"
+
+    def __init__(self, triggers: tuple[str, ...], cooldown_hours: int = 6, ttl_days: int | None = None, confirmed: bool = False):
+        self.triggers, self.confirmed = triggers, confirmed
         self.cooldown_us = cooldown_hours * 3_600_000_000
         self.ttl_ms = None if ttl_days is None else ttl_days * 86_400_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # the TTL drops keys nobody watches any more
-        self.state = handle.getValueState("edge", "last_state boolean, last_alert_us bigint", ttlDurationMs=self.ttl_ms)
+        # the TTL drops targets nobody watches any more and nobody removed
+        self.state = handle.getValueState("edge", self.FIELDS, ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        last, alert = self.state.get() if self.state.exists() else (False, None)
+        n = len(self.triggers)
+        last, alert, fired, pending = 0, [-FAR] * n, [-1] * n, []
+        if self.state.exists():
+            last, alert, fired, *p = self.state.get()
+            alert, fired, pending = list(alert), list(fired), list(zip(*p, strict=True))
+        acks, removed, ticks = {}, False, []
+        for b in rows:
+            kind = b["kind"].to_numpy()
+            for r in b[kind == ACK].itertuples():
+                acks[int(r.bits), int(r.event_id)] = bool(r.ok)
+            removed |= any(x is False or x == 0 for x in b["ok"][kind == CHANGE] if x is not None)
+            t = b[kind == TICK]
+            ticks.append((_micros(t["ts"]), t["event_id"].to_numpy(np.int64), t["bits"].to_numpy(np.int64), t["price"].to_numpy(float)))
+        ts, event, bits, price = (np.concatenate(x) for x in zip(*ticks, strict=True))
+
+        left = []
+        for i, e, at in pending:
+            told = acks.get((i, e), False if len(ts) else None)
+            if told:
+                alert[i] = max(alert[i], at)
+            elif told is None:
+                left.append((i, e, at))
+            elif fired[i] == e:  # still in the stretch that it began
+                last &= ~(1 << i)
+                fired[i] = -1
+        pending = left
+        if removed:
+            last, alert, fired, pending = 0, [-FAR] * n, [-1] * n, []
         out = []
-        for r in _in_order(rows, ["ts", "event_id"]).itertuples():
-            now = r.ts.value // 1000
-            if r.satisfied and not last and (alert is None or now - alert >= self.cooldown_us):
-                out.append((key[0], r.ts, int(r.event_id), float(r.price)))
-                alert = now
-            last = bool(r.satisfied)
-        self.state.update((last, alert))
-        yield pd.DataFrame(out, columns=["key", "ts", "event_id", "price"])
+        if len(ts):
+            order = np.lexsort((event, ts))
+            ts, event, bits, price = ts[order], event[order], bits[order], price[order]
+            before = np.concatenate([[last], bits[:-1]])
+            for i in range(n):
+                since = alert[i]
+                for k in np.flatnonzero((bits & ~before) >> i & 1).tolist():
+                    fired[i] = -1
+                    if ts[k] - since >= self.cooldown_us:
+                        since = int(ts[k])
+                        fired[i] = int(event[k])
+                        pending.append((i, fired[i], since))
+                        out.append((f"{key[0]}:{self.triggers[i]}", ts[k], event[k], price[k]))
+                if not int(bits[-1]) >> i & 1:
+                    fired[i] = -1
+                if not self.confirmed:
+                    alert[i] = since
+            last = int(bits[-1])
+        if not self.confirmed:
+            pending = []
+        if removed and not len(ts):
+            self.state.clear()
+        else:
+            self.state.update((last, alert, fired, *([list(x) for x in zip(*pending, strict=True)] or [[], [], []])))
+        k, t, e, p = zip(*out, strict=True) if out else ((), (), (), ())
+        yield pd.DataFrame({"key": pd.Series(k, dtype=object), "ts": pd.Series(np.array(t, "datetime64[us]")).dt.tz_localize("UTC"), "event_id": np.array(e, np.int64), "price": np.array(p, float)})
 
     def close(self) -> None:
         pass
 
 
-class FirstDecision(StatefulProcessor):
-    """Emit each prediction's first deciding row and nothing after it."""
+def first_passage(price: np.ndarray, start: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Per query the first place in [start, end) with a price at or under `low` or at or over `high`; `end` if none.
+
+    Minima and maxima of blocks of 1, 2, 4, ... prices let all queries skip in logarithmically many steps.
+    """
+    levels = [(price, price)]
+    while len(levels[-1][0]) > 1:
+        lo, hi = levels[-1]
+        odd = len(lo) % 2
+        lo, hi = np.append(lo, [np.inf] * odd), np.append(hi, [-np.inf] * odd)
+        levels.append((np.minimum(lo[::2], lo[1::2]), np.maximum(hi[::2], hi[1::2])))
+    at = np.minimum(start, end).astype(np.int64)
+    up = np.zeros(len(at), np.int64)  # the level a query is on; it climbs while blocks are free of a passage
+    active = np.flatnonzero(at < end)
+    while len(active):
+        a, k = at[active], up[active]
+        hit = np.zeros(len(active), bool)
+        for level in np.unique(k):
+            mine = k == level
+            lo, hi = levels[level]
+            block = a[mine] >> level
+            hit[mine] = (lo[block] <= low[active[mine]]) | (hi[block] >= high[active[mine]])
+        done = hit & (k == 0)
+        down, on = active[hit & (k > 0)], active[~hit]
+        up[down] -= 1
+        at[on] = ((at[on] >> up[on]) + 1) << up[on]
+        climb = ((at[on] >> up[on]) & 1 == 0) & (up[on] + 1 < len(levels))
+        up[on[climb]] += 1
+        active = active[~done]
+        active = active[at[active] < end[active]]
+    return np.minimum(at, end)
+
+
+class OutcomeCloser(StatefulProcessor):
+    """Finds the tick that decides each open prediction of a ticker.
+
+    It is the first, in event time, at or beyond a level before the prediction is due. Without one the prediction expires
+    when it is due, by an event-time timer and at the last price before; one without a price until then waits for the
+    first after. A decision leaves once the watermark is past it, so ticks may come out of order, and its state with it.
+    """
+
+    FIELDS = "id bigint, created bigint, due bigint, low double, high double, hit bigint, hit_event bigint, hit_price double, last bigint, last_event bigint, last_price double, next bigint, next_event bigint, next_price double"
+    COLUMNS = ["id", "created", "due", "low", "high", "hit", "hit_event", "hit_price", "last", "last_event", "last_price", "next", "next_event", "next_price"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.closed = handle.getValueState("closed", "done boolean")
+        self.handle = handle
+        self.open = handle.getListState("open", self.FIELDS)
 
     def handleInputRows(self, key, rows, timerValues):
-        out = pd.DataFrame(columns=["id", "status", "ret", "ts"])
-        if not self.closed.exists():
-            first = _in_order(rows, ["ts", "event_id"]).iloc[0]
-            self.closed.update((True,))
-            out = pd.DataFrame([(key[0], first.new_status, float(first.new_return), first.ts)], columns=out.columns)
-        yield out
+        new, ticks = [], []
+        for b in rows:
+            kind = b["kind"].to_numpy()
+            p, t = b[kind == PREDICTION], b[kind == TICK]
+            if len(p):
+                new.append(pd.DataFrame({"id": p["id"].to_numpy(np.int64), "created": _micros(p["created_at"]), "due": np.where(p["due_at"].isna(), FAR, _micros(p["due_at"])), "low": p["low"], "high": p["high"]}))
+            ticks.append((_micros(t["ts"]), t["event_id"].to_numpy(np.int64), t["price"].to_numpy(float)))
+        held = pd.DataFrame(list(self.open.get()) if self.open.exists() else [], columns=self.COLUMNS)
+        if new:
+            add = pd.concat(new).drop_duplicates("id")
+            add = add[~add["id"].isin(held["id"])].reindex(columns=self.COLUMNS)
+            for c in ("hit", "last", "next"):
+                add[[c, f"{c}_event", f"{c}_price"]] = (-FAR if c == "last" else FAR, -1, 0.0)
+            held = add if held.empty else pd.concat([held, add])
+        ts, event, price = (np.concatenate(x) for x in zip(*ticks, strict=True))
+        if len(held) and len(ts):
+            order = np.lexsort((event, ts))
+            ts, event, price = ts[order], event[order], price[order]
+            held = held.reset_index(drop=True)
+            a, z = (np.searchsorted(ts, held[c].to_numpy(np.int64)) for c in ("created", "due"))
+            z = np.maximum(a, z)
+            at = first_passage(price, a, z, held["low"].to_numpy(float), held["high"].to_numpy(float))
+            for name, k, is_new, sign in (("hit", at, at < z, 1), ("last", z - 1, z > a, -1), ("next", z, z < len(ts), 1)):
+                k = np.clip(k, 0, len(ts) - 1)
+                now, seen = held[name].to_numpy(np.int64), held[f"{name}_event"].to_numpy(np.int64)
+                better = is_new & ((sign * ts[k] < sign * now) | ((ts[k] == now) & (sign * event[k] < sign * seen)))
+                for c, x in ((name, ts), (f"{name}_event", event), (f"{name}_price", price)):
+                    held[c] = np.where(better, x[k], held[c])
+        yield self._settle(key, held, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        held = pd.DataFrame(list(self.open.get()) if self.open.exists() else [], columns=self.COLUMNS)
+        yield self._settle(key, held, timerValues.getCurrentWatermarkInMs())
+
+    def _settle(self, key, held: pd.DataFrame, watermark_ms: int) -> pd.DataFrame:
+        """Close what is decided at the watermark, keep the rest and wake up at the next decision."""
+        hit, due, last, nxt = (held[c].to_numpy(np.int64) for c in ("hit", "due", "last", "next"))
+        when = np.where(hit < FAR, hit, np.where(last > -FAR, due, nxt))
+        wake = -(-when // 1000)
+        final = wake <= watermark_ms
+        price = np.where(hit < FAR, held["hit_price"], np.where(last > -FAR, held["last_price"], held["next_price"]))
+        out = pd.DataFrame({"id": held["id"].to_numpy(np.int64)[final], "ts": pd.Series(when[final].astype("datetime64[us]")).dt.tz_localize("UTC"), "price": price.astype(float)[final]})
+        rest = held[~final]
+        if len(rest):
+            self.open.put([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in rest.itertuples(index=False)])
+        elif self.open.exists():
+            self.open.clear()
+        times = wake[~final & (when < FAR)]
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if len(times):
+            self.handle.registerTimer(int(times.min()))
+        return out
 
     def close(self) -> None:
         pass
