@@ -76,20 +76,21 @@ def open_levels(preds: DataFrame, hit: float = 0.03, miss: float = 0.05) -> Data
     return preds.where(e > 0).select("id", "ticker", "created_at", due.cast("timestamp").alias("due_at"), low.alias("low"), high.alias("high"))
 
 
-def deciding_ticks(ticks: DataFrame, preds: DataFrame, salts: int = 4) -> DataFrame:
+def deciding_ticks(ticks: DataFrame, preds: DataFrame, salts: int = 4, buckets: int = 64) -> DataFrame:
     """id, ts, price: what decides each prediction of a stream of open predictions, once.
 
-    Predictions of a ticker are dealt to `salts` keys, which all see its ticks, so one ticker is no single task.
+    Predictions of a ticker are dealt to `salts` parts, which all see its ticks, so one ticker is no single task. Parts
+    go by hash into `buckets` keys, each worked on in one piece; both numbers are fixed for the life of a checkpoint.
     """
     stateful_session(ticks.sparkSession)
     none = lambda *kinds: [F.lit(None).cast(k).alias(n) for n, k in kinds]
+    bucket = F.pmod(F.hash("ticker", "salt"), F.lit(buckets)).alias("bucket")
     t = ticks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(
-        "ticker", "salt", F.lit(TICK).alias("kind"), "ts", "event_id", "price", *none(("id", "bigint"), ("created_at", "timestamp"), ("due_at", "timestamp"), ("low", "double"), ("high", "double")))
-    p = open_levels(preds).select(
-        "ticker", F.pmod(F.hash("id"), F.lit(salts)).cast("int").alias("salt"), F.lit(PREDICTION).alias("kind"),
-        *none(("ts", "timestamp"), ("event_id", "bigint"), ("price", "double")), "id", "created_at", "due_at", "low", "high")
-    return t.unionByName(p).groupBy("ticker", "salt").transformWithStateInPandas(
-        OutcomeCloser(), "id bigint, ts timestamp, price double", "Append", "EventTime")
+        bucket, "ticker", F.lit(TICK).alias("kind"), "ts", "event_id", "price", *none(("id", "bigint"), ("created_at", "timestamp"), ("due_at", "timestamp"), ("low", "double"), ("high", "double")))
+    p = open_levels(preds).withColumn("salt", F.pmod(F.hash("id"), F.lit(salts)).cast("int")).select(
+        bucket, "ticker", F.lit(PREDICTION).alias("kind"), *none(("ts", "timestamp"), ("event_id", "bigint"), ("price", "double")), "id", "created_at", "due_at", "low", "high")
+    return t.unionByName(p).groupBy("bucket").transformWithStateInPandas(
+        OutcomeCloser(dict(ticks.dtypes)["ticker"]), "id bigint, ts timestamp, price double", "Append", "EventTime")
 
 
 def close_outcomes(decided: DataFrame, preds: DataFrame) -> DataFrame:

@@ -130,68 +130,80 @@ def first_passage(price: np.ndarray, start: np.ndarray, end: np.ndarray, low: np
 
 
 class OutcomeCloser(StatefulProcessor):
-    """Finds the tick that decides each open prediction of a ticker.
+    """Finds the tick that decides each open prediction; a key holds the predictions of many tickers.
 
     It is the first, in event time, at or beyond a level before the prediction is due. Without one the prediction expires
     when it is due, by an event-time timer and at the last price before; one without a price until then waits for the
     first after. A decision leaves once the watermark is past it, so ticks may come out of order, and its state with it.
     """
 
-    FIELDS = "id bigint, created bigint, due bigint, low double, high double, hit bigint, hit_event bigint, hit_price double, last bigint, last_event bigint, last_price double, next bigint, next_event bigint, next_price double"
-    COLUMNS = ["id", "created", "due", "low", "high", "hit", "hit_event", "hit_price", "last", "last_event", "last_price", "next", "next_event", "next_price"]
+    NUMBERS = ("id", "created", "due", "hit", "hit_event", "last", "last_event", "next", "next_event")
+    PRICES = ("low", "high", "hit_price", "last_price", "next_price")
+
+    def __init__(self, ticker_type: str):
+        self.fields = ", ".join([f"ticker {ticker_type}", *[f"{c} bigint" for c in self.NUMBERS], *[f"{c} double" for c in self.PRICES]])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", self.FIELDS)
+        self.open = handle.getListState("open", self.fields)
+
+    def _held(self) -> dict[str, np.ndarray]:
+        rows = list(zip(*self.open.get(), strict=True)) if self.open.exists() else []
+        rows = rows or [()] * (1 + len(self.NUMBERS) + len(self.PRICES))
+        kinds = [object, *[np.int64] * len(self.NUMBERS), *[np.float64] * len(self.PRICES)]
+        return {c: np.array(x, k) for c, x, k in zip(("ticker", *self.NUMBERS, *self.PRICES), rows, kinds, strict=True)}
 
     def handleInputRows(self, key, rows, timerValues):
-        new, ticks = [], []
+        held, ticks = self._held(), []
+        known = set(held["id"].tolist())
         for b in rows:
             kind = b["kind"].to_numpy()
             p, t = b[kind == PREDICTION], b[kind == TICK]
             if len(p):
-                new.append(pd.DataFrame({"id": p["id"].to_numpy(np.int64), "created": _micros(p["created_at"]), "due": np.where(p["due_at"].isna(), FAR, _micros(p["due_at"])), "low": p["low"], "high": p["high"]}))
-            ticks.append((_micros(t["ts"]), t["event_id"].to_numpy(np.int64), t["price"].to_numpy(float)))
-        held = pd.DataFrame(list(self.open.get()) if self.open.exists() else [], columns=self.COLUMNS)
-        if new:
-            add = pd.concat(new).drop_duplicates("id")
-            add = add[~add["id"].isin(held["id"])].reindex(columns=self.COLUMNS)
-            for c in ("hit", "last", "next"):
-                add[[c, f"{c}_event", f"{c}_price"]] = (-FAR if c == "last" else FAR, -1, 0.0)
-            held = add if held.empty else pd.concat([held, add])
-        ts, event, price = (np.concatenate(x) for x in zip(*ticks, strict=True))
-        if len(held) and len(ts):
-            order = np.lexsort((event, ts))
-            ts, event, price = ts[order], event[order], price[order]
-            held = held.reset_index(drop=True)
-            a, z = (np.searchsorted(ts, held[c].to_numpy(np.int64)) for c in ("created", "due"))
-            z = np.maximum(a, z)
-            at = first_passage(price, a, z, held["low"].to_numpy(float), held["high"].to_numpy(float))
-            for name, k, is_new, sign in (("hit", at, at < z, 1), ("last", z - 1, z > a, -1), ("next", z, z < len(ts), 1)):
+                p = p[~p["id"].isin(known)].drop_duplicates("id")
+                known.update(p["id"].astype(np.int64).tolist())
+                n, far = len(p), np.full(len(p), FAR)
+                new = {"ticker": p["ticker"].to_numpy(object), "id": p["id"].to_numpy(np.int64), "created": _micros(p["created_at"]), "due": np.where(p["due_at"].isna(), FAR, _micros(p["due_at"])),
+                       "low": p["low"].to_numpy(float), "high": p["high"].to_numpy(float), "hit": far, "last": -far, "next": far}
+                held = {c: np.concatenate([x, new.get(c, np.full(n, -1, x.dtype))]) for c, x in held.items()}
+            ticks.append((t["ticker"].to_numpy(object), _micros(t["ts"]), t["event_id"].to_numpy(np.int64), t["price"].to_numpy(float)))
+        ticker, ts, event, price = (np.concatenate(x) for x in zip(*ticks, strict=True))
+        if len(held["id"]) and len(ts):
+            code = pd.factorize(np.concatenate([held["ticker"], ticker]))[0]
+            mine, code = code[:len(held["id"])], code[len(held["id"]):]
+            order = np.lexsort((event, ts, code))
+            ts, event, price, code = ts[order], event[order], price[order], code[order]
+            a, z, end = (np.zeros(len(mine), np.int64) for _ in range(3))
+            by = np.argsort(mine, kind="stable")
+            for group in np.split(by, np.flatnonzero(np.diff(mine[by])) + 1):
+                lo, hi = np.searchsorted(code, mine[group[0]], "left"), np.searchsorted(code, mine[group[0]], "right")
+                a[group] = lo + np.searchsorted(ts[lo:hi], held["created"][group])
+                z[group] = lo + np.searchsorted(ts[lo:hi], np.maximum(held["due"][group], held["created"][group]))
+                end[group] = hi
+            at = first_passage(price, a, z, held["low"], held["high"])
+            for name, k, is_new, sign in (("hit", at, at < z, 1), ("last", z - 1, z > a, -1), ("next", z, z < end, 1)):
                 k = np.clip(k, 0, len(ts) - 1)
-                now, seen = held[name].to_numpy(np.int64), held[f"{name}_event"].to_numpy(np.int64)
+                now, seen = held[name], held[f"{name}_event"]
                 better = is_new & ((sign * ts[k] < sign * now) | ((ts[k] == now) & (sign * event[k] < sign * seen)))
                 for c, x in ((name, ts), (f"{name}_event", event), (f"{name}_price", price)):
                     held[c] = np.where(better, x[k], held[c])
-        yield self._settle(key, held, timerValues.getCurrentWatermarkInMs())
+        yield self._settle(held, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        held = pd.DataFrame(list(self.open.get()) if self.open.exists() else [], columns=self.COLUMNS)
-        yield self._settle(key, held, timerValues.getCurrentWatermarkInMs())
+        yield self._settle(self._held(), timerValues.getCurrentWatermarkInMs())
 
-    def _settle(self, key, held: pd.DataFrame, watermark_ms: int) -> pd.DataFrame:
+    def _settle(self, held: dict[str, np.ndarray], watermark_ms: int) -> pd.DataFrame:
         """Close what is decided at the watermark, keep the rest and wake up at the next decision."""
-        hit, due, last, nxt = (held[c].to_numpy(np.int64) for c in ("hit", "due", "last", "next"))
-        when = np.where(hit < FAR, hit, np.where(last > -FAR, due, nxt))
+        hit, due, last = held["hit"], held["due"], held["last"]
+        when = np.where(hit < FAR, hit, np.where(last > -FAR, due, held["next"]))
         wake = -(-when // 1000)
         final = wake <= watermark_ms
         price = np.where(hit < FAR, held["hit_price"], np.where(last > -FAR, held["last_price"], held["next_price"]))
-        out = pd.DataFrame({"id": held["id"].to_numpy(np.int64)[final], "ts": pd.Series(when[final].astype("datetime64[us]")).dt.tz_localize("UTC"), "price": price.astype(float)[final]})
-        rest = held[~final]
-        if len(rest):
-            self.open.put([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in rest.itertuples(index=False)])
-        elif self.open.exists():
+        out = pd.DataFrame({"id": held["id"][final], "ts": pd.Series(when[final].astype("datetime64[us]")).dt.tz_localize("UTC"), "price": price[final]})
+        if final.all():
             self.open.clear()
+        else:
+            self.open.put(list(zip(*[x[~final].tolist() for x in held.values()], strict=True)))
         times = wake[~final & (when < FAR)]
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
