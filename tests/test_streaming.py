@@ -4,8 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates as fd
+from tidemark.functions.passage import first_passage
 from tidemark.streaming import jobs
-from tidemark.streaming.processors import first_passage
 
 TICKS = "event_id bigint, ticker string, ts timestamp, price double, feed string"
 PREDS = "id bigint, ticker string, market string, direction string, timeframe string, created_at timestamp, entry_price double, target_price double, stop_price double"
@@ -82,8 +82,8 @@ def test_first_passage_is_what_a_walk_finds():
         price = g.integers(0, 100, n).astype(float)
         a, z = g.integers(0, n + 1, 80), g.integers(0, n + 1, 80)
         low, high = g.choice([-1, 3, 20], 80), g.choice([97, 200, 60], 80)
-        want = [next((i for i in range(x, y) if price[i] <= lo or price[i] >= hi), y) for x, y, lo, hi in zip(a, z, low, high)]
-        assert first_passage(price, a, z, low, high).tolist() == want
+        want = [next((i for i in range(x, y) if price[i] <= lo or price[i] + 1 >= hi), y) for x, y, lo, hi in zip(a, z, low, high)]
+        assert first_passage(price, price + 1, a, z, low, high).tolist() == want
 
 
 def test_business_day_after_inverts_the_count(spark):

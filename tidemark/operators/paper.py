@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import dates as fd
+from tidemark.functions.passage import first_passage
 from tidemark.operators import series
+from tidemark.operators.held import beside, stream_past
 
 SLIPPAGE = 0.0005
 KR_COMMISSION = 0.00015
@@ -41,23 +45,43 @@ def fresh_target(target: Column, price: Column) -> Column:
     return F.when(target > price, target)
 
 
-def exit_signals(lots: DataFrame, day_bars: DataFrame) -> DataFrame:
+def exit_signals(lots: DataFrame, day_bars: DataFrame, salts: int = 8) -> DataFrame:
     """First closing day, reason and fill per open lot after its entry: stop, then target, then horizon.
 
-    `lots` has a unique id and entry_date; a lot that no bar closes has no row. Only the first exit of a lot leaves
-    the join's stage, as a map-side minimum by date.
+    `lots` has a unique id and entry_date; a lot that no bar closes has no row. A ticker has a bar a day at most, so its
+    bars are held while its lots, dealt to `salts` tasks, stream past; a lot finds its bar by block minima and maxima in
+    steps that grow with the logarithm of the bars, and one row a lot leaves. A missing low or high reaches no level.
     """
-    bars = day_bars.select("ticker", "date", "high", "low", "close")
-    j = lots.join(bars, "ticker").where("date > entry_date")
-    c = F.col
-    reason = (
-        F.when(c("low") <= c("stop_price"), "stop_hit").when(c("high") >= c("target_price"), "target_hit")
-        .when(c("date") >= c("horizon_end"), "horizon_exit")
-    )
-    j = j.withColumn("reason", reason).where("reason IS NOT NULL")
-    fill = F.when(c("reason") == "stop_hit", c("stop_price")).when(c("reason") == "target_hit", c("target_price")).otherwise(c("close"))
-    first = j.withColumn("exit_price", fill).groupBy("id").agg(F.min_by(F.struct("date", "reason", "exit_price"), "date").alias("x"))
-    return first.select("id", "x.*")
+    none = lambda **kinds: [F.lit(None).cast(k).alias(n) for n, k in kinds.items()]
+    day = lambda c: F.unix_date(F.col(c).cast("date"))
+    types = dict(lots.dtypes)
+    bars = day_bars.select(
+        "ticker", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("side"), day("date").alias("day"), "low", "high", "close",
+        *none(id=types["id"], stop="double", target="double", horizon="int")).where("day IS NOT NULL")
+    asked = lots.select(
+        "ticker", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("side"), day("entry_date").alias("day"), *none(low="double", high="double", close="double"),
+        "id", F.col("stop_price").cast("double").alias("stop"), F.col("target_price").cast("double").alias("target"), day("horizon_end").alias("horizon")).where("day IS NOT NULL")
+    column = lambda t, c, null: t[c].to_pandas().fillna(null).to_numpy()
+
+    def hold(_, held):
+        return [np.concatenate([column(t, c, null) for t in held]) for c, null in (("day", 0), ("low", np.inf), ("high", -np.inf), ("close", np.nan))]
+
+    def meet(state, t):
+        days, lows, highs, closes = state
+        stop, target = column(t, "stop", -np.inf), column(t, "target", np.inf)
+        first = np.searchsorted(days, column(t, "day", 0), "right")
+        end = np.maximum(first, np.searchsorted(days, column(t, "horizon", 1 << 30)))
+        at = first_passage(lows, highs, first, end, stop, target)
+        k = np.flatnonzero(at < len(days))
+        at, stop, target = at[k], stop[k], target[k]
+        why = np.where(lows[at] <= stop, 0, np.where(highs[at] >= target, 1, 2))
+        price = np.choose(why, [stop, target, closes[at]])
+        reason = np.array(["stop_hit", "target_hit", "horizon_exit"], object)[why]
+        return pa.RecordBatch.from_pydict({"id": t["id"].take(pa.array(k)), "day": pa.array(days[at], pa.int32()), "reason": pa.array(reason, pa.string()), "exit_price": pa.array(price, pa.float64(), from_pandas=True)})
+
+    keys = ["ticker", "salt"]
+    found = beside(bars, asked, keys, ["day"]).mapInArrow(lambda b: stream_past(b, keys, hold, meet), f"id {types['id']}, day int, reason string, exit_price double")
+    return found.select("id", F.date_from_unix_date("day").alias("date"), "reason", "exit_price")
 
 
 def day_candidates(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.held import beside, stream_past
+
 #: Queries of one block, held while its records stream past, and records of one block.
 QUERIES, RECORDS = 2_048, 65_536
 #: Records multiplied with a block of queries at once.
@@ -76,38 +78,22 @@ def semantic_topk(memory: DataFrame, queries: DataFrame, k: int = 5, block: int
         return j.select("category", "dims", first, second, F.lit(side).alias("side"), "id", "v")
 
     key = ["category", "dims", "qb", "rb"]
-    both = dealt(ask, 0, "qs", "rs").unionByName(dealt(rec, 1, "rs", "qs"))
-    n = int(memory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = both.repartition(n, *key).sortWithinPartitions(*key, "side", "id")
+    both = beside(dealt(ask, 0, "qs", "rs"), dealt(rec, 1, "rs", "qs"), key, ["id"])
+    matrix = lambda t: t["v"].flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+
+    def hold(group, held):
+        return held[0].schema, group[0], Running([i for t in held for i in t["id"].to_pylist()], np.concatenate([matrix(t) for t in held]), k)
+
+    def meet(state, t):
+        state[2].add(t["id"].to_pylist(), matrix(t))
+
+    def done(state):
+        schema, category, run = state
+        kind, cat = schema.field("id").type, schema.field("category").type
+        return pa.RecordBatch.from_pydict({"query_id": pa.array([run.ids[i] for i in run.q], kind), "vec_id": pa.array(run.r.tolist(), kind), "category": pa.array([category] * len(run.q), cat), "similarity": run.s})
 
     def part(batches):
-        def best():
-            if run is not None and len(run.q):
-                ids = [run.ids[i] for i in run.q]
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids, kind), "vec_id": pa.array(run.r.tolist(), kind), "category": pa.array([group[0]] * len(ids), cat), "similarity": run.s})
-
-        group, held, run, kind, cat = None, [], None, None, None
-        for b in batches:
-            kind, cat = b["id"].type, b["category"].type
-            names = list(zip(*[b[c].to_pylist() for c in key], strict=True))
-            side = b["side"].to_pylist()
-            cut = [0] + [i for i in range(1, len(b)) if names[i] != names[i - 1] or side[i] != side[i - 1]] + [len(b)]
-            for a, z in zip(cut[:-1], cut[1:], strict=True):
-                if a == z:
-                    continue
-                if names[a] != group:
-                    yield from best()
-                    group, held, run = names[a], [], None
-                for lo in range(a, z, STEP):
-                    t = b.slice(lo, min(STEP, z - lo))
-                    ids, v = t["id"].to_pylist(), t["v"].flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
-                    if side[a] == 0:
-                        held.append((ids, v))
-                    elif held:
-                        if run is None:
-                            run = Running([i for x, _ in held for i in x], np.concatenate([x for _, x in held]), k)
-                        run.add(ids, v)
-        yield from best()
+        return stream_past(batches, key, hold, meet, done, STEP)
 
     found = both.mapInArrow(part, f"query_id {types['id']}, vec_id {types['id']}, category {types['category']}, similarity double")
     w = Window.partitionBy("query_id", "category").orderBy(F.desc("similarity"), "vec_id")

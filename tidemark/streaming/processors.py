@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tidemark.functions.passage import first_passage
+
 ACK, CHANGE, TICK = 0, 1, 2
 PREDICTION = 3
 FAR = 1 << 62
@@ -96,39 +98,6 @@ class WatchEdges(StatefulProcessor):
         pass
 
 
-def first_passage(price: np.ndarray, start: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Per query the first place in [start, end) with a price at or under `low` or at or over `high`; `end` if none.
-
-    Minima and maxima of blocks of 1, 2, 4, ... prices let all queries skip in logarithmically many steps.
-    """
-    levels = [(price, price)]
-    while len(levels[-1][0]) > 1:
-        lo, hi = levels[-1]
-        odd = len(lo) % 2
-        lo, hi = np.append(lo, [np.inf] * odd), np.append(hi, [-np.inf] * odd)
-        levels.append((np.minimum(lo[::2], lo[1::2]), np.maximum(hi[::2], hi[1::2])))
-    at = np.minimum(start, end).astype(np.int64)
-    up = np.zeros(len(at), np.int64)  # the level a query is on; it climbs while blocks are free of a passage
-    active = np.flatnonzero(at < end)
-    while len(active):
-        a, k = at[active], up[active]
-        hit = np.zeros(len(active), bool)
-        for level in np.unique(k):
-            mine = k == level
-            lo, hi = levels[level]
-            block = a[mine] >> level
-            hit[mine] = (lo[block] <= low[active[mine]]) | (hi[block] >= high[active[mine]])
-        done = hit & (k == 0)
-        down, on = active[hit & (k > 0)], active[~hit]
-        up[down] -= 1
-        at[on] = ((at[on] >> up[on]) + 1) << up[on]
-        climb = ((at[on] >> up[on]) & 1 == 0) & (up[on] + 1 < len(levels))
-        up[on[climb]] += 1
-        active = active[~done]
-        active = active[at[active] < end[active]]
-    return np.minimum(at, end)
-
-
 class OutcomeCloser(StatefulProcessor):
     """Finds the tick that decides each open prediction; a key holds the predictions of many tickers.
 
@@ -180,7 +149,7 @@ class OutcomeCloser(StatefulProcessor):
                 a[group] = lo + np.searchsorted(ts[lo:hi], held["created"][group])
                 z[group] = lo + np.searchsorted(ts[lo:hi], np.maximum(held["due"][group], held["created"][group]))
                 end[group] = hi
-            at = first_passage(price, a, z, held["low"], held["high"])
+            at = first_passage(price, price, a, z, held["low"], held["high"])
             for name, k, is_new, sign in (("hit", at, at < z, 1), ("last", z - 1, z > a, -1), ("next", z, z < end, 1)):
                 k = np.clip(k, 0, len(ts) - 1)
                 now, seen = held[name], held[f"{name}_event"]
