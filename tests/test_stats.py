@@ -2,6 +2,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +105,23 @@ def test_bootstrap_brackets_the_point_and_repeats(spark):
     assert a == b and a.win_rate_lo < a.win_rate < a.win_rate_hi
 
 
+def test_a_cell_draws_what_its_rows_would_draw_together():
+    """The sum of n Poisson(1) weights is Poisson(n): mean, variance and every frequency of the inverted draws."""
+    for n in (1, 3, 40, 5_000, 10**9):
+        u = (np.arange(200_000) * (stats.HASH_PRIME / 200_000)).astype(np.int64)
+        w = stats.poisson_draws(n, u)
+        assert abs(w.mean() - n) < 0.01 * n**0.5 and abs(w.var() / n - 1) < 0.01
+        if n < 100:
+            p = [math.exp(k * math.log(n) - n - math.lgamma(k + 1)) for k in range(3 * n + 10)]
+            assert np.abs(np.bincount(w, minlength=len(p))[:len(p)] / len(u) - p).max() < 2e-5
+
+
+def test_bootstrap_work_follows_the_cells(spark):
+    few = acc.bootstrap_ci(preds(spark, ["HIT", "MISS", "HIT"] * 400), 500).first()
+    sd = (2 / 3 * 1 / 3 / 1200) ** 0.5
+    assert abs((few.win_rate_hi - few.win_rate_lo) / (2 * 1.96 * sd) - 1) < 0.15
+
+
 def test_permutation_selection_is_exact_for_any_cell_count(spark):
     r = random.Random(2)
     st = ["HIT" if r.random() < 0.5 else "MISS" for _ in range(150)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -142,6 +143,18 @@ def poisson1(u: Column) -> Column:
     return sum(((u >= cut).cast("int") for cut in POISSON1_CUTS), F.lit(0))
 
 
+def poisson_draws(mean: float, u: np.ndarray) -> np.ndarray:
+    """Poisson draws by inversion at integer uniforms in [0, HASH_PRIME).
+
+    The distribution is summed over thirteen standard deviations and 30 to both sides of its mean, beyond which there is less than the uniforms can tell.
+    """
+    reach = 13 * math.sqrt(mean) + 30
+    k = np.arange(max(0, math.floor(mean - reach)), math.ceil(mean + reach) + 1)
+    steps = np.concatenate([[0.0], np.cumsum(math.log(mean) - np.log(k[1:]))])
+    below = np.cumsum(np.exp(steps + k[0] * math.log(mean) - mean - math.lgamma(k[0] + 1)))
+    return k[np.minimum(np.searchsorted(below, (u + 0.5) / HASH_PRIME, "right"), len(k) - 1)]
+
+
 def nearest_rank(p: float, m: Column) -> Column:
     """1-based nearest-rank position ceil(p*m), at least 1 and at most m."""
     return F.least(m, F.greatest(F.lit(1), F.ceil(F.lit(p) * m))).cast("bigint")

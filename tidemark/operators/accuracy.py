@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -311,20 +313,28 @@ def recalibrate(preds: DataFrame, history: DataFrame, min_closed: int = 30, buck
 def bootstrap_ci(rows: DataFrame, resamples: int = 1000, alpha: float = 0.05, key: str = "id") -> DataFrame:
     """Poisson bootstrap of win rate and Brier score.
 
-    Every row draws its own weight per replicate from a hash, so rows never move: the replicate
-    sums combine map-side and only `resamples` partial rows per task are shuffled.
+    Rows of equal confidence and outcome form a cell, and the sum of their Poisson(1) weights in a replicate is one
+    Poisson draw of the cell's count. The draw inverts the distribution at a uniform hashed from the cell's smallest
+    key and the replicate. So work follows the number of cells, not of rows; a task adds up its cells and sends one row a replicate.
     """
     hit = _is("HIT").cast("int")
-    a, b = stats.hash_pair(F.col(key))
-    n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = rows.select(
-        key, hit.alias("y"), F.pow(F.col("confidence") - hit, 2).alias("e"), a.alias("a"), b.alias("b")
-    ).repartition(n_parts, key)
-    rep = base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    w = stats.poisson1(stats.rep_uniform(F.col("a"), F.col("b"), F.col("rep")))
+    cells = rows.groupBy(hit.alias("y"), F.col("confidence").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"))
+    a, b = stats.hash_pair(F.col("first"))
+    cells = cells.where("c IS NOT NULL").select("y", F.pow(F.col("c") - F.col("y"), 2).alias("e"), "n", a.alias("a"), b.alias("b"))
+
+    def draw(batches):
+        sums = np.zeros((3, resamples))
+        reps = np.arange(1, resamples + 1)
+        for t in batches:
+            for y, e, n, a_, b_ in zip(*[t[c].to_pylist() for c in ("y", "e", "n", "a", "b")], strict=True):
+                w = stats.poisson_draws(n, (a_ * reps + b_) % stats.HASH_PRIME)
+                sums += np.stack([w, w * y, w * e])
+        if sums.any():
+            yield pa.RecordBatch.from_pydict({"rep": reps, "n": sums[0], "k": sums[1], "s": sums[2]})
+
     per = (
-        rep.withColumn("w", w).groupBy("rep")
-        .agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("k"), F.sum(F.col("w") * F.col("e")).alias("s"))
+        cells.mapInArrow(draw, "rep long, n double, k double, s double").groupBy("rep")
+        .agg(*[F.sum(c).alias(c) for c in ("n", "k", "s")])
         .where("n > 0")
         .select((F.col("k") / F.col("n")).alias("wr"), (F.col("s") / F.col("n")).alias("br"))
     )
