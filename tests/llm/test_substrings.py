@@ -91,3 +91,10 @@ def test_automaton_counts_every_substring():
         seen = Counter(tuple(q[i:i + n]) for q in seqs for i in range(len(q) - n + 1))
         for q in [*seqs, [g.choice("abc") for _ in range(40)]]:
             assert list(sam.matches(q, n)) == [2 * seen[tuple(q[i:i + n])] for i in range(len(q) - n + 1)]
+
+
+def test_ids_of_any_type(spark):
+    rows = [(i, f"w{i} " * 3 + "a b c d e f g " * 6) for i in range(4)]
+    for kind in ("decimal(20,0)", "smallint", "binary"):
+        docs = spark.createDataFrame(rows, "doc_id int, text string").selectExpr(f"cast(cast(doc_id as string) as {kind}) AS doc_id", "text")
+        assert sorted(r.n_removed for r in s.drop_repeats(docs).collect()) == [42] * 4

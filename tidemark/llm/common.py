@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +49,12 @@ def saved(df: DataFrame, kind: str = "table") -> DataFrame:
     path = shared_folder(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def slices(batches, column: str, most: int = 2_000_000):
+    """Pieces of Arrow batches with about `most` bytes of text in `column`: memory follows the longest text."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = np.flatnonzero(np.diff(ends // most, prepend=-1)) if len(ends) else np.zeros(0, np.int64)
+        for a, z in zip(first, np.append(first[1:], len(ends)), strict=True):
+            yield b.slice(a, z - a)

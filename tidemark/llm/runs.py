@@ -13,11 +13,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, words
+from tidemark.llm.common import let, slices, words
 
 #: Runs of fewer words are not reported.
 MIN_LENGTH = 12
@@ -172,15 +171,6 @@ def runs_of(text: np.ndarray, lengths: np.ndarray, min_length: int = MIN_LENGTH)
     return found[np.lexsort((found[:, 3], found[:, 1], found[:, 0]))]
 
 
-def _slices(batches):
-    """Pieces of about SLICE bytes of text."""
-    for b in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(b["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        first = np.flatnonzero(np.diff(ends // SLICE, prepend=-1)) if len(ends) else np.zeros(0, np.int64)
-        for a, z in zip(first, np.append(first[1:], len(ends)), strict=True):
-            yield b.slice(a, z - a)
-
-
 def find_runs(docs: DataFrame, text_col: str = "text", min_length: int = MIN_LENGTH, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep`, then n_words, `runs` (start, length, period by start, then period; words from 0) and
     `collapsed`, the text without the words that a run holds after its first period, joined by one space.
@@ -194,7 +184,7 @@ def find_runs(docs: DataFrame, text_col: str = "text", min_length: int = MIN_LEN
     one = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
 
     def part(batches):
-        for b in _slices(batches):
+        for b in slices(batches, "text", SLICE):
             texts = [(t or b"").split() for t in b["text"].to_pylist()]  # bytes split at exactly these six characters
             lengths = np.array([len(t) for t in texts], np.int64)
             ids = np.zeros(int(lengths.sum()), np.int64)

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, saved, words
-from tidemark.llm.jaccard import FILTER_BITS, _bitmap, _mixed
+from tidemark.llm.common import WORD, saved, slices, words
+from tidemark.llm.jaccard import FILTER_BITS, _batches, _bitmap, _mixed
 
 ANCHOR = 8
 #: Surroundings of one anchor beyond which its windows are compared one by one, spread over tasks.
@@ -103,9 +103,8 @@ def _runs(rows: DataFrame, window: int) -> DataFrame:
     """row, first and n (windows), anchor and content hash of every run of windows about one anchor."""
 
     def part(batches):
-        for b in batches:
-            lengths = b["w"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            h = _mixed(b["w"].flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+        for b, flat, lengths in _batches(batches):
+            h = _mixed(flat.view(np.uint64))
             total = len(h)
             if total < window:
                 continue
@@ -147,7 +146,7 @@ def _surroundings(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     word = re.compile(WORD)
 
     def part(batches):
-        for b in batches:
+        for b in slices(batches, "text"):
             out = []
             for text, runs in zip(b["text"].to_pylist(), b["runs"].to_pylist(), strict=True):
                 ws = word.findall(text)
@@ -221,7 +220,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row: row, doc_id, n_words, n_removed, spans (first-last of removed words, comma-joined) and kept (text).
 
     A null or short text has no window and loses nothing; a repeated row repeats all windows of its text; an empty
-    table gives no rows. Nulls in the id and other columns do not matter. Texts are used whole. Runs meet by 64-bit
+    table gives no rows. Nulls in the id and other columns do not matter; ids may have any type. Texts are used whole. Runs meet by 64-bit
     hashes of anchor and content, windows of one automaton by their words.
     """
     # Written once: a number made in a scan changes with the scan. Hashes are made again from the text of that table.
@@ -229,13 +228,12 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = numbered.withColumn("w", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))
     found = repeated_windows(rows.select("row", "text", "w"), window, hot).groupBy("row").agg(F.collect_list(F.struct("first", "mask")).alias("runs"))
     kind, word = docs.schema[id_col].dataType.simpleString(), re.compile(WORD)
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()), ("n_words", pa.int64()),
-                        ("n_removed", pa.int64()), ("spans", pa.string()), ("kept", pa.string())])
+    made = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.string()), ("kept", pa.string())])
 
     def part(batches):
-        for b in batches:
-            out: dict[str, list] = {f.name: [] for f in schema}
-            for row, i, text, runs in zip(*(b[c].to_pylist() for c in ("row", "doc_id", "text", "runs")), strict=True):
+        for b in slices(batches, "text"):
+            out: dict[str, list] = {f.name: [] for f in made}
+            for text, runs in zip(b["text"].to_pylist(), b["runs"].to_pylist(), strict=True):
                 ws, edges = word.findall(text), None
                 if runs:
                     edges = np.zeros(len(ws) + 1, np.int64)
@@ -247,9 +245,9 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 gone = np.cumsum(edges[:-1]) > 0 if runs else np.zeros(len(ws), bool)
                 turn = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
                 kept = " ".join([w for w, g in zip(ws, gone.tolist(), strict=True) if not g] if runs else ws)
-                for c, v in zip(out, (row, i, len(ws), int(gone.sum()), ",".join(f"{a}-{z - 1}" for a, z in turn.reshape(-1, 2)), kept), strict=True):
+                for c, v in zip(out, (len(ws), int(gone.sum()), ",".join(f"{a}-{z - 1}" for a, z in turn.reshape(-1, 2)), kept), strict=True):
                     out[c].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema)
+            yield pa.RecordBatch.from_arrays([b["row"], b["doc_id"], *[pa.array(out[f.name], f.type) for f in made]], ["row", "doc_id", *made.names])
 
     joined = rows.select("row", "doc_id", "text").join(found, "row", "left")
     return joined.mapInArrow(part, f"row long, doc_id {kind}, n_words long, n_removed long, spans string, kept string")
