@@ -1,4 +1,5 @@
 import html
+import random
 
 from pyspark.sql import functions as F
 
@@ -41,3 +42,15 @@ def test_a_lot_exits_once_and_after_its_entry(spark):
     lots = lots.withColumns({c: F.to_date(c) for c in ("entry_date", "horizon_end")})
     bars = spark.createDataFrame([("T", d, h, lo, c) for d, h, lo, c in (("2024-01-02", 120.0, 80.0, 100.0), ("2024-01-05", 120.0, 80.0, 100.0), ("2024-01-08", 100.0, 95.0, 99.0), ("2024-01-09", 111.0, 95.0, 99.0), ("2024-01-10", 120.0, 80.0, 99.0))], "ticker string, date string, high double, low double, close double").withColumn("date", F.to_date("date"))
     assert [(r.id, str(r.date), r.reason, r.exit_price) for r in paper.exit_signals(lots, bars).collect()] == [(1, "2024-01-09", "target_hit", 110.0)]
+
+
+def test_keyword_groups_match_what_the_patterns_match(spark):
+    g = random.Random(6)
+    groups = {"a": ("cut", "rate cut", "miss"), "b": ("beats estimates", "유상증자"), "c": ("a+", "q-a"), "d": ()}
+    parts = ["cut", "rate", "rate cut", "beats", "estimates", "beats estimates", "miss", "mission", "유상증자", "é", "_", "a+", "q-a", "1", "CUT", "Rate Cut"]
+    lines = [(None,), ("",)] + [(g.choice(["", " ", "x"]).join([g.choice(parts) + g.choice([" ", "  ", "-", "", "_", ",", "é"]) for _ in range(g.randrange(1, 5))]),) for _ in range(600)]
+    df = spark.createDataFrame(lines, "h string")
+    h = F.col("h")
+    want = F.array_compact(F.array(*[F.when(F.lower(h).rlike(ft.keyword_pattern(k)), n) for n, k in groups.items() if k]))
+    bad = df.select(h, ft.keyword_groups(h, groups).alias("x"), want.alias("y")).where("x <> y")
+    assert bad.collect() == []

@@ -28,8 +28,43 @@ def keyword_pattern(keywords) -> str:
     return "|".join(parts)
 
 
+def _let(value: Column, body) -> Column:
+    """`body(value)` with `value` computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _any(conditions) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
+def keyword_groups(headline: Column, groups: dict[str, tuple[str, ...]]) -> Column:
+    """Names of the groups with a keyword in the headline, in the order given; empty for null.
+
+    ASCII keywords are whole words, others plain substrings. The headline is lower-cased and cut into words once; one
+    walk keeps the words that are a keyword of any group, and a pattern runs only where a phrase's text occurs.
+    """
+    single = lambda kws: [k for k in kws if k.isascii() and k.isalnum()]
+    phrase = lambda kws: [k for k in kws if k.isascii() and not k.isalnum()]
+    known = sorted({k for kws in groups.values() for k in single(kws)})
+    low = F.lower(headline)
+    own = F.filter(F.split(low, r"[^\p{L}\p{N}_]+"), lambda w: w.isin(known)) if known else F.array().cast("array<string>")
+
+    def match(kws, line: Column, own: Column) -> Column:
+        words = [F.arrays_overlap(own, F.array(*[F.lit(k) for k in single(kws)]))] if single(kws) else []
+        texts = [line.contains(k) & line.rlike(keyword_pattern([k])) for k in phrase(kws)]
+        return _any([*words, *texts, *[line.contains(k) for k in kws if not k.isascii()]])
+
+    return _let(
+        F.struct(low.alias("line"), own.alias("own")),
+        lambda s: F.array_compact(F.array(*[F.when(match(kws, s["line"], s["own"]), F.lit(name)) for name, kws in groups.items()])),
+    )
+
+
 def has_keyword(headline: Column, keywords) -> Column:
-    return F.lower(headline).rlike(keyword_pattern(keywords))
+    return F.when(headline.isNotNull(), F.size(keyword_groups(headline, {"": tuple(keywords)})) > 0)
 
 
 def normalize_headline(h: Column) -> Column:
@@ -42,24 +77,24 @@ def normalize_title(h: Column) -> Column:
 
 def event_tags(headline: Column) -> Column:
     """Sorted categories a headline matches."""
-    tags = [F.when(has_keyword(headline, kws), F.lit(cat)) for cat, kws in sorted(fixed.EVENT_KEYWORDS.items())]
-    return F.array_compact(F.array(*tags))
+    return keyword_groups(headline, dict(sorted(fixed.EVENT_KEYWORDS.items())))
 
 
 def risk_bucket(headline: Column) -> Column:
     """First macro risk bucket a headline falls in, most severe first; NULL if none."""
-    h = F.lower(headline)
-    emergency = h.rlike("|".join(map(_quote, fixed.EMERGENCY_PHRASES))) & (
-        h.rlike(keyword_pattern(fixed.CENTRAL_BANK_WORDS))
-        | h.rlike("|".join(map(_quote, fixed.CENTRAL_BANK_SUBSTRINGS)))
-    )
-    out = None
-    for name, _, words in fixed.MACRO_RISK_BUCKETS:
-        cond = h.rlike("|".join(map(_quote, words)))
-        if name == "emergency_central_bank":
-            cond = cond | emergency
-        out = F.when(cond, name) if out is None else out.when(cond, name)
-    return out
+
+    def first(h: Column) -> Column:
+        among = lambda words: _any([h.contains(w) for w in words])
+        bank = among(fixed.CENTRAL_BANK_SUBSTRINGS) | (among(fixed.CENTRAL_BANK_WORDS) & h.rlike(keyword_pattern(fixed.CENTRAL_BANK_WORDS)))
+        out = F.lit(None).cast("string")
+        for name, _, words in reversed(fixed.MACRO_RISK_BUCKETS):
+            cond = among(words)
+            if name == "emergency_central_bank":
+                cond = cond | (among(fixed.EMERGENCY_PHRASES) & bank)
+            out = F.when(cond, name).otherwise(out)
+        return out
+
+    return _let(F.lower(headline), first)
 
 
 def risk_weight(bucket: Column) -> Column:

@@ -80,10 +80,9 @@ def dedup_headlines(
 def news_signal(news: DataFrame, keys: list[str], order: list[str], asof: Column) -> DataFrame:
     """Per key: counts, sentiment over survivors, tags and hard catalysts over ALL headlines."""
     h = F.col("headline")
-    flags = {f"_t_{c}": ft.has_keyword(h, k) for c, k in fixed.EVENT_KEYWORDS.items()}
-    flags |= {"_pos": ft.has_keyword(h, fixed.POSITIVE_CATALYSTS), "_neg": ft.has_keyword(h, fixed.NEGATIVE_CATALYSTS)}
-    every = news.withColumns(flags).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("raw_count"), *[F.max(f).alias(f) for f in flags]
+    groups = {f"_t_{c}": k for c, k in fixed.EVENT_KEYWORDS.items()} | {"_pos": fixed.POSITIVE_CATALYSTS, "_neg": fixed.NEGATIVE_CATALYSTS}
+    every = news.withColumn("_found", ft.keyword_groups(h, groups)).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("raw_count"), *[F.coalesce(F.max(F.array_contains("_found", g)), F.lit(False)).alias(g) for g in groups]
     )
     tags = F.array_compact(F.array(*[F.when(F.col(f"_t_{c}"), F.lit(c)) for c in sorted(fixed.EVENT_KEYWORDS)]))
     every = every.select(
@@ -142,14 +141,16 @@ def macro_risk(items: DataFrame, keys: list[str], order: list[str], ident: str,
 def annotate(news: DataFrame) -> DataFrame:
     """Every matcher's verdict per headline."""
     h = F.col("headline")
-    return news.withColumns(
+    groups = dict(sorted(fixed.EVENT_KEYWORDS.items())) | {"_neg": fixed.NEGATIVE_CATALYSTS, "_pos": fixed.POSITIVE_CATALYSTS}
+    found = news.withColumn("_found", ft.keyword_groups(h, groups))
+    return found.withColumns(
         {
-            "event_tags": ft.event_tags(h),
-            "neg_catalyst": ft.has_keyword(h, fixed.NEGATIVE_CATALYSTS),
-            "pos_catalyst": ft.has_keyword(h, fixed.POSITIVE_CATALYSTS),
+            "event_tags": F.array_except("_found", F.array(F.lit("_neg"), F.lit("_pos"))),
+            "neg_catalyst": F.array_contains("_found", "_neg"),
+            "pos_catalyst": F.array_contains("_found", "_pos"),
             "macro_bucket": ft.risk_bucket(h),
         }
-    )
+    ).drop("_found")
 
 
 def audit(news: DataFrame) -> DataFrame:
@@ -194,27 +195,12 @@ def news_counts(candidates: DataFrame, news: DataFrame) -> DataFrame:
     return candidates.join(n, "ticker", "left").fillna(0, ["news_count_7d"])
 
 
-def _grams(news: DataFrame, sizes: tuple[int, ...], order: list[str]) -> DataFrame:
-    h = F.trim("headline")
-    article = F.when(F.trim(F.coalesce("url", F.lit(""))) != "", F.trim("url")).otherwise(h)
-    toks = news.where(h != "").select("ticker", h.alias("headline"), article.alias("article"),
-                                      F.struct(*order).alias("pos"), ft.tokens(h).alias("_t"))
-    grams = F.array_distinct(F.concat(*[ft.ngrams(F.col("_t"), n) for n in sizes]))
-    return toks.select("ticker", "headline", "article", "pos", F.explode(grams).alias("gram"))
+def _grams(toks: Column, sizes: tuple[int, ...]) -> Column:
+    return F.array_distinct(F.concat(*[ft.ngrams(toks, n) for n in sizes]))
 
 
-def themes(
-    news: DataFrame, order: list[str], sizes: tuple[int, ...] = (2, 3), min_tickers: int = 3,
-    min_articles: int = 2, top: int | None = 8, samples: int = 5,
-) -> DataFrame:
-    """Word n-grams seen at several tickers, without grams contained in a longer equal-ticker gram."""
-    g = _grams(news, sizes, order)
-    counts = g.groupBy("gram").agg(
-        F.count_distinct("ticker").alias("n_tickers"), F.count_distinct("article").alias("n_articles"),
-        F.count(F.lit(1)).alias("headline_count"),
-    ).where((F.col("n_tickers") >= min_tickers) & (F.col("n_articles") >= min_articles))
-    # survivors only from here: per (gram, ticker) the first few distinct headlines
-    hits = g.join(counts.select("gram"), "gram", "left_semi")
+def _samples(hits: DataFrame, samples: int) -> DataFrame:
+    """Per gram its tickers in order and at most `samples` headlines, a new one of each ticker in turn."""
     heads = hits.groupBy("gram", "ticker", "headline").agg(F.min("pos").alias("pos"))
     w = Window.partitionBy("gram", "ticker").orderBy("pos")
     heads = heads.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= samples)
@@ -228,16 +214,46 @@ def themes(
             F.concat(acc, F.slice(F.array_except(x["hs"], acc), 1, 1))
         ),
     )
-    c = counts.join(lists, "gram").select(
-        F.split("gram", " ").alias("keywords"), "gram", F.transform("_l", lambda x: x["ticker"]).alias("tickers"),
-        "n_tickers", "headline_count", picked.alias("sample_headlines"),
-    )
-    size = F.size("keywords")
-    inner = [
-        F.when(size > n, ft.ngrams(F.col("keywords"), n)).otherwise(F.array().cast("array<string>")) for n in sizes
-    ]
-    covered = c.select("tickers", F.explode(F.concat(*inner)).alias("gram")).distinct()
-    out = c.join(covered, ["gram", "tickers"], "left_anti")
-    if top is not None:
-        out = out.orderBy(F.desc("n_tickers"), F.desc("headline_count"), F.desc(F.size("keywords")), "gram").limit(top)
-    return out
+    return lists.select("gram", F.transform("_l", lambda x: x["ticker"]).alias("tickers"), picked.alias("sample_headlines"))
+
+
+def themes(
+    news: DataFrame, order: list[str], sizes: tuple[int, ...] = (2, 3), min_tickers: int = 3,
+    min_articles: int = 2, top: int | None = 8, samples: int = 5,
+) -> DataFrame:
+    """Word n-grams seen at several tickers, without grams contained in a longer equal-ticker gram.
+
+    Grams are counted per ticker, then per gram, with map-side sums only. Whether two grams have the same tickers is
+    told by their number and by two 64-bit hashes of the set that do not depend on order, so no gram's tickers are
+    gathered before the top cut; tickers and sample headlines are collected for the grams that are returned.
+    """
+    h = F.trim("headline")
+    article = F.when(F.trim(F.coalesce("url", F.lit(""))) != "", F.trim("url")).otherwise(h)
+    lines = news.where(h != "").select("ticker", h.alias("headline"), article.alias("article"), F.struct(*order).alias("pos"), ft.tokens(h).alias("_t"))
+    seen = lines.select("ticker", F.xxhash64("article").alias("a"), F.explode(_grams(F.col("_t"), sizes)).alias("gram")).groupBy("gram", "ticker")
+    per = seen.agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("lo"), F.max("a").alias("hi"))
+    counts = per.groupBy("gram").agg(
+        F.count("ticker").alias("n_tickers"), F.sum("n").alias("headline_count"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.bit_xor(F.xxhash64("ticker")).alias("_a"), F.bit_xor(F.xxhash64(F.lit(1), "ticker")).alias("_b"),
+    ).where(F.col("n_tickers") >= min_tickers)
+    if min_articles == 2:
+        counts = counts.where("lo <> hi")
+    elif min_articles > 2:
+        far = lines.select(F.xxhash64("article").alias("a"), F.explode(_grams(F.col("_t"), sizes)).alias("gram")).distinct()
+        far = far.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= min_articles)
+        counts = counts.join(far.select("gram"), "gram", "left_semi")
+    counts = stable(counts.drop("lo", "hi")).withColumn("keywords", F.split("gram", " "))
+    size, same = F.size("keywords"), ["n_tickers", "_a", "_b"]
+    inner = [F.when(size > n, ft.ngrams(F.col("keywords"), n)).otherwise(F.array().cast("array<string>")) for n in sizes]
+    covered = counts.where(size > min(sizes)).select(*same, F.explode(F.concat(*inner)).alias("gram")).distinct()
+    best = [F.desc("n_tickers"), F.desc("headline_count"), F.desc(size), "gram"]
+    out = counts.join(covered, ["gram", *same], "left_anti").drop("_a", "_b")
+    if top is None:
+        hits = lines.select("ticker", "headline", "pos", F.explode(_grams(F.col("_t"), sizes)).alias("gram")).join(out.select("gram"), "gram", "left_semi")
+    else:
+        out = stable(out.orderBy(*best).limit(top))
+        line = F.concat(F.lit(" "), F.array_join("_t", " "), F.lit(" "))
+        names = [F.when(line.contains(f" {r.gram} "), F.lit(r.gram)) for r in out.select("gram").collect()]  # `top` at most
+        hits = lines.select("ticker", "headline", "pos", F.explode(F.array_compact(F.array(*names, F.lit(None).cast("string")))).alias("gram"))
+    found = out.join(_samples(hits, samples), "gram").select("keywords", "gram", "tickers", "n_tickers", "headline_count", "sample_headlines")
+    return found if top is None else found.orderBy(*best)
