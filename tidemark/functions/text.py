@@ -120,11 +120,12 @@ def tokens(text: Column) -> Column:
 
 
 def ngrams(toks: Column, n: int) -> Column:
-    last = F.size(toks) - n + 1
-    return F.when(
-        last > 0,
-        F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(toks, i, n), " ")),
-    ).otherwise(F.array().cast("array<string>"))
+    """All runs of `n` tokens, joined by spaces; empty for fewer tokens or null."""
+    count = F.greatest(F.size(toks) - n + 1, F.lit(0))
+    out = F.slice(toks, 1, count)
+    for k in range(2, n + 1):
+        out = F.zip_with(out, F.slice(toks, k, count), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.coalesce(out, F.array().cast("array<string>"))
 
 
 _ENTITY = r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"

@@ -223,15 +223,18 @@ def themes(
 ) -> DataFrame:
     """Word n-grams seen at several tickers, without grams contained in a longer equal-ticker gram.
 
-    Grams are counted per ticker, then per gram, with map-side sums only. Whether two grams have the same tickers is
+    Grams are counted by a 64-bit hash first, which can only count too many together; the texts of those that reach the
+    thresholds are then counted per ticker and per gram, with map-side sums only. Whether two grams have the same tickers is
     told by their number and by two 64-bit hashes of the set that do not depend on order, so no gram's tickers are
     gathered before the top cut; tickers and sample headlines are collected for the grams that are returned.
     """
     h = F.trim("headline")
     article = F.when(F.trim(F.coalesce("url", F.lit(""))) != "", F.trim("url")).otherwise(h)
     lines = news.where(h != "").select("ticker", h.alias("headline"), article.alias("article"), F.struct(*order).alias("pos"), ft.tokens(h).alias("_t"))
-    seen = lines.select("ticker", F.xxhash64("article").alias("a"), F.explode(_grams(F.col("_t"), sizes)).alias("gram")).groupBy("gram", "ticker")
-    per = seen.agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("lo"), F.max("a").alias("hi"))
+    grams = lines.select("ticker", F.xxhash64("article").alias("a"), F.explode(_grams(F.col("_t"), sizes)).alias("gram")).withColumn("x", F.xxhash64("gram"))
+    rough = grams.groupBy("x", "ticker").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).groupBy("x").agg(F.count("ticker").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    often = stable(rough.where((F.col("n") >= min_tickers) & ((F.col("lo") != F.col("hi")) | F.lit(min_articles < 2))).select("x"))
+    per = grams.join(often, "x", "left_semi").groupBy("gram", "ticker").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("lo"), F.max("a").alias("hi"))
     counts = per.groupBy("gram").agg(
         F.count("ticker").alias("n_tickers"), F.sum("n").alias("headline_count"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
         F.bit_xor(F.xxhash64("ticker")).alias("_a"), F.bit_xor(F.xxhash64(F.lit(1), "ticker")).alias("_b"),
