@@ -12,6 +12,7 @@ from tidemark.operators import graph as gr
 from tidemark.operators import outcomes as oc
 from tidemark.operators import series, similar
 from tidemark.operators import watchlist as wl
+from tidemark.operators.ranks import order_statistics
 
 P = ("predictions",)
 PB = ("predictions", "bars")
@@ -154,12 +155,9 @@ saved AS (SELECT user_id AS ticker, CASE WHEN user_id % 2 = 0 THEN 'US' ELSE 'KR
 
 
 def saved(v):
-    """Levels at value ranks of each user's ticks (exact order statistics by percentile_disc)."""
-    q = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY price)")
+    """Levels at value ranks of each user's ticks."""
     t = F.col("ticker")
-    return v.ticks.groupBy("ticker").agg(
-        q(0.45).alias("entry_low"), q(0.55).alias("entry_high"), q(0.2).alias("stop"), q(0.8).alias("target"), q(0.5).alias("_r")
-    ).select(
+    return order_statistics(v.ticks, "ticker", "price", {"entry_low": 0.45, "entry_high": 0.55, "stop": 0.2, "target": 0.8, "_r": 0.5}).select(
         "ticker", F.when(t % 2 == 0, "US").otherwise("KR").alias("market"), F.when(t % 5 == 0, "BEAR").otherwise("BULL").alias("direction"),
         "entry_low", "entry_high", "stop", "target", F.when(t % 3 == 0, F.col("_r")).alias("reentry"),
     )
