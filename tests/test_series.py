@@ -33,7 +33,7 @@ def wilder(xs, period=14):
     return v
 
 
-@pytest.mark.parametrize("period", [2, 5, 14, 100, 500])
+@pytest.mark.parametrize("period", [1, 2, 5, 14, 100, 500])
 def test_rsi_and_atr_match_the_recursion_for_any_period(spark, period):
     rows = walk(1, 10_000)
     df = bars_df(spark, rows)

@@ -97,8 +97,11 @@ def wilder_averages(
     `index` is the 1-based number of the observation. The smoothed value is a weighted sum with
     weight q^(n - max(i, period)) / period, q = 1 - 1/period, so a running sum of x * q^-i gives it.
     The sum restarts every `block` rows, q^-block being 1e250 whatever the period, to stay within double
-    range, and carries the previous block's end value; what lies two blocks back weighs 1e-250.
+    range, and carries the previous block's end value; what lies two blocks back weighs 1e-250. With a period of 1 the
+    average is the value itself.
     """
+    if period == 1:
+        return df.withColumns({k: F.when(F.col(index) >= 1, v) for k, v in values.items()})
     q = 1.0 - 1.0 / period
     block = max(int(250 / math.log10(1.0 / q)), period + 1)
     i = F.col(index)
