@@ -2,7 +2,8 @@
 
 Every stage takes the documents that its predecessor kept and returns a DataFrame, which `run` writes as Parquet and
 reads again. Rows are told apart by a number of their own, not by doc_id, so that documents without an id or with the
-id of another pass through like any other. `run` writes the number with a stage's output, so that all scans of it agree;
+id of another pass through like any other. A null text counts as an empty one; columns that no stage reads, whatever their
+names, pass through, and an empty table gives an empty one. `run` writes the number with a stage's output, so that all scans of it agree;
 a stage that gets documents without it writes them with it first.
 """
 
@@ -14,13 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.classifier import score_quality
-from tidemark.llm.common import saved, table
+from tidemark.llm.common import delete, kept, saved, scratch, shared_folder, table
 from tidemark.llm.decontaminate import find_leaks
 from tidemark.llm.jaccard import link_components
 from tidemark.llm.mixing import document_sizes, taken_words
 from tidemark.llm.secrets import VOCABULARY, find_secrets
 
-ROW = "in_row"
+#: The rows' number between stages; a name reserved for it.
+ROW = "__pipeline_row__"
+MIXED = ("size", "source_size", "target", "taken")
 
 
 def _held(docs: DataFrame) -> tuple[DataFrame, list]:
@@ -35,7 +38,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts; equal texts get equal verdicts, empty ones a score like any other."""
     held, back = _held(docs)
     rows = held.withColumns({"doc_id": F.col(f"in_{docs.columns.index('doc_id')}"), "text": F.col(f"in_{docs.columns.index('text')}")})
     return score_quality(rows, table(spark, sf_dir, "labels"), keep=tuple(held.columns)).filter("predicted = 1").select(*back)
@@ -43,7 +46,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near duplicates (shingles of five words, similarity of 0.8 or more), that with
-    the smallest doc_id; documents without words all stay."""
+    the smallest doc_id (null ids last, then the smallest row number); documents without words all stay."""
     rows = _numbered(docs)
     linked = link_components(rows, width=5, percent=80, row_col=ROW)
     first = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("m")).select(F.col("m.row").alias(ROW))
@@ -51,7 +54,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no benchmark item."""
+    """Documents that overlap with no benchmark item; texts without words never do."""
     rows = _numbered(docs)
     leaks = find_leaks(rows, table(spark, sf_dir, "benchmark"), id_col=ROW).select(F.col("doc_id").alias(ROW)).distinct()
     return rows.join(leaks, ROW, "left_anti").select(*docs.columns)
@@ -69,11 +72,14 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their size, their source's size and target, and the words that the mix takes from each."""
+    """The documents with their size, their source's size and target, and the words that the mix takes from each.
+
+    Columns of the documents that have one of these names are kept as given_<name>. A null source is a source.
+    """
     rows = _numbered(docs)
-    taken = taken_words(document_sizes(rows, row_col=ROW)).select(F.col("row").alias(ROW), "size", "source_size", "target", "taken")
-    extra = [c for c in docs.columns if c not in (ROW, "size", "source_size", "target", "taken")]
-    return rows.select(ROW, *extra).join(taken, ROW).drop(ROW)
+    taken = taken_words(document_sizes(rows, row_col=ROW)).select(F.col("row").alias(ROW), *MIXED)
+    own = [F.col(f"`{c}`").alias(f"given_{c}" if c in MIXED else c) for c in docs.columns if c != ROW]
+    return rows.select(ROW, *own).join(taken, ROW).drop(ROW)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -89,8 +95,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over `documents`. Once a stage's output is written, its scratch tables and its predecessor's output go."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = saved(out if k else out.withColumn(ROW, F.monotonically_increasing_id()), name)  # the last stage drops the number
+        path = shared_folder(spark, name)
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            docs = kept(out if k else out.withColumn(ROW, F.monotonically_increasing_id()), path)  # the last stage drops the number
+        if before:
+            delete(spark, before)
+        before = path
     return docs

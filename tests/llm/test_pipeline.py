@@ -70,8 +70,8 @@ def test_secrets_are_replaced_and_nothing_else(stages):
 
 def test_mixture_covers_all_rows(stages):
     given, out = stages[4], stages[5]
-    own = [c for c in given.columns if c != "size"]  # the fixture's clashing column gives way to the stage's
-    assert rows(out.select(*own)) == rows(given.select(*own))
+    own = [c if c != "size" else "given_size" for c in given.columns]  # the fixture's clashing column
+    assert rows(out.select(*own)) == rows(given)
     assert out.filter("taken > 2 * size or taken < 0").count() == 0
     want = {r.source: r.target for r in mixing.source_targets(mixing.document_sizes(given).groupBy("source").agg(F.sum("size").alias("source_size"))).collect()}
     for r in out.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("w")).collect():
@@ -111,3 +111,11 @@ def test_empty_documents(spark):
     for _, f in p.STAGES:
         docs = f(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_run_leaves_only_its_result_in_the_shared_folder(spark, monkeypatch, tmp_path):
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "checkpoint_root", lambda _: f"{tmp_path}")
+    assert p.run(spark, SF).count() > 0
+    assert [f.name.rsplit("-", 1)[0] for f in tmp_path.iterdir() if not f.name.startswith(".")] == [p.STAGES[-1][0]]

@@ -135,11 +135,12 @@ def score_quality(
     and gets a score like any other; a null id is never held out nor labelled; repeated rows are scored each and
     count each in training. Labels without a value are ignored, several labels of one id are averaged.
     """
-    stats = saved(document_stats(docs, id_col, text_col), "stats")
     given = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.avg(label_col).alias("label"))
-    train = stats.select("doc_id", *STATS).join(given, "doc_id").filter(remainder(F.col("doc_id"), folds) != held_out).drop("doc_id")
-    model = fit(saved(train, "train"), **how)
-    # With columns to keep, the statistics are computed again beside them: the texts are neither copied nor shuffled.
+    given = saved(given.filter(remainder(F.col("doc_id"), folds) != held_out), "given")
+    # With columns to keep, the statistics of labelled texts are computed again beside them: no text is copied.
+    stats = None if keep else saved(document_stats(docs, id_col, text_col), "stats")
+    some = document_stats(docs.join(given.select(F.col("doc_id").alias(id_col)), id_col, "left_semi"), id_col, text_col) if keep else stats
+    model = fit(saved(some.select("doc_id", *STATS).join(given, "doc_id").drop("doc_id"), "train"), **how)
     out = _with_score(document_stats(docs, id_col, text_col, keep) if keep else stats, model, "score", False)
     return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score",
                       (F.col("score") >= cut).cast("int").alias("predicted"), *keep)

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow.compute as pc
@@ -39,6 +42,28 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that `saved` wrote inside it: what is still read must have been written with `kept`."""
+    paths: list[str] = []
+    token = _SCRATCH.set(paths)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for path in paths:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a table that this job wrote to the shared folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def shared_folder(spark: SparkSession, kind: str) -> str:
     """A new path below the folder that all executors share."""
     return f"{checkpoint_root(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
@@ -47,6 +72,13 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
 def saved(df: DataFrame, kind: str = "table") -> DataFrame:
     """`df` written as Parquet to the shared folder and read back: cuts lineage, survives executors."""
     path = shared_folder(df.sparkSession, kind)
+    if (paths := _SCRATCH.get()) is not None:
+        paths.append(path)
+    return kept(df, path)
+
+
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """`df` written to `path` as Parquet and read back; no `scratch` deletes it."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
