@@ -18,7 +18,7 @@ ROUNDS = 12
 
 
 def source_targets(
-    sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, max_rounds: int = 10_000,
+    sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
 ) -> DataFrame:
     """Words to take per source: `share` of all words by weight, at most `most` times a source's own words.
 
@@ -33,7 +33,7 @@ def source_targets(
     limit = F.col("source_size") * most
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     level, left = 0.0, None
-    for _ in range(max_rounds):
+    while True:  # ends: every round but the last fixes a source
         # A source stays at its limit once its weight times the level reaches it; the level only rises.
         full = limit <= F.col("weight") * level
         fixed, open_weight, n = ranked.agg(
