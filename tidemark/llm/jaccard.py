@@ -4,7 +4,8 @@ Texts of equal words form one class, so copies cost nothing further. A class's s
 classes at the threshold share a shingle within their prefixes. Rarity comes from a count of all shingles in a
 fixed number of cells, small enough to broadcast at any size of the corpus; it only orders, so that its
 collisions cost time and never a link. The join looks for the components of the link graph: the classes of a prefix
-shingle are first compared with one hub, and what these links join is not compared again. Other pairs must pass the
+shingle are first compared with one hub, those of a frequent one with several more, and what these links join is not
+compared again: a large group of near copies costs a multiple of its members, not of its pairs. Other pairs must pass the
 length, positional and suffix filters; every pair left is verified once, on whole shingle sets. A shingle of many
 classes is split into blocks, compared block by block in numpy, and a pair is made for its first such shingle only.
 """
@@ -25,9 +26,10 @@ from tidemark.llm.common import lower_ascii, saved, words
 
 CELLS = 1 << 24  # of the rarity count: 16 MB when broadcast
 CHUNK = 1 << 16
-PARTS = 128  # of the hash range, for the suffix filter
+PARTS = 512  # of the hash range, for the suffix filter: a byte each
 FILTER_BITS = 1 << 23
 HOT, BLOCK = 20, 1024
+HUBS = 32  # of a shingle of more than HOT classes
 MIX = np.uint64(0x9E3779B97F4A7C15)
 OF = 100
 
@@ -89,8 +91,8 @@ def _members(rows: DataFrame, width: int, kind: str) -> DataFrame:
             cell, k = np.unique((h & np.uint64(CELLS - 1)).astype(np.uint32), return_counts=True)
             cells[cell] = np.minimum(cells[cell] + k, 255)
             n = np.bincount(doc, minlength=len(lengths))
-            parts = np.bincount(doc * PARTS + (h >> np.uint64(57)).astype(np.int64), minlength=len(lengths) * PARTS)
-            parts = np.minimum(parts, 65535).astype(np.uint16).reshape(-1, PARTS)
+            parts = np.bincount(doc * PARTS + (h >> np.uint64(55)).astype(np.int64), minlength=len(lengths) * PARTS)
+            parts = np.minimum(parts, 255).astype(np.uint8).reshape(-1, PARTS)
             yield pa.RecordBatch.from_pydict({"row": b["row"], "doc_id": b["doc_id"], "c": _classes(flat, lengths), "n": n,
                                               "parts": [p.tobytes() for p in parts], "chunk": [None] * len(n), "counts": [None] * len(n)}, schema)
         if cells.any():
@@ -186,14 +188,12 @@ def _verify(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> Data
     return both.mapInArrow(part, "a long, b long")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and root (the component's smallest node) from edges (a, b): large and small stars in turn."""
     e = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
     state = lambda t: tuple(t.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     last = state(e)
-    for _ in range(max_rounds):
-        if not last[0]:
-            break
+    while last[0]:
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -216,7 +216,7 @@ def _bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Suffix filter: two sets share at most the smaller count in every part of the hash range."""
     m = np.minimum(x, y)
     # A count at the type's end stands for any larger one, and then bounds nothing.
-    return m.sum(axis=1, dtype=np.int64) + (m == 65535).any(axis=1) * (1 << 40)
+    return m.sum(axis=1, dtype=np.int64) + (m == 255).any(axis=1) * (1 << 40)
 
 
 def _suffix(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
@@ -228,7 +228,7 @@ def _suffix(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
         for t in batches:
             if not t.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(t[k].to_pylist()), np.uint16).reshape(-1, PARTS) for k in ("pa", "pb"))
+            x, y = (np.frombuffer(b"".join(t[k].to_pylist()), np.uint8).reshape(-1, PARTS) for k in ("pa", "pb"))
             need = np.ceil(percent * (t["na"].to_numpy() + t["nb"].to_numpy()) / (percent + OF))
             yield pa.RecordBatch.from_pydict({"a": t["a"], "b": t["b"]}).filter(pa.array(_bound(x, y) >= need))
 
@@ -239,7 +239,7 @@ def _block_pairs(b: pd.DataFrame, percent: int) -> Iterator[tuple[int, int]]:
     """Pairs of one hot shingle and two of its blocks (or one) that the filters leave."""
     token, i, j = b["token"].iloc[0], b["i"].iloc[0], b["j"].iloc[0]
     x, y = b[b["block"] == i], b[b["block"] == j]
-    parts = lambda t: np.frombuffer(b"".join(t["parts"]), np.uint16).reshape(-1, PARTS)
+    parts = lambda t: np.frombuffer(b"".join(t["parts"]), np.uint8).reshape(-1, PARTS)
     px, py, early = parts(x), parts(y), {}
     for t in (x, y):
         for r in t["hot"]:
@@ -269,6 +269,24 @@ def _block_pairs(b: pd.DataFrame, percent: int) -> Iterator[tuple[int, int]]:
             yield x["c"].iloc[k], y["c"].iloc[o]
 
 
+def _rooted(live: DataFrame, roots: DataFrame) -> DataFrame:
+    return live.drop("root").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+
+
+def _more_hubs(live: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a frequent shingle's classes with HUBS of them that are not linked yet and that length and position allow.
+
+    Classes stand in one hashed order for all shingles, so that shingles of one group mostly choose the same hubs.
+    """
+    hot = live.join(sizes.filter(f"g > {HOT}").select("token"), "token")
+    order = F.xxhash64("c", F.lit("hub"))
+    hubs = hot.groupBy("token", F.pmod(order, F.lit(HUBS)).alias("k")).agg(F.min(F.struct(order.alias("o"), "c", "n", "pos", "root")).alias("h"))
+    both = hot.join(hubs.select("token", F.col("h.c").alias("hub"), F.col("h.n").alias("hn"), F.col("h.pos").alias("hpos"), F.col("h.root").alias("hroot")), "token")
+    both = both.filter(f"root <> hroot and {OF} * least(n, hn) >= {percent} * greatest(n, hn) "
+                       f"and least(pos, hpos) + 1 + least(n - pos - 1, hn - hpos - 1) >= {_alpha('n', 'hn', percent)}")
+    return both.select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct()
+
+
 def _hot_pairs(live: DataFrame, sizes: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     """Pairs from shingles of more than HOT classes, block by block."""
     hot = live.join(sizes.filter(f"g > {HOT}"), "token")
@@ -312,8 +330,10 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         f"c <> hub and {OF} * hn >= {percent} * n and least(pos, hpos) + 1 + least(n - pos - 1, hn - hpos - 1) >= {_alpha('n', 'hn', percent)}")
     star = star.select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct()
     near = saved(_verify(saved(_suffix(star, info, percent), "pairs"), rows, width, percent), "links")
-    roots = components(near)
-    live = saved(live.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")), "rooted")
+    live = saved(_rooted(live, components(near)), "rooted")
+    more = saved(_suffix(_more_hubs(live, hubs.select("token", "g"), percent).join(star, ["a", "b"], "left_anti"), info, percent), "more")
+    near = near.union(saved(_verify(more, rows, width, percent), "links"))
+    live = saved(_rooted(live, components(near)), "rooted")
     few = live.join(hubs.filter(f"g <= {HOT}").select("token"), "token")
     other = few.select("token", *[F.col(k).alias(f"{k}2") for k in ("c", "n", "pos", "root")])
     pairs = few.join(other, "token").filter(
@@ -321,7 +341,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         f"and least(pos, pos2) + 1 + least(n - pos - 1, n2 - pos2 - 1) >= {_alpha('n', 'n2', percent)}")
     pairs = _suffix(pairs.select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct(), info, percent)
     hot = _hot_pairs(live, hubs.select("token", "g"), info, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = saved(pairs.union(hot).distinct().join(star, ["a", "b"], "left_anti"), "pairs")
+    rest = saved(pairs.union(hot).distinct().join(star.union(more), ["a", "b"], "left_anti"), "pairs")
     far = saved(_verify(rest, rows, width, percent), "links")
     roots = components(near.union(far))
     top = members.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "c")).otherwise(F.col("row")))
