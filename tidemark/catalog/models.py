@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.registry import query, r6, rd, rd_sql
 from tidemark.operators import models as ml
+from tidemark.session import scalar
 
 P = ("predictions",)
 CL = "status IN ('HIT','MISS') AND components IS NOT NULL"
@@ -29,6 +30,12 @@ def ml_evaluate(v):
     return ml.evaluate(v.predictions, folds=3, min_train=500).select("method", "n_pos", "n_neg", *r6("brier", "auc"))
 
 
+@query("ml_fold_means")
+def ml_fold_means(v):
+    means = ml.fold_means(ml.fold_scores(v.predictions, folds=3, min_train=500))
+    return means.select("method", "folds", *r6("brier", "auc"), scalar(ml.blend_wins(means)).alias("wins"))
+
+
 VARYING = {
     "algo": "CAST(json_extract(components, '$.algo') AS DOUBLE)", "news": "CAST(json_extract(components, '$.news') AS DOUBLE)",
     "overext_elevated": "CAST(json_extract_string(components, '$.overextension') = 'ELEVATED' AS DOUBLE)",
@@ -45,6 +52,22 @@ def ml_first_order(v):
     return ml.first_order(ml.training_rows(v.predictions)).where(F.col("feature").isin("bias", *VARYING)).select("feature", F.round("moment", 4).alias("moment"))
 
 
+FOLDS = f"""t AS (SELECT id, created_at, outcome_date, CAST(status = 'HIT' AS DOUBLE) AS y, {', '.join(f'{x} AS {f}' for f, x in VARYING.items())},
+  row_number() OVER (ORDER BY created_at, id) - 1 AS i, count(*) OVER () AS n FROM predictions WHERE {CL}),
+f AS (SELECT *, CASE WHEN i >= 500 THEN least(floor((i - 500) / floor((n - 500) / 3)), 2)::INTEGER END AS fold FROM t),
+s AS (SELECT fold AS k, min(created_at) AS start FROM f WHERE fold IS NOT NULL GROUP BY fold),
+al AS (SELECT s.k, f.* FROM f JOIN s ON f.outcome_date < s.start AND coalesce(f.fold, -1) < s.k),
+tr AS (SELECT * FROM al WHERE k IN (SELECT k FROM al GROUP BY k HAVING count(*) >= 500)) """
+
+
+@query("ml_fold_first_order", FOLDS + " UNION ALL ".join(["SELECT k AS fold, count(*) AS n_train, 'bias' AS feature, round(avg(y), 4) AS moment FROM tr GROUP BY k"] + [
+    f"SELECT k, count(*), '{f}', round((avg(y * {f}) - avg(y) * avg({f})) / nullif(stddev_samp({f}), 0), 4) FROM tr GROUP BY k" for f in VARYING]), P)
+def ml_fold_first_order(v):
+    """The folds' fits, all made in one pass a Newton step, at their optima: as ml_first_order, per fold."""
+    t = ml.fold_first_order(v.predictions, folds=3, min_train=500)
+    return t.where(F.col("feature").isin("bias", *VARYING)).select("fold", F.col("n_train").cast("long").alias("n_train"), "feature", F.round("moment", 4).alias("moment"))
+
+
 @query("ml_train_persist", f"SELECT id, 1 AS same FROM predictions WHERE {CL}", P)
 def ml_train_persist(v):
     import uuid

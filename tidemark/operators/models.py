@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -95,40 +98,142 @@ def isotonic_baseline(train: DataFrame, buckets: int = 5) -> DataFrame:
     return g.agg(pts.alias("p")).select(stats.isotonic_fit(F.col("p")).alias("anchors"))
 
 
-def evaluate(preds: DataFrame, min_rows: int = 100, folds: int = 3, min_train: int = 50) -> DataFrame:
-    """Walk-forward comparison of the blend with isotonic and raw confidence, one row per method.
+class FoldFit(NamedTuple):
+    """A fold's blend: score = sigmoid(weights . ((x - mean) / scale) + bias); a constant feature counts as 0."""
+
+    n: int
+    mean: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([(x - self.mean) * self.scale, np.ones(len(x))])
+
+    def column(self) -> Column:
+        terms = [(F.col(f) - float(m)) * float(k * w) for f, m, k, w in zip(FEATURES, self.mean, self.scale, self.weights, strict=False)]
+        return 1 / (1 + F.exp(-sum(terms, F.lit(float(self.weights[-1])))))
+
 
-    Folds follow created_at; a fold trains only on outcomes known before its first test row was
-    made. The driver loops over the few folds; each fit and score is a distributed job.
+def fold_training(rows: DataFrame, starts: dict) -> DataFrame:
+    """Rows of `walk_forward_folds` once per fold that may learn from them: known before its first test row was made."""
+    open_to = [F.when((F.col("outcome_date") < F.lit(t)) & (F.coalesce("fold", F.lit(-1)) < k), F.lit(k)) for k, t in sorted(starts.items())]
+    return rows.withColumn("_f", F.explode(F.array_compact(F.array(*open_to)))).drop("fold").withColumnRenamed("_f", "fold")
+
+
+def fit_folds(train: DataFrame, l2: float = 0.05, min_train: int = 50, tol: float = 1e-10, max_steps: int = 50) -> dict[int, FoldFit]:
+    """Ridge logistic fits of all folds together: each Newton step is one job whose sums are grouped by fold.
+
+    `train` has fold, the features and y. Folds of fewer than `min_train` rows or of one class have no fit. The driver
+    sees a gradient and a Hessian a fold and step. Raises where a fold does not converge.
     """
+    stats = train.groupBy("fold").agg(
+        F.count("*"), F.count_distinct("y"), *[F.avg(f) for f in FEATURES], *[F.coalesce(F.stddev_samp(f), F.lit(0.0)) for f in FEATURES]).collect()
+    d, fits = len(FEATURES), {}
+    for r in stats:
+        if r[1] >= min_train and r[2] > 1:
+            dev = np.array(r[3 + d:], float)
+            fits[r.fold] = FoldFit(r[1], np.array(r[3:3 + d], float), np.where(dev > 0, 1 / np.where(dev > 0, dev, 1), 0.0), np.zeros(d + 1))
+    ridge = np.diag([l2] * d + [0.0])
+    open_folds = set(fits)
+    for _ in range(max_steps):
+        if not open_folds:
+            return fits
+        now = {k: fits[k] for k in open_folds}
+
+        def part(batches, now=now):
+            sums = {}
+            for b in batches:
+                for k, one in b.groupby("fold"):
+                    if k in now:
+                        z, y = now[k].scaled(one[FEATURES].to_numpy()), one["y"].to_numpy()
+                        p = 1 / (1 + np.exp(-z @ now[k].weights))
+                        sums[k] = sums.get(k, 0.0) + np.concatenate([z.T @ (p - y), ((z * (p * (1 - p))[:, None]).T @ z).ravel()])
+            yield pd.DataFrame([(k, i, v) for k, s in sums.items() for i, v in enumerate(s)], columns=["fold", "i", "v"])
+
+        parts = train.select("fold", "y", *FEATURES).mapInPandas(part, "fold int, i int, v double")
+        got = parts.groupBy("fold", "i").agg(F.sum("v").alias("v")).toPandas()
+        for k, one in got.groupby("fold"):
+            v, fit = one.sort_values("i")["v"].to_numpy() / fits[k].n, fits[k]
+            # a constant feature has no curvature of its own; the penalty keeps the system regular
+            step = np.linalg.solve(v[d + 1:].reshape(d + 1, d + 1) + ridge, v[:d + 1] + ridge @ fit.weights)
+            fits[k] = fit._replace(weights=fit.weights - step)
+            if np.abs(step).max() < tol:
+                open_folds.discard(k)
+    if open_folds:
+        raise RuntimeError(f"folds {sorted(open_folds)} did not converge")
+    return fits
+
+
+def _folds(preds: DataFrame, min_rows: int, folds: int, min_train: int) -> tuple[DataFrame, DataFrame, dict[int, FoldFit]]:
+    """Rows with their fold, training rows of every fold, and the folds' fits."""
     rows = stable(acc.walk_forward_folds(training_rows(preds), folds, min_train))
     n = rows.count()
     if n < min_rows:
         raise ValueError(f"{n} rows, {min_rows} needed")
     starts = {r.fold: r.t for r in rows.where("fold IS NOT NULL").groupBy("fold").agg(F.min("created_at").alias("t")).collect()}
+    if not starts:
+        raise ValueError("no usable fold")
+    train = stable(fold_training(rows, starts))
+    fits = fit_folds(train, min_train=min_train)
+    if not fits:
+        raise ValueError("no usable fold")
+    return rows, train, fits
+
+
+def fold_scores(preds: DataFrame, min_rows: int = 100, folds: int = 3, min_train: int = 50) -> DataFrame:
+    """fold, n_train, y and the three scores of every test row of a fold that could be fitted."""
+    rows, train, fits = _folds(preds, min_rows, folds, min_train)
     scored = None
-    for k in sorted(starts):
-        test = rows.where(F.col("fold") == k)
-        train = rows.where((F.col("outcome_date") < F.lit(starts[k])) & (F.coalesce("fold", F.lit(-1)) < k))
-        have = train.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("y").alias("c")).first()
-        if have.n < min_train or have.c < 2:
-            continue  # a fold without both classes cannot be fitted
-        part = score(logistic().fit(train), test)
+    for k, fit in sorted(fits.items()):
         # a handful of anchors per fold: one per confidence bucket
-        fitted = isotonic_baseline(train).first().anchors
+        fitted = isotonic_baseline(train.where(F.col("fold") == k)).first().anchors
         anchors = F.array(*[F.struct(F.lit(a.x).alias("x"), F.lit(a.y).alias("y")) for a in fitted])
-        part = part.withColumn("p_isotonic", stats.interpolate(F.col("raw_conf"), anchors)).select("y", "p_blend", "p_isotonic", F.col("raw_conf").alias("p_raw"))
+        part = rows.where(F.col("fold") == k).select(
+            "fold", F.lit(fit.n).alias("n_train"), "y", fit.column().alias("p_blend"), stats.interpolate(F.col("raw_conf"), anchors).alias("p_isotonic"), F.col("raw_conf").alias("p_raw"))
         scored = part if scored is None else scored.unionByName(part)
-    if scored is None:
-        raise ValueError("no usable fold")
-    scored = stable(scored)
-    out = None
-    for m in ("blend", "isotonic", "raw"):
+    return stable(scored)
+
+
+METHODS = ("blend", "isotonic", "raw")
+
+
+def evaluate(preds: DataFrame, min_rows: int = 100, folds: int = 3, min_train: int = 50) -> DataFrame:
+    """Walk-forward comparison of the blend with isotonic and raw confidence over all test rows, one row per method.
+
+    Folds follow created_at; a fold trains only on outcomes known before its first test row was made.
+    """
+    scored, out = fold_scores(preds, min_rows, folds, min_train), None
+    for m in METHODS:
         one = acc.brier_auc(scored, f"p_{m}", "y").withColumn("method", F.lit(m))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def fold_means(scored: DataFrame) -> DataFrame:
+    """One row per method: folds, and the mean over folds of its Brier score and AUC (folds of one class have no AUC)."""
+    out = None
+    for k in sorted(r.fold for r in scored.select("fold").distinct().collect()):
+        for m in METHODS:
+            one = acc.brier_auc(scored.where(F.col("fold") == k), f"p_{m}", "y").withColumn("method", F.lit(m))
+            out = one if out is None else out.unionByName(one)
+    return out.groupBy("method").agg(F.count("*").alias("folds"), F.avg("brier").alias("brier"), F.avg("auc").alias("auc"))
+
+
+def fold_first_order(preds: DataFrame, min_rows: int = 100, folds: int = 3, min_train: int = 50, l2: float = 0.05) -> DataFrame:
+    """Per fold and feature (and 'bias'): training rows, and the score's moment plus the penalty's pull, as in `first_order`."""
+    _, train, fits = _folds(preds, min_rows, folds, min_train)
+    out = None
+    for k, fit in sorted(fits.items()):
+        p = fit.column()
+        parts = [F.struct(F.lit("bias").alias("feature"), F.avg(p).alias("moment"))]
+        for i, f in enumerate(FEATURES):
+            z = (F.col(f) - float(fit.mean[i])) * float(fit.scale[i])
+            parts.append(F.struct(F.lit(f).alias("feature"), (F.avg(p * z) + l2 * float(fit.weights[i])).alias("moment")))
+        one = train.where(F.col("fold") == k).agg(F.array(*parts).alias("a")).select(F.lit(k).alias("fold"), F.lit(fit.n).alias("n_train"), F.inline("a"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def blend_wins(result: DataFrame, min_auc: float = 0.55) -> DataFrame:
     """The blend wins when its Brier is below the isotonic one and its AUC above the bar."""
     b = lambda m, c: F.max(F.when(F.col("method") == m, F.col(c)))
