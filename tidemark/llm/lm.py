@@ -285,7 +285,7 @@ def model_of(p: dict[str, np.ndarray], tree: Tree) -> Model:
     return Model(q, k, v, p["E"], pq, pk, pv, p["P"], p["O"], p["U"], p["b"], p["T"], np.append(tree.of, 0), tree)
 
 
-def train(ids: np.ndarray, lengths: np.ndarray, counts: np.ndarray, max_windows: int | None = 12_000, epochs: int = 2, batch: int = 128, rate: float = 0.01, seed: int = 5) -> Model:
+def train(ids: np.ndarray, lengths: np.ndarray, counts: np.ndarray, max_windows: int | None = None, epochs: int = 2, batch: int = 128, rate: float = 0.01, seed: int = 5) -> Model:
     """A model of the texts given here, learned in this process; `counts` are those of the whole corpus."""
     tree = grown(counts)
     net = Learner(start(counts, tree, seed), tree, batch, rate, seed)
