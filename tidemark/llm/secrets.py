@@ -7,6 +7,7 @@ import random
 import re
 import string
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -22,14 +23,19 @@ PATTERNS = (
     ("jwt", r"(?P<v>\beyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})"),
     ("cloud_id", r"(?P<v>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b)"),
     ("prefixed", r"(?P<v>\b(?:gh[opsur]_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|npm_|AIza)[\w-]{16,})"),
-    ("url_password", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:(?P<v>[^\s/@]{4,128})@"),
-    ("assigned", r"""(?i:\b[\w.-]{0,40}(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|credential)[\w.-]{0,20})["']?\s{0,4}(?:=|:|=>|:=)\s{0,4}["'](?P<v>[^\s"']{8,512})["']"""),
-    ("opaque", r"(?<![\w+/-])(?P<v>(?=[\w+/-]{0,256}[0-9])[\w+/-]{16,}={0,2})(?![\w+/=-])"),
+    ("url_password", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]+:(?P<v>[^\s/@]{4,})@"),
+    ("assigned", r"""["']?\s*(?:=>|:=|==?|:)\s*(?P<q>["'])(?P<v>(?:(?!(?P=q))[^\r\n]){6,})(?P=q)"""),
+    ("unquoted", r"""["']?[ \t]*(?:=>|:=|==?|:)[ \t]*(?P<v>[^\s"'`,;<>(){}\[\]]{5,}[^\s"'`,;<>(){}\[\].:?])"""),
+    ("opaque", r"(?<![\w+/-])(?P<v>(?=[\w+/-]*[0-9])[\w+/-]{16,}={0,2})(?![\w+/=-])"),
 )
+#: Formats that count only behind a name with one of the words of NAME: a quoted value to its closing quote on the line,
+#: with spaces and of any length, or an unquoted one to a space or delimiter.
+NAMED = ("assigned", "unquoted")
+NAME = r"(?i:token|secret|passw|pass[_-]?phrase|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|credential)"
 #: Any candidate holds one of these; texts without are not sent to Python.
-GATE = r"[\w+/-]{16}|-----BEGIN|://|(?i)token|secret|passw|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|credential"
+GATE = r"[\w+/-]{16}|eyJ|-----BEGIN|://|" + NAME
 
-KEY_WORDS = re.compile(r"(?i)token|secret|passw|pwd|api.?key|access.?key|auth|credential|bearer|private")
+KEY_WORDS = re.compile(r"(?i)token|secret|passw|pass.?phrase|pwd|api.?key|access.?key|auth|credential|bearer|private")
 HASH_WORDS = re.compile(r"(?i)sha|md5|hash|digest|checksum|commit|revision|integrity|etag|uuid|guid|build|version|\bid\b")
 PLACEHOLDER = re.compile(r"(?i)example|sample|dummy|change.?me|your|placeholder|x{6}|\*{4}|<.*>|\$\{|0{8}|1234567|redacted|test")
 TEST_PATH = re.compile(r"(?i)test|example|sample|mock|fixture|docs?\b|demo")
@@ -45,18 +51,29 @@ def load_dictionary(path: str) -> frozenset[str]:
 
 def coverage(value: str, words: frozenset[str]) -> float:
     """Share of the characters covered by dictionary words, longest first from the left."""
-    low, i, hit = value.lower()[:256], 0, 0
+    low, i, hit = value.lower(), 0, 0
     while i < len(low):
         n = next((n for n in range(min(14, len(low) - i), 3, -1) if low[i:i + n] in words), 0)
         hit, i = hit + n, i + max(n, 1)
     return hit / max(len(low), 1)
 
 
+def _named(p: re.Pattern, text: str) -> Iterator[re.Match]:
+    """Matches of a pattern right behind a name. A name is looked at once, however many of the words it has."""
+    end = at = 0
+    for m in NAME_WORD.finditer(text):
+        if m.end() > end:
+            end = NAME_END.match(text, m.end()).end()
+            if m.start() >= at and (found := p.match(text, end)):
+                at = found.end()
+                yield found
+
+
 def candidates(text: str) -> Iterator[tuple[int, int, int]]:
     """start, end and pattern number of every candidate; overlaps go to the earlier pattern."""
     taken: list[tuple[int, int, int]] = []
     for k, (_, p) in enumerate(COMPILED):
-        new = [(m.start("v"), m.end("v"), k) for m in p.finditer(text)]
+        new = [(m.start("v"), m.end("v"), k) for m in (_named(p, text) if PATTERNS[k][0] in NAMED else p.finditer(text))]
         if new and taken:
             starts, ends = np.array([t[0] for t in taken]), np.array([t[1] for t in taken])
             at = lambda a: np.searchsorted(starts, a)
@@ -65,17 +82,19 @@ def candidates(text: str) -> Iterator[tuple[int, int, int]]:
     return iter(taken)
 
 
-COMPILED = tuple((name, re.compile(p)) for name, p in PATTERNS)
+# ASCII classes, as in the gate
+COMPILED = tuple((name, re.compile(p, re.A)) for name, p in PATTERNS)
+NAME_WORD, NAME_END = re.compile(NAME, re.A), re.compile(r"[\w.-]*", re.A)
 
 
 def features(value: str, before: str, after: str, path: str, pattern: int, words: frozenset[str]) -> list[float]:
-    kinds = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in value[:512]]
+    kinds = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in value]
     n = max(len(kinds), 1)
     share = [kinds.count(k) / n for k in range(4)]
     moves = [0] * 16
     for a, b in zip(kinds, kinds[1:], strict=False):
         moves[4 * a + b] += 1
-    counts = np.array([value.count(c) for c in set(value[:512])], dtype=float)
+    counts = np.array(list(Counter(value).values()), dtype=float)
     p = counts / counts.sum() if len(counts) else np.ones(1)
     near = re.findall(r"[\w.-]+", before)[-3:]
     return [
@@ -85,6 +104,7 @@ def features(value: str, before: str, after: str, path: str, pattern: int, words
         float(bool(re.search(r"[=:]>?\s{0,4}[\"']?$", before))), float(bool(before[-1:] in "\"'" and before[-1:])), float(bool(after[:1] in "\"'" and after[:1])),
         float(bool(PLACEHOLDER.search(value))), float(bool(TEST_PATH.search(path or ""))), float(pattern),
         float(value.count("/")), float(value.count("_") + value.count("-")),
+        float(value.count(" ")), float(value.count(".")),
     ]
 
 
@@ -149,8 +169,9 @@ def synthetic_findings(n: int = 4000, seed: int = 11) -> pd.DataFrame:
     syllables = "an ber con de el for ge ha in ja ke la men no on per que ra sta ti un ver wo za".split()
     word = lambda: "".join(g.choices(syllables, k=g.randint(1, 4)))
     some = lambda chars, a, b: "".join(g.choices(chars, k=g.randint(a, b)))
+    plain = "required optional string value number field user name account reset change login hidden story garden never answer question please enter your the old one will expire soon empty invalid missing open summer winter river stone".split()
     hexa, alnum = "0123456789abcdef", string.ascii_letters + string.digits
-    names = ["token", "TOKEN", "api_key", "apiKey", "API-KEY", "secret", "client_secret", "password", "passwd", "access_key", "auth_token", "db.password", "credential"]
+    names = ["token", "TOKEN", "api_key", "apiKey", "API-KEY", "secret", "client_secret", "password", "passwd", "access_key", "auth_token", "db.password", "DB_PASSWORD", "passphrase", "credential"]
     case = lambda v: v.upper() if g.random() < 0.2 else v
     text = lambda k: " ".join(word() for _ in range(k))
     rows = []
@@ -159,8 +180,10 @@ def synthetic_findings(n: int = 4000, seed: int = 11) -> pd.DataFrame:
             lambda: case("".join(g.choices(hexa, k=g.choice([32, 40, 40, 64])))),
             lambda: some(alnum, 16, 64), lambda: some(alnum + "+/", 24, 64) + g.choice(["", "=", "=="]), lambda: "AKIA" + some(string.ascii_uppercase + string.digits, 16, 16),
             lambda: g.choice(["ghp_", "sk-", "xoxb-", "glpat-"]) + some(alnum, 20, 40), lambda: some(alnum + "!@#%&", 8, 20),
+            lambda: word().capitalize() + some(string.digits, 1, 4) + g.choice("!@#$%&*") + some(alnum, 0, 4),
+            lambda: some(alnum + "!@#%&*", 80, 900), lambda: " ".join(g.choices([*plain, word(), word().capitalize()], k=g.randint(3, 6))) + g.choice([" ", ""]) + some(string.digits, 1, 4) + g.choice(["", "!", "#"]),
         ])()
-        op, quote = g.choice([" = ", "=", ": ", " := "]), g.choice(['"', '"', "'", ""])
+        op, quote = g.choice([" = ", "=", ": ", " := "]), g.choice(['"', '"', "'"] + ([] if " " in v else [""]))
         known = re.match(r"AKIA|ghp_|sk-|xoxb-|glpat-", v)
         before = f"{text(3)} " if known and g.random() < 0.4 else f"{text(2)} {g.choice(names)}{op}{quote}"
         rows.append((v, before, (quote if before[-1:] == quote else "") + f"{g.choice(['', '!!', ';', '###', ','])} {text(2)}", g.choice(["", "", "src/app.py", "config.yml"]), 1))
@@ -169,8 +192,10 @@ def synthetic_findings(n: int = 4000, seed: int = 11) -> pd.DataFrame:
             lambda: "_".join(word() for _ in range(4)) + str(g.randint(0, 99)), lambda: "/".join(word() for _ in range(4)) + str(g.randint(1, 9)),
             lambda: "-".join(word() for _ in range(4)) + f"-{g.randint(2000, 2030)}", lambda: text(5).replace(" ", "") + str(g.randint(1, 999)),
             lambda: g.choice("x0a*") * g.randint(8, 40), lambda: g.choice(["your_api_key_here1", "example-token-1234", "changeme12345678", "${SECRET_TOKEN_1}", "<password-123456>", "dummy_secret_value_1"]),
+            lambda: g.choice([g.choice(plain), word(), "_".join(g.choices(plain, k=2)), ".".join(g.choices(plain, k=2)), " ".join(g.choices(plain, k=g.randint(2, 12))), " ".join(g.choices(plain, k=g.randint(2, 12))).capitalize() + "."]),
         ])()
-        placeholder = bool(PLACEHOLDER.search(u)) or len(set(u)) == 1
+        placeholder = bool(PLACEHOLDER.search(u)) or len(set(u)) == 1 or not re.search("[0-9]", u)
+        quote = quote or ('"' if " " in u else "")
         lead = f"{text(2)} {g.choice(names)}{op}{quote}" if placeholder and g.random() < 0.6 else g.choice([f"{text(3)} ", f"{text(1)} sha256:", f"{text(1)} commit ", f"{text(1)} md5 = ", f"{text(1)} id: ", f'{text(1)} checksum = "', f"{text(1)} https://{word()}.com/"])
         rows.append((u, lead, (quote if lead[-1:] == quote else "") + " " + text(2), g.choice(["", "", "tests/test_a.py", "docs/example.md"]), 0))
     return pd.DataFrame(rows, columns=["value", "before", "after", "path", "label"])
@@ -196,7 +221,8 @@ def find_secrets(
     `vocabulary` is the path of a public tokenizer file, the dictionary. `findings` holds reviewed findings (value,
     before, after, path, label) of which up to `max_findings`, in the order of a hash, train the forest; without it
     the rule-made ones do. A null text has no candidates and stays null. Nulls in other columns, repeated rows and
-    empty tables pass through; names in `keep` must not be those of the result. Texts are scanned whole.
+    empty tables pass through; names in `keep` must not be those of the result. Texts are scanned whole,
+    and values of any length; passwords in URLs count from four characters on, values behind a name from six.
     """
     words = load_dictionary(vocabulary)
     if findings is None:
