@@ -18,6 +18,9 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Kept offsets of each mask. Any 15 words of which up to 3 differ hold a whole hit of one of them (see the tests).
 MASKS = ((0, 1, 2, 4, 5, 6), (0, 1, 3, 5, 6, 8), (0, 1, 3, 8, 9, 10), (0, 1, 3, 4, 7, 8))
 WINDOW, DIFFER = 15, 3
+#: Shorter items may differ in proportion. Cut into one piece more than words may differ, one piece occurs unchanged;
+#: the masks of pieces of one to four words keep all of them.
+PIECES = tuple(tuple(range(n)) for n in range(1, 5))
 #: log2 of the bits of the filter: 4 MB, whatever the size of the benchmark.
 BITS = 25
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -42,20 +45,31 @@ def seed_hashes(h: np.ndarray, mask: tuple[int, ...], k: int) -> np.ndarray:
     return out
 
 
+def item_seeds(h: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """mask number, starts and hashes of an item: every start of the spaced masks, or the pieces of a short item."""
+    if len(h) >= WINDOW:
+        found = [(k, seed_hashes(h, m, k)) for k, m in enumerate(MASKS)]
+        return [(k, np.arange(len(s)), s) for k, s in found]
+    parts = len(h) * DIFFER // WINDOW + 1
+    size = len(h) // parts
+    if not size:
+        return []
+    at, k = np.arange(parts) * size, len(MASKS) + size - 1
+    return [(k, at, seed_hashes(h, PIECES[size - 1], k)[at])]
+
+
 def _benchmark_seeds(items: DataFrame) -> DataFrame:
-    """item_id, ipos, h for every mask and start."""
+    """item_id, ipos, k and h of every item's seeds."""
 
     def part(batches):
         for b in batches:
             for i, h in zip(b["item_id"].to_pylist(), b["w"], strict=True):
                 h = np.asarray(h.values, dtype=np.int64)
-                for k, m in enumerate(MASKS):
-                    s = seed_hashes(h, m, k)
-                    if len(s):
-                        yield pa.RecordBatch.from_pydict({"item_id": pa.array([i] * len(s), b.schema.field("item_id").type),
-                                                          "ipos": np.arange(len(s), dtype=np.int32), "h": s.view(np.int64)})
+                for k, at, s in item_seeds(h):
+                    yield pa.RecordBatch.from_pydict({"item_id": pa.array([i] * len(s), b.schema.field("item_id").type), "ipos": at.astype(np.int32),
+                                                      "k": np.full(len(s), k, np.int32), "h": s.view(np.int64)})
 
-    return items.mapInArrow(part, f"item_id {items.schema['item_id'].dataType.simpleString()}, ipos int, h long")
+    return items.mapInArrow(part, f"item_id {items.schema['item_id'].dataType.simpleString()}, ipos int, k int, h long")
 
 
 def _bitmap(seeds: DataFrame) -> np.ndarray:
@@ -68,7 +82,7 @@ def _bitmap(seeds: DataFrame) -> np.ndarray:
     return out
 
 
-def _stretches(docs: DataFrame, bitmap) -> DataFrame:
+def _stretches(docs: DataFrame, bitmap, used: list[int]) -> DataFrame:
     """_row, doc_id, start, words (hashes) and hits (pos, h) of every stretch of words around seed hits."""
     around = WINDOW - 1
 
@@ -79,7 +93,8 @@ def _stretches(docs: DataFrame, bitmap) -> DataFrame:
             flat = b["w"].flatten().to_numpy(zero_copy_only=False)
             ends = np.cumsum(b["w"].value_lengths().to_numpy(zero_copy_only=False))
             pos, found = [], []
-            for k, m in enumerate(MASKS):
+            for k in used:
+                m = (MASKS + PIECES)[k]
                 s = seed_hashes(flat, m, k)
                 at = s >> np.uint64(64 - BITS)
                 hit = np.flatnonzero((bits[at >> np.uint64(6)] >> (at & low)) & one)
@@ -87,7 +102,7 @@ def _stretches(docs: DataFrame, bitmap) -> DataFrame:
                 inside = hit + m[-1] < ends[np.minimum(own, len(ends) - 1)] if len(ends) else hit < 0
                 pos.append(hit[inside])
                 found.append(s[hit[inside]].view(np.int64))
-            pos, found = np.concatenate(pos), np.concatenate(found)
+            pos, found = np.concatenate([*pos, np.zeros(0, np.int64)]), np.concatenate([*found, np.zeros(0, np.int64)])
             if not len(pos):
                 continue
             order = np.argsort(pos, kind="stable")
@@ -100,27 +115,25 @@ def _stretches(docs: DataFrame, bitmap) -> DataFrame:
             new[1:] = (own[1:] != own[:-1]) | (lo[1:] > np.maximum.accumulate(hi)[:-1])
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(pos))
-            rows, ids = b["_row"].to_pylist(), b["doc_id"].to_pylist()
-            out = {"_row": [], "doc_id": [], "start": [], "words": [], "hits": []}
+            rows = b["_row"].to_pylist()
+            out = {"_row": [], "doc_id": b["doc_id"].take(pa.array(own[first])), "start": [], "words": [], "hits": []}
             for a, z in zip(first, last, strict=True):
                 d = own[a]
                 out["_row"].append(rows[d])
-                out["doc_id"].append(ids[d])
                 out["start"].append(int(lo[a] - begin[a]))
                 out["words"].append(flat[lo[a]:hi[a:z].max()])
                 out["hits"].append([{"pos": int(p), "h": int(h)} for p, h in zip(pos[a:z] - begin[a], found[a:z], strict=True)])
-            yield pa.RecordBatch.from_pydict(out, schema)
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("_row", pa.int64()), b.schema.field("doc_id"), *schema]))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = pa.schema([("_row", pa.int64()), ("doc_id", pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()), ("start", pa.int32()),
-                        ("words", pa.list_(pa.int64())), ("hits", pa.list_(pa.struct([("pos", pa.int32()), ("h", pa.int64())])))])
+    schema = [("start", pa.int32()), ("words", pa.list_(pa.int64())), ("hits", pa.list_(pa.struct([("pos", pa.int32()), ("h", pa.int64())])))]
     return docs.mapInArrow(part, f"_row long, doc_id {kind}, start int, words array<long>, hits array<struct<pos:int,h:long>>")
 
 
 def overlaps(words: np.ndarray, item: np.ndarray, shift: int) -> list[tuple[int, int, int]]:
     """Windows of aligned words that agree enough: start and end in `words`, words that agree.
 
-    Word i of the item stands against word i + shift. An item of fewer than 15 words must agree as a whole.
+    Word i of the item stands against word i + shift. An item of fewer than 15 words is one window.
     """
     lo, hi = max(0, shift), min(len(words), len(item) + shift)
     size = min(WINDOW, len(item))
@@ -129,25 +142,27 @@ def overlaps(words: np.ndarray, item: np.ndarray, shift: int) -> list[tuple[int,
     same = (words[lo:hi] == item[lo - shift:hi - shift]).astype(int)
     run = np.concatenate([[0], np.cumsum(same)])
     n = run[size:] - run[:-size]
-    good = np.flatnonzero(n >= (size - DIFFER if size == WINDOW else size))
+    good = np.flatnonzero(n >= size - size * DIFFER // WINDOW)
     return [(int(lo + k), int(lo + k + size), int(n[k])) for k in good]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = 1) -> DataFrame:
     """doc_id, item_id, first_word, last_word (of the overlapping stretch), n_windows, n_same (of the best window).
 
-    A row per document and item that share 15 aligned words of which at most 3 differ; an item of 7 to 14 words
-    must occur whole, and one of fewer words than the shortest mask is no evidence. Null and empty texts overlap
+    A row per document and item that share 15 aligned words of which at most 3 differ; of an item of fewer
+    words, all of them aligned, of which a fifth may differ (under five words none). Items of fewer than `least` words
+    are left out. Null and empty texts overlap
     with nothing. Rows of one id are one document; documents without an id share the null id. Empty tables give
     no rows; other columns are not read. Texts are searched whole.
     """
-    items = saved(benchmark.select(F.col(item_col).alias("item_id"), word_hashes(F.col(item_text)).alias("w")), "items")
+    items = saved(benchmark.select(F.col(item_col).alias("item_id"), word_hashes(F.col(item_text)).alias("w")).filter(F.size("w") >= least), "items")
     seeds = saved(_benchmark_seeds(items), "seeds")
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(seeds))
+    used = sorted(r.k for r in seeds.select("k").distinct().collect())
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), word_hashes(F.col(text_col)).alias("w"))
-    found = saved(_stretches(rows, bitmap), "stretches")
+    found = saved(_stretches(rows, bitmap, used), "stretches")
     hits = found.select("_row", "start", F.explode("hits").alias("x")).select("_row", "start", "x.*")
-    pairs = hits.join(seeds, "h").select("_row", "start", "item_id", (F.col("pos") - F.col("start") - F.col("ipos")).alias("shift")).distinct()
+    pairs = hits.join(seeds.drop("k"), "h").select("_row", "start", "item_id", (F.col("pos") - F.col("start") - F.col("ipos")).alias("shift")).distinct()
     full = pairs.join(found.select("_row", "start", "doc_id", "words"), ["_row", "start"]).alias("p").join(
         items.alias("i"), F.col("p.item_id").eqNullSafe(F.col("i.item_id"))).select("doc_id", "start", "words", "p.item_id", "w", "shift")
 
