@@ -54,9 +54,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no benchmark item; texts without words never do."""
+    """Documents that overlap with no benchmark item of five words or more: fewer stand in clean texts by chance.
+    Texts without words never overlap."""
     rows = _numbered(docs)
-    leaks = find_leaks(rows, table(spark, sf_dir, "benchmark"), id_col=ROW).select(F.col("doc_id").alias(ROW)).distinct()
+    leaks = find_leaks(rows, table(spark, sf_dir, "benchmark"), id_col=ROW, least=5).select(F.col("doc_id").alias(ROW)).distinct()
     return rows.join(leaks, ROW, "left_anti").select(*docs.columns)
 
 
