@@ -102,14 +102,17 @@ def draw(targets: DataFrame, block: int = 64, slots_per_shard: int = 4096, seed:
         (F.col("id") % shards).alias("shard"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(1, total))).alias("u"))
     drawn = slots.withColumn("cell", F.floor(F.col("u") / cell)).join(guide, "cell").filter("u >= lo and u < upto")
     counts = drawn.groupBy("rank", "shard").agg(F.count("*").alias("c"))
-    run = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    # One source may have a third of all shards: running counts go over all sources in range blocks, less what lies before.
     runs = plan.join(counts, "rank", "left").select(
         "rank", "blocks", "take", F.coalesce("shard", F.pmod(F.xxhash64("rank", F.lit(seed)), F.lit(shards))).alias("shard"),
-        F.coalesce("c", F.lit(1)).alias("c"), F.sum(F.coalesce("c", F.lit(1))).over(run).alias("end"),
-        F.sum(F.coalesce("c", F.lit(1))).over(Window.partitionBy("rank")).alias("all"))
+        F.coalesce("c", F.lit(1)).alias("c"))
+    runs = running_totals(runs, ["rank", "shard"], {"end": F.col("c")})
+    own = runs.groupBy("rank").agg(F.sum("c").alias("all"), F.min(F.col("end") - F.col("c")).alias("before"))
+    runs = runs.join(own, "rank").withColumn("end", F.col("end") - F.col("before"))
     scaled = lambda c: F.when(c == F.col("all"), F.col("take")).otherwise(F.floor(c * (F.col("take") / F.col("all"))))
     spans = runs.select("rank", "blocks", "shard", scaled(F.col("end") - F.col("c")).alias("lo"), scaled(F.col("end")).alias("hi"))
-    taken = spans.filter("hi > lo").withColumn("k", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)))
+    parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    taken = spans.filter("hi > lo").repartition(parts, "rank", "shard").withColumn("k", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)))
     key = F.xxhash64("rank", F.lit(seed), F.floor(F.col("k") / F.col("blocks")))
     return taken.select(
         "rank", _permuted(F.col("k") % F.col("blocks"), F.col("blocks"), key).alias("block"), "shard",
