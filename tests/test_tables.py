@@ -10,6 +10,7 @@ from tidemark.operators import outcomes as oc
 from tidemark.operators import portfolio as pf
 from tidemark.operators import watchlist as wl
 from tidemark.sources import files as fl
+from tidemark.sources import payloads as pl
 from tidemark.sources import sinks as sk
 
 WORDS = "a b c d e f".split()
@@ -140,3 +141,21 @@ def test_snapshot_replaces_only_its_partitions(spark, tmp_path):
     assert sorted((r.market, r.v) for r in spark.read.parquet(p).collect()) == [("KR", 2), ("US", 9)]
     sk.append_log(spark.createDataFrame([(1, "a"), (2, "b")], "id int, x string"), str(tmp_path / "log"))
     assert [r.id for r in sk.read_log(spark, str(tmp_path / "log"), 1).collect()] == [2]
+
+
+def test_csv_rows_that_do_not_fit_are_counted_or_stop_the_read(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('day,value\n2024-01-01,1.5\n2024-01-02,\n2024-01-03,x\n2024-01-04,2,3\n"2024-01-05","4"\n')
+    schema = "day date, value double"
+    rows = {str(r.day): (r.value, r.line) for r in fl.read_csv(spark, str(tmp_path / "a.csv"), schema, corrupt="line").collect()}
+    assert rows == {"2024-01-01": (1.5, None), "2024-01-02": (None, None), "2024-01-03": (None, "2024-01-03,x"), "2024-01-04": (2.0, "2024-01-04,2,3"), "2024-01-05": (4.0, None)}
+    with pytest.raises(Exception, match="(?i)malformed"):
+        fl.read_csv(spark, str(tmp_path / "a.csv"), schema, strict=True).collect()
+    assert fl.read_csv(spark, str(tmp_path / "a.csv"), null="x").where("value IS NULL").count() == 2
+    with pytest.raises(ValueError):
+        fl.read_csv(spark, str(tmp_path / "a.csv"), corrupt="line")
+
+
+def test_corporate_codes_by_ticker(spark):
+    codes = spark.createDataFrame([("9", "000001 "), ("8", "000001"), ("7", "000002"), ("7", "000002")], "corp_code string, stock_code string")
+    wanted = spark.createDataFrame([("000001",), ("000002",), ("000003",), (None,)], "ticker string")
+    assert {r.ticker: r.corp_code for r in pl.corp_code_of(wanted, codes).collect()} == {"000001": "8", "000002": "7", "000003": None, None: None}

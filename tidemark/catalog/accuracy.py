@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.registry import query, r6, text
 from tidemark.operators import accuracy as acc
+from tidemark.plans import reports as rp
 
 P = ("predictions",)
 ASOF = "2000-06-30"
@@ -270,7 +271,7 @@ b AS (SELECT id, CASE WHEN status='HIT' THEN 1 ELSE 0 END AS y, confidence AS c,
 x AS (SELECT *, (a * rep + b) % 2147483647 AS u FROM b, unnest(range(1, {{reps}} + 1)) t(rep))"""
 
 
-@query("stat_bootstrap_ci", f"""
+BOOT = f"""
 b AS (SELECT id, CASE WHEN status='HIT' THEN 1 ELSE 0 END AS y, confidence AS c FROM predictions WHERE {CLOSED}),
 ce AS (SELECT y, c, count(*) AS n, min(id) AS i FROM b GROUP BY y, c),
 hh AS (SELECT *, {H.format(k='i', s=1)} AS ha, {H.format(k='i', s=9)} AS hb FROM ce),
@@ -283,18 +284,24 @@ k AS (SELECT *, row_number() OVER (ORDER BY wr) AS rw, row_number() OVER (ORDER
 SELECT (SELECT count(*) FROM b) AS n, (SELECT round(avg(y), 4) FROM b) AS win_rate, (SELECT round(avg(pow(c - y, 2)), 4) FROM b) AS brier_score,
   round(max(wr) FILTER (rw = ceil(0.025 * m)), 4) AS win_rate_lo, round(max(wr) FILTER (rw = ceil(0.975 * m)), 4) AS win_rate_hi,
   round(max(br) FILTER (rb = ceil(0.025 * m)), 4) AS brier_lo, round(max(br) FILTER (rb = ceil(0.975 * m)), 4) AS brier_hi,
-  round(avg(CASE WHEN wr > 0.5 THEN 1.0::DOUBLE ELSE 0 END), 4) AS prob_better_than_coin FROM k""", P)
+  round(avg(CASE WHEN wr > 0.5 THEN 1.0::DOUBLE ELSE 0 END), 4) AS prob_better_than_coin FROM k"""
+
+
+@query("stat_bootstrap_ci", BOOT, P)
 def stat_bootstrap_ci(v):
     return acc.bootstrap_ci(acc.closed(v.predictions), resamples=1000)
 
 
-@query("stat_permutation", REPS.format(reps=1000) + """,
+PERM = REPS.format(reps=1000) + """,
 t AS (SELECT count(*) AS n, sum(y) AS nh, sum(c) AS sc, sum(c * y) AS hc FROM b),
 rk AS (SELECT rep, c, row_number() OVER (PARTITION BY rep ORDER BY u, id) AS r FROM x),
 ph AS (SELECT rep, sum(c) AS s FROM rk, t WHERE r <= nh GROUP BY rep),
 o AS (SELECT n, nh, sc, hc / nh - (sc - hc) / (n - nh) AS obs FROM t)
 SELECT n, round(any_value(obs), 4) AS observed_diff, round((count(*) FILTER (abs(s / nh - (sc - s) / (n - nh)) >= abs(obs) - 1e-12) + 1) / 1001.0::DOUBLE, 4) AS p_value
-FROM o, ph GROUP BY n""", P)
+FROM o, ph GROUP BY n"""
+
+
+@query("stat_permutation", PERM, P)
 def stat_permutation(v):
     return acc.permutation_test(acc.closed(v.predictions), permutations=1000)
 
@@ -361,6 +368,37 @@ def agg_windows_report(v):
     return rec(acc.windows_explode(v.predictions, ASOF).groupBy("days").agg(*acc._record_columns()))
 
 
+def each_window(sql, windows=(7, 30, 90)):
+    """A statement over closed rows, repeated for the rows of every look-back window."""
+    parts = (f"SELECT {d} AS days, * FROM ({sql.replace(CLOSED, CLOSED + ' AND ' + window_sql(d))})" for d in windows)
+    return " UNION ALL ".join(parts)
+
+
+@query("agg_weekly_buckets", f"SELECT curve, days, confidence_range, predicted_confidence, actual_accuracy, count, CAST(count >= 3 AND predicted_confidence - actual_accuracy >= 0.10 AS INTEGER) AS overconfident FROM ("
+       f"SELECT 'raw' AS curve, * FROM ({each_window(cal_sql(RAW))}) UNION ALL SELECT 'logged', * FROM ({each_window(cal_sql('confidence'))}))", P)
+def agg_weekly_buckets(v):
+    w, key = rp.weekly_curves(v.predictions, ASOF), ["days", "confidence_range"]
+    out = []
+    for curve, part, over in (("raw", "buckets", "overconfident_buckets_raw"), ("logged", "buckets_recal", "overconfident_buckets")):
+        flag = w[over].select(*key, F.lit(1).alias("o"))
+        out.append(w[part].join(flag, key, "left").select(
+            F.lit(curve).alias("curve"), *key, "predicted_confidence", "actual_accuracy", "count", F.coalesce("o", F.lit(0)).alias("overconfident")))
+    return out[0].unionByName(out[1])
+
+
+@query("agg_weekly_signals", "SELECT *, CAST(verdict = 'dead' OR (total >= 5 AND win_rate < 0.4) AS INTEGER) AS worst FROM ("
+       + each_window("WITH " + SIG_PERF.format(where=CLOSED, mc=3) + " SELECT * FROM perf") + ")", P)
+def agg_weekly_signals(v):
+    w = rp.weekly_signals(v.predictions, ASOF)
+    worst = w["worst_signals"].select("days", "signal", F.lit(1).alias("w"))
+    return w["signals"].join(worst, ["days", "signal"], "left").withColumn("worst", F.coalesce("w", F.lit(0))).drop("w")
+
+
+@query("agg_weekly_robustness", f"SELECT c.*, p.observed_diff, p.p_value FROM ({each_window('WITH ' + BOOT)}) c JOIN ({each_window('WITH ' + PERM)}) p ON c.days = p.days", P)
+def agg_weekly_robustness(v):
+    return rp.robustness(v.predictions, ASOF)
+
+
 @query("agg_readiness", f"""SELECT count(*) FILTER (components IS NOT NULL) AS closed_with_components, count(*) AS closed,
   CAST(count(*) FILTER (components IS NOT NULL) >= 100 AS INTEGER) AS ready FROM predictions WHERE {CLOSED}""", P)
 def agg_readiness(v):
@@ -373,6 +411,4 @@ SELECT 'record' AS part, 'last30' AS name, total AS n, win_rate AS value FROM (S
 UNION ALL SELECT 'calibration', confidence_range, count, actual_accuracy FROM c
 UNION ALL SELECT 'signal', signal, total, win_rate FROM (SELECT * FROM perf ORDER BY win_rate DESC, signal LIMIT 5)""", P)
 def agg_signals_context(v):
-    from tidemark.plans.reports import signals_context
-
-    return signals_context(v.predictions, ASOF)
+    return rp.signals_context(v.predictions, ASOF)

@@ -6,6 +6,7 @@ from tidemark.catalog import portfolio as cp
 from tidemark.catalog.registry import query, r6, rd, rd_sql, text
 from tidemark.catalog.screen import last_cte
 from tidemark.catalog.series import avg_sql, f_, metrics_cte
+from tidemark.catalog.sources import through_csv
 from tidemark.functions import dates as fd
 from tidemark.operators import gold as gd
 from tidemark.operators import graph as gr
@@ -353,6 +354,7 @@ def src_series_csv(v):
     rows = v.table("events").select(
         F.col("user_id").alias("series"), k.alias("date"), F.when(k % 3 == 0, F.col("value").cast("string")).when(k % 3 == 1, ".").otherwise("").alias("value")
     )
+    rows = through_csv(v, rows, "series long, date long, value string")
     return gd.last_numeric(rows, F.lit(1.9)).withColumn("estimated", F.col("estimated").cast("int"))
 
 

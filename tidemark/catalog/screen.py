@@ -134,6 +134,17 @@ def lookup(v):
     return mk.sector_lookup(s, m, m.limit(0))
 
 
+@query("join_sector_funds", LOOK + """
+SELECT market, ticker::VARCHAR AS ticker, sector, verdict, stage FROM lk
+UNION ALL SELECT market, ticker, sector, verdict, stage FROM (SELECT DISTINCT market, sector, ticker FROM sector_bars) JOIN sv USING (market, sector)""", BS)
+def join_sector_funds(v):
+    """The lookup of constituents and of the sectors' proxy funds."""
+    s = mk.sector_rotation(v.bars, v.sector_bars, v.benchmark_bars, v.sector_map)
+    funds = v.sector_bars.select("ticker", "market", "sector").distinct()
+    m = members(v).withColumn("ticker", F.col("ticker").cast("string"))
+    return mk.sector_lookup(s, m, funds).select("market", "ticker", "sector", "verdict", "stage")
+
+
 @query("join_sector_verdict", LOOK + f" SELECT market, ticker, verdict, stage, {SMULT} AS multiplier FROM lk", BS)
 def join_sector_verdict(v):
     c = mk.apply_sector_boost(members(v).select("market", "ticker"), lookup(v))

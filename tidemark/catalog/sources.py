@@ -1,8 +1,11 @@
 """Queries that build payloads from the given tables, parse them back and compare."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.catalog.registry import query, r6, text
+from tidemark.session import checkpoint_root
 from tidemark.sources import files as fl
 from tidemark.sources import payloads as pl
 from tidemark.sources import sinks as sk
@@ -10,6 +13,16 @@ from tidemark.sources import sinks as sk
 B = ("bars",)
 
 
+def new_path(v, kind):
+    """A new path below the folder that all executors share."""
+    return f"{checkpoint_root(v.spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def through_csv(v, df, schema):
+    """The rows written as CSV files and read back strictly."""
+    return fl.read_csv(v.spark, fl.write_csv(df, new_path(v, "csv")), schema, strict=True)
+
+
 def pick(key, xs):
     return F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col(key) % len(xs) + 1).cast("int"))
 
@@ -46,6 +59,7 @@ def src_universe_csv(v):
     s = v.table("supplier")
     kr = s.select("s_suppkey", F.when(k % 4 == 0, F.concat(k.cast("string"), F.lit("x"))).otherwise(F.concat(F.lit(" "), k.cast("string"))).alias("ticker"))
     us = s.select("s_suppkey", F.concat(F.lit("ab"), F.char(97 + k % 26), F.when(k % 3 == 0, "-12").otherwise("")).alias("ticker"))
+    kr, us = (through_csv(v, x, "s_suppkey long, ticker string") for x in (kr, us))
     return fl.universe(kr, "KR").withColumn("market", F.lit("KR")).unionByName(fl.universe(us, "US").withColumn("market", F.lit("US")))
 
 
@@ -55,7 +69,20 @@ def src_sector_map(v):
     rows = v.table("nation").join(s, F.col("n_nationkey") == F.col("s_nationkey")).select(
         F.col("n_name").alias("sector"), F.when(F.col("n_nationkey") % 5 != 0, "PX").otherwise(" ").alias("proxy_etf"), "constituents"
     )
-    return fl.sector_map(rows).select("sector", "ticker")
+    return fl.sector_map(through_csv(v, rows, "sector string, proxy_etf string, constituents string")).select("sector", "ticker")
+
+
+@query("src_csv_rows", """SELECT event_type AS kind, count(*) AS n, count(*) FILTER (event_id % 11 = 0) AS corrupt, count(*) FILTER (event_id % 11 <> 0 AND event_id % 7 = 0) AS blank,
+  round(sum(CASE WHEN event_id % 11 <> 0 AND event_id % 7 <> 0 THEN value END), 4) AS total FROM events GROUP BY event_type""")
+def src_csv_rows(v):
+    """Rows whose value is no number are counted as corrupt, not read as missing."""
+    k = F.col("event_id")
+    value = F.when(k % 11 == 0, F.concat(F.lit("n/a "), k.cast("string"))).when(k % 7 != 0, F.col("value").cast("string"))
+    path = fl.write_csv(v.table("events").select(F.col("event_type").alias("kind"), k, value.alias("value")), new_path(v, "csv"))
+    rows = fl.read_csv(v.spark, path, "kind string, event_id long, value double", corrupt="line")
+    bad = F.col("line").isNotNull()
+    return rows.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("corrupt"), F.count_if(~bad & F.col("value").isNull()).alias("blank"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("src_etf_json", """
@@ -182,6 +209,15 @@ def src_corp_codes(v):
     return pl.corp_codes(v.table("supplier").select(xml.alias("body"))).select("corp_code", "corp_name", "stock_code")
 
 
+@query("src_corp_lookup", """SELECT p_partkey, lpad(p_partkey::VARCHAR, 6, '0') AS ticker, CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey::VARCHAR END AS corp_code
+FROM part LEFT JOIN supplier ON p_partkey = s_suppkey""")
+def src_corp_lookup(v):
+    """Codes by ticker, from the mapping read out of its XML; two files list every entity."""
+    codes = src_corp_codes(v)
+    wanted = v.table("part").select("p_partkey", F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("ticker"))
+    return pl.corp_code_of(wanted, codes.unionByName(codes)).select("p_partkey", "ticker", "corp_code")
+
+
 @query("src_disclosures", """SELECT o_custkey AS ticker, o_orderkey::VARCHAR AS rcept_no, o_orderpriority AS report_nm, strftime(o_orderdate, '%Y-%m-%d') AS rcept_date,
   CASE WHEN o_orderkey = 0 THEN '' ELSE 'https://dart.fss.or.kr/dsaf001/main.do?rcpNo=' || o_orderkey END AS url FROM orders WHERE o_orderkey % 4 < 2 AND o_orderkey <> 0""")
 def src_disclosures(v):
@@ -382,17 +418,33 @@ def sink_nav_daily(v):
 
 @query("sink_append_log", "SELECT id, status FROM predictions ORDER BY id DESC LIMIT 25", ("predictions",))
 def sink_append_log(v):
-    return sk.newest(v.predictions, 25).select("id", "status")
+    """Two appends to one log; the newest rows of both are read back."""
+    path, rows = new_path(v, "log"), v.predictions.select("id", "status")
+    for part in (0, 1):
+        sk.append_log(rows.where(F.pmod(F.xxhash64("id"), F.lit(2)) == part), path)
+    return sk.read_log(v.spark, path, 25)
+
+
+@query("sink_active_target", """t AS (SELECT * FROM supplier ORDER BY s_suppkey DESC LIMIT 1)
+SELECT s_suppkey AS id, 'equity' AS asset, round(s_nationkey / 100.0::DOUBLE, 6) AS weight, 'E' || s_nationkey AS fund FROM t
+UNION ALL SELECT s_suppkey, 'bond', round(1 - s_nationkey / 100.0::DOUBLE, 6), NULL FROM t""")
+def sink_active_target(v):
+    """Targets are appended in two batches; the newest is active, with its JSON maps read."""
+    n, path = F.col("s_nationkey") / 100.0, new_path(v, "targets")
+    rows = v.table("supplier").select(
+        F.col("s_suppkey").alias("id"), F.format_string('{"equity": %s, "bond": %s}', n, 1 - n).alias("allocation"),
+        F.format_string('{"equity": "E%d"}', "s_nationkey").alias("etf_map"))
+    for part in (0, 1):
+        sk.append_log(rows.where(F.pmod(F.xxhash64("id"), F.lit(2)) == part), path)
+    t = sk.active_target(v.spark.read.parquet(path))
+    return t.select("id", "etf_map", F.explode("allocation").alias("asset", "weight")).select(
+        "id", "asset", *r6("weight"), F.try_element_at("etf_map", "asset").alias("fund"))
 
 
 @query("sink_snapshot", "SELECT market, CAST(date AS VARCHAR) AS date, CASE WHEN market = 'US' THEN nav + 1 ELSE nav END AS nav FROM nav", ("nav",))
 def sink_snapshot(v):
     """Publish both markets, then republish one: the other's files stay."""
-    import uuid
-
-    from tidemark.session import checkpoint_root
-
-    path = f"{checkpoint_root(v.spark)}/snapshot-{uuid.uuid4().hex}"
+    path = new_path(v, "snapshot")
     n = v.nav.select("market", "date", "nav")
     sk.write_snapshot(n, path)
     sk.write_snapshot(n.where("market = 'US'").withColumn("nav", F.col("nav") + 1), path)

@@ -251,6 +251,12 @@ def fn_timespan_days(v):
     return v.table("events").select("event_id", fd.timespan_days(raw).alias("days"))
 
 
+@query("fn_since_days", "SELECT event_id, CAST(event_id % 50 * ([1, 1, 7, 30])[event_id % 4 + 1] AS INTEGER) AS days FROM events")
+def fn_since_days(v):
+    u = F.element_at(F.array(*[F.lit(x) for x in ("", "d", "W", "m ")]), (F.col("event_id") % 4 + 1).cast("int"))
+    return v.table("events").select("event_id", fd.since_days(F.concat((F.col("event_id") % 50).cast("string"), u)).alias("days"))
+
+
 @query("fn_parse_signals", """SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 0 END AS INTEGER) AS n FROM orders""")
 def fn_parse_signals(v):
     raw = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('["news", "'), F.col("o_orderpriority"), F.lit('"]'))).when(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,21 +28,42 @@ def signals_context(preds: DataFrame, asof, days: int = 30, top: int = 5, min_co
     return rec.unionByName(cal).unionByName(sig)
 
 
-def weekly_report(preds: DataFrame, asof, windows=(7, 30, 90)) -> dict[str, DataFrame]:
-    """Everything the weekly calibration report shows, each part windowed except decay."""
-    rows = acc.windows_explode(preds, asof, windows)
-    hm = rows.where(F.col("status").isin("HIT", "MISS"))
+def weekly_curves(preds: DataFrame, asof, windows=(7, 30, 90)) -> dict[str, DataFrame]:
+    """Calibration per window of the raw and the logged confidence, with the buckets that are overconfident."""
+    hm = acc.windows_explode(preds, asof, windows).where(F.col("status").isin("HIT", "MISS"))
     raw = acc.calibration(preds, ["days"], resolved=hm)
     logged = acc.calibration(preds, ["days"], use_raw=False, resolved=hm)
+    return {
+        "buckets": raw, "buckets_recal": logged,
+        "overconfident_buckets": acc.overconfident_buckets(logged), "overconfident_buckets_raw": acc.overconfident_buckets(raw),
+    }
+
+
+def weekly_signals(preds: DataFrame, asof, windows=(7, 30, 90)) -> dict[str, DataFrame]:
+    """Signals per window and the worst of them."""
+    hm = acc.windows_explode(preds, asof, windows).where(F.col("status").isin("HIT", "MISS"))
     signals = acc.signal_performance(preds, 3, ["days"], resolved=hm)
-    decay = acc.signal_decay(preds, min_count=6)
+    return {"signals": signals, "worst_signals": acc.worst_signals(signals)}
+
+
+def weekly_report(preds: DataFrame, asof, windows=(7, 30, 90)) -> dict[str, DataFrame]:
+    """Everything the weekly calibration report shows, each part windowed except decay."""
+    rows = acc.windows_explode(preds, asof, windows)
     return {
         "track_record": rows.groupBy("days").agg(*acc._record_columns()),
-        "buckets": raw,
-        "buckets_recal": logged,
-        "signals": signals,
-        "overconfident_buckets": acc.overconfident_buckets(logged),
-        "overconfident_buckets_raw": acc.overconfident_buckets(raw),
-        "worst_signals": acc.worst_signals(signals),
-        "decaying_signals": acc.decaying_signals(decay),
+        **weekly_curves(preds, asof, windows),
+        **weekly_signals(preds, asof, windows),
+        "decaying_signals": acc.decaying_signals(acc.signal_decay(preds, min_count=6)),
+        "robustness": robustness(preds, asof, windows),
     }
+
+
+def robustness(preds: DataFrame, asof, windows=(7, 30, 90), resamples: int = 1000) -> DataFrame:
+    """Per window: the intervals of win rate and Brier score, and the permutation p-value of confidence."""
+    parts = []
+    for days in windows:
+        rows, one = acc.closed(preds, days=days, asof=asof), F.lit(days).alias("days")
+        ci = acc.bootstrap_ci(rows, resamples).select(one, "*")
+        p = acc.permutation_test(rows, resamples).select(one, "observed_diff", "p_value")
+        parts.append(ci.join(p, "days"))
+    return reduce(DataFrame.unionByName, parts)

@@ -37,9 +37,27 @@ def universe(rows: DataFrame, market: str) -> DataFrame:
     return rows.withColumn("ticker", code).where("ticker IS NOT NULL")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None, strict: bool = False, null: str = "") -> DataFrame:
-    """Header CSV; all strings unless a schema is given; strict fails on any corrupt row."""
+def write_csv(df: DataFrame, path: str) -> str:
+    """Header CSV files in a folder, one per partition."""
+    df.write.option("header", True).csv(path)
+    return path
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: str | None = None, strict: bool = False, null: str = "", corrupt: str | None = None,
+) -> DataFrame:
+    """Header CSV; all strings unless a schema is given.
+
+    A row is corrupt if a value does not fit its type or the row has another number of values than the header.
+    `strict` fails on the first; else `corrupt` names a column that holds the whole line of such a row and is null in
+    others. Their values that do fit are kept, those that do not are null.
+    """
     r = spark.read.option("header", True).option("nullValue", null)
+    if corrupt:
+        if not schema:
+            raise ValueError("corrupt rows are known by a schema only")
+        schema = f"{schema}, `{corrupt}` string"
+        r = r.option("columnNameOfCorruptRecord", corrupt)
     if schema:
         r = r.schema(schema)
     return r.option("mode", "FAILFAST" if strict else "PERMISSIVE").csv(path)

@@ -159,6 +159,15 @@ def corp_codes(docs: DataFrame) -> DataFrame:
     return docs.select(F.inline(rows)).select(t("corp_code"), t("corp_name"), t("stock_code"), t("modify_date")).where("stock_code <> ''")
 
 
+def corp_code_of(tickers: DataFrame, codes: DataFrame) -> DataFrame:
+    """`tickers` (column ticker) with the corporate code of the listed entity, null where there is none.
+
+    Codes are kept per stock code by a map-side minimum, so a mapping with repeated rows adds none.
+    """
+    first = codes.groupBy(F.trim("stock_code").alias("ticker")).agg(F.min("corp_code").alias("corp_code"))
+    return tickers.join(first, "ticker", "left")
+
+
 def broker_positions(payloads: DataFrame) -> DataFrame:
     """Holdings of all accounts: market from country, else currency, else dropped; null numbers are 0."""
     item = "marketCountry:string,currency:string,symbol:string,name:string,quantity:double,averagePurchasePrice:double,lastPrice:double"
