@@ -93,7 +93,7 @@ def simple(name, cols_sql, body_from="bars", extra_cte=""):
 @simple("win_sma", ", ".join(f"round({avg_sql('close', n)}, 6) AS ma{n}" for n in (20, 50, 200)))
 def win_sma(v):
     w = fw.series_window()
-    b = v.bars.withColumns({f"ma{n}": fw.sma(F.col("close"), w, n) for n in (20, 50, 200)})
+    b = v.bars.withColumns({f"ma{n}": fw.price_mean(F.col("close"), w, n) for n in (20, 50, 200)})
     return b.select("ticker", *text("date"), *r6("ma20", "ma50", "ma200"))
 
 
@@ -212,7 +212,7 @@ x AS (SELECT *, {avg_sql('close', 200)} AS ma200 FROM bars)
 SELECT ticker, CAST(date AS VARCHAR) AS date, CAST(coalesce(ma200 > lag(ma200, 20) OVER w, false) AS INTEGER) AS ma200_rising FROM x {W}""", B)
 def win_ma_slope(v):
     w = fw.series_window()
-    b = v.bars.withColumn("ma200", fw.sma(F.col("close"), w, 200))
+    b = v.bars.withColumn("ma200", fw.price_mean(F.col("close"), w, 200))
     rising = F.coalesce(F.col("ma200") > F.lag("ma200", 20).over(w), F.lit(False)).cast("int")
     return b.select("ticker", *text("date"), rising.alias("ma200_rising"))
 

@@ -6,6 +6,7 @@ Every result is NULL until the frame holds enough rows; Spark alone would averag
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,22 @@ def sma(value: Column, w: WindowSpec, n: int) -> Column:
     return gated(F.avg, value, w, n)
 
 
+def whole(price: Column) -> Column:
+    """A price in millionths, as a whole number: sums of these do not depend on the order of addition."""
+    return F.round(price * 1_000_000).cast("bigint")
+
+
+def whole_mean(total: Column, n: int) -> Column:
+    """Mean price from the sum of n prices in millionths; prices in whole cents give the mean of the cents, divided once."""
+    return total / 10_000 / n / 100.0
+
+
+def price_mean(close: Column, w: WindowSpec, n: int) -> Column:
+    """`sma` of prices, summed exactly, so that equal means compare equal in rules."""
+    f = _frame(w, -(n - 1), 0)
+    return F.when(F.count(close).over(f) >= n, whole_mean(F.sum(whole(close)).over(f), n))
+
+
 def trailing_return(close: Column, w: WindowSpec, k: int) -> Column:
     base = F.lag(close, k).over(w)
     return F.when(base > 0, (close - base) / base)
@@ -88,6 +105,24 @@ def volume_pattern(volume: Column, w: WindowSpec, vol_ratio: Column) -> Column:
     return F.when(dry & pickup, 1.0).when(dry | pickup, 0.5).otherwise(0.0)
 
 
+def frame_sums(df: DataFrame, w: WindowSpec, value: Column, name: str) -> tuple[DataFrame, Callable[[int, int], Column]]:
+    """Sums of whole numbers over many frames from one running sum and count: the work per row does not grow with the frames.
+
+    Gives `df` with two columns more and a function of (n, end) for the sum of the n rows ending `end` rows back, NULL
+    if fewer than n values. Both helper columns start with `name`.
+    """
+    until = _frame(w, Window.unboundedPreceding, 0)
+    total, count = f"{name}_sum", f"{name}_count"
+    out = df.withColumns({total: F.coalesce(F.sum(value).over(until), F.lit(0)), count: F.count(value).over(until)})
+
+    def over(n: int, end: int = 0) -> Column:
+        upto = lambda c, k: F.lag(c, k, 0).over(w) if k else F.col(c)
+        part = lambda c: upto(c, -end) - upto(c, n - end)
+        return F.when(part(count) >= n, part(total))
+
+    return out, over
+
+
 def wilder_averages(
     df: DataFrame, values: dict[str, Column], keys=("ticker",), order="date", index: str = "obs",
     period: int = 14,

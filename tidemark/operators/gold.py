@@ -34,7 +34,7 @@ def technical(bars: DataFrame, keys=("ticker",)) -> DataFrame:
     c = F.col("close")
     b = series.rsi_simple(bars, keys)
     high = F.max(c).over(w.rowsBetween(-251, 0))
-    b = b.withColumns({"ma50": fw.sma(c, w, 50), "ma200": fw.sma(c, w, 200), "drawdown_pct": F.when(high != 0, (c / high - 1) * 100).otherwise(0.0)})
+    b = b.withColumns({"ma50": fw.price_mean(c, w, 50), "ma200": fw.price_mean(c, w, 200), "drawdown_pct": F.when(high != 0, (c / high - 1) * 100).otherwise(0.0)})
     b = b.withColumn("ma200_rising", F.coalesce(F.col("ma200") > F.lag("ma200", 20).over(w), F.lit(False)))
     trend = (
         F.when(F.col("ma200").isNotNull(), F.when((c >= F.col("ma200")) & F.col("ma200_rising"), 100.0).when(c >= F.col("ma200"), 60.0).otherwise(30.0))

@@ -73,12 +73,10 @@ def rolling_metrics(bars: DataFrame, keys=("ticker",), extra: bool = False) -> D
     """
     w = fw.series_window(keys)
     c, v = F.col("close"), F.col("volume")
-    b = rsi(bars, keys)
+    b, closes = fw.frame_sums(rsi(bars, keys), w, fw.whole(c), "_c")
     cols = {
         "n_bars": F.row_number().over(w),
-        "ma20": fw.sma(c, w, 20),
-        "ma50": fw.sma(c, w, 50),
-        "ma200": fw.sma(c, w, 200),
+        **{f"ma{n}": fw.whole_mean(closes(n), n) for n in (20, 50, 200)},
         "return_1w": fw.trailing_return(c, w, 5),
         "return_1m": fw.trailing_return(c, w, 21),
         "return_3m": fw.trailing_return(c, w, 63),
@@ -102,7 +100,7 @@ def rolling_metrics(bars: DataFrame, keys=("ticker",), extra: bool = False) -> D
     )
     if extra:
         m = m.withColumn("volume_pattern", fw.volume_pattern(v, w, F.col("vol_ratio"))).drop("_r", "_lr")
-    return m.withColumns(
+    return m.drop("_c_sum", "_c_count").withColumns(
         {
             "overextension_level": rules.overextension(F.col("rsi14"), c, F.col("ma20")),
             "cycle_risk_flag": rules.cycle_risk(F.col("return_1y"), F.col("pct_from_52w_high")),
@@ -132,6 +130,7 @@ def horizon_metrics(bars: DataFrame, keys=("ticker",), asof=None, extra: bool =
     last = lambda x: F.max(F.when(k == 0, x))
     at = lambda n: F.max(F.when(k == n, c))
     mean = lambda x, n: F.when(F.count(F.when(k < n, x)) >= n, F.avg(F.when(k < n, x)))
+    price = lambda n: F.when(F.count(F.when(k < n, c)) >= n, fw.whole_mean(F.sum(F.when(k < n, fw.whole(c))), n))
     ret = lambda n: F.when(at(n) > 0, (at(0) - at(n)) / at(n))
     # weight of change i among n: q^(n - max(i, 14)) / 14; the scale cancels in gain over loss
     q = 13.0 / 14.0
@@ -147,7 +146,7 @@ def horizon_metrics(bars: DataFrame, keys=("ticker",), asof=None, extra: bool =
         "ticker": F.first("ticker") if "ticker" in bars.columns and "ticker" not in keys else None,
         "date": last(F.col("date")), "close": at(0), "n_bars": F.max("_n"),
         "_g": F.when(enough, up), "_l": F.when(enough, down),
-        "ma20": mean(c, 20), "ma50": mean(c, 50), "ma200": mean(c, 200),
+        "ma20": price(20), "ma50": price(50), "ma200": price(200),
         "return_1w": ret(5), "return_1m": ret(21), "return_3m": ret(63), "return_6m": ret(126), "return_1y": ret(252),
         "vol_5d_avg": mean(v, 5), "vol_50d_avg": mean(v, 50),
         "pct_from_52w_high": F.when(hi > 0, (at(0) - hi) / hi), "pct_from_52w_low": F.when(lo > 0, (at(0) - lo) / lo),
