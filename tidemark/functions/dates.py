@@ -49,7 +49,8 @@ def market_open(ts: Column, market: Column, grace_minutes: int = 30) -> Column:
     """Weekday session test on exchange-local time; the US close has a grace period."""
     zone = F.when(market == "KR", "Asia/Seoul").otherwise("America/New_York")
     t = F.from_utc_timestamp(ts, zone)
-    minute = F.hour(t) * 60 + F.minute(t) + F.second(t) / 60.0
+    # to the microsecond: a close at 15:30:00 does not hold 15:30:00.5
+    minute = F.hour(t) * 60 + F.minute(t) + F.date_part(F.lit("second"), t) / 60
     us = minute.between(9 * 60 + 30, 16 * 60 + grace_minutes)
     kr = minute.between(9 * 60, 15 * 60 + 30)
     return (F.weekday(t) < 5) & F.when(market == "KR", kr).otherwise(us)
