@@ -87,8 +87,8 @@ def src_csv_rows(v):
 
 @query("src_etf_json", """
 SELECT CASE WHEN valid THEN code END AS code, name, valid, price, deviation, aum, asset_class, leverage, tax_type, hedged FROM (
-SELECT lpad(p_partkey::VARCHAR, 6, '0') AS code, p_name || CASE WHEN p_partkey % 9 = 0 THEN ' 레버리지' WHEN p_partkey % 4 = 0 THEN '(H)' ELSE '' END AS name, CAST(p_partkey % 11 <> 0 AS INTEGER) AS valid,
-  CASE WHEN p_partkey % 11 <> 0 THEN p_retailprice END AS price, CASE WHEN p_partkey % 11 <> 0 AND p_partkey % 6 <> 0 THEN round((p_retailprice - (p_retailprice + p_size)) / (p_retailprice + p_size) * 100, 3) END AS deviation,
+SELECT lpad(p_partkey::VARCHAR, 6, '0') AS code, p_name || CASE WHEN p_partkey % 9 = 0 THEN ' 레버리지' WHEN p_partkey % 4 = 0 THEN '(H)' ELSE '' END AS name, CAST(p_partkey % 11 <> 0 AND p_partkey < 1000000 AS INTEGER) AS valid,
+  CASE WHEN p_partkey % 11 <> 0 THEN p_retailprice END AS price, CASE WHEN p_partkey % 11 <> 0 AND p_partkey < 1000000 AND p_partkey % 6 <> 0 THEN round((p_retailprice - (p_retailprice + p_size)) / (p_retailprice + p_size) * 100, 3) END AS deviation,
   p_size AS aum, (['domestic_equity','domestic_sector','domestic_derivative','overseas_equity','commodity','bond','other'])[p_partkey % 7 + 1] AS asset_class,
   CAST(p_partkey % 9 = 0 OR p_partkey % 7 = 2 AS INTEGER) AS leverage, CASE WHEN p_partkey % 7 IN (0, 1) AND p_partkey % 9 <> 0 THEN 'domestic_equity_type' ELSE 'other_type' END AS tax_type,
   CAST(p_partkey % 4 = 0 AND p_partkey % 9 <> 0 AS INTEGER) AS hedged FROM part)""")
