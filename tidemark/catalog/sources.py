@@ -158,7 +158,7 @@ def src_gdelt(v):
     return pl.article_list(v.table("events").select(body.alias("body"))).select("headline", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
-@query("src_news_search", "SELECT event_id::VARCHAR AS headline, CASE WHEN event_id % 4 <> 0 THEN 'p.example.com' ELSE 'search' END AS source FROM events WHERE event_id % 3 <> 0 AND (event_id % 5 = 0 OR ts >= TIMESTAMP '2024-01-05' - INTERVAL 3 DAY + INTERVAL 0 SECOND)")
+@query("src_news_search", "SELECT event_id::VARCHAR AS headline, CASE WHEN event_id % 4 <> 0 THEN 'p.example.com' ELSE 'search' END AS source FROM events WHERE event_id % 3 <> 0 AND (event_id % 5 = 0 OR date_trunc('second', ts + INTERVAL 1 SECOND) >= TIMESTAMP '2024-01-05' - INTERVAL 3 DAY)")
 def src_news_search(v):
     k = F.col("event_id")
     ts = F.date_trunc("second", F.col("ts").cast("timestamp") + F.expr("INTERVAL 1 SECOND"))
