@@ -125,6 +125,11 @@ def join_linked_prediction(v):
     )
 
 
+# half-up on the printed digits, as in the query
+PNL, TRAIL = round_printed_sql("pnl", 2), round_printed_sql("tstop", 4)
+PROGRESS = round_printed_sql("(price - st) / nullif(tg - st, 0)", 3)
+
+
 @query("rule_exit_ladder", POS + ",\n" + LASTM + ",\n" + LINK.strip() + """,
 at0 AS (SELECT *, row_number() OVER w - 1 AS i, lag(close) OVER w AS pc FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)),
 at1 AS (SELECT *, max(high) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 21 PRECEDING AND CURRENT ROW) AS swing,
@@ -140,7 +145,7 @@ a AS (SELECT *, CASE WHEN price IS NULL THEN 'WATCH'
   WHEN ma200 IS NULL THEN 'WATCH'
   WHEN lvl = 'NONE' AND coalesce(rsi14 BETWEEN 45 AND 65 AND ma20 > ma50 AND ma50 > ma200 AND pnl BETWEEN 0 AND 20, false) AND (op IS NULL OR op.direction = 'BULL') THEN 'ADD'
   WHEN coalesce(op.direction = 'BEAR', false) THEN 'WATCH' WHEN price > ma200 AND (tstop IS NULL OR price >= tstop) THEN 'HOLD' ELSE 'WATCH' END AS action FROM k)
-SELECT portfolio, ticker, action, round(pnl, 2) AS pnl_pct, round(tstop, 4) AS trailing_stop, round((price - st) / nullif(tg - st, 0), 3) AS rr_progress FROM a""", (*TB, "predictions"))
+SELECT portfolio, ticker, action, """ + f"{PNL} AS pnl_pct, {TRAIL} AS trailing_stop, {PROGRESS} AS rr_progress FROM a", (*TB, "predictions"))
 def rule_exit_ladder(v):
     b = v.bars
     m = series.horizon_metrics(b).select("ticker", "ma20", "ma50", "ma200", "rsi14", "overextension_level")
