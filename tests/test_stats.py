@@ -137,3 +137,15 @@ def test_auc_with_ties(spark):
     want = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
     got = acc.brier_auc(spark.createDataFrame(rows, "s double, y int"), "s", "y").first()
     assert got.auc == pytest.approx(want)
+
+
+def test_bootstrap_draws_a_weight_per_row(spark):
+    u = np.random.default_rng(3).integers(0, stats.HASH_PRIME, 3000)
+    want = [r[0] for r in spark.createDataFrame([(int(x),) for x in u], "u long").select(stats.poisson1(F.col("u"))).collect()]
+    assert stats.poisson1_draws(u).tolist() == want
+    # rows of one cell with other ids are other draws
+    p = preds(spark, ["HIT", "MISS", "HIT"] * 40)
+    first = acc.bootstrap_ci(p, 300).first()
+    lo = p.selectExpr("min(id)").first()[0]
+    other = p.withColumn("id", F.when(F.col("id") == lo, F.col("id")).otherwise(F.col("id") + 1_000_003))
+    assert acc.bootstrap_ci(other, 300).first() != first

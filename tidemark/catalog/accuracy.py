@@ -271,14 +271,14 @@ b AS (SELECT id, CASE WHEN status='HIT' THEN 1 ELSE 0 END AS y, confidence AS c,
 x AS (SELECT *, (a * rep + b) % 2147483647 AS u FROM b, unnest(range(1, {{reps}} + 1)) t(rep))"""
 
 
-BOOT = f"""
-b AS (SELECT id, CASE WHEN status='HIT' THEN 1 ELSE 0 END AS y, confidence AS c FROM predictions WHERE {CLOSED}),
-ce AS (SELECT y, c, count(*) AS n, min(id) AS i FROM b GROUP BY y, c),
-hh AS (SELECT *, {H.format(k='i', s=1)} AS ha, {H.format(k='i', s=9)} AS hb FROM ce),
-pm AS (SELECT n, k, exp(k * ln(n) - n - lgamma(k + 1)) AS p FROM (SELECT n, unnest(range(greatest(0, floor(n - 13 * sqrt(n) - 30))::BIGINT, ceil(n + 13 * sqrt(n) + 30)::BIGINT + 1)) AS k FROM (SELECT DISTINCT n FROM ce))),
-cd AS (SELECT n, k, coalesce(sum(p) OVER (PARTITION BY n ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM pm),
-x AS (SELECT rep, n, y, pow(c - y, 2) AS e, ((ha * rep + hb) % 2147483647 + 0.5::DOUBLE) / 2147483647 AS u FROM hh, unnest(range(1, 1001)) t(rep)),
-w AS (SELECT rep, y, e, cd.k AS w FROM x ASOF JOIN cd ON x.n = cd.n AND x.u >= cd.below),
+def _cuts():
+    from tidemark.functions.stats import POISSON1_CUTS
+
+    return " + ".join(f"CAST(u >= {c} AS INTEGER)" for c in POISSON1_CUTS)
+
+
+BOOT = REPS.format(reps=1000) + f""",
+w AS (SELECT rep, {_cuts()} AS w, y, pow(c - y, 2) AS e FROM x),
 r AS (SELECT rep, sum(w * y) / sum(w)::DOUBLE AS wr, sum(w * e) / sum(w) AS br FROM w GROUP BY rep),
 k AS (SELECT *, row_number() OVER (ORDER BY wr) AS rw, row_number() OVER (ORDER BY br) AS rb, count(*) OVER () AS m FROM r)
 SELECT (SELECT count(*) FROM b) AS n, (SELECT round(avg(y), 4) FROM b) AS win_rate, (SELECT round(avg(pow(c - y, 2)), 4) FROM b) AS brier_score,

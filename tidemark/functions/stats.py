@@ -143,6 +143,15 @@ def poisson1(u: Column) -> Column:
     return sum(((u >= cut).cast("int") for cut in POISSON1_CUTS), F.lit(0))
 
 
+def poisson1_draws(u: np.ndarray) -> np.ndarray:
+    """`poisson1` of an array of integer uniforms, as doubles."""
+    u = u.astype(np.int32)
+    w = np.zeros(u.shape, np.uint8)
+    for cut in POISSON1_CUTS:
+        w += u >= cut
+    return w.astype(np.float64)
+
+
 def poisson_draws(mean: float, u: np.ndarray) -> np.ndarray:
     """Poisson draws by inversion at integer uniforms in [0, HASH_PRIME).
 

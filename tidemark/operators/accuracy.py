@@ -313,27 +313,28 @@ def recalibrate(preds: DataFrame, history: DataFrame, min_closed: int = 30, buck
 def bootstrap_ci(rows: DataFrame, resamples: int = 1000, alpha: float = 0.05, key: str = "id") -> DataFrame:
     """Poisson bootstrap of win rate and Brier score.
 
-    Rows of equal confidence and outcome form a cell, and the sum of their Poisson(1) weights in a replicate is one
-    Poisson draw of the cell's count. The draw inverts the distribution at a uniform hashed from the cell's smallest
-    key and the replicate. So work follows the number of cells, not of rows; a task adds up its cells and sends one row a replicate.
+    Every row draws its own weight per replicate from a hash of its key, so the draws never move: a task adds up its rows in
+    blocks, replicates by rows, and sends one row a replicate.
     """
     hit = _is("HIT").cast("int")
-    cells = rows.groupBy(hit.alias("y"), F.col("confidence").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"))
-    a, b = stats.hash_pair(F.col("first"))
-    cells = cells.where("c IS NOT NULL").select("y", F.pow(F.col("c") - F.col("y"), 2).alias("e"), "n", a.alias("a"), b.alias("b"))
+    a, b = stats.hash_pair(F.col(key))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = rows.where("confidence IS NOT NULL").select(
+        key, hit.alias("y"), F.pow(F.col("confidence") - hit, 2).alias("e"), a.alias("a"), b.alias("b")).repartition(parts, key)
 
     def draw(batches):
-        sums = np.zeros((3, resamples))
-        reps = np.arange(1, resamples + 1)
+        sums = np.zeros((resamples, 3))
+        reps = np.arange(1, resamples + 1)[:, None]
         for t in batches:
-            for y, e, n, a_, b_ in zip(*[t[c].to_pylist() for c in ("y", "e", "n", "a", "b")], strict=True):
-                w = stats.poisson_draws(n, (a_ * reps + b_) % stats.HASH_PRIME)
-                sums += np.stack([w, w * y, w * e])
+            for k in range(0, t.num_rows, 512):
+                y, e, a_, b_ = (t[c].slice(k, 512).to_numpy() for c in ("y", "e", "a", "b"))
+                w = stats.poisson1_draws((a_ * reps + b_) % stats.HASH_PRIME)
+                sums += w @ np.stack([np.ones(len(y)), y, e], axis=1)
         if sums.any():
-            yield pa.RecordBatch.from_pydict({"rep": reps, "n": sums[0], "k": sums[1], "s": sums[2]})
+            yield pa.RecordBatch.from_pydict({"rep": reps[:, 0], "n": sums[:, 0], "k": sums[:, 1], "s": sums[:, 2]})
 
     per = (
-        cells.mapInArrow(draw, "rep long, n double, k double, s double").groupBy("rep")
+        base.mapInArrow(draw, "rep long, n double, k double, s double").groupBy("rep")
         .agg(*[F.sum(c).alias(c) for c in ("n", "k", "s")])
         .where("n > 0")
         .select((F.col("k") / F.col("n")).alias("wr"), (F.col("s") / F.col("n")).alias("br"))
