@@ -86,3 +86,23 @@ def test_exit_progress_rounds_alike_at_halves(spark):
     price, st, tg = (i % 9000 + 6000) / F.lit(100.0), 80.0 + i % 15, 105.0 + i % 20
     p = F.round(F.round((price - st) / (tg - st), 3) * 1000).cast("bigint")
     assert [tuple(r) for r in spark.range(200000).groupBy(p.alias("p")).count().orderBy("p").collect()] == want
+
+
+def test_long_extremes_from_short_ones(spark):
+    rows = [("ab"[i % 2], D0 + dt.timedelta(days=i), None if i % 41 == 3 else float((i * 7919) % 1009), 1) for i in range(700)]
+    b = spark.createDataFrame(rows, "ticker string, date date, close double, volume bigint")
+    w = fw.series_window()
+    for n in (17, 32, 100, 252):
+        f = w.rowsBetween(1 - n, 0)
+        hi, lo = fw.extremes(w, "_x", n)
+        d = fw.short_extremes(b, w, F.col("close"), "_x").select(hi.alias("h"), lo.alias("l"), F.max("close").over(f).alias("hh"), F.min("close").over(f).alias("ll"))
+        assert d.where("NOT h <=> hh OR NOT l <=> ll").count() == 0
+
+
+def test_tasks_of_series_follow_the_rows(spark, monkeypatch):
+    from tidemark.bindings import views
+
+    few = views.Views(spark, SF).bars.rdd.getNumPartitions()
+    monkeypatch.setattr(views, "TASK_LINES", 100)
+    v = views.Views(spark, SF)
+    assert few <= 8 < v.n_lines // 100 and v.bars.rdd.getNumPartitions() == v.n_lines // 100

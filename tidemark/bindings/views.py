@@ -19,6 +19,7 @@ PHRASES = (
     "q3 outlook, price target", "", "ceo resign",
 )
 HEADLINES = 10_000_000  # numbers per document
+TASK_LINES = 300_000  # of lineitem to a task that sorts series
 LINE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
@@ -54,8 +55,10 @@ class Views:
     @cached_property
     def bars(self) -> DataFrame:
         order = F.struct(*LINE_ORDER)
+        # dealt by ticker, in tasks whose number follows the rows: bars and every series over them need this one exchange
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.n_lines // TASK_LINES)
         return (
-            self.lines.groupBy(F.col("l_suppkey").alias("ticker"), "date")
+            self.lines.repartition(parts, "l_suppkey").groupBy(F.col("l_suppkey").alias("ticker"), "date")
             .agg(
                 F.min_by("px", order).alias("open"),
                 F.max("px").alias("high"),
@@ -66,6 +69,10 @@ class Views:
             .withColumn("market", F.when(F.col("ticker") % 2 == 0, "US").otherwise("KR"))
         )
 
+    @cached_property
+    def n_lines(self) -> int:
+        return self.table("lineitem").count()
+
     @cached_property
     def sector_map(self) -> DataFrame:
         return (

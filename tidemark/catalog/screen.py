@@ -210,7 +210,7 @@ def rule_pre_earnings(v):
 def rule_rs_leader(v):
     m = series.rolling_metrics(v.bars, extra=True)
     b = series.rolling_metrics(v.benchmark_bars, ("market",)).select("market", "date", F.col("return_1m").alias("bench_1m"), F.col("return_6m").alias("bench_6m"))
-    j = m.join(b, ["market", "date"], "left")
+    j = m.join(F.broadcast(b), ["market", "date"], "left")  # a row per market and day
     return j.select("ticker", *text("date"), rules.rs_leader(F.col, F.col("bench_1m"), F.col("bench_6m")).alias("score")).where("score IS NOT NULL")
 
 

@@ -98,8 +98,10 @@ def realized_vol(log_ret: Column, w: WindowSpec, n: int = 20) -> Column:
 
 def volume_pattern(volume: Column, w: WindowSpec, vol_ratio: Column) -> Column:
     """Dry-up (15 bars against the 30 before) and pickup: 1.0 both, 0.5 one, else 0."""
-    recent = gated(F.avg, volume, w, 15, -5)
-    older = gated(F.avg, volume, w, 30, -20)
+    return pattern(gated(F.avg, volume, w, 15, -5), gated(F.avg, volume, w, 30, -20), vol_ratio)
+
+
+def pattern(recent: Column, older: Column, vol_ratio: Column) -> Column:
     dry = F.coalesce((older > 0) & (recent < older), F.lit(False))
     pickup = F.coalesce(vol_ratio.between(0.9, 2.0), F.lit(False))
     return F.when(dry & pickup, 1.0).when(dry | pickup, 0.5).otherwise(0.0)
@@ -123,6 +125,19 @@ def frame_sums(df: DataFrame, w: WindowSpec, value: Column, name: str) -> tuple[
     return out, over
 
 
+def short_extremes(df: DataFrame, w: WindowSpec, value: Column, name: str) -> DataFrame:
+    """Adds the maximum and minimum of the last 16 rows, `name`_hi and `name`_lo, of which `extremes` puts longer frames together."""
+    f = _frame(w, -15, 0)
+    return df.withColumns({f"{name}_hi": F.max(value).over(f), f"{name}_lo": F.min(value).over(f)})
+
+
+def extremes(w: WindowSpec, name: str, n: int = 252) -> tuple[Column, Column]:
+    """Maximum and minimum of the last n (more than 16) rows: about n/16 steps a row, not n."""
+    at = [*range(0, n - 16, 16), n - 16]
+    part = lambda c: [F.lag(c, k).over(w) if k else F.col(c) for k in at]
+    return F.greatest(*part(f"{name}_hi")), F.least(*part(f"{name}_lo"))
+
+
 def wilder_averages(
     df: DataFrame, values: dict[str, Column], keys=("ticker",), order="date", index: str = "obs",
     period: int = 14,

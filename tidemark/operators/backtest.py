@@ -56,7 +56,8 @@ def asof_picks(
     m = m.withColumn("sim", first_touch(F.col("close"), F.col("_path"), horizon)).drop("_path")
     b = with_asof(series.rolling_metrics(bench_bars, ("market",)), ["market"], start, end, step)
     b = b.select("market", "asof", F.col("return_1m").alias("bench_1m"), F.col("return_6m").alias("bench_6m"))
-    m = m.join(b, ["market", "asof"], "left").withColumn("earnings_in_days", F.lit(None).cast("int"))
+    # a row per market and as-of date, so the wide side stays where it is
+    m = m.join(F.broadcast(b), ["market", "asof"], "left").withColumn("earnings_in_days", F.lit(None).cast("int"))
     s = screen.setup_scores(m)
     mom = (F.col("n_bars") >= screen.MIN_BARS_MOMENTUM) & (
         (F.col("ret5_pct") >= min_return) | ((F.col("vol_ratio_prior") >= min_volume) & (F.col("ret5_pct") >= 0))

@@ -74,6 +74,12 @@ def rolling_metrics(bars: DataFrame, keys=("ticker",), extra: bool = False) -> D
     w = fw.series_window(keys)
     c, v = F.col("close"), F.col("volume")
     b, closes = fw.frame_sums(rsi(bars, keys), w, fw.whole(c), "_c")
+    if dict(bars.dtypes)["volume"] in ("tinyint", "smallint", "int", "bigint"):
+        b, volumes = fw.frame_sums(b, w, v.cast("bigint"), "_v")
+        volume = lambda n, end=0: volumes(n, end) / n
+    else:
+        volume = lambda n, end=0: fw.gated(F.avg, v, w, n, end)
+    b = fw.short_extremes(b, w, c, "_x")
     cols = {
         "n_bars": F.row_number().over(w),
         **{f"ma{n}": fw.whole_mean(closes(n), n) for n in (20, 50, 200)},
@@ -82,10 +88,11 @@ def rolling_metrics(bars: DataFrame, keys=("ticker",), extra: bool = False) -> D
         "return_3m": fw.trailing_return(c, w, 63),
         "return_6m": fw.trailing_return(c, w, 126),
         "return_1y": fw.trailing_return(c, w, 252),
-        "vol_5d_avg": fw.sma(v, w, 5),
-        "vol_50d_avg": fw.sma(v, w, 50),
+        "vol_5d_avg": volume(5),
+        "vol_50d_avg": volume(50),
     }
-    hi, lo = fw.high_low_distance(c, w)
+    hi, lo = fw.extremes(w, "_x")
+    hi, lo = F.when(hi > 0, (c - hi) / hi), F.when(lo > 0, (c - lo) / lo)
     cols |= {"pct_from_52w_high": hi, "pct_from_52w_low": lo}
     if extra:
         b = b.withColumns({"_r": fw.simple_return(c, w), "_lr": fw.log_return(c, w)})
@@ -93,14 +100,19 @@ def rolling_metrics(bars: DataFrame, keys=("ticker",), extra: bool = False) -> D
             "contraction": fw.contraction_ratio(F.col("_r"), w),
             "realized_vol": fw.realized_vol(F.col("_lr"), w),
             "ret5_pct": fw.pct_return(c, w, 5),
-            "vol_ratio_prior": fw.volume_ratio_prior(v, w),
+            "_base": volume(20, -5), "_recent": volume(15, -5), "_older": volume(30, -20),
         }
     m = b.withColumns(cols).withColumn(
         "vol_ratio", F.when(F.col("vol_50d_avg") != 0, F.col("vol_5d_avg") / F.col("vol_50d_avg"))
     )
     if extra:
-        m = m.withColumn("volume_pattern", fw.volume_pattern(v, w, F.col("vol_ratio"))).drop("_r", "_lr")
-    return m.drop("_c_sum", "_c_count").withColumns(
+        m = m.withColumns(
+            {
+                "vol_ratio_prior": F.coalesce(F.when(F.col("_base") > 0, F.col("vol_5d_avg") / F.col("_base")), F.lit(1.0)),
+                "volume_pattern": fw.pattern(F.col("_recent"), F.col("_older"), F.col("vol_ratio")),
+            }
+        ).drop("_r", "_lr", "_base", "_recent", "_older")
+    return m.drop("_c_sum", "_c_count", "_v_sum", "_v_count", "_x_hi", "_x_lo").withColumns(
         {
             "overextension_level": rules.overextension(F.col("rsi14"), c, F.col("ma20")),
             "cycle_risk_flag": rules.cycle_risk(F.col("return_1y"), F.col("pct_from_52w_high")),
