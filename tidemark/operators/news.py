@@ -11,6 +11,7 @@ from tidemark.functions import text as ft
 from tidemark.session import stable
 
 MIN_PREFIX_WORDS = 5
+SMALL = 100_000  # hashes that every task may hold
 
 
 def _prefix_edges(items: DataFrame, keys: list[str], min_words: int) -> DataFrame:
@@ -217,24 +218,9 @@ def _samples(hits: DataFrame, samples: int) -> DataFrame:
     return lists.select("gram", F.transform("_l", lambda x: x["ticker"]).alias("tickers"), picked.alias("sample_headlines"))
 
 
-def themes(
-    news: DataFrame, order: list[str], sizes: tuple[int, ...] = (2, 3), min_tickers: int = 3,
-    min_articles: int = 2, top: int | None = 8, samples: int = 5,
-) -> DataFrame:
-    """Word n-grams seen at several tickers, without grams contained in a longer equal-ticker gram.
-
-    Grams are counted by a 64-bit hash first, which can only count too many together; the texts of those that reach the
-    thresholds are then counted per ticker and per gram, with map-side sums only. Whether two grams have the same tickers is
-    told by their number and by two 64-bit hashes of the set that do not depend on order, so no gram's tickers are
-    gathered before the top cut; tickers and sample headlines are collected for the grams that are returned.
-    """
-    h = F.trim("headline")
-    article = F.when(F.trim(F.coalesce("url", F.lit(""))) != "", F.trim("url")).otherwise(h)
-    lines = news.where(h != "").select("ticker", h.alias("headline"), article.alias("article"), F.struct(*order).alias("pos"), ft.tokens(h).alias("_t"))
-    grams = lines.select("ticker", F.xxhash64("article").alias("a"), F.explode(_grams(F.col("_t"), sizes)).alias("gram")).withColumn("x", F.xxhash64("gram"))
-    rough = grams.groupBy("x", "ticker").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).groupBy("x").agg(F.count("ticker").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    often = stable(rough.where((F.col("n") >= min_tickers) & ((F.col("lo") != F.col("hi")) | F.lit(min_articles < 2))).select("x"))
-    per = grams.join(often, "x", "left_semi").groupBy("gram", "ticker").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("lo"), F.max("a").alias("hi"))
+def _uncovered(grams: DataFrame, lines: DataFrame, sizes: tuple[int, ...], min_tickers: int, min_articles: int) -> DataFrame:
+    """Grams of `min_tickers` and `min_articles` or more, without those contained in a longer one of the same tickers."""
+    per = grams.groupBy("gram", "ticker").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("lo"), F.max("a").alias("hi"))
     counts = per.groupBy("gram").agg(
         F.count("ticker").alias("n_tickers"), F.sum("n").alias("headline_count"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
         F.bit_xor(F.xxhash64("ticker")).alias("_a"), F.bit_xor(F.xxhash64(F.lit(1), "ticker")).alias("_b"),
@@ -249,8 +235,43 @@ def themes(
     size, same = F.size("keywords"), ["n_tickers", "_a", "_b"]
     inner = [F.when(size > n, ft.ngrams(F.col("keywords"), n)).otherwise(F.array().cast("array<string>")) for n in sizes]
     covered = counts.where(size > min(sizes)).select(*same, F.explode(F.concat(*inner)).alias("gram")).distinct()
-    best = [F.desc("n_tickers"), F.desc("headline_count"), F.desc(size), "gram"]
-    out = counts.join(covered, ["gram", *same], "left_anti").drop("_a", "_b")
+    return counts.join(covered, ["gram", *same], "left_anti").drop("_a", "_b")
+
+
+def themes(
+    news: DataFrame, order: list[str], sizes: tuple[int, ...] = (2, 3), min_tickers: int = 3,
+    min_articles: int = 2, top: int | None = 8, samples: int = 5,
+) -> DataFrame:
+    """Word n-grams seen at several tickers, without grams contained in a longer equal-ticker gram.
+
+    The tickers of a gram are counted by a 64-bit hash first, which can only count too many together: hashes are dealt once,
+    without texts. The best grams stand among those of the most tickers, and a gram can only be contained in one of as many; so
+    the texts are counted for hashes down to a floor, which falls until `top` grams reach it. Whether two grams have the same
+    tickers is told by their number and by two 64-bit hashes of the set that do not depend on order, so no gram's tickers are
+    gathered before the top cut; tickers and sample headlines are collected for the grams that are returned.
+    """
+    h = F.trim("headline")
+    article = F.when(F.trim(F.coalesce("url", F.lit(""))) != "", F.trim("url")).otherwise(h)
+    lines = news.where(h != "").select("ticker", h.alias("headline"), article.alias("article"), F.struct(*order).alias("pos"), ft.tokens(h).alias("_t"))
+    grams = lines.select("ticker", F.xxhash64("article").alias("a"), F.explode(_grams(F.col("_t"), sizes)).alias("gram")).withColumn("x", F.xxhash64("gram"))
+    parts = int(news.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # dealt by the hash alone, so that both steps need one exchange
+    rough = grams.select("x", "ticker").repartition(parts, "x").distinct().groupBy("x").agg(F.count("ticker").alias("n"))
+    rough = stable(rough.where(F.col("n") >= min_tickers))
+    best = [F.desc("n_tickers"), F.desc("headline_count"), F.desc(F.size("keywords")), "gram"]
+    wanted = None if top is None else max(1000, 20 * top)
+    while True:
+        floor = min_tickers
+        if wanted is not None:
+            reach, n = rough.orderBy(F.desc("n")).limit(wanted).agg(F.min("n"), F.count(F.lit(1))).first()
+            floor = reach if n == wanted else min_tickers
+        often = stable(rough.where(F.col("n") >= floor).select("x"))
+        # a set that was counted as small is sent to the tasks, so that the grams stay where they are
+        often = F.broadcast(often) if often.count() <= SMALL else often
+        out = _uncovered(grams.join(often, "x", "left_semi"), lines, sizes, max(floor, min_tickers), min_articles)
+        if floor <= min_tickers or out.limit(top).count() == top:
+            break
+        wanted *= 30
     if top is None:
         hits = lines.select("ticker", "headline", "pos", F.explode(_grams(F.col("_t"), sizes)).alias("gram")).join(out.select("gram"), "gram", "left_semi")
     else:
