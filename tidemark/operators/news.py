@@ -15,29 +15,25 @@ SMALL = 100_000  # hashes that every task may hold
 
 
 def _prefix_edges(items: DataFrame, keys: list[str], min_words: int) -> DataFrame:
-    """Pairs (early, late) of distinct headlines where one is a word-prefix of the other.
+    """Pairs (early, late) of distinct headlines, by `_id`, where one is a word-prefix of the other.
 
     Candidates share their first `min_words` words, and pairs come from an equi-join of each
     headline's own prefixes with the headlines: linear in the words, never all pairs of a group. A prefix
-    is known by a running hash of its words and their places, so a long headline costs no more per word.
+    is known by a running hash of its words and their places, so a long headline costs no more per word; only ids and hashes
+    are dealt with the words, never the headline again.
     """
     head = F.array_join(F.slice("_w", 1, min_words), " ")
     long = items.where(F.size("_w") >= min_words).withColumn("_h", head)
     shared = long.groupBy(*keys, "_h").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
     long = long.join(shared, [*keys, "_h"], "left_semi")
-    running = F.bit_xor("_x").over(Window.partitionBy(*keys, "_n2").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0))
+    running = F.bit_xor("_x").over(Window.partitionBy(*keys, "_i2").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0))
     each = long.where(F.size("_w") > min_words).select(
-        *keys, F.col("_norm").alias("_n2"), F.col("_pos").alias("_p2"), F.size("_w").alias("_n"), F.posexplode("_w").alias("_k", "_one"))
-    prefixes = each.withColumn("_x", F.xxhash64("_one", "_k")).withColumn("_hash", running).withColumn("_k", F.col("_k") + 1)
-    prefixes = prefixes.where((F.col("_k") >= min_words) & (F.col("_k") < F.col("_n"))).select(*keys, "_k", "_hash", "_n2", "_p2")
+        *keys, F.col("_id").alias("_i2"), F.size("_w").alias("_n"), F.posexplode("_w").alias("_k", "_one"))
+    prefixes = each.select(*keys, "_i2", "_n", "_k", F.xxhash64("_one", "_k").alias("_x")).withColumn("_hash", running).withColumn("_k", F.col("_k") + 1)
+    prefixes = prefixes.where((F.col("_k") >= min_words) & (F.col("_k") < F.col("_n"))).select(*keys, "_k", "_hash", "_i2")
     whole = F.aggregate(F.transform("_w", lambda x, i: F.xxhash64(x, i)), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
-    pairs = prefixes.join(long.select(*keys, "_norm", "_pos", F.size("_w").alias("_k"), whole.alias("_hash")), [*keys, "_k", "_hash"])
-    first = F.col("_pos") < F.col("_p2")
-    return pairs.select(
-        *keys,
-        F.when(first, F.col("_norm")).otherwise(F.col("_n2")).alias("early"),
-        F.when(first, F.col("_n2")).otherwise(F.col("_norm")).alias("late"),
-    )
+    pairs = prefixes.join(long.select(*keys, "_id", F.size("_w").alias("_k"), whole.alias("_hash")), [*keys, "_k", "_hash"])
+    return pairs.select(*keys, F.least("_id", "_i2").alias("early"), F.greatest("_id", "_i2").alias("late"))
 
 
 def _greedy_dropped(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -47,12 +43,12 @@ def _greedy_dropped(edges: DataFrame, keys: list[str]) -> DataFrame:
     headline no longer blocks anything. Each round settles every current head of a chain.
     """
     edges = stable(edges)
-    dropped = edges.select(*keys, F.col("late").alias("_norm")).limit(0)
+    dropped = edges.select(*keys, F.col("late").alias("_id")).limit(0)
     while not edges.isEmpty():
         late = edges.select(*keys, F.col("late").alias("early")).distinct()
         kept = edges.select(*keys, "early").distinct().join(late, [*keys, "early"], "left_anti")
         out = stable(edges.join(kept, [*keys, "early"], "left_semi").select(*keys, "late").distinct())
-        dropped = dropped.unionByName(out.withColumnRenamed("late", "_norm"))
+        dropped = dropped.unionByName(out.withColumnRenamed("late", "_id"))
         edges = edges.join(kept, [*keys, "early"], "left_anti")
         edges = edges.join(out, [*keys, "late"], "left_anti")
         edges = stable(edges.join(out.withColumnRenamed("late", "early"), [*keys, "early"], "left_anti"))
@@ -72,10 +68,12 @@ def dedup_headlines(
     payload = [c for c in news.columns if c not in keys]
     first = n.groupBy(*keys, "_norm").agg(F.min(F.struct(pos.alias("_pos"), F.struct(*payload).alias("_row"))).alias("_f"))
     # read several times below, so the distinct headlines are written once instead of recomputed
-    first = stable(first.select(*keys, "_norm", F.col("_f._pos").alias("_pos"), F.col("_f._row").alias("_row")))
-    items = first.select(*keys, "_norm", "_pos", F.split("_norm", " ").alias("_w"))
+    # a headline's id is its place and, should two share a place, a hash of its text
+    ident = F.struct(F.col("_f._pos").alias("pos"), F.xxhash64("_norm").alias("hash"))
+    first = stable(first.select(*keys, "_norm", ident.alias("_id"), F.col("_f._row").alias("_row")))
+    items = first.select(*keys, "_id", F.split("_norm", " ").alias("_w"))
     dropped = _greedy_dropped(_prefix_edges(items, keys, min_words), keys)
-    return first.join(dropped, [*keys, "_norm"], "left_anti").select(*keys, "_row.*")
+    return first.drop("_norm").join(dropped, [*keys, "_id"], "left_anti").select(*keys, "_row.*")
 
 
 def news_signal(news: DataFrame, keys: list[str], order: list[str], asof: Column) -> DataFrame:
