@@ -106,3 +106,23 @@ def test_tasks_of_series_follow_the_rows(spark, monkeypatch):
     monkeypatch.setattr(views, "TASK_LINES", 100)
     v = views.Views(spark, SF)
     assert few <= 8 < v.n_lines // 100 and v.bars.rdd.getNumPartitions() == v.n_lines // 100
+
+
+def test_headlines_are_paired_by_id_not_by_text(spark):
+    from tidemark.operators import news as nw
+
+    rows = [("k", 1, "a b c d e f"), ("k", 2, "a b c d e"), ("k", 3, "a b c d e f g"), ("k", 4, "x y")]
+    df = spark.createDataFrame(rows, "k string, i long, headline string")
+    items = df.select("k", F.struct(F.struct("i").alias("pos"), F.xxhash64("headline").alias("hash")).alias("_id"), F.split("headline", " ").alias("_w"))
+    edges = nw._prefix_edges(items, ["k"], 5)
+    assert all(not t.startswith("string") for c, t in edges.dtypes if c != "k")
+    assert sorted((r.early.pos.i, r.late.pos.i) for r in edges.collect()) == [(1, 2), (1, 3), (2, 3)]
+    assert sorted(r.i for r in nw.dedup_headlines(df, ["k"], ["i"]).collect()) == [1, 4]
+
+
+def test_drift_folds_the_positions_once(spark, monkeypatch):
+    from tidemark.catalog import portfolio
+
+    calls, real = [], portfolio.classes
+    monkeypatch.setattr(portfolio, "classes", lambda v: calls.append(1) or real(v))
+    assert entry.queries()["agg_drift"](spark, SF).count() > 0 and len(calls) == 1

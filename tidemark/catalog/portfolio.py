@@ -9,6 +9,7 @@ from tidemark.operators import outcomes as oc
 from tidemark.operators import paper as pp
 from tidemark.operators import portfolio as pf
 from tidemark.operators import series
+from tidemark.session import stable
 
 KEYS, ORDER = ["portfolio", "ticker"], ["date", "l_orderkey", "l_linenumber", "l_partkey"]
 T = ("transactions",)
@@ -189,10 +190,11 @@ def classes(v):
     return pf.class_values(positions(v), prices(v), cc, ["portfolio"])
 
 
-def targets(v):
+def targets(v, values=None):
+    """Targets of the classes held; `values` takes `classes(v)` where that is there already."""
     from pyspark.sql.window import Window
 
-    c = classes(v).where("asset_class IS NOT NULL")
+    c = (classes(v) if values is None else values).where("asset_class IS NOT NULL")
     n = F.row_number().over(Window.partitionBy("portfolio").orderBy("asset_class"))
     return c.select(
         "portfolio", "asset_class", "value", F.lit(20.0).alias("target"),
@@ -239,7 +241,8 @@ dr AS (SELECT portfolio, coalesce(c.asset_class, t.asset_class) AS asset_class,
 w AS (SELECT *, round(value / sum(value) OVER (PARTITION BY portfolio) * 100 - target, 3) AS drift_pp FROM dr)
 SELECT portfolio, asset_class, drift_pp, CAST(abs(drift_pp) > 5 AS INTEGER) AS breach FROM w""", IV)
 def agg_drift(v):
-    d = pf.drift(classes(v), targets(v).where("asset_class <> 'ASIA'"), ["portfolio"])
+    c = stable(classes(v))  # a few rows a portfolio, read on both sides: the positions are folded once
+    d = pf.drift(c, targets(v, c).where("asset_class <> 'ASIA'"), ["portfolio"])
     return d.select("portfolio", "asset_class", "drift_pp", F.col("breach").cast("int").alias("breach"))
 
 
