@@ -82,3 +82,18 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, k) for k in range(6, 50)] + [(5, 5)]
     got = {r.node: r.root for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(101, 161)}, **{k: 5 for k in range(6, 50)}}
+
+
+def test_components_take_few_rounds_and_earlier_components(spark, monkeypatch):
+    g = np.random.default_rng(3)
+    node = g.permutation(4000).tolist()
+    chain, other = list(zip(node[:1999], node[1:2000], strict=True)), list(zip(node[2000:3999], node[2001:], strict=True))
+    frame = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    real, written = jaccard.saved, []
+    monkeypatch.setattr(jaccard, "saved", lambda df, kind="table": (written.append(kind), real(df, kind))[1])
+    first = jaccard.components(frame(chain + other))
+    assert {r.node: r.root for r in first.collect()} == {x: min(part) for part in (node[:2000], node[2000:]) for x in part if x != min(part)}
+    assert len(written) <= 4  # a chain of n nodes took about log2(n) rounds
+    joined = jaccard.components(frame([(node[5], node[2005])]), first)
+    assert {r.node: r.root for r in joined.collect()} == {x: 0 for x in node if x}
+    assert jaccard.components(frame([]), first).count() == 3998 and jaccard.components(frame([])).count() == 0

@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,8 +113,9 @@ def _levels(counts: DataFrame) -> np.ndarray:
         return pd.DataFrame({"chunk": b["chunk"].iloc[:1], "level": [np.minimum(4 * np.log2(total + 1.0), 255).astype(np.uint8).tobytes()]})
 
     out = np.zeros(CELLS, np.uint8)
-    for r in counts.groupBy("chunk").applyInPandas(add, "chunk int, level binary").collect():
-        out[r.chunk * CHUNK:(r.chunk + 1) * CHUNK] = np.frombuffer(r.level, np.uint8)
+    got = counts.groupBy("chunk").applyInPandas(add, "chunk int, level binary").toArrow()
+    for chunk, level in zip(got["chunk"].to_pylist(), got["level"], strict=True):
+        out[chunk * CHUNK:(chunk + 1) * CHUNK] = np.frombuffer(level.as_buffer(), np.uint8)
     return out
 
 
@@ -132,8 +134,8 @@ def _prefixes(rows: DataFrame, levels, width: int, percent: int) -> DataFrame:
     return rows.mapInArrow(part, "token long, c long, n long, pos long")
 
 
-def _whole_sets(rows: DataFrame, wanted: np.ndarray, width: int) -> DataFrame:
-    """c and the sorted shingles of the classes that a bitmap of fixed size lets through."""
+def _whole_sets(rows: DataFrame, wanted: np.ndarray, width: int) -> tuple[DataFrame, Broadcast]:
+    """c and the sorted shingles of the classes that a bitmap of fixed size lets through; and the broadcast bitmap."""
     bits = rows.sparkSession.sparkContext.broadcast(wanted)
 
     def part(batches):
@@ -149,7 +151,7 @@ def _whole_sets(rows: DataFrame, wanted: np.ndarray, width: int) -> DataFrame:
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"c": c[some], "s": pa.array([h[ends[i] - n[i]:ends[i]].tobytes() for i in some], pa.binary())})
 
-    return rows.mapInArrow(part, "c long, s binary")
+    return rows.mapInArrow(part, "c long, s binary"), bits
 
 
 def _bitmap(classes: DataFrame) -> np.ndarray:
@@ -164,8 +166,8 @@ def _bitmap(classes: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"cell": cell, "b": out[cell].view(np.int64)})
 
     out = np.zeros(FILTER_BITS // 64, np.uint64)
-    got = classes.mapInArrow(part, "cell long, b long").groupBy("cell").agg(F.bit_or("b").alias("b")).toPandas()
-    out[got["cell"].to_numpy(dtype=np.int64)] = got["b"].to_numpy(dtype=np.int64).view(np.uint64)
+    got = classes.mapInArrow(part, "cell long, b long").groupBy("cell").agg(F.bit_or("b").alias("b")).toArrow()
+    out[got["cell"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
     return out
 
 
@@ -173,7 +175,9 @@ def _verify(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> Data
     """The pairs (a, b) that link, on whole sets."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     # One set per class; copies of a class carry equal sets.
-    sets = saved(_whole_sets(rows, _bitmap(ends), width).join(ends, "c", "left_semi").dropDuplicates(["c"]), "sets")
+    sets, bits = _whole_sets(rows, _bitmap(ends), width)
+    sets = saved(sets.join(ends, "c", "left_semi").dropDuplicates(["c"]), "sets")
+    bits.destroy()
     both = pairs.join(sets.withColumnsRenamed({"c": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"c": "b", "s": "sb"}), "b")
 
     def part(batches):
@@ -188,22 +192,62 @@ def _verify(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> Data
     return both.mapInArrow(part, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and root (the component's smallest node) from edges (a, b): large and small stars in turn."""
-    e = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
-    state = lambda t: tuple(t.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-    last = state(e)
-    while last[0]:
+def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of these edges that are not the smallest of their component, and that smallest node."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, root = at[:len(u)], at[len(u):], np.arange(len(ids))
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (root != (up := root[root])).any():
+            root = up
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    own = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[own], ids[root[own]]
+
+
+def _contracted(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Edges (u, v) that join the same nodes: those of a task, in pieces of about `most`, as stars around their smallest nodes."""
+
+    def part(batches):
+        held, n = [], 0
+
+        def stars():
+            u, v = _stars(*(np.concatenate([b[k].to_numpy(zero_copy_only=False) for b in held]) for k in ("u", "v")))
+            return pa.RecordBatch.from_pydict({"u": u, "v": v})
+
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= most:
+                yield stars()
+                held, n = [], 0
+        if n:
+            yield stars()
+
+    return edges.mapInArrow(part, "u long, v long")
+
+
+def _settled(e: DataFrame) -> bool:
+    """Whether the edges are stars: every node above one other at most, and then under none."""
+    ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("s"))
+    return ends.groupBy("s.x").agg(F.sum("s.up").alias("up"), F.max("s.down").alias("down")).filter("up > 1 or up = 1 and down = 1").isEmpty()
+
+
+def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """node and root (the component's smallest node) from edges (a, b) and the components of earlier edges: large and small
+    stars in turn, after each of which the edges of a task are contracted, until all edges are stars."""
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    e = saved(_contracted((e.union(known.select("node", "root")) if known is not None else e).filter("u > v").distinct()), "edges")
+    while not _settled(e):
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = saved(small.filter("u > v").distinct(), "edges")
-        now = state(e)
-        if now == last:
-            break
-        last = now
+        e = saved(_contracted(small.filter("u > v").distinct()), "edges")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -273,12 +317,12 @@ def _rooted(live: DataFrame, roots: DataFrame) -> DataFrame:
     return live.drop("root").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
 
 
-def _more_hubs(live: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def _more_hubs(live: DataFrame, percent: int) -> DataFrame:
     """Pairs of a frequent shingle's classes with HUBS of them that are not linked yet and that length and position allow.
 
     Classes stand in one hashed order for all shingles, so that shingles of one group mostly choose the same hubs.
     """
-    hot = live.join(sizes.filter(f"g > {HOT}").select("token"), "token")
+    hot = live.filter(f"g > {HOT}")
     order = F.xxhash64("c", F.lit("hub"))
     hubs = hot.groupBy("token", F.pmod(order, F.lit(HUBS)).alias("k")).agg(F.min(F.struct(order.alias("o"), "c", "n", "pos", "root")).alias("h"))
     both = hot.join(hubs.select("token", F.col("h.c").alias("hub"), F.col("h.n").alias("hn"), F.col("h.pos").alias("hpos"), F.col("h.root").alias("hroot")), "token")
@@ -287,9 +331,9 @@ def _more_hubs(live: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return both.select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct()
 
 
-def _hot_pairs(live: DataFrame, sizes: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+def _hot_pairs(live: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     """Pairs from shingles of more than HOT classes, block by block."""
-    hot = live.join(sizes.filter(f"g > {HOT}"), "token")
+    hot = live.filter(f"g > {HOT}")
     own = hot.groupBy("c").agg(F.collect_list("token").alias("hot"))  # within one text's prefix
     blocks = F.ceil(F.col("g") / BLOCK)
     cut = hot.join(own, "c").join(info.select("c", "parts"), "c").withColumn("block", F.pmod(F.xxhash64("c"), blocks))
@@ -321,29 +365,34 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     info = saved(members.filter("n > 0").select("c", "n", "parts").dropDuplicates(["c"]), "classes")
     levels = docs.sparkSession.sparkContext.broadcast(_levels(first.filter("chunk is not null").select("chunk", "counts")))
     prefix = saved(_prefixes(rows, levels, width, percent), "prefixes")
+    levels.destroy()
     # Copies repeat the rows of their class; a token of one class alone makes no pair.
     sizes = saved(prefix.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("token"), "tokens")
     live = saved(prefix.join(sizes, "token", "left_semi").dropDuplicates(["token", "c"]), "live")
     hubs = live.groupBy("token").agg(F.count("*").alias("g"), F.min(F.struct("n", "c", "pos")).alias("h"))
     hubs = saved(hubs.select("token", "g", F.col("h.n").alias("hn"), F.col("h.c").alias("hub"), F.col("h.pos").alias("hpos")), "hubs")
-    star = live.join(hubs, "token").filter(
+    # Written with their hub and number of classes, so that no later step joins them again.
+    live = saved(live.join(hubs, "token"), "live")
+    star = live.filter(
         f"c <> hub and {OF} * hn >= {percent} * n and least(pos, hpos) + 1 + least(n - pos - 1, hn - hpos - 1) >= {_alpha('n', 'hn', percent)}")
-    star = star.select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct()
+    star = saved(star.select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct(), "star")
     near = saved(_verify(saved(_suffix(star, info, percent), "pairs"), rows, width, percent), "links")
-    live = saved(_rooted(live, components(near)), "rooted")
-    more = saved(_suffix(_more_hubs(live, hubs.select("token", "g"), percent).join(star, ["a", "b"], "left_anti"), info, percent), "more")
-    near = near.union(saved(_verify(more, rows, width, percent), "links"))
-    live = saved(_rooted(live, components(near)), "rooted")
-    few = live.join(hubs.filter(f"g <= {HOT}").select("token"), "token")
+    roots = components(near)
+    live = saved(_rooted(live.drop("hub", "hn", "hpos"), roots), "rooted")
+    more = saved(_suffix(_more_hubs(live, percent).join(star, ["a", "b"], "left_anti"), info, percent), "more")
+    near = saved(_verify(more, rows, width, percent), "links")
+    roots = components(near, roots)
+    live = saved(_rooted(live, roots), "rooted")
+    few = live.filter(f"g <= {HOT}")
     other = few.select("token", *[F.col(k).alias(f"{k}2") for k in ("c", "n", "pos", "root")])
     pairs = few.join(other, "token").filter(
         f"c < c2 and root <> root2 and {OF} * least(n, n2) >= {percent} * greatest(n, n2) "
         f"and least(pos, pos2) + 1 + least(n - pos - 1, n2 - pos2 - 1) >= {_alpha('n', 'n2', percent)}")
     pairs = _suffix(pairs.select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct(), info, percent)
-    hot = _hot_pairs(live, hubs.select("token", "g"), info, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    hot = _hot_pairs(live, info, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = saved(pairs.union(hot).distinct().join(star.union(more), ["a", "b"], "left_anti"), "pairs")
     far = saved(_verify(rest, rows, width, percent), "links")
-    roots = components(near.union(far))
+    roots = components(far, roots)
     top = members.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "c")).otherwise(F.col("row")))
     # Written first, so that the join can be split where a component is very large.
     least = saved(top.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
