@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 
@@ -14,6 +16,17 @@ def beside(held: DataFrame, streamed: DataFrame, keys: list[str], order: list[st
     return held.unionByName(streamed).repartition(n, *keys).sortWithinPartitions(*keys, "side", *order)
 
 
+def _cuts(columns: list[pa.Array], n: int) -> list[int]:
+    """Where rows differ from the row before in any of the columns (nulls are equal), and both ends."""
+    new = np.ones(n, bool)
+    if n > 1:
+        new[1:] = False
+        for c in columns:
+            c = pc.dictionary_encode(c, null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            new[1:] |= c[1:] != c[:-1]
+    return [*np.flatnonzero(new).tolist(), n]
+
+
 def stream_past(
     batches: Iterator[pa.RecordBatch], keys: list[str], hold: Callable[[tuple, list[pa.RecordBatch]], object],
     meet: Callable[[object, pa.RecordBatch], pa.RecordBatch | None], done: Callable[[object], pa.RecordBatch | None] | None = None, step: int = 10_000,
@@ -24,16 +37,14 @@ def stream_past(
     """
     group, held, state = None, [], None
     for b in batches:
-        names = list(zip(*[b[c].to_pylist() for c in [*keys, "side"]], strict=True))
-        cut = [0, *[i for i in range(1, len(b)) if names[i] != names[i - 1]], len(b)]
+        cut = _cuts([b[c] for c in [*keys, "side"]], len(b))
         for a, z in zip(cut[:-1], cut[1:], strict=True):
-            if a == z:
-                continue
-            if names[a][:-1] != group:
+            *name, side = (b[c][a].as_py() for c in [*keys, "side"])
+            if tuple(name) != group:
                 if state is not None and done is not None and (out := done(state)) is not None:
                     yield out
-                group, held, state = names[a][:-1], [], None
-            if names[a][-1] == 0:
+                group, held, state = tuple(name), [], None
+            if side == 0:
                 held.append(b.slice(a, z - a))
             elif held:
                 if state is None:

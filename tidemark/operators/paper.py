@@ -45,21 +45,23 @@ def fresh_target(target: Column, price: Column) -> Column:
     return F.when(target > price, target)
 
 
-def exit_signals(lots: DataFrame, day_bars: DataFrame, salts: int = 8) -> DataFrame:
+def exit_signals(lots: DataFrame, day_bars: DataFrame, share: int = 100_000) -> DataFrame:
     """First closing day, reason and fill per open lot after its entry: stop, then target, then horizon.
 
     `lots` has a unique id and entry_date; a lot that no bar closes has no row. A ticker has a bar a day at most, so its
-    bars are held while its lots, dealt to `salts` tasks, stream past; a lot finds its bar by block minima and maxima in
-    steps that grow with the logarithm of the bars, and one row a lot leaves. A missing low or high reaches no level.
+    bars are held while its lots stream past; they are copied once for every `share` lots of the ticker, which are dealt
+    to the copies. A lot finds its bar by block minima and maxima in steps that grow with the logarithm of the bars, and
+    one row a lot leaves. A missing low or high reaches no level; a missing ticker has no bars.
     """
     none = lambda **kinds: [F.lit(None).cast(k).alias(n) for n, k in kinds.items()]
     day = lambda c: F.unix_date(F.col(c).cast("date"))
     types = dict(lots.dtypes)
-    bars = day_bars.select(
-        "ticker", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("side"), day("date").alias("day"), "low", "high", "close",
+    copies = lots.where("ticker IS NOT NULL AND entry_date IS NOT NULL").groupBy("ticker").agg(F.ceil(F.count("*") / share).cast("int").alias("copies"))
+    bars = day_bars.join(copies, "ticker").select(
+        "ticker", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("side"), day("date").alias("day"), "low", "high", "close",
         *none(id=types["id"], stop="double", target="double", horizon="int")).where("day IS NOT NULL")
-    asked = lots.select(
-        "ticker", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("side"), day("entry_date").alias("day"), *none(low="double", high="double", close="double"),
+    asked = lots.join(copies, "ticker").select(
+        "ticker", F.pmod(F.xxhash64("id"), F.col("copies")).cast("int").alias("salt"), F.lit(1).alias("side"), day("entry_date").alias("day"), *none(low="double", high="double", close="double"),
         "id", F.col("stop_price").cast("double").alias("stop"), F.col("target_price").cast("double").alias("target"), day("horizon_end").alias("horizon")).where("day IS NOT NULL")
     column = lambda t, c, null: t[c].to_pandas().fillna(null).to_numpy()
 
