@@ -125,3 +125,14 @@ def test_empty_tables(spark):
     assert lm.op10_query(docs.limit(0)).count() == 0
     held = docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 7 = 2")
     assert all(r.base_score == 0 and r.train_tokens == 0 for r in lm.op10_query(held).collect())
+
+
+@pytest.mark.parametrize("most", [50, 1 << 16, 1 << 20])
+def test_sums_by_key(most):
+    g = np.random.default_rng(most)
+    key, rows = g.integers(0, most, 400), g.normal(size=(400, 3))
+    want = {k: (int((key == k).sum()), rows[key == k].sum(0)) for k in set(key.tolist())}
+    got_key, n, sums = lm._sums(key, rows)
+    assert got_key.tolist() == sorted(want) and n.tolist() == [want[k][0] for k in sorted(want)]
+    assert np.allclose(sums, [want[k][1] for k in sorted(want)])
+    assert all(len(x) == 0 for x in lm._sums(key[:0], rows[:0]))

@@ -112,23 +112,23 @@ def log_probs(m: Model, ids: np.ndarray, lengths: np.ndarray, chunk: int = 512)
         inside = pos < lengths[d][:, None]
         flat = base[d][:, None] + np.minimum(pos, lengths[d][:, None] - 1)
         x = given[flat]
-        s = np.matmul(m.q[x] + m.pos_q, (m.k[x] + m.pos_k).transpose(0, 2, 1))
+        s = np.matmul(_rows(m.q, x) + m.pos_q, (_rows(m.k, x) + m.pos_k).transpose(0, 2, 1))
         np.clip(s, LEAST, MOST, out=s)
         np.exp(s, out=s)
         s *= PAST
-        h = np.matmul(s, v[x] + pos_v)
+        h = np.matmul(s, _rows(v, x) + pos_v)
         own, p = np.nonzero(inside & (at >= skip[a:a + chunk, None]))
         h = h[own, p]
         h = (h[:, :-1] / h[:, -1:]) @ m.mix
-        h += m.direct[x[own, p]]
-        h += m.pos_direct[p]
+        h += _rows(m.direct, x[own, p])
+        h += _rows(m.pos_direct, p)
         logit = h @ m.out + m.bias
         np.clip(logit, LEAST, MOST, out=logit)
         y = ids[flat[own, p]]
         c = m.of[y]
         lp = logit[np.arange(len(c)), c].astype(np.float64)
         own_of, node, side = steps(m.tree, y)
-        lp -= np.bincount(own_of, np.log1p(np.exp(-side * node_logits(m.nodes, node, h[own_of]))), minlength=len(c))
+        lp -= np.bincount(own_of, np.log1p(np.exp(-side * node_logits(m.nodes, node, _rows(h, own_of)))), minlength=len(c))
         lp -= np.log(np.exp(logit, out=logit) @ ones)
         out += np.bincount(d[own], lp, minlength=len(out))
     return out
@@ -175,7 +175,7 @@ def steps(tree: Tree, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def node_logits(nodes: np.ndarray, node: np.ndarray, h: np.ndarray) -> np.ndarray:
-    w = nodes[node]
+    w = _rows(nodes, node)
     return np.clip(np.einsum("ij,ij->i", h, w[:, :-1]) + w[:, -1], LEAST, MOST)
 
 
@@ -193,12 +193,20 @@ def start(counts: np.ndarray, tree: Tree, seed: int = 5) -> dict[str, np.ndarray
 SPARSE = ("E", "T")
 
 
+def _rows(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows of a table; the places are known to lie inside."""
+    return np.take(table, at, axis=0, mode="clip")
+
+
 def _sums(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, how often each occurs, and the sums of their rows."""
-    order = np.argsort(key, kind="stable")
+    if not len(key):
+        return key, key, rows
+    # Short keys are sorted by radix.
+    order = np.argsort(key.astype(np.uint16) if key.max() < 1 << 16 else key, kind="stable")
     key = key[order]
-    first = np.flatnonzero(np.diff(key, prepend=-1))
-    return key[first], np.diff(np.append(first, len(key))), np.add.reduceat(rows[order], first) if len(first) else rows[:0]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.diff(np.append(first, len(key))), np.add.reduceat(_rows(rows, order), first)
 
 
 class Learner:
@@ -231,16 +239,17 @@ class Learner:
 
     def _step(self, x: np.ndarray, y: np.ndarray, inside: np.ndarray) -> None:
         p, scale, rows = self.p, np.float32(HEAD ** -0.5), lambda m: m.reshape(-1, m.shape[-1])
-        e = p["E"][x] + p["P"]
-        q, k, v = e @ p["Q"], e @ p["K"], e @ p["V"]
+        e = _rows(p["E"], x) + p["P"]
+        by = lambda m, w: (rows(m) @ w).reshape(*m.shape[:-1], w.shape[1])  # noqa: E731  one product, not one a window
+        q, k, v = by(e, p["Q"]), by(e, p["K"]), by(e, p["V"])
         s = np.matmul(q * scale, k.transpose(0, 2, 1))
         np.clip(s, LEAST, MOST, out=s)
         np.exp(s, out=s)
         s *= PAST
-        s /= (s @ np.ones(WINDOW, np.float32))[..., None]
+        s /= by(s, np.ones((WINDOW, 1), np.float32))
         o = np.matmul(s, v)
         own = np.flatnonzero(inside.reshape(-1))
-        h, y, share = rows(e + o @ p["O"])[own], y.reshape(-1)[own], np.float32(1 / len(own))
+        h, y, share = _rows(rows(e + by(o, p["O"])), own), y.reshape(-1)[own], np.float32(1 / len(own))
         z = h @ p["U"] + p["b"]
         np.clip(z, LEAST, MOST, out=z)
         np.exp(z, out=z)
@@ -248,22 +257,23 @@ class Learner:
         z[np.arange(len(y)), self.tree.of[y]] -= 1
         z *= share
         of, node, side = steps(self.tree, y)
-        above = h[of]
+        above = _rows(h, of)
         d = (-side * share / (1 + np.exp(side * node_logits(p["T"], node, above)))).astype(np.float32)
         back = z @ p["U"].T
         if len(of):
-            some = np.flatnonzero(np.diff(of, prepend=-1))
-            back[of[some]] += np.add.reduceat(d[:, None] * p["T"][node, :-1], some)
+            down = _rows(p["T"], node)[:, :-1] * d[:, None]
+            cell = (of * WIDTH)[:, None] + np.arange(WIDTH)
+            back += np.bincount(cell.reshape(-1), down.reshape(-1), back.size).reshape(back.shape)
         dh = np.zeros((x.size, WIDTH), np.float32)
         dh[own] = back
         dh = dh.reshape(*x.shape, WIDTH)
-        do = dh @ p["O"].T
+        do = by(dh, p["O"].T)
         ds = np.matmul(do, v.transpose(0, 2, 1))
         ds -= np.einsum("bij,bij->bi", ds, s)[..., None]
         ds *= s
         ds *= scale
         dq, dk, dv = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(s.transpose(0, 2, 1), do)
-        de = dh + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
+        de = dh + by(dq, p["Q"].T) + by(dk, p["K"].T) + by(dv, p["V"].T)
         grad = {"U": h.T @ z, "b": z.sum(0), "O": rows(o).T @ rows(dh), "Q": rows(e).T @ rows(dq), "K": rows(e).T @ rows(dk), "V": rows(e).T @ rows(dv), "P": de.sum(0)}
         at = {}
         for name, key, g in (("E", x.reshape(-1), rows(de)), ("T", node, np.hstack([d[:, None] * above, d[:, None]]))):
@@ -272,11 +282,12 @@ class Learner:
         self.t += 1
         for name, g in grad.items():
             i = at.get(name, slice(None))
+            of_rows = _rows if name in SPARSE else lambda table, _: table
             if name not in SPARSE:
                 self.used[name] += len(x)
-            mean = self.mean[name][i] = 0.9 * self.mean[name][i] + 0.1 * g
-            var = self.var[name][i] = 0.99 * self.var[name][i] + 0.01 * g * g
-            p[name][i] -= self.rate * (mean / (1 - 0.9 ** self.t)) / (np.sqrt(var / (1 - 0.99 ** self.t)) + 1e-6)
+            mean = self.mean[name][i] = 0.9 * of_rows(self.mean[name], i) + 0.1 * g
+            var = self.var[name][i] = 0.99 * of_rows(self.var[name], i) + 0.01 * g * g
+            p[name][i] = of_rows(p[name], i) - self.rate * (mean / (1 - 0.9 ** self.t)) / (np.sqrt(var / (1 - 0.99 ** self.t)) + 1e-6)
 
 
 def model_of(p: dict[str, np.ndarray], tree: Tree) -> Model:
