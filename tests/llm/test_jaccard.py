@@ -97,3 +97,12 @@ def test_components_take_few_rounds_and_earlier_components(spark, monkeypatch):
     joined = jaccard.components(frame([(node[5], node[2005])]), first)
     assert {r.node: r.root for r in joined.collect()} == {x: 0 for x in node if x}
     assert jaccard.components(frame([]), first).count() == 3998 and jaccard.components(frame([])).count() == 0
+
+
+def test_prefixes_are_deleted_once_read(spark, monkeypatch):
+    real, written = jaccard.saved, []
+    monkeypatch.setattr(jaccard, "saved", lambda df, kind="table": (written.append((kind, real(df, kind))), written[-1][1])[1])
+    out = jaccard.op4_query(documents(spark))
+    left = {k: sum(spark._jvm.java.io.File(f.removeprefix("file:")).exists() for k2, t in written if k2 == k for f in t.inputFiles()) for k in {k for k, _ in written}}
+    assert not any(left[k] for k in ("prefixes", "tokens", "live", "hubs", "rooted", "star", "more", "pairs", "sets", "classes"))
+    assert out.count() == documents(spark).count()

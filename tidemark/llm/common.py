@@ -77,6 +77,13 @@ def saved(df: DataFrame, kind: str = "table") -> DataFrame:
     return kept(df, path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that `saved` wrote and that neither a later step nor a result reads."""
+    for t in tables:
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            delete(t.sparkSession, path)
+
+
 def kept(df: DataFrame, path: str) -> DataFrame:
     """`df` written to `path` as Parquet and read back; no `scratch` deletes it."""
     df.write.parquet(path)

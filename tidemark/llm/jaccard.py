@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_ascii, saved, words
+from tidemark.llm.common import dropped, lower_ascii, saved, words
 
 CELLS = 1 << 24  # of the rarity count: 16 MB when broadcast
 CHUNK = 1 << 16
@@ -172,7 +172,7 @@ def _bitmap(classes: DataFrame) -> np.ndarray:
 
 
 def _verify(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, on whole sets."""
+    """The pairs (a, b) that link, on whole sets; written."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     # One set per class; copies of a class carry equal sets.
     sets, bits = _whole_sets(rows, _bitmap(ends), width)
@@ -189,7 +189,9 @@ def _verify(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> Data
                 ok.append(OF * same >= percent * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_pydict({"a": t["a"], "b": t["b"]}).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(part, "a long, b long")
+    links = saved(both.mapInArrow(part, "a long, b long"), "links")
+    dropped(sets)
+    return links
 
 
 def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -369,20 +371,25 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Copies repeat the rows of their class; a token of one class alone makes no pair.
     sizes = saved(prefix.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("token"), "tokens")
     live = saved(prefix.join(sizes, "token", "left_semi").dropDuplicates(["token", "c"]), "live")
+    dropped(prefix, sizes)
     hubs = live.groupBy("token").agg(F.count("*").alias("g"), F.min(F.struct("n", "c", "pos")).alias("h"))
     hubs = saved(hubs.select("token", "g", F.col("h.n").alias("hn"), F.col("h.c").alias("hub"), F.col("h.pos").alias("hpos")), "hubs")
     # Written with their hub and number of classes, so that no later step joins them again.
-    live = saved(live.join(hubs, "token"), "live")
+    alone, live = live, saved(live.join(hubs, "token"), "live")
+    dropped(alone, hubs)
     star = live.filter(
         f"c <> hub and {OF} * hn >= {percent} * n and least(pos, hpos) + 1 + least(n - pos - 1, hn - hpos - 1) >= {_alpha('n', 'hn', percent)}")
     star = saved(star.select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct(), "star")
-    near = saved(_verify(saved(_suffix(star, info, percent), "pairs"), rows, width, percent), "links")
+    begun = saved(_suffix(star, info, percent), "pairs")
+    near = _verify(begun, rows, width, percent)
     roots = components(near)
-    live = saved(_rooted(live.drop("hub", "hn", "hpos"), roots), "rooted")
+    hubbed, live = live, saved(_rooted(live.drop("hub", "hn", "hpos"), roots), "rooted")
+    dropped(hubbed)
     more = saved(_suffix(_more_hubs(live, percent).join(star, ["a", "b"], "left_anti"), info, percent), "more")
-    near = saved(_verify(more, rows, width, percent), "links")
+    near = _verify(more, rows, width, percent)
     roots = components(near, roots)
-    live = saved(_rooted(live, roots), "rooted")
+    first_rooted, live = live, saved(_rooted(live, roots), "rooted")
+    dropped(first_rooted)
     few = live.filter(f"g <= {HOT}")
     other = few.select("token", *[F.col(k).alias(f"{k}2") for k in ("c", "n", "pos", "root")])
     pairs = few.join(other, "token").filter(
@@ -391,7 +398,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = _suffix(pairs.select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct(), info, percent)
     hot = _hot_pairs(live, info, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = saved(pairs.union(hot).distinct().join(star.union(more), ["a", "b"], "left_anti"), "pairs")
-    far = saved(_verify(rest, rows, width, percent), "links")
+    far = _verify(rest, rows, width, percent)
+    dropped(live, star, begun, more, rest, info)
     roots = components(far, roots)
     top = members.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "c")).otherwise(F.col("row")))
     # Written first, so that the join can be split where a component is very large.
