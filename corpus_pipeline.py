@@ -4,7 +4,8 @@ Every stage takes the documents that its predecessor kept and returns a DataFram
 reads again. Rows are told apart by a number of their own, not by doc_id, so that documents without an id or with the
 id of another pass through like any other. A null text counts as an empty one; columns that no stage reads, whatever their
 names, pass through, and an empty table gives an empty one. `run` writes the number with a stage's output, so that all scans of it agree;
-a stage that gets documents without it writes them with it first.
+a stage that gets documents without it writes them with it first. Of what a stage writes on its way, only these rows and its verdicts
+by their number stay for its result to read.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.classifier import score_quality
-from tidemark.llm.common import delete, kept, saved, scratch, shared_folder, table
+from tidemark.llm.common import delete, kept, saved, scratch, settled, shared_folder, table
 from tidemark.llm.decontaminate import find_leaks
 from tidemark.llm.jaccard import link_components
 from tidemark.llm.mixing import document_sizes, taken_words
@@ -33,8 +34,9 @@ def _held(docs: DataFrame) -> tuple[DataFrame, list]:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """The documents with a number per row that was written with them: one made in a scan changes with the scan."""
-    return docs if ROW in docs.columns else saved(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    """The documents with a number per row that was written with them: one made in a scan changes with the scan. As whole
+    texts lie there until the stage's result is read, they are packed more tightly than other scratch."""
+    return docs if ROW in docs.columns else saved(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered", "zstd")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +50,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of every group of near duplicates (shingles of five words, similarity of 0.8 or more), that with
     the smallest doc_id (null ids last, then the smallest row number); documents without words all stay."""
     rows = _numbered(docs)
-    linked = link_components(rows, width=5, percent=80, row_col=ROW)
-    first = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("m")).select(F.col("m.row").alias(ROW))
+
+    def first_rows() -> DataFrame:
+        linked = link_components(rows, width=5, percent=80, row_col=ROW)
+        return linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("m")).select(F.col("m.row").alias(ROW))
+
+    first = settled(spark, first_rows, "first")
     return rows.join(first, ROW, "left_semi").select(*docs.columns)
 
 
@@ -57,7 +63,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that overlap with no benchmark item of five words or more: fewer stand in clean texts by chance.
     Texts without words never overlap."""
     rows = _numbered(docs)
-    leaks = find_leaks(rows, table(spark, sf_dir, "benchmark"), id_col=ROW, least=5).select(F.col("doc_id").alias(ROW)).distinct()
+    leaks = settled(spark, lambda: find_leaks(rows, table(spark, sf_dir, "benchmark"), id_col=ROW, least=5).select(F.col("doc_id").alias(ROW)).distinct(), "leaks")
     return rows.join(leaks, ROW, "left_anti").select(*docs.columns)
 
 
@@ -78,7 +84,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Columns of the documents that have one of these names are kept as given_<name>. A null source is a source.
     """
     rows = _numbered(docs)
-    taken = taken_words(document_sizes(rows, row_col=ROW)).select(F.col("row").alias(ROW), *MIXED)
+    taken = settled(spark, lambda: taken_words(document_sizes(rows, row_col=ROW)).select(F.col("row").alias(ROW), *MIXED), "taken")
     own = [F.col(f"`{c}`").alias(f"given_{c}" if c in MIXED else c) for c in docs.columns if c != ROW]
     return rows.select(ROW, *own).join(taken, ROW).drop(ROW)
 

@@ -119,3 +119,16 @@ def test_run_leaves_only_its_result_in_the_shared_folder(spark, monkeypatch, tmp
     monkeypatch.setattr(common, "checkpoint_root", lambda _: f"{tmp_path}")
     assert p.run(spark, SF).count() > 0
     assert [f.name.rsplit("-", 1)[0] for f in tmp_path.iterdir() if not f.name.startswith(".")] == [p.STAGES[-1][0]]
+
+
+def test_stages_leave_only_rows_and_verdicts_in_the_shared_folder(spark, monkeypatch, tmp_path, stages):
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "checkpoint_root", lambda _: f"{tmp_path}")
+    left = {}
+    for k, verdict in ((1, "first"), (2, "leaks"), (4, "taken")):
+        seen = set(tmp_path.iterdir())
+        out = p.STAGES[k][1](spark, stages[k], SF)
+        assert rows(out) == rows(stages[k + 1])
+        left[verdict] = sorted(f.name.split("-")[0] for f in set(tmp_path.iterdir()) - seen)
+    assert left == {k: sorted([k, "numbered"]) for k in left}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -69,12 +69,21 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, kind: str = "table") -> DataFrame:
+def saved(df: DataFrame, kind: str = "table", compression: str | None = None) -> DataFrame:
     """`df` written as Parquet to the shared folder and read back: cuts lineage, survives executors."""
     path = shared_folder(df.sparkSession, kind)
     if (paths := _SCRATCH.get()) is not None:
         paths.append(path)
-    return kept(df, path)
+    return kept(df, path, compression)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], kind: str = "table") -> DataFrame:
+    """What `make` gives, written like `saved`; the tables that it saved on its way are deleted."""
+    path = shared_folder(spark, kind)
+    if (paths := _SCRATCH.get()) is not None:
+        paths.append(path)
+    with scratch(spark):
+        return kept(make(), path)
 
 
 def dropped(*tables: DataFrame) -> None:
@@ -84,9 +93,9 @@ def dropped(*tables: DataFrame) -> None:
             delete(t.sparkSession, path)
 
 
-def kept(df: DataFrame, path: str) -> DataFrame:
+def kept(df: DataFrame, path: str, compression: str | None = None) -> DataFrame:
     """`df` written to `path` as Parquet and read back; no `scratch` deletes it."""
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
