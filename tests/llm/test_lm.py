@@ -136,3 +136,20 @@ def test_sums_by_key(most):
     assert got_key.tolist() == sorted(want) and n.tolist() == [want[k][0] for k in sorted(want)]
     assert np.allclose(sums, [want[k][1] for k in sorted(want)])
     assert all(len(x) == 0 for x in lm._sums(key[:0], rows[:0]))
+
+
+def test_whole_texts_go_to_python_a_few_at_a_time(spark, monkeypatch):
+    real, seen, name = lm.saved, [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(lm, "saved", lambda df, kind="table": seen.append(int(spark.conf.get(name))) or real(df, kind))
+    out = lm.op10_query(documents(spark).limit(5))
+    assert len(seen) == 3 and max(seen) <= 1000 and spark.conf.get(name) == before
+    assert out.count() == 5
+    # The returned plan has no Python left, which would run with the session's batches.
+    assert "InArrow" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_totals_add_up_counts():
+    key, n = lm._totals([np.array([5, 9]), np.array([2, 9])], [np.array([1, 2]), np.array([3, 4])])
+    assert key.tolist() == [2, 5, 9] and n.tolist() == [3, 1, 6]
+    assert [len(x) for x in lm._totals([], [])] == [0, 0]

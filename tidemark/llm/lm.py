@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -20,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import lower_ascii, remainder, saved, words
@@ -32,6 +34,8 @@ STEP = WINDOW - CONTEXT
 WIDTH, HEAD, CLASSES = 16, 8, 64
 #: Training goes over the texts again until it has seen so many subwords, but at most `PASSES` times.
 LEAST_SEEN, PASSES = 2_000_000, 4
+#: Rows that Spark hands to a task's Python at once, and distinct words that a task holds before it sends their counts.
+ROWS, HELD = 500, 500_000
 #: Word counts of at least N / FREQUENT are looked up in the scan: at most FREQUENT words, whatever the corpus.
 FREQUENT = 1_000_000
 
@@ -94,7 +98,7 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, k * STEP, np.where(k > 0, CONTEXT, 0)
 
 
-def log_probs(m: Model, ids: np.ndarray, lengths: np.ndarray, chunk: int = 512) -> np.ndarray:
+def log_probs(m: Model, ids: np.ndarray, lengths: np.ndarray, chunk: int = 256) -> np.ndarray:
     """Natural log probability of every text: every id given those before it."""
     begin = len(m.of) - 1
     base = np.cumsum(lengths) - lengths
@@ -376,6 +380,25 @@ def _slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int = 150_000):
         yield batch.slice(a, z - a)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Whole texts go to Python `ROWS` at a time in the jobs run inside: buffers on both sides grow with rows times text."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    given = int(before)
+    spark.conf.set(name, str(min(given, ROWS) if given > 0 else ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _totals(keys: list[np.ndarray], ns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of several counts and their sums."""
+    key, own = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]), return_inverse=True)
+    return key, np.bincount(own, np.concatenate([*ns, np.zeros(0, np.int64)]), minlength=len(key)).astype(np.int64)
+
+
 def _encoded(rows: DataFrame, path: str, kind: str) -> DataFrame:
     """row, doc_id, held_out and subword ids of every text; and kind, key and n: counts of the training rows' words
     ('word', by hash) and subwords ('sub', by id), per task."""
@@ -388,9 +411,9 @@ def _encoded(rows: DataFrame, path: str, kind: str) -> DataFrame:
 
     def part(batches):
         subs = np.zeros(tokenizer(path).n_vocab + 1, np.int64)
+        keys, ns = [], []
         for b in batches:
             size = b["w"].value_lengths().to_numpy(zero_copy_only=False)
-            keys, ns = [], []
             for t in _slices(b, size):
                 ids, lengths = encode(t["text"].to_pylist(), path)
                 learn = ~t["held_out"].to_numpy(zero_copy_only=False)
@@ -402,9 +425,14 @@ def _encoded(rows: DataFrame, path: str, kind: str) -> DataFrame:
                 packed = pa.array([ids[e - n:e].tobytes() for e, n in zip(ends, lengths, strict=True)], pa.binary())
                 none = pa.nulls(len(lengths))
                 yield pa.RecordBatch.from_arrays([t["row"], t["doc_id"], t["held_out"], packed, none.cast(pa.string()), none.cast(pa.int64()), none.cast(pa.int64())], schema=schema)
-            key, own = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]), return_inverse=True)
-            yield counted("word", key, np.bincount(own, np.concatenate([*ns, np.zeros(0, np.int64)]), minlength=len(key)).astype(np.int64))
+            if sum(map(len, keys)) > HELD:
+                key, n = _totals(keys, ns)
+                keys, ns = [key], [n]
+                if len(key) > HELD // 2:
+                    yield counted("word", key, n)
+                    keys, ns = [], []
             pa.default_memory_pool().release_unused()
+        yield counted("word", *_totals(keys, ns))
         key = np.flatnonzero(subs)
         yield counted("sub", key, subs[key])
 
@@ -429,6 +457,12 @@ def score_texts(
     empty table gives no rows, one without training texts a model of no knowledge. Texts are scored whole. Subword
     ids are made once and written to the shared folder with the row numbers; whatever is said of a row comes from them.
     """
+    with _small_batches(docs.sparkSession):
+        return _scored(docs, vocabulary, id_col, text_col, folds, held_out, sample, frequent, **how)
+
+
+def _scored(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, folds: int, held_out: int, sample: int | None, frequent: int, **how) -> DataFrame:
+    """`score_texts`; all its Python runs before it returns, as both of its tables are written."""
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
     hashed = lambda c: F.transform(F.concat(words(lower_ascii(c)), F.array(F.lit(""))), lambda w: F.xxhash64(w))  # noqa: E731  no word is empty: the end
