@@ -106,3 +106,13 @@ def test_prefixes_are_deleted_once_read(spark, monkeypatch):
     left = {k: sum(spark._jvm.java.io.File(f.removeprefix("file:")).exists() for k2, t in written if k2 == k for f in t.inputFiles()) for k in {k for k, _ in written}}
     assert not any(left[k] for k in ("prefixes", "tokens", "live", "hubs", "rooted", "star", "more", "pairs", "sets", "classes"))
     assert out.count() == documents(spark).count()
+
+
+def test_only_texts_of_candidate_pairs_are_cut_into_words(spark, monkeypatch):
+    texts = spark.createDataFrame([(k, f"text {k} of five words" if k else None) for k in range(200)], "t long, text string")
+    cut = []
+    real = jaccard._hashed
+    monkeypatch.setattr(jaccard, "_hashed", lambda c: (cut.append(c), real(c))[1])
+    sets, bits = jaccard._whole_sets(texts, jaccard._bitmap(texts.filter("t in (0, 7, 9)").select("t")), 4)
+    assert cut == ["text"] and {len(r.s) for r in sets.collect()} == {16} and sets.count() == 2
+    bits.destroy()

@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import dropped, lower_ascii, saved, words
@@ -80,10 +80,14 @@ def _classes(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(flat[e - n:e].tobytes()) for e, n in zip(ends, lengths, strict=True)], np.uint64).view(np.int64)
 
 
+def _hashed(text: str) -> Column:
+    return F.transform(words(lower_ascii(F.col(text))), lambda w: F.xxhash64(w)).alias("w")
+
+
 def _members(rows: DataFrame, width: int, kind: str) -> DataFrame:
-    """Per row: class, set size and shingles per part of the hash range; per task: counts of the rarity cells up to 255."""
+    """Per row: the text's hash, class, set size and shingles per part of the hash range; per task: counts of the rarity cells up to 255."""
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()),
-                        ("c", pa.int64()), ("n", pa.int64()), ("parts", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
+                        ("t", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("parts", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def part(batches):
         cells = np.zeros(CELLS, np.uint8)
@@ -94,15 +98,15 @@ def _members(rows: DataFrame, width: int, kind: str) -> DataFrame:
             n = np.bincount(doc, minlength=len(lengths))
             parts = np.bincount(doc * PARTS + (h >> np.uint64(55)).astype(np.int64), minlength=len(lengths) * PARTS)
             parts = np.minimum(parts, 255).astype(np.uint8).reshape(-1, PARTS)
-            yield pa.RecordBatch.from_pydict({"row": b["row"], "doc_id": b["doc_id"], "c": _classes(flat, lengths), "n": n,
+            yield pa.RecordBatch.from_pydict({"row": b["row"], "doc_id": b["doc_id"], "t": b["t"], "c": _classes(flat, lengths), "n": n,
                                               "parts": [p.tobytes() for p in parts], "chunk": [None] * len(n), "counts": [None] * len(n)}, schema)
         if cells.any():
             low = cells.reshape(-1, CHUNK)
             k, none = len(low), [None] * len(low)
-            yield pa.RecordBatch.from_pydict({"row": none, "doc_id": none, "c": none, "n": none, "parts": none,
+            yield pa.RecordBatch.from_pydict({"row": none, "doc_id": none, "t": none, "c": none, "n": none, "parts": none,
                                               "chunk": np.arange(k, dtype=np.int32), "counts": [zlib.compress(x.tobytes(), 1) for x in low]}, schema)
 
-    return rows.mapInArrow(part, f"row long, doc_id {kind}, c long, n long, parts binary, chunk int, counts binary")
+    return rows.mapInArrow(part, f"row long, doc_id {kind}, t long, c long, n long, parts binary, chunk int, counts binary")
 
 
 def _levels(counts: DataFrame) -> np.ndarray:
@@ -134,48 +138,51 @@ def _prefixes(rows: DataFrame, levels, width: int, percent: int) -> DataFrame:
     return rows.mapInArrow(part, "token long, c long, n long, pos long")
 
 
-def _whole_sets(rows: DataFrame, wanted: np.ndarray, width: int) -> tuple[DataFrame, Broadcast]:
-    """c and the sorted shingles of the classes that a bitmap of fixed size lets through; and the broadcast bitmap."""
-    bits = rows.sparkSession.sparkContext.broadcast(wanted)
+def _whole_sets(texts: DataFrame, wanted: np.ndarray, width: int) -> tuple[DataFrame, Broadcast]:
+    """c and the sorted shingles of the texts (t, text) whose t a bitmap of fixed size lets through: no others are cut into
+    words; and the broadcast bitmap."""
+    bits = texts.sparkSession.sparkContext.broadcast(wanted)
+
+    def pick(batches):
+        for b in batches:
+            at = _mixed(b["t"].to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(FILTER_BITS)
+            keep = ((bits.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+            if keep.any():
+                yield b.select(["text"]).filter(pa.array(keep))
 
     def part(batches):
         for _, flat, lengths in _batches(batches):
-            c = _classes(flat, lengths)
-            at = _mixed(c.view(np.uint64)) % np.uint64(FILTER_BITS)
-            keep = ((bits.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
-            h, doc = shingles(flat, lengths, width)
-            inside = keep[doc]
-            h, doc = _sets(h[inside], doc[inside])
+            h, doc = _sets(*shingles(flat, lengths, width))
             n = np.bincount(doc, minlength=len(lengths))
             ends = np.cumsum(n)
             some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_pydict({"c": c[some], "s": pa.array([h[ends[i] - n[i]:ends[i]].tobytes() for i in some], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"c": _classes(flat, lengths)[some], "s": pa.array([h[ends[i] - n[i]:ends[i]].tobytes() for i in some], pa.binary())})
 
-    return rows.mapInArrow(part, "c long, s binary"), bits
+    return texts.mapInArrow(pick, "text string").select(_hashed("text")).mapInArrow(part, "c long, s binary"), bits
 
 
-def _bitmap(classes: DataFrame) -> np.ndarray:
-    """Bits for a column `c`; sent to the driver as words per cell, at most FILTER_BITS / 64 of them."""
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits for a column `t`; sent to the driver as words per cell, at most FILTER_BITS / 64 of them."""
 
     def part(batches):
         out = np.zeros(FILTER_BITS // 64, np.uint64)
         for b in batches:
-            at = _mixed(b["c"].to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(FILTER_BITS)
+            at = _mixed(b["t"].to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(FILTER_BITS)
             np.bitwise_or.at(out, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
         cell = np.flatnonzero(out)
         yield pa.RecordBatch.from_pydict({"cell": cell, "b": out[cell].view(np.int64)})
 
     out = np.zeros(FILTER_BITS // 64, np.uint64)
-    got = classes.mapInArrow(part, "cell long, b long").groupBy("cell").agg(F.bit_or("b").alias("b")).toArrow()
+    got = keys.mapInArrow(part, "cell long, b long").groupBy("cell").agg(F.bit_or("b").alias("b")).toArrow()
     out[got["cell"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
     return out
 
 
-def _verify(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, info: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, on whole sets; written."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     # One set per class; copies of a class carry equal sets.
-    sets, bits = _whole_sets(rows, _bitmap(ends), width)
+    sets, bits = _whole_sets(texts, _bitmap(ends.join(info.select("c", "t"), "c").select("t")), width)
     sets = saved(sets.join(ends, "c", "left_semi").dropDuplicates(["c"]), "sets")
     bits.destroy()
     both = pairs.join(sets.withColumnsRenamed({"c": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"c": "b", "s": "sb"}), "b")
@@ -361,12 +368,13 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), F.col(id_col).alias("doc_id"),
-                       F.transform(words(lower_ascii(F.col(text_col))), lambda w: F.xxhash64(w)).alias("w"))
+                       F.xxhash64(F.col(text_col)).alias("t"), _hashed(text_col))
+    texts = docs.select(F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).alias("text"))
     first = saved(_members(rows, width, kind), "members")
-    members = first.filter("chunk is null").select("row", "doc_id", "c", "n", "parts")
-    info = saved(members.filter("n > 0").select("c", "n", "parts").dropDuplicates(["c"]), "classes")
+    members = first.filter("chunk is null").select("row", "doc_id", "t", "c", "n", "parts")
+    info = saved(members.filter("n > 0").select("c", "t", "n", "parts").dropDuplicates(["c"]), "classes")
     levels = docs.sparkSession.sparkContext.broadcast(_levels(first.filter("chunk is not null").select("chunk", "counts")))
-    prefix = saved(_prefixes(rows, levels, width, percent), "prefixes")
+    prefix = saved(_prefixes(rows.select("w"), levels, width, percent), "prefixes")
     levels.destroy()
     # Copies repeat the rows of their class; a token of one class alone makes no pair.
     sizes = saved(prefix.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("token"), "tokens")
@@ -381,12 +389,12 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         f"c <> hub and {OF} * hn >= {percent} * n and least(pos, hpos) + 1 + least(n - pos - 1, hn - hpos - 1) >= {_alpha('n', 'hn', percent)}")
     star = saved(star.select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct(), "star")
     begun = saved(_suffix(star, info, percent), "pairs")
-    near = _verify(begun, rows, width, percent)
+    near = _verify(begun, info, texts, width, percent)
     roots = components(near)
     hubbed, live = live, saved(_rooted(live.drop("hub", "hn", "hpos"), roots), "rooted")
     dropped(hubbed)
     more = saved(_suffix(_more_hubs(live, percent).join(star, ["a", "b"], "left_anti"), info, percent), "more")
-    near = _verify(more, rows, width, percent)
+    near = _verify(more, info, texts, width, percent)
     roots = components(near, roots)
     first_rooted, live = live, saved(_rooted(live, roots), "rooted")
     dropped(first_rooted)
@@ -398,7 +406,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = _suffix(pairs.select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct(), info, percent)
     hot = _hot_pairs(live, info, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = saved(pairs.union(hot).distinct().join(star.union(more), ["a", "b"], "left_anti"), "pairs")
-    far = _verify(rest, rows, width, percent)
+    far = _verify(rest, info, texts, width, percent)
     dropped(live, star, begun, more, rest, info)
     roots = components(far, roots)
     top = members.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "c")).otherwise(F.col("row")))
