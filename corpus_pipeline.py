@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.classifier import score_quality
-from tidemark.llm.common import delete, kept, saved, scratch, settled, shared_folder, table
+from tidemark.llm.common import delete, kept, saved, scratch, settled, shared_folder, table, without
 from tidemark.llm.decontaminate import find_leaks
 from tidemark.llm.jaccard import link_components
 from tidemark.llm.mixing import document_sizes, taken_words
@@ -51,12 +51,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     the smallest doc_id (null ids last, then the smallest row number); documents without words all stay."""
     rows = _numbered(docs)
 
-    def first_rows() -> DataFrame:
-        linked = link_components(rows, width=5, percent=80, row_col=ROW)
-        return linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("m")).select(F.col("m.row").alias(ROW))
+    def later_rows() -> DataFrame:
+        linked = saved(link_components(rows, width=5, percent=80, row_col=ROW).select("row", "doc_id", "root"), "linked")
+        first = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("m")).select(F.col("m.row").alias("row"))
+        return linked.join(first, "row", "left_anti").select(F.col("row").alias(ROW))
 
-    first = settled(spark, first_rows, "first")
-    return rows.join(first, ROW, "left_semi").select(*docs.columns)
+    later = settled(spark, later_rows, "first")  # the rows after the first ones
+    return without(rows, later, ROW).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +65,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Texts without words never overlap."""
     rows = _numbered(docs)
     leaks = settled(spark, lambda: find_leaks(rows, table(spark, sf_dir, "benchmark"), id_col=ROW, least=5).select(F.col("doc_id").alias(ROW)).distinct(), "leaks")
-    return rows.join(leaks, ROW, "left_anti").select(*docs.columns)
+    return without(rows, leaks, ROW).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -132,3 +132,32 @@ def test_stages_leave_only_rows_and_verdicts_in_the_shared_folder(spark, monkeyp
         assert rows(out) == rows(stages[k + 1])
         left[verdict] = sorted(f.name.split("-")[0] for f in set(tmp_path.iterdir()) - seen)
     assert left == {k: sorted([k, "numbered"]) for k in left}
+
+
+@pytest.mark.parametrize("cells", [1, 1 << 18])
+def test_rows_that_the_filter_clears_are_not_joined(spark, monkeypatch, cells):
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "FILTER_CELLS", cells)
+    given = spark.range(5000).select(F.col("id").alias("k"), F.lit("some text").alias("a.b"))
+    gone = given.filter("k % 7 = 3").select("k")
+    joined = spark.sparkContext.accumulator(0)
+    real = type(given).join
+
+    def seen(self, other, on=None, how=None):
+        if how == "left_anti":
+            joined.add(self.count())
+        return real(self, other, on, how)
+
+    monkeypatch.setattr(type(given), "join", seen)
+    out = common.without(given, gone, "k")
+    assert out.columns == given.columns and sorted(r.k for r in out.collect()) == [k for k in range(5000) if k % 7 != 3]
+    assert joined.value < 800 if cells > 1 else joined.value == 5000
+
+
+def test_stages_join_rows_by_what_goes(spark, monkeypatch, stages):
+    seen = []
+    monkeypatch.setattr(p, "without", lambda rows, gone, key: (seen.append(gone.count()), rows.join(gone, key, "left_anti"))[1])
+    for k in (1, 2):
+        assert rows(p.STAGES[k][1](spark, stages[k], SF)) == rows(stages[k + 1])
+    assert seen == [stages[k].count() - stages[k + 1].count() for k in (1, 2)] and seen[0] > 0

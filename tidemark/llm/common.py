@@ -99,6 +99,22 @@ def kept(df: DataFrame, path: str, compression: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Cells of `without`'s filter, 64 bits each: a few MB when broadcast, at any size of the corpus.
+FILTER_CELLS = 1 << 18
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Rows whose `key`, never null, is not in `gone`. A bitmap of fixed size tells most of them at once, where they lie; only
+    those that it does not clear are joined, and move."""
+    cell, bits, h = f"{key}cell__", f"{key}bits__", F.xxhash64(F.col(key))
+    place, bit = F.pmod(h, F.lit(FILTER_CELLS)), F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int")
+    cells = gone.select(place.alias(cell), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias(bits)).groupBy(cell).agg(F.bit_or(bits).alias(bits))
+    # At most FILTER_CELLS rows.
+    told = rows.withColumn(cell, place).join(F.broadcast(cells), cell, "left")
+    clear = F.coalesce(F.getbit(bits, bit), F.lit(0)) == 0
+    return told.filter(clear).drop(cell, bits).unionByName(told.filter(~clear).drop(cell, bits).join(gone, key, "left_anti"))
+
+
 def slices(batches, column: str, most: int = 2_000_000):
     """Pieces of Arrow batches with about `most` bytes of text in `column`: memory follows the longest text."""
     for b in batches:
