@@ -98,3 +98,10 @@ def test_ids_of_any_type(spark):
     for kind in ("decimal(20,0)", "smallint", "binary"):
         docs = spark.createDataFrame(rows, "doc_id int, text string").selectExpr(f"cast(cast(doc_id as string) as {kind}) AS doc_id", "text")
         assert sorted(r.n_removed for r in s.drop_repeats(docs).collect()) == [42] * 4
+
+
+def test_a_window_in_two_surroundings_is_removed_from_both(spark):
+    shared = [f"s{i}" for i in range(40)]
+    texts = [" ".join([*[f"{x}{i}" for i in range(3)], *shared, *[f"{x}z{i}" for i in range(3)]]) for x in ("a", "b")] + [" ".join(shared[:20])]
+    out = s.drop_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.n_removed, r.spans) for r in out] == [(40, "3-42"), (40, "3-42"), (0, "")]

@@ -136,7 +136,7 @@ def _runs(rows: DataFrame, window: int) -> DataFrame:
 
 def _surroundings(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """anchor, content, times, n, hot and the words (joined by spaces) of the wanted runs; wanted: row, runs."""
-    bits = rows.sparkSession.sparkContext.broadcast(_bitmap(wanted.select(F.col("row").alias("c"))))
+    bits = rows.sparkSession.sparkContext.broadcast(_bitmap(wanted.select(F.col("row").alias("t"))))
 
     def some(batches):
         for b in batches:
