@@ -73,3 +73,12 @@ def test_empty_tables(spark):
     assert mixing.op3_query(documents(spark).limit(0)).count() == 0
     nothing = mixing.op3_query(documents(spark).filter("text is null")).collect()
     assert [(r.size, r.taken, r.target) for r in nothing] == [(0, 0, 0.0)]
+
+
+def test_slots_and_pieces_are_never_broadcast(spark):
+    sizes = mixing.document_sizes(spark.range(400).selectExpr("id AS doc_id", "repeat('w ', 200) AS text", "cast(id % 3 AS string) AS source"))
+    mixed, _ = mixing.mix(sizes)
+    assert mixed.count() > 0
+    mixed.collect()
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[rank#\d+L?, block#", plan) and not re.search(r"BroadcastHashJoin \[rank#\d+L?, block#", plan)

@@ -140,7 +140,8 @@ def mix(
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = saved(source_targets(by_source, weights, share, most), "targets")
     pieces = pack(sizes, block).alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select("rank", "p.*").drop("source")
-    return draw(targets, block, slots_per_shard, seed).join(pieces, ["rank", "block"]), targets
+    # Slots and pieces are made by `explode`, after the last exchange that tells the planner a size: it would broadcast either.
+    return draw(targets, block, slots_per_shard, seed).hint("merge").join(pieces, ["rank", "block"]), targets
 
 
 def mixed_words(mixed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
