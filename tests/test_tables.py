@@ -1,9 +1,11 @@
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import grams as gr
 from tidemark.functions import text as ft
 from tidemark.operators import news as nw
 from tidemark.operators import outcomes as oc
@@ -54,6 +56,42 @@ def test_themes_drop_the_contained_gram_only_for_equal_tickers(spark):
     assert out == {"alpha beta": 4, "alpha beta gamma": 3}
 
 
+def test_bounds_hold_for_every_gram(spark):
+    r = random.Random(5)
+    rows = [(k % 17, " ".join(r.choices(["a1", "b1", "c1", "The", "d-1", "x", "E1"], k=r.randrange(9)))) for k in range(400)]
+    df = spark.createDataFrame(rows, "k bigint, text string").withColumn("line", F.col("text")).repartition(3)
+    bound = gr.bounds(df, (2, 3))
+    out = gr.grams_of(df, (2, 3), bound > 0, ("k", "line")).collect()
+    want, tickers = [], {}
+    for k, text in rows:
+        ws = [w for w in re.findall("[A-Za-z0-9]+", text.lower()) if len(w) > 1 and w not in gr.Hashes.stop]
+        for g in {" ".join(ws[i:i + n]) for n in (2, 3) for i in range(len(ws) - n + 1)}:
+            want.append((k, text, g))
+            tickers.setdefault(g, set()).add(k)
+    assert sorted((x.k, x.line, x.gram) for x in out) == sorted(want)
+    for (x, _, at, n), text in gr.line_grams([t for _, t in rows], (2, 3), gr.Hashes()):
+        assert all(bound[int(x[i]) & gr.CELLS - 1] >= len(tickers[text(at[i], n[i])]) for i in range(len(x)))
+
+
+@pytest.mark.parametrize("cells", [1, 4, 256])
+def test_themes_of_any_first_floor(spark, monkeypatch, cells):
+    monkeypatch.setattr(nw, "FIRST_CELLS", cells)
+    r = random.Random(cells)
+    rows = [(k % 9, " ".join(f"w{min(int(r.expovariate(0.4)), 9)}" for _ in range(8)), f"u{k}", k) for k in range(150)]
+    n = spark.createDataFrame(rows, "ticker bigint, headline string, url string, doc_id bigint").repartition(3)
+    per, count = {}, {}
+    for t, h, _, _ in rows:
+        w = h.split()
+        for g in {" ".join(w[i:i + m]) for m in (2, 3) for i in range(9 - m)}:
+            per.setdefault(g, set()).add(t)
+            count[g] = count.get(g, 0) + 1
+    often = {g for g in per if len(per[g]) >= 3 and count[g] >= 2}
+    kept = [g for g in often if not any(len(b.split()) > len(g.split()) and f" {g} " in f" {b} " and per[b] == per[g] for b in often)]
+    want = sorted(kept, key=lambda g: (-len(per[g]), -count[g], -len(g.split()), g))[:8]
+    out = nw.themes(n, ["doc_id"]).collect()
+    assert [(x.gram, x.n_tickers, x.headline_count, x.tickers) for x in out] == [(g, len(per[g]), count[g], sorted(per[g])) for g in want]
+
+
 @pytest.mark.parametrize("chunk", [3, 4096])
 def test_positions_equal_the_sequential_fold(spark, monkeypatch, chunk):
     monkeypatch.setattr(pf, "CHUNK", chunk)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import fixed
+from tidemark.functions import grams as gr
 from tidemark.functions import text as ft
 from tidemark.session import stable
 
 MIN_PREFIX_WORDS = 5
-SMALL = 100_000  # hashes that every task may hold
+FIRST_CELLS = 256  # whose grams `themes` counts first
 
 
 def _prefix_edges(items: DataFrame, keys: list[str], min_words: int) -> DataFrame:
@@ -194,10 +196,6 @@ def news_counts(candidates: DataFrame, news: DataFrame) -> DataFrame:
     return candidates.join(n, "ticker", "left").fillna(0, ["news_count_7d"])
 
 
-def _grams(toks: Column, sizes: tuple[int, ...]) -> Column:
-    return F.array_distinct(F.concat(*[ft.ngrams(toks, n) for n in sizes]))
-
-
 def _samples(hits: DataFrame, samples: int) -> DataFrame:
     """Per gram its tickers in order and at most `samples` headlines, a new one of each ticker in turn."""
     heads = hits.groupBy("gram", "ticker", "headline").agg(F.min("pos").alias("pos"))
@@ -216,7 +214,7 @@ def _samples(hits: DataFrame, samples: int) -> DataFrame:
     return lists.select("gram", F.transform("_l", lambda x: x["ticker"]).alias("tickers"), picked.alias("sample_headlines"))
 
 
-def _uncovered(grams: DataFrame, lines: DataFrame, sizes: tuple[int, ...], min_tickers: int, min_articles: int) -> DataFrame:
+def _uncovered(grams: DataFrame, sizes: tuple[int, ...], min_tickers: int, min_articles: int) -> DataFrame:
     """Grams of `min_tickers` and `min_articles` or more, without those contained in a longer one of the same tickers."""
     per = grams.groupBy("gram", "ticker").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("lo"), F.max("a").alias("hi"))
     counts = per.groupBy("gram").agg(
@@ -226,7 +224,7 @@ def _uncovered(grams: DataFrame, lines: DataFrame, sizes: tuple[int, ...], min_t
     if min_articles == 2:
         counts = counts.where("lo <> hi")
     elif min_articles > 2:
-        far = lines.select(F.xxhash64("article").alias("a"), F.explode(_grams(F.col("_t"), sizes)).alias("gram")).distinct()
+        far = grams.select("a", "gram").distinct()
         far = far.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= min_articles)
         counts = counts.join(far.select("gram"), "gram", "left_semi")
     counts = stable(counts.drop("lo", "hi")).withColumn("keywords", F.split("gram", " "))
@@ -242,40 +240,33 @@ def themes(
 ) -> DataFrame:
     """Word n-grams seen at several tickers, without grams contained in a longer equal-ticker gram.
 
-    The tickers of a gram are counted by a 64-bit hash first, which can only count too many together: hashes are dealt once,
-    without texts. The best grams stand among those of the most tickers, and a gram can only be contained in one of as many; so
-    the texts are counted for hashes down to a floor, which falls until `top` grams reach it. Whether two grams have the same
+    A bound on the tickers of every gram is counted first, per cell of its hash: an array of fixed size for each task, so that no
+    grams are dealt for it. The best grams stand among those of the most tickers, and a gram can only be contained in one of as many; so
+    the grams of cells down to a floor are counted exactly, and the floor falls, to what the `top` best so far have, until they reach it. Whether two grams have the same
     tickers is told by their number and by two 64-bit hashes of the set that do not depend on order, so no gram's tickers are
     gathered before the top cut; tickers and sample headlines are collected for the grams that are returned.
     """
     h = F.trim("headline")
     article = F.when(F.trim(F.coalesce("url", F.lit(""))) != "", F.trim("url")).otherwise(h)
-    lines = news.where(h != "").select("ticker", h.alias("headline"), article.alias("article"), F.struct(*order).alias("pos"), ft.tokens(h).alias("_t"))
-    grams = lines.select("ticker", F.xxhash64("article").alias("a"), F.explode(_grams(F.col("_t"), sizes)).alias("gram")).withColumn("x", F.xxhash64("gram"))
-    parts = int(news.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # dealt by the hash alone, so that both steps need one exchange
-    rough = grams.select("x", "ticker").repartition(parts, "x").distinct().groupBy("x").agg(F.count("ticker").alias("n"))
-    rough = stable(rough.where(F.col("n") >= min_tickers))
+    lines = news.where(h != "").select("ticker", h.alias("headline"), article.alias("article"), F.struct(*order).alias("pos"))
+    texts = lines.select("ticker", F.xxhash64("article").alias("a"), F.col("headline").alias("text"), F.xxhash64("ticker").alias("k"))
+    bound = gr.bounds(texts, sizes)
     best = [F.desc("n_tickers"), F.desc("headline_count"), F.desc(F.size("keywords")), "gram"]
-    wanted = None if top is None else max(1000, 20 * top)
+    cells = FIRST_CELLS
+    floor = min_tickers if top is None or cells >= len(bound) else max(min_tickers, int(np.partition(bound, -cells)[-cells]))
     while True:
-        floor = min_tickers
-        if wanted is not None:
-            reach, n = rough.orderBy(F.desc("n")).limit(wanted).agg(F.min("n"), F.count(F.lit(1))).first()
-            floor = reach if n == wanted else min_tickers
-        often = stable(rough.where(F.col("n") >= floor).select("x"))
-        # a set that was counted as small is sent to the tasks, so that the grams stay where they are
-        often = F.broadcast(often) if often.count() <= SMALL else often
-        out = _uncovered(grams.join(often, "x", "left_semi"), lines, sizes, max(floor, min_tickers), min_articles)
+        found = _uncovered(gr.grams_of(texts, sizes, bound >= floor, ("ticker", "a")), sizes, min_tickers, min_articles)
+        out = found.where(F.col("n_tickers") >= floor)  # below, grams of other cells are not counted yet
         if floor <= min_tickers or out.limit(top).count() == top:
             break
-        wanted *= 30
+        reach, n = found.orderBy(F.desc("n_tickers")).limit(top).agg(F.min("n_tickers"), F.count(F.lit(1))).first()
+        floor = max(min_tickers, min(reach, floor - 1)) if n == top else min_tickers
+    hit = lines.select("ticker", "headline", "pos", F.col("headline").alias("text"))
     if top is None:
-        hits = lines.select("ticker", "headline", "pos", F.explode(_grams(F.col("_t"), sizes)).alias("gram")).join(out.select("gram"), "gram", "left_semi")
+        hits = gr.grams_of(hit, sizes, bound >= floor, ("ticker", "headline", "pos")).join(out.select("gram"), "gram", "left_semi")
     else:
         out = stable(out.orderBy(*best).limit(top))
-        line = F.concat(F.lit(" "), F.array_join("_t", " "), F.lit(" "))
-        names = [F.when(line.contains(f" {r.gram} "), F.lit(r.gram)) for r in out.select("gram").collect()]  # `top` at most
-        hits = lines.select("ticker", "headline", "pos", F.explode(F.array_compact(F.array(*names, F.lit(None).cast("string")))).alias("gram"))
+        names = frozenset(r.gram for r in out.select("gram").collect())  # `top` at most
+        hits = gr.grams_of(hit, sizes, bound >= floor, ("ticker", "headline", "pos"), names)
     found = out.join(_samples(hits, samples), "gram").select("keywords", "gram", "tickers", "n_tickers", "headline_count", "sample_headlines")
     return found if top is None else found.orderBy(*best)
