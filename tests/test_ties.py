@@ -126,3 +126,14 @@ def test_drift_folds_the_positions_once(spark, monkeypatch):
     calls, real = [], portfolio.classes
     monkeypatch.setattr(portfolio, "classes", lambda v: calls.append(1) or real(v))
     assert entry.queries()["agg_drift"](spark, SF).count() > 0 and len(calls) == 1
+
+
+def test_headline_dedup_writes_no_texts(spark, monkeypatch):
+    from tidemark.operators import news as nw
+
+    written, real = [], nw.stable
+    monkeypatch.setattr(nw, "stable", lambda df: written.append(df.schema.simpleString()) or real(df))
+    rows = [("k", 1, "A b, c d e f"), ("k", 2, "a b c d e"), ("k", 3, "a b c d e f"), ("l", 4, "a b c d e"), ("k", 5, "x y"), ("k", 6, "X Y!"), ("k", 7, "?!"), ("k", 8, None)]
+    df = spark.createDataFrame(rows, "k string, n long, headline string").repartition(3)
+    assert sorted((r.k, r.n, r.headline) for r in nw.dedup_headlines(df, ["k"], ["n"]).collect()) == [("k", 1, "A b, c d e f"), ("k", 5, "x y"), ("l", 4, "a b c d e")]
+    assert written and not any("string" in w for w in written)

@@ -1,4 +1,4 @@
-"""Word n-grams of lines as 64-bit hashes, made in numpy from the words of a whole batch at once."""
+"""Word n-grams and word prefixes of lines as 64-bit hashes, made in numpy from the words of a whole batch at once."""
 
 from __future__ import annotations
 
@@ -10,10 +10,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.functions import fixed
 
+BIT_CELLS = 1 << 19  # of 64 bits: 4 MB when broadcast, at any size of the table
 CELLS = 1 << 20  # of the counts of hashes: 8 MB at the driver at any size of the table
 CHUNK = 1 << 16
 WORD = re.compile("[A-Za-z가-힣0-9]+")
@@ -40,11 +42,11 @@ class Hashes(dict):
         return out
 
 
-def _pieces(texts: list[str | None]) -> Iterator[tuple[int, list[list[str]]]]:
+def _pieces(texts: list[str | None], cut=WORD.findall) -> Iterator[tuple[int, list[list[str]]]]:
     """First line and words of the lines, in pieces of about `MOST` words."""
     first, held, n = 0, [], 0
     for k, text in enumerate(texts):
-        held.append(WORD.findall(text or ""))
+        held.append(cut(text or ""))
         n += len(held[-1])
         if n >= MOST:
             yield first, held
@@ -142,3 +144,85 @@ def grams_of(lines: DataFrame, sizes: tuple[int, ...], cells: np.ndarray, keep:
                     yield pa.RecordBatch.from_arrays([*own.take(pa.array(line[some])).columns, pa.array(names, pa.string()).take(pa.array(which))], [*keep, "gram"])
 
     return lines.select("text", *keep).mapInArrow(part, ", ".join([*[f"{c} {types[c]}" for c in keep], "gram string"]))
+
+
+def bit_cell(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(BIT_CELLS - 1))
+
+
+def bit_of(h: Column) -> Column:
+    return F.shiftright(h, 40).bitwiseAND(F.lit(63)).cast("int")
+
+
+def bit_cells(keys: DataFrame) -> DataFrame:
+    """cell and bits, at most BIT_CELLS rows, of the hashes in column `h`."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit_of(F.col("h")))
+    return keys.select(bit_cell(F.col("h")).alias("cell"), one.alias("bits")).groupBy("cell").agg(F.bit_or("bits").alias("bits"))
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    out, got = np.zeros(BIT_CELLS, np.uint64), bit_cells(keys).toArrow()
+    out[got["cell"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return (bits[(h & np.uint64(BIT_CELLS - 1)).astype(np.int64)] >> (h >> np.uint64(40) & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+class WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN:
+            self.clear()
+        self[word] = out = xxhash.xxh3_64_intdigest(word.encode())
+        return out
+
+
+def _running(b: pa.RecordBatch, known: WordHashes) -> Iterator[tuple[np.ndarray, ...]]:
+    """Per piece of a batch with norm and k (hash of the line's keys): lines, their numbers of words, where their words begin,
+    every word's place and the hash of the line's words up to it."""
+    key = b["k"].to_numpy(zero_copy_only=False).view(np.uint64)
+    for first, held in _pieces(b["norm"].to_pylist(), lambda t: t.split(" ")):
+        n = np.array([len(ws) for ws in held], np.int64)
+        h = np.fromiter((known[w] for ws in held for w in ws), np.uint64, int(n.sum()))
+        start = np.cumsum(n) - n
+        place = np.arange(len(h)) - np.repeat(start, n)
+        run = np.bitwise_xor.accumulate(_mixed(h + (place + 1).astype(np.uint64) * MIX))
+        before = np.where(start > 0, run[start - 1], np.uint64(0)) ^ key[first:first + len(n)]
+        yield np.arange(first, first + len(n)), n, start, place, run ^ np.repeat(before, n)
+
+
+def line_ends(lines: DataFrame, min_words: int, keep: tuple[str, ...]) -> DataFrame:
+    """The columns `keep`, n (words), head (hash of the first `min_words` words, null for fewer) and whole (of all). `lines` has norm and k."""
+    types = dict(lines.dtypes)
+
+    def part(batches):
+        known = WordHashes()
+        for b in batches:
+            for line, n, start, _, run in _running(b, known):
+                long = n >= min_words
+                head = run[np.where(long, start + min_words - 1, 0)].view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [*b.select(list(keep)).slice(line[0], len(line)).columns, pa.array(n, pa.int32()), pa.array(head, mask=~long), pa.array(run[start + n - 1].view(np.int64))], [*keep, "n", "head", "whole"])
+
+    return lines.select("norm", "k", *keep).mapInArrow(part, ", ".join([*[f"{c} {types[c]}" for c in keep], "n int, head long, whole long"]))
+
+
+def line_prefixes(lines: DataFrame, heads: np.ndarray, wholes: np.ndarray, min_words: int, keep: tuple[str, ...]) -> DataFrame:
+    """The columns `keep`, n and whole of the proper prefixes of `min_words` words or more that the bitmaps let through, by their head and whole."""
+    sc, types = lines.sparkSession.sparkContext, dict(lines.dtypes)
+    held = sc.broadcast((heads, wholes))
+
+    def part(batches):
+        known = WordHashes()
+        for b in batches:
+            for line, n, start, place, run in _running(b, known):
+                own = n > min_words
+                own[own] = _marked(held.value[0], run[start[own] + min_words - 1])
+                at = np.flatnonzero(np.repeat(own, n) & (place >= min_words - 1) & (place < np.repeat(n, n) - 1))
+                at = at[_marked(held.value[1], run[at])]
+                if len(at):
+                    rows = np.repeat(line, n)[at]
+                    yield pa.RecordBatch.from_arrays([*b.select(list(keep)).take(pa.array(rows)).columns, pa.array((place[at] + 1).astype(np.int32)), pa.array(run[at].view(np.int64))], [*keep, "n", "whole"])
+
+    return lines.select("norm", "k", *keep).mapInArrow(part, ", ".join([*[f"{c} {types[c]}" for c in keep], "n int, whole long"]))

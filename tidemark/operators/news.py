@@ -16,26 +16,28 @@ MIN_PREFIX_WORDS = 5
 FIRST_CELLS = 256  # whose grams `themes` counts first
 
 
-def _prefix_edges(items: DataFrame, keys: list[str], min_words: int) -> DataFrame:
+def _key_hash(keys: list[str], *more) -> Column:
+    return F.xxhash64(*keys, *[F.col(k).isNull() for k in keys], *more)  # a hash passes over nulls
+
+
+def _prefix_edges(items: DataFrame, keys: list[str], min_words: int, first: DataFrame | None = None) -> DataFrame:
     """Pairs (early, late) of distinct headlines, by `_id`, where one is a word-prefix of the other.
 
-    Candidates share their first `min_words` words, and pairs come from an equi-join of each
-    headline's own prefixes with the headlines: linear in the words, never all pairs of a group. A prefix
-    is known by a running hash of its words and their places, so a long headline costs no more per word; only ids and hashes
-    are dealt with the words, never the headline again.
+    Candidates share their first `min_words` words and differ in their number of words. A prefix is known by a running hash of
+    its words and their places, so a long headline costs no more per word; the words are read again where they lie, and of their
+    prefixes only those leave it that bitmaps of fixed size take for a headline. Pairs come from an equi-join of hashes. With copies
+    among the items, `first` has a row for each headline: `_id`, the items' `_at` and what `line_ends` gives.
     """
-    head = F.array_join(F.slice("_w", 1, min_words), " ")
-    long = items.where(F.size("_w") >= min_words).withColumn("_h", head)
-    shared = long.groupBy(*keys, "_h").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
-    long = long.join(shared, [*keys, "_h"], "left_semi")
-    running = F.bit_xor("_x").over(Window.partitionBy(*keys, "_i2").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0))
-    each = long.where(F.size("_w") > min_words).select(
-        *keys, F.col("_id").alias("_i2"), F.size("_w").alias("_n"), F.posexplode("_w").alias("_k", "_one"))
-    prefixes = each.select(*keys, "_i2", "_n", "_k", F.xxhash64("_one", "_k").alias("_x")).withColumn("_hash", running).withColumn("_k", F.col("_k") + 1)
-    prefixes = prefixes.where((F.col("_k") >= min_words) & (F.col("_k") < F.col("_n"))).select(*keys, "_k", "_hash", "_i2")
-    whole = F.aggregate(F.transform("_w", lambda x, i: F.xxhash64(x, i)), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
-    pairs = prefixes.join(long.select(*keys, "_id", F.size("_w").alias("_k"), whole.alias("_hash")), [*keys, "_k", "_hash"])
-    return pairs.select(*keys, F.least("_id", "_i2").alias("early"), F.greatest("_id", "_i2").alias("late"))
+    lines = items.select(F.array_join("_w", " ").alias("norm"), _key_hash(keys).alias("k"), F.col("_id" if first is None else "_at").alias("_at"))
+    if first is None:
+        first = gr.line_ends(lines, min_words, ("_at",)).withColumn("_id", F.col("_at"))
+    long = first.where(F.col("n") >= min_words).select("_id", "n", "head", "whole")
+    several = long.groupBy("head").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).where("lo < hi")
+    short = stable(long.join(several, "head").where("n < hi").select("_id", "n", "head", "whole"))
+    heads, wholes = (gr.bitmap(short.select(F.col(c).alias("h"))) for c in ("head", "whole"))
+    found = gr.line_prefixes(lines, heads, wholes, min_words, ("_at",)).distinct().join(short.select("n", "whole", "_id"), ["n", "whole"])
+    pairs = found.join(first.select("_at", F.col("_id").alias("_id2")), "_at")
+    return pairs.select(F.least("_id", "_id2").alias("early"), F.greatest("_id", "_id2").alias("late"))
 
 
 def _greedy_dropped(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -62,20 +64,28 @@ def dedup_headlines(
 ) -> DataFrame:
     """Rows surviving near-duplicate removal within `keys`, first seen in `order` kept.
 
-    Copies of one normalised headline are reduced to the first by a map-side aggregate, so a group
-    of copies holding a third of the table costs one row per task.
+    Headlines are known by 128 bits of hash of keys and text, and only ids and hashes are dealt to find the first of copies and
+    the prefixes. A group of copies holding a third of the table costs one row per task. Then a bitmap of fixed size tells, where they
+    lie, the rows that have no copy and no earlier partner; only the others move with their texts.
     """
-    n = news.withColumn("_norm", ft.normalize_headline(F.col("headline"))).where("_norm <> ''")
-    pos = F.struct(*order)
+    # a text of which something is left; said of the headline, as a filter on the result would make it twice
+    some = F.lower("headline").rlike("[a-z0-9가-힣]")
+    n = news.where(some).withColumn("_norm", ft.normalize_headline(F.col("headline"))).withColumns(
+        {"_at": F.struct(_key_hash(keys, "_norm").alias("i"), _key_hash(keys, "_norm", F.lit(1)).alias("j")), "_pos": F.struct(*order)})
+    lines = n.select(F.col("_norm").alias("norm"), _key_hash(keys).alias("k"), "_at", "_pos")
+    first = gr.line_ends(lines, min_words, ("_at", "_pos")).groupBy("_at").agg(
+        F.min("_pos").alias("pos"), F.count(F.lit(1)).alias("c"), *[F.max(x).alias(x) for x in ("n", "head", "whole")])
+    # read several times below, so written once; a headline's id is its place and, should two share a place, its hashes
+    first = stable(first.withColumn("_id", F.struct("pos", F.col("_at").alias("at"))).drop("pos"))
+    edges = _prefix_edges(n.select(*keys, "_at", F.split("_norm", " ").alias("_w")), keys, min_words, first)
+    dropped = stable(_greedy_dropped(edges, []).select(F.col("_id.at").alias("_at")))
+    cells = gr.bit_cells(first.where("c > 1").select(F.col("_at.i").alias("h")).union(dropped.select(F.col("_at.i").alias("h"))))
+    told = n.withColumn("_cell", gr.bit_cell(F.col("_at.i"))).join(F.broadcast(cells.withColumnsRenamed({"cell": "_cell", "bits": "_bits"})), "_cell", "left")
+    clear = F.coalesce(F.getbit("_bits", gr.bit_of(F.col("_at.i"))), F.lit(0)) == 0
     payload = [c for c in news.columns if c not in keys]
-    first = n.groupBy(*keys, "_norm").agg(F.min(F.struct(pos.alias("_pos"), F.struct(*payload).alias("_row"))).alias("_f"))
-    # read several times below, so the distinct headlines are written once instead of recomputed
-    # a headline's id is its place and, should two share a place, a hash of its text
-    ident = F.struct(F.col("_f._pos").alias("pos"), F.xxhash64("_norm").alias("hash"))
-    first = stable(first.select(*keys, "_norm", ident.alias("_id"), F.col("_f._row").alias("_row")))
-    items = first.select(*keys, "_id", F.split("_norm", " ").alias("_w"))
-    dropped = _greedy_dropped(_prefix_edges(items, keys, min_words), keys)
-    return first.drop("_norm").join(dropped, [*keys, "_id"], "left_anti").select(*keys, "_row.*")
+    rest = told.where(~clear).join(dropped, "_at", "left_anti").groupBy(*keys, "_norm").agg(
+        F.min(F.struct("_pos", F.struct(*payload).alias("_row"))).alias("_f"))
+    return told.where(clear).select(*keys, *payload).unionByName(rest.select(*keys, "_f._row.*"))
 
 
 def news_signal(news: DataFrame, keys: list[str], order: list[str], asof: Column) -> DataFrame:
