@@ -82,3 +82,10 @@ def test_slots_and_pieces_are_never_broadcast(spark):
     mixed.collect()
     plan = mixed._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"SortMergeJoin \[rank#\d+L?, block#", plan) and not re.search(r"BroadcastHashJoin \[rank#\d+L?, block#", plan)
+
+
+def test_slots_find_their_sources_in_a_guide_of_any_size(spark, monkeypatch):
+    sizes = mixing.document_sizes(spark.range(60).selectExpr("id AS doc_id", "repeat('w ', 100) AS text", "cast(id % 7 AS string) AS source"))
+    few = sorted(map(repr, mixing.mix(sizes)[0].collect()))
+    monkeypatch.setattr(mixing, "GUIDED", 0)
+    assert few and sorted(map(repr, mixing.mix(sizes)[0].collect())) == few

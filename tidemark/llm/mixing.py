@@ -15,6 +15,8 @@ from tidemark.llm.common import saved, words
 from tidemark.session import row_index, running_totals
 
 ROUNDS = 12
+#: Sources whose guide table every task may hold.
+GUIDED = 10_000
 
 
 def source_targets(
@@ -100,6 +102,7 @@ def draw(targets: DataFrame, block: int = 64, slots_per_shard: int = 4096, seed:
         "rank", "lo", "upto", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor((F.col("upto") - 1) / cell))).alias("cell"))
     slots = plan.sparkSession.range(total).select(
         (F.col("id") % shards).alias("shard"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(1, total))).alias("u"))
+    guide = F.broadcast(guide) if n <= GUIDED else guide.hint("merge")  # five rows a source at most
     drawn = slots.withColumn("cell", F.floor(F.col("u") / cell)).join(guide, "cell").filter("u >= lo and u < upto")
     counts = drawn.groupBy("rank", "shard").agg(F.count("*").alias("c"))
     # One source may have a third of all shards: running counts go over all sources in range blocks, less what lies before.
